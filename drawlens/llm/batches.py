@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import chunks, materialise
@@ -45,7 +46,7 @@ def stage(docs: DataFrame, text: str, name: str, role: str | None = None, budget
         for part in chunks(batches, text, budget):
             roles = sorted(set(part.column(role).to_pylist())) if role else [0]
             for r in roles:
-                own = part.filter(pa.compute.equal(part.column(role), r)) if role else part
+                own = part.filter(pc.equal(part.column(role), r)) if role else part
                 yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([r], pa.int32()), pa.array([pack(own)], pa.binary())], ["batch", "role", "data"])
 
     return materialise(docs.mapInArrow(run, STAGED), name, "none")

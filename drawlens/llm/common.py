@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, budget: int, rows: in
     held: list[pa.RecordBatch] = []
     size = count = 0
     for batch in batches:
-        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         at = 0
         while at < batch.num_rows:
             n = int(np.searchsorted(np.cumsum(lengths[at:]), max(budget - size, 1), side="right"))
