@@ -22,6 +22,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from .common import chunks, text_bytes
 
 SHARD_CHARS = 8_000_000  # of items in one shard: bounds what a task holds of them
 SHARE, OVERLAP = 0.6, 0.7
-K1, B, BLOCK, CACHE = 1.2, 0.75, 8, 250_000
+K1, B, BLOCK, CACHE, MATRIX = 1.2, 0.75, 4, 250_000, 4_000_000
 EDGE = re.compile(r"^\W+|\W+$")
 
 
@@ -85,11 +86,19 @@ class Index:
                 postings[n].append((item, x / threshold))
         self.docs = [[i for i, _ in p] for p in postings]
         self.impacts = [[x for _, x in p] for p in postings]
-        blocks = -(-len(texts) // BLOCK)
-        self.bounds = np.zeros((len(postings), max(blocks, 1)), np.float32)
+        # Maxima of every block that a term occurs in, and of groups of blocks in a matrix of bounded size.
+        self.blocks = [sorted({item // BLOCK for item in own}) for own in self.docs]
+        self.maxima = []
+        blocks = max(-(-len(texts) // BLOCK), 1)
+        self.group = -(-blocks // max(1, min(blocks, MATRIX // max(len(postings), 1))))
+        self.bounds = np.zeros((len(postings), -(-blocks // self.group)), np.float32)
         for n, p in enumerate(postings):
+            most: dict[int, float] = {}
             for item, x in p:
-                self.bounds[n, item // BLOCK] = max(self.bounds[n, item // BLOCK], np.float32(x) * np.float32(1.000001))
+                most[item // BLOCK] = max(most.get(item // BLOCK, 0.0), x)
+            self.maxima.append([most[k] for k in self.blocks[n]])
+            for k, x in most.items():
+                self.bounds[n, k // self.group] = max(self.bounds[n, k // self.group], np.float32(x) * np.float32(1.000001))
         self.most = [max(x) for x in self.impacts]
 
     def hopeful(self, term: np.ndarray, window: np.ndarray, windows: int) -> np.ndarray:
@@ -121,7 +130,7 @@ class Index:
             while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
                 pivot += 1
             block = item // BLOCK
-            if sum(float(self.bounds[t, block]) for _, _, t in cursors[: pivot + 1]) < threshold - 1e-6:
+            if sum(self.block_most(t, block) for _, _, t in cursors[: pivot + 1]) < threshold - 1e-6:
                 # Nothing before the block's end, or before the next cursor, can reach the threshold.
                 target = (block + 1) * BLOCK
                 if pivot + 1 < len(cursors):
@@ -136,6 +145,10 @@ class Index:
                 self._move(cursors, pivot, item, end)
         return found
 
+    def block_most(self, term: int, block: int) -> float:
+        at = bisect_left(self.blocks[term], block)
+        return self.maxima[term][at] if at < len(self.blocks[term]) and self.blocks[term][at] == block else 0.0
+
     def _move(self, cursors: list, n: int, target: int, end: int) -> None:
         """Move the first n cursors to the first posting of target or later; drop those at their end."""
         for c in cursors[:n]:
@@ -163,7 +176,7 @@ def search(texts: list[bytes], index: Index, numbers: _Numbers) -> list[list[tup
     """For each text: (item id, BM25 as a share of the item's own, question overlap, answer overlap, first word)."""
     words = [x.split() for x in texts]
     size = np.array([len(w) for w in words], np.int64)
-    term = np.fromiter((v for w in words for v in map(numbers.__getitem__, w)), np.int64, int(size.sum()))
+    term = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64, int(size.sum()))
     step = index.span
     per = np.maximum(-(-size // step) - 1, (size > 0).astype(np.int64))  # windows of 2 x step, a step apart
     base, begin = np.cumsum(per) - per, np.cumsum(size) - size
@@ -176,7 +189,8 @@ def search(texts: list[bytes], index: Index, numbers: _Numbers) -> list[list[tup
     last = per[text] - 1
     both = [(base[text] + np.clip(w, 0, last), term[hit]) for w in (place - 1, place)]
     many = len(index.docs)
-    keys = np.unique(np.concatenate([w * many + t for w, t in both]))
+    keys = np.sort(np.concatenate([w * many + t for w, t in both]))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])]
     window, own = keys // many, keys % many
     good = index.hopeful(own, window, int(per.sum()))
     for w in np.flatnonzero(good).tolist():

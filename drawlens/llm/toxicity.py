@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -230,7 +231,7 @@ def expected(texts: list[bytes], model: Field, emissions: Emissions) -> tuple[li
     """Words of each text, the marginal of each word, and the expected number of toxic tokens of each text."""
     words = [x.split() for x in texts]
     size = np.array([len(w) for w in words], np.int64)
-    e = np.fromiter((v for w in words for v in map(emissions.__getitem__, w)), np.float64, int(size.sum()))
+    e = np.fromiter(map(emissions.__getitem__, chain.from_iterable(words)), np.float64, int(size.sum()))
     starts = (np.cumsum(size) - size)[size > 0]
     begins = np.zeros(len(e), bool)
     begins[starts] = True
