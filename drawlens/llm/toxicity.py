@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import chunks, crc_mod, text_bytes
 
 #: Documents of either class that the model is fitted on, at most, and characters of them.
-TOXIC, CLEAN, FIT_CHARS = 1500, 2500, 24_000_000
+TOXIC, CLEAN, FIT_CHARS = 1500, 2500, 10_000_000
 SLOTS, BLOCK, CACHE = 1 << 18, 256, 250_000
 LEAST, ODDS = 5, 20.0  # toxic documents with a form, and how much likelier it is there, to label its tokens
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
