@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 PROJECTIONS, RATIO, SEED = 128, 1.25, 20
-PART, QUERIES = 4096, 4096
+PART, QUERIES = 8192, 4096
+FIRST = 0.5  # half the first window's width, in the projections of unit vectors
 THRESHOLD = 0.58  # of the projections
-SHARE = 0.2  # of a part that is verified before a query stops widening (20 k at least)
+SHARE = 0.13  # of a part that is verified before a query stops widening (20 k at least)
 
 
 def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -39,7 +40,7 @@ def usable(vectors: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 class Index:
-    """Sorted arrays of one part."""
+    """Sorted arrays of one part, and the place of every vector in each of them."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS, seed: int = SEED):
         self.ids, self.vectors = ids, vectors
@@ -47,40 +48,70 @@ class Index:
         self.scale = np.sqrt(norms.max())
         lifted = np.column_stack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))]) / self.scale
         self.axes = np.random.default_rng(seed).standard_normal((lifted.shape[1], projections))
-        values = lifted @ self.axes
-        self.order = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
-        self.sorted = np.ascontiguousarray(np.take_along_axis(values, self.order.T, 0).T)
-
-    def candidates(self, query: np.ndarray, wanted: int, threshold: int) -> np.ndarray:
-        """Indexes of the vectors that exceed the threshold when at least `wanted` do."""
-        n, m = len(self.ids), len(self.sorted)
-        if n <= wanted:
-            return np.arange(n)
-        norm = np.sqrt(query @ query)
-        at = np.append(query / norm, 0.0) @ self.axes
-        low = high = np.array([np.searchsorted(s, a) for s, a in zip(self.sorted, at, strict=True)])
-        counts, width = np.zeros(n, np.int64), 0.5
-        while True:
-            a = np.array([np.searchsorted(s, x) for s, x in zip(self.sorted, at - width, strict=True)])
-            b = np.array([np.searchsorted(s, x, "right") for s, x in zip(self.sorted, at + width, strict=True)])
-            fresh = np.concatenate([x for j in range(m) for x in (self.order[j, a[j] : low[j]], self.order[j, high[j] : b[j]])])
-            counts += np.bincount(fresh, minlength=n)
-            low, high = a, b
-            found = np.flatnonzero(counts >= threshold)
-            if len(found) >= wanted:
-                return found
-            width *= RATIO
+        values = np.ascontiguousarray((lifted @ self.axes).T)
+        order = np.argsort(values, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(values, order, 1)
+        self.kind = np.uint16 if len(ids) < 1 << 16 else np.uint32
+        self.place = np.empty(values.shape, self.kind)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.kind)[None, :], 1)
+
+    def window(self, at: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """First place and number of places of every query's window in every array, at a level of widening."""
+        width = FIRST * RATIO**level
+        first = np.stack([np.searchsorted(s, x - width) for s, x in zip(self.sorted, at.T, strict=True)])
+        last = np.stack([np.searchsorted(s, x + width, "right") for s, x in zip(self.sorted, at.T, strict=True)])
+        return first.astype(self.kind), (last - first).astype(self.kind)
+
+    def collisions(self, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """In how many windows each vector lies: its place, counted from the window's first, is below the size."""
+        out = np.zeros(len(self.ids), np.int32)
+        for a in range(0, len(first), 128):  # a byte holds 128
+            inside = (self.place[a : a + 128] - first[a : a + 128, None]) < size[a : a + 128, None]
+            out += np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
+        return out
 
     def search(self, ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
-        out = []
-        wanted = max(int(SHARE * len(self.ids)), 20 * k) + 1
-        for own, query in zip(ids.tolist(), queries, strict=True):
-            got = self.candidates(query, wanted, int(THRESHOLD * len(self.sorted)))
+        """The k best of the verified vectors for each query.
+
+        Levels are tried upwards; a query begins at the level before the one at which the last query stopped, and
+        below if enough vectors are found there already, so that it stops at the first level that finds enough.
+        """
+        n, found = len(self.ids), []
+        wanted = max(int(SHARE * n), 20 * k) + 1
+        threshold = int(THRESHOLD * len(self.sorted))
+        norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))
+        at = np.column_stack([queries / norms[:, None], np.zeros(len(queries))]) @ self.axes
+        levels: dict[int, tuple] = {}
+        guess = 0
+
+        def enough(q: int, level: int) -> np.ndarray | None:
+            if level not in levels:
+                levels[level] = self.window(at, level)
+            first, size = levels[level]
+            got = np.flatnonzero(self.collisions(first[:, q], size[:, q]) >= threshold)
+            return got if len(got) >= wanted else None
+
+        for q, own in enumerate(ids.tolist()):
+            if n <= wanted:
+                got = np.arange(n)
+            else:
+                level = max(guess - 1, 0)
+                got = enough(q, level)
+                while got is None:
+                    level += 1
+                    got = enough(q, level)
+                while level and (less := enough(q, level - 1) if level <= guess - 1 else None) is not None:
+                    level, got, guess = level - 1, less, level
+                guess = level
             got = got[self.ids[got] != own]
-            score = (self.vectors[got] * query).sum(1)
+            rough = self.vectors[got] @ queries[q]
+            if len(got) > k:  # ties are settled by sums in one order
+                edge = np.partition(rough, len(rough) - k)[len(rough) - k]
+                got = got[rough >= edge - 1e-9 * max(1.0, self.scale * norms[q])]
+            score = (self.vectors[got] * queries[q]).sum(1)
             best = np.lexsort((self.ids[got], -score))[:k]
-            out.append((np.full(len(best), own), self.ids[got[best]], score[best]))
-        parts = [np.concatenate(x) if x else np.empty(0) for x in zip(*out, strict=True)] if out else [np.empty(0)] * 3
+            found.append((np.full(len(best), own), self.ids[got[best]], score[best]))
+        parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0)] * 3
         return pd.DataFrame({"query_id": parts[0].astype(np.int64), "vec_id": parts[1].astype(np.int64), "score": parts[2].astype(float)})
 
 
