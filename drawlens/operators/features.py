@@ -38,7 +38,7 @@ def dirichlet_scores(h: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     counts = h.groupBy("num").agg(F.count("*").alias("g"), F.sum((F.col("rn") < config.dirichlet_window).cast("int")).alias("l"))
     slots = universe(h.sparkSession).unionByName(h.sparkSession.range(1).select(F.lit(0).alias("num")))
     every = Window.partitionBy()
-    a = slots.join(counts, "num", "left").na.fill(0, ["g", "l"]).withColumn("a", F.greatest(F.col("g") / F.sum("g").over(every) * config.dirichlet_prior * 80, F.lit(1e-6)) + F.col("l"))
+    a = slots.join(counts, "num", "left").na.fill(0, ["g", "l"]).withColumn("a", F.greatest(F.coalesce(F.try_divide(F.col("g"), F.sum("g").over(every)), F.lit(1.0 / (config.dirichlet_prior * 80))) * config.dirichlet_prior * 80, F.lit(1e-6)) + F.col("l"))
     a = a.withColumn("s", F.sum("a").over(every))
     variance = F.col("a") * (F.col("s") - F.col("a")) / (F.col("s") * F.col("s") * (F.col("s") + 1))
     a = a.withColumn("x", F.col("a") / F.col("s") - config.dirichlet_variance_weight * F.sqrt(variance))

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import subset_sums
 from ..sources.draws import as_arrays, grid, universe
 
 
+def whole(column: str) -> Column:
+    """The total over all rows (80 at most), null instead of 0: shares of nothing are null."""
+    total = F.sum(column).over(Window.partitionBy())
+    return F.when(total != 0, total)
+
+
 def top_numbers(numbers: DataFrame, n: int = 10) -> DataFrame:
     return numbers.groupBy("num").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "num").limit(n)
 
@@ -21,7 +27,7 @@ def frequencies(h: DataFrame) -> DataFrame:
 
 def hot_cold(h: DataFrame, edge: int = 10) -> DataFrame:
     """(num, rate, place, kind): the `edge` most and least frequent numbers; ties by number."""
-    rate = F.round(F.col("cnt").cast("double") / F.sum("cnt").over(Window.partitionBy()), 5)
+    rate = F.round(F.col("cnt").cast("double") / whole("cnt"), 5)
     ranked = frequencies(h).withColumn("rate", rate).withColumn("place", F.row_number().over(Window.orderBy(F.desc("rate"), "num")))
     kind = F.when(F.col("place") <= edge, "hot").when(F.col("place") > 80 - edge, "cold")
     return ranked.withColumn("kind", kind).where("kind is not null and rate is not null").select("num", "rate", "place", "kind")
@@ -43,7 +49,7 @@ def parity(h: DataFrame) -> DataFrame:
 def decade_groups(h: DataFrame) -> DataFrame:
     bins = universe(h.sparkSession, 8).select((F.col("num") - 1).alias("bin"))
     counts = h.groupBy(F.floor((F.col("num") - 1) / 10).cast("int").alias("bin")).agg(F.count("*").alias("c"))
-    total = F.sum("c").over(Window.partitionBy())
+    total = whole("c")
     return bins.join(counts, "bin", "left").select("bin", F.round(F.coalesce(F.col("c") / total, F.lit(0.0)), 6).alias("rate"))
 
 
@@ -87,7 +93,7 @@ def sum_distribution(h: DataFrame, k: int, width: int = 50) -> DataFrame:
     """(bin, subsets, rate): sums of all k-subsets of every draw in bins, counted without listing them."""
     counts = as_arrays(h, "rn").select(F.posexplode(subset_sums(F.col("nums"), k, min(80 * k, 810))).alias("s", "n")).where("n > 0")
     binned = counts.groupBy(F.floor((F.col("s") - 1) / width).cast("int").alias("g")).agg(F.sum("n").alias("subsets"))
-    return binned.select(F.concat_ws("-", (F.col("g") * width + 1).cast("string"), ((F.col("g") + 1) * width).cast("string")).alias("bin"), "subsets", F.round(F.col("subsets") / F.sum("subsets").over(Window.partitionBy()), 6).alias("rate"))
+    return binned.select(F.concat_ws("-", (F.col("g") * width + 1).cast("string"), ((F.col("g") + 1) * width).cast("string")).alias("bin"), "subsets", F.round(F.col("subsets") / whole("subsets"), 6).alias("rate"))
 
 
 def prime_rate(h: DataFrame) -> DataFrame:
@@ -98,13 +104,13 @@ def prime_rate(h: DataFrame) -> DataFrame:
 
 
 def entropy(h: DataFrame) -> DataFrame:
-    share = frequencies(h).withColumn("p", F.col("cnt") / F.sum("cnt").over(Window.partitionBy()))
+    share = frequencies(h).withColumn("p", F.col("cnt") / whole("cnt"))
     return share.agg(F.round(F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log2("p")).otherwise(0.0)), 6).alias("entropy"))
 
 
 def chi_square(h: DataFrame) -> DataFrame:
     """Goodness of fit of the frequencies to equal ones: statistic and degrees of freedom."""
-    counts = frequencies(h).withColumn("e", F.avg("cnt").over(Window.partitionBy()))
+    counts = frequencies(h).withColumn("e", F.avg("cnt").over(Window.partitionBy())).where("e > 0")
     return counts.agg(F.round(F.sum((F.col("cnt") - F.col("e")) ** 2 / F.col("e")), 6).alias("statistic"), (F.count("*") - 1).alias("dof"))
 
 
