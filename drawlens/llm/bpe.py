@@ -27,7 +27,7 @@ from .common import chunks
 
 NONE = np.int32(2**31 - 1)
 SHIFT = np.int64(20)
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def load_ranks(path: str) -> list[bytes]:

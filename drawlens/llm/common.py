@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -64,8 +65,18 @@ def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def tidy() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system (workers are used again)."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, budget: int, rows: int = 1 << 20) -> Iterator[pa.Table]:
     """Regroup record batches into tables of about `budget` bytes of `column` (one longer text stands alone)."""
+    tidy()
     held: list[pa.RecordBatch] = []
     size = count = 0
     for batch in batches:
@@ -84,6 +95,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, budget: int, rows: in
                 held, size, count = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
+    tidy()
 
 
 class WordHashes(dict):
