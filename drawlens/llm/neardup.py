@@ -25,7 +25,7 @@ from . import simhash
 from .common import chunks, materialise, text_bytes
 from .components import connected_components
 
-MOST, NEAREST, SIMILARITY, SHINGLE = 12, 4, 0.8, 5
+MOST, NEAREST, SIMILARITY, SHINGLE = 12, 6, 0.8, 5
 FAR = np.int64(2**62)
 
 
@@ -81,7 +81,7 @@ def candidates(nodes: DataFrame, most: int, nearest: int, chosen: list) -> DataF
         if held is not None:
             yield found(held)
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(run, "u bigint, v bigint").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(run, "u bigint, v bigint").distinct()
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -114,8 +114,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInPandas(run, "u bigint, v bigint")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, most: int = MOST, nearest: int = NEAREST) -> DataFrame:
-    """(id, node, component) per row with an id: component is the smallest id of the group, node the text's hash."""
+def _groups(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int, most: int, nearest: int) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of every row with an id, and (node, id, component) of every distinct text; id is its smallest."""
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), node.alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -129,27 +129,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = materialise(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("id").alias("id")), "neardup-nodes")
     total = nodes.count()
     if total < 2:
-        return marked.join(nodes.select("node", F.col("id").alias("component")), "node").select("id", "node", "component")
+        return marked.select("id", "node"), nodes.select("node", "id", F.col("id").alias("component"))
     sample = nodes.orderBy(F.xxhash64("fp"), "node").limit(simhash.SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     pairs = materialise(candidates(nodes, most, nearest, simhash.plan(sample, total, most)), "neardup-pairs")
     involved = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     first = nodes.join(involved, "node", "left_semi").select("node", "id")
     sets = materialise(shingle_sets(rows.join(first, ["node", "id"], "left_semi").select("node", "text"), shingle), "neardup-sets", "none").dropDuplicates(["node"])
-    groups = connected_components(verified(pairs, sets, similarity))
-    labelled = nodes.join(groups, nodes.node == groups.node, "left").select(nodes.node, "id", F.coalesce("component", nodes.node).alias("group"))
+    links = connected_components(verified(pairs, sets, similarity))
+    labelled = nodes.join(links, nodes.node == links.node, "left").select(nodes.node, "id", F.coalesce("component", nodes.node).alias("group"))
     least = labelled.groupBy("group").agg(F.min("id").alias("component"))
-    labels = materialise(labelled.join(least, "group").select("node", "component"), "neardup-labels")
-    return marked.select("id", "node").join(labels, "node").select("id", "node", "component")
+    return marked.select("id", "node"), materialise(labelled.join(least, "group").select("node", "id", "component"), "neardup-labels")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, most: int = MOST, nearest: int = NEAREST) -> DataFrame:
+    """(id, node, component) per row with an id: component is the smallest id of the group, node the text's hash."""
+    rows, labels = _groups(docs, doc_id, text, similarity, shingle, most, nearest)
+    return rows.join(labels.select("node", "component"), "node").select("id", "node", "component")
+
 
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, most: int = MOST, nearest: int = NEAREST) -> DataFrame:
+    """The rows of docs, all columns, but one row of each group: that of the smallest id. Rows with a null id stay.
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """The rows of docs, all columns, but one row of each group: that of the smallest id. Rows with a null id stay."""
-    groups = near_duplicates(docs, doc_id, text, **settings)
-    chosen = materialise(groups.where("id = component").select(F.col("id").alias("__id"), F.col("node").alias("__node")).distinct(), "neardup-kept")
-    # An id may stand for different texts; the row of the text of least hash stays.
-    chosen = chosen.groupBy("__id").agg(F.min("__node").alias("__node"))
+    Where an id stands for several texts, the text of the least hash stays.
+    """
+    rows, labels = _groups(docs, doc_id, text, similarity, shingle, most, nearest)
+    chosen = materialise(labels.where("id = component").groupBy("id").agg(F.min("node").alias("__node")).withColumnRenamed("id", "__id"), "neardup-kept")
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     out = docs.join(chosen, (docs[doc_id] == chosen["__id"]) & (node == chosen["__node"]), "left_semi")
-    repeated = groups.groupBy("id", "node").count().where("count > 1").limit(1).count()
+    repeated = rows.groupBy("id", "node").count().where("count > 1").limit(1).count()
     out = out.dropDuplicates([doc_id]) if repeated else out
     return out.unionByName(docs.where(F.col(doc_id).isNull()))

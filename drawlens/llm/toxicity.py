@@ -151,13 +151,17 @@ def token_labels(words: list[list[bytes]], toxic: np.ndarray) -> list[np.ndarray
     documents have none, the form that most of these share.
     """
     bad, good, seen = Counter(), Counter(), {}
-    held = [{f for w in set(own) for f in seen.setdefault(w, forms(w))} for own in words]
-    for own, t in zip(held, toxic, strict=True):
-        (bad if t else good).update(own)
+
+    def held(own: list[bytes]) -> set[str]:
+        return {f for w in set(own) for f in seen[w]}
+
+    for own, t in zip(words, toxic, strict=True):
+        seen.update((w, forms(w)) for w in own if w not in seen)
+        (bad if t else good).update(held(own))
     n_bad, n_good = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
     rare = lambda f, n: n / n_bad >= ODDS * (good[f] + 0.5) / n_good
     telling = {f for f, n in bad.items() if n >= max(LEAST, n_bad // 50) and rare(f, n)}
-    bare = [own for own, t in zip(held, toxic, strict=True) if t and not own & telling]
+    bare = [h for own, t in zip(words, toxic, strict=True) if t and not (h := held(own)) & telling]
     while bare:
         form, n = max(Counter(f for own in bare for f in own if rare(f, bad[f])).items(), key=lambda x: (x[1], -len(x[0]), x[0]), default=("", 0))
         if n < 3:

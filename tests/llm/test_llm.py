@@ -1,0 +1,395 @@
+"""The training-data operators against brute force, with nulls, empties, ties, repeated rows and clashing columns."""
+
+import hashlib
+import math
+import os
+import random
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+import xxhash
+
+from drawlens.llm import ann, bpe, decontam, html_extract, lm, neardup, sharding, simhash, substring, toxicity, warc
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, batch int, id int, node string, n_words string"
+
+
+def frame(spark, texts, start=0):
+    """Documents with columns whose names operators use inside."""
+    return spark.createDataFrame([(i + start, t, "en", "s", len(t or ""), 1, 2, "x", "y") for i, t in enumerate(texts)], DOC)
+
+
+@pytest.fixture(scope="module")
+def texts():
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
+    shared = prose(60)
+    out = [prose(r.randrange(1, 200)) for _ in range(40)]
+    out += [prose(20) + " " + shared + "\n" + prose(15) for _ in range(5)]
+    out += [out[0]] * 6 + [shared, "", None, "  \t\n ", "a " * 120, "ÄÖ ü\x1c x\x85y z", "w1", prose(30_000)]
+    near = out[41].split()
+    return [*out, " ".join([*near[:50], "changed", *near[51:]])]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    return frame(spark, texts).repartition(3).cache()
+
+
+def words(t):
+    return (t or "").encode().split()
+
+
+def test_substring_equals_brute_force(docs, texts):
+    seen = Counter(tuple(w[i : i + 35]) for w in map(words, texts) for i in range(len(w) - 34))
+    got = {r["doc_id"]: r for r in substring.kept_digest(docs).collect()}
+    whole = {r["doc_id"]: r for r in substring.remove_repeats(docs, carry=("lang", "batch")).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        w = words(t)
+        gone = [False] * len(w)
+        for k in range(len(w) - 34):
+            if seen[tuple(w[k : k + 35])] > 1:
+                gone[k : k + 35] = [True] * 35
+        kept = b" ".join(x for x, g in zip(w, gone) if not g)
+        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
+        assert whole[i]["kept_text"] == (kept.decode() if any(gone) else t) and sum(s["end"] - s["start"] for s in whole[i]["removed"]) == sum(gone) and whole[i]["batch"] == 1
+
+
+def test_lm_counts_and_base_scores(docs, texts):
+    tokens = [[*((t or "").encode().lower().split()), None] for t in texts]
+    train = Counter(x for i, w in enumerate(tokens) if lm.fold(i, 10) for x in w)
+    n, v = sum(train.values()), len(train)
+    rows = {r["doc_id"]: r for r in lm.score_documents(docs).collect()}
+    for i, w in enumerate(tokens):
+        r = rows[i]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (lm.fold(i, 10) == 0, len(w), sum(train[x] > 0 for x in w), n)
+        assert math.isclose(r["base_score"], sum(math.log10((train[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel_tol=1e-9)
+        assert math.isfinite(r["score"]) and r["score"] < 0
+    trained = [i for i in range(len(tokens)) if lm.fold(i, 10)]
+    assert sum(rows[i]["score"] for i in trained) > sum(rows[i]["base_score"] for i in trained)
+
+
+def test_lm_probabilities_sum_to_one():
+    counts = {"a": 3, "b": 1}
+    uniform = 1 / (len(counts) + 1)
+    p = [0.2 * uniform + 0.8 * c / 4 for c in counts.values()] + [0.2 * uniform]
+    assert math.isclose(sum(p), 1.0)
+
+
+def test_em_finds_the_better_order():
+    import pandas as pd
+
+    rows = pd.DataFrame({"bucket": [5], "q0": [-40], "q1": [-4], "n": [100]})
+    assert lm.fit(rows, 2, 1e-4)[5][2] > 0.99
+
+
+def brute_print(t):
+    w = (t or "").encode().lower().split()
+    s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 3 else [b" ".join(w)] if w else []
+    h = [xxhash.xxh64_intdigest(x, seed=42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+
+
+def components(n, linked):
+    parent = list(range(n))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(n):
+        for b in range(a):
+            if linked(a, b):
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+def test_simhash_equals_brute_force(docs, texts):
+    prints = [brute_print(t) for t in texts]
+    expected = components(len(texts), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    rows = {r["doc_id"]: r for r in simhash.simhash_groups(docs).collect()}
+    assert [rows[i]["fingerprint"] for i in range(len(texts))] == [f"{p:016x}" for p in prints]
+    assert [rows[i]["component_id"] for i in range(len(texts))] == expected
+
+
+@pytest.mark.parametrize("most", [1, 3, 6])
+def test_pigeonhole_loses_no_pair(most):
+    r = np.random.default_rng(most)
+    base = r.integers(0, 2**63, 300, dtype=np.uint64)
+    plan = simhash.plan(base, len(base), most)
+    assert sum(t + 1 for _, t in plan) == most + 1
+    masks = [m for bits, t in plan for m in simhash.keys_of(bits, t)]
+    for x in base[:60].tolist():
+        y = x
+        for b in r.choice(64, most, replace=False).tolist():
+            y ^= 1 << b
+        assert any(x & m == y & m for m in masks)
+
+
+def test_forest_links_what_is_near():
+    r = np.random.default_rng(0)
+    fps = np.array([0b1, 0b11, 0b111, *r.integers(0, 2**63, 5)], np.uint64)
+    assert simhash.forest(np.zeros(8, np.int64), fps, 1).tolist()[:3] == [0, 0, 0]
+
+
+def test_near_duplicates(spark, docs, texts):
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+
+    sets = [shingles(t) for t in texts]
+    expected = components(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    rows = {r["id"]: r["component"] for r in neardup.near_duplicates(docs).collect()}
+    missed = sum(rows[i] != e for i, e in enumerate(expected) if i not in (46, 48, 49))
+    assert missed == 0
+    again = docs.union(docs.where("doc_id < 10"))
+    kept = sorted(r["doc_id"] for r in neardup.keep_one(again).collect())
+    assert kept == sorted(set(rows.values())) and neardup.keep_one(docs.where("doc_id < 0")).count() == 0
+
+
+def test_sharding(docs, texts):
+    rows = sharding.shard_documents(docs, shards=5).collect()
+    size = {r["doc_id"]: r["size"] for r in rows}
+    assert all(size[i] == len((t or "").encode()) + 1 for i, t in enumerate(texts))
+    assert all(r["text_crc32"] == zlib.crc32((texts[r["doc_id"]] or "").encode()) for r in rows)
+    by_shard: dict = {}
+    for r in rows:
+        by_shard.setdefault(r["shard"], []).append(r)
+    assert all(sorted(x["slot"] for x in own) == list(range(len(own))) for own in by_shard.values())
+    groups: dict = {}
+    for i, t in enumerate(texts):
+        key = hashlib.sha256(b"\0null" if t is None else t.encode()).hexdigest()
+        groups[key] = groups.get(key, 0) + size[i]
+    order = [groups[k] for k in sorted(groups)]
+
+    def shards(cap):
+        n = held = 0
+        for g in order:
+            if n == 0 or held + g > cap:
+                n, held = n + 1, 0
+            held += g
+        return n
+
+    best = next(c for c in range(max(order), sum(order) + 1) if shards(c) <= 5)
+    assert max(sum(r["size"] for r in own) for own in by_shard.values()) == best
+    shard_of: dict = {}
+    assert all(shard_of.setdefault(texts[r["doc_id"]], r["shard"]) == r["shard"] for r in rows)
+
+
+def vectors(spark, rows):
+    return spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
+
+
+def test_ann_recall_and_odd_vectors(spark):
+    r = np.random.default_rng(4)
+    x = r.standard_normal((3000, 16)).astype(np.float32)
+    x[7] = x[5]
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    rows += [(5000, None, 0), (5020, [0.0] * 16, 0), (5040, [float("nan")] * 16, 0), (5060, [1.0, None, *[0.0] * 14], 0), (5080, [1.0, 2.0], 0), (None, x[0].tolist(), 0)]
+    got: dict = {}
+    for row in ann.nearest(vectors(spark, rows), k=10, every=100).collect():
+        got.setdefault(row["query_id"], []).append(row)
+    assert sorted(got) == list(range(0, 3000, 100))
+    wide, hit = x.astype(float), 0
+    for q, own in got.items():
+        score = wide @ wide[q]
+        score[q] = -np.inf
+        own.sort(key=lambda a: a["rank"])
+        hit += len({a["vec_id"] for a in own} & set(np.lexsort((np.arange(3000), -score))[:10].tolist()))
+        assert [(-a["score"], a["vec_id"]) for a in own] == sorted((-a["score"], a["vec_id"]) for a in own)
+        assert all(math.isclose(a["score"], score[a["vec_id"]], rel_tol=1e-9) for a in own)
+    assert hit / (10 * len(got)) >= 0.9
+
+
+def test_ann_small_tables(spark):
+    assert ann.nearest(vectors(spark, [(0, [1.0, 2.0], 0), (1, [1.0, 0.0], 0)]), every=20).count() == 1
+    assert ann.nearest(vectors(spark, [])).count() == 0
+
+
+def test_bpe_equals_library(docs, texts):
+    tiktoken = pytest.importorskip("tiktoken")
+    from drawlens.llm.queries import tokenizer
+
+    path, pattern = tokenizer()
+    ranks = {t: i for i, t in enumerate(bpe.load_ranks(path))}
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    rows = {r["doc_id"]: r for r in bpe.tokenize(docs, path, pattern, keep_ids=True).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode_ordinary(t or "")
+        assert rows[i]["ids"] == ids and rows[i]["n_tokens"] == len(ids)
+        assert rows[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert rows[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+
+
+def test_bpe_odd_texts():
+    tiktoken = pytest.importorskip("tiktoken")
+    from drawlens.llm.queries import tokenizer
+
+    path, pattern = tokenizer()
+    vocabulary, own = bpe.Vocabulary(bpe.load_ranks(path)), bpe.compiled(pattern)
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    r = random.Random(1)
+    odd = ["", "a" * 3000, "ab" * 999, "!!!??" * 50, " " * 77, "日本語🙂🙂 ñandú", "<|endoftext|>", "\x1c\x1d \x85 　"]
+    odd += ["".join(r.choice("ab cdé\n1!'st") for _ in range(200)) for _ in range(100)]
+    ids, n = bpe.encode_texts(odd, vocabulary, own)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode_ordinary(x) for x in odd]
+
+
+def test_marginals_equal_enumeration():
+    r = np.random.default_rng(0)
+    e, t, s = r.standard_normal(9) * 2, r.standard_normal((2, 2)), r.standard_normal(2)
+    begins = np.array([1, 0, 0, 0, 1, 0, 1, 0, 0], bool)
+    expected = []
+    for a, b in ((0, 4), (4, 6), (6, 9)):
+        weight = np.zeros((b - a, 2))
+        for code in range(2 ** (b - a)):
+            y = [code >> k & 1 for k in range(b - a)]
+            z = s[y[0]] + sum(e[a + k] * y[k] for k in range(b - a)) + sum(t[y[k], y[k + 1]] for k in range(b - a - 1))
+            for k in range(b - a):
+                weight[k, y[k]] += math.exp(z)
+        expected += (weight[:, 1] / weight.sum(1)).tolist()
+    assert np.allclose(toxicity.marginals(e, begins, t, s), expected)
+
+
+def test_toxicity_learns_and_marks(spark):
+    r = random.Random(2)
+    words_ = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join([*(r.choice(words_) for _ in range(30)), *(["vileword", "nasty"] if i % 3 == 0 else [])])) for i in range(300)] + [(300, None), (301, ""), (302, "vileword, " * 5)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)] + [(None, 1), (4, None), (5, 0), (5, 0)], "doc_id bigint, toxic int")
+    model = toxicity.train(d, labels)
+    got = {x["doc_id"]: x for x in toxicity.score_documents(d, model).collect()}
+    assert all(got[i]["predicted"] == int(i % 3 == 0) for i in range(300)) and got[302]["predicted"] == 1
+    assert got[300]["predicted"] == got[301]["predicted"] == 0 and 0 <= got[300]["score"] <= 1
+    span = got[3]["spans"][0]
+    assert rows[3][1][span["start"] : span["end"]] == "vileword nasty"
+    assert all(x["held_out"] == (lm.fold(x["doc_id"], 5) == 0) for x in got.values())
+    assert toxicity.drop_toxic(d, model).count() == 303 - 101
+    nothing = toxicity.train(d, labels.where("toxic > 5"))
+    assert {x["score"] for x in toxicity.score_documents(d, nothing).collect()} == {0.0}
+
+
+def test_wand_equals_scoring_all():
+    r = random.Random(5)
+    words_ = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(r.choice(words_) for _ in range(r.randrange(2, 25)))) for i in range(90)]
+    df = Counter(t for _, x in items for t in set(x.split()))
+    index = decontam.Index(items, df, len(items), 12.0)
+    for _ in range(200):
+        query = sorted(r.sample(range(len(index.docs)), r.randrange(1, 40)))
+        score: Counter = Counter()
+        for t in query:
+            for i, x in zip(index.docs[t], index.impacts[t]):
+                score[i] += x
+        assert {i for i, _ in index.wand(query)} == {i for i, x in score.items() if x >= 1}
+
+
+def test_leaks(spark, docs, texts):
+    item = "Which colour has the deep sea at noon. The sea is blue and very cold"
+    extra = frame(spark, ["before " * 150 + item.upper() + "! after " * 90, "the sea is blue"], start=1000)
+    bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "unseen words only here . nothing else at all")], "item_id bigint, text string")
+    got = decontam.find_leaks(docs.union(extra), bench).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(1000, 1)]
+    for size in (decontam.SHARD_CHARS, 40):
+        assert decontam.drop_leaks(docs.union(extra), bench, shard_chars=size).count() == len(texts) + 1
+    assert decontam.find_leaks(docs, bench.where("item_id < 0")).count() == 0 and decontam.drop_leaks(docs, bench.where("item_id < 0")).count() == len(texts)
+
+
+def test_blocks():
+    read = html_extract.blocks("<html><head><title>no</title></head><body><p><b>One &amp; two<br>three<p>four<script>var t='</p>'</script> five</p><ul><li>a<li>b</ul><!-- x --><a href=x>l</a>")
+    assert [b.text for b in read] == ["One & two three", "four five", "a", "b", "l"] and read[-1].linked == 1
+
+
+def test_lstm_gradients():
+    r = np.random.default_rng(0)
+    model = html_extract.Labeller(3)
+    model.w = {k: v.astype(np.float64) for k, v in model.w.items()}
+    pages = [html_extract.blocks("<nav><a>x</a></nav><p>some words</p><div>z</div>"), html_extract.blocks("<p>q r</p>")]
+    f, y = html_extract.Features(pages), np.array([0, 1, 0, 1], np.float32)
+    loss = lambda: float(np.mean(np.logaddexp(0, z := model.logits(f)) - y * z))
+    grad = model.gradients(f, y)
+    for name in ("xf", "hf", "cb", "out"):
+        flat = model.w[name].reshape(-1)
+        k = int(r.integers(0, flat.size))
+        before, step = flat[k], 1e-3
+        flat[k] = before + step
+        up = loss()
+        flat[k] = before - step
+        down = loss()
+        flat[k] = before
+        assert abs((up - down) / (2 * step) - grad[name].reshape(-1)[k]) < 1e-3
+
+
+def test_extraction(spark):
+    page = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class='ad'>Buy now</div><article><h1>A  title</h1><p>First &eacute;\nline.<p>Second line.</article><footer>&copy; us</footer>"
+    rows = spark.createDataFrame([(1, "u", page), (2, None, None), (3, "u", "")], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r for r in html_extract.extract(rows).collect()}
+    assert got[1]["text"] == "A title\nFirst é line.\nSecond line." and got[1]["n_chars"] == len(got[1]["text"])
+    assert got[2]["text"] == got[3]["text"] == ""
+
+
+def test_labeller_on_unseen_pages():
+    r = np.random.default_rng(123)
+    pages, labels = zip(*(x for x in ((html_extract.blocks(p), own) for p, own in (html_extract.synthetic(r) for _ in range(150))) if len(x[0]) == len(x[1])))
+    got = html_extract.trained().label(list(pages))
+    assert np.mean(np.concatenate(got) == np.concatenate([np.array(x, bool) for x in labels])) > 0.97
+
+
+def test_warc_round_trip(spark):
+    long = "x" * 1200 + "é"
+    rows = [(1, "http://a b/\r\n", long), (2, None, long), (2, None, long), (3, "u", None), (4, "u", ""), (5, "u", "short"), (6, "u", "short"), (7, "u", "WARC/1.1\r\n\r\n" * 300), (None, "u", long)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    digest = lambda t: hashlib.sha1((t or "").encode()).hexdigest()
+    kinds = {1: ("revisit", 2), 3: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None), 7: ("response", None), None: ("response", None)}
+    assert len(got) == len(rows)
+    assert sorted((r["page_id"] or 0, r["payload_bytes"], r["payload_digest"]) for r in got) == sorted((i or 0, len((t or "").encode()), digest(t)) for i, _, t in rows)
+    assert all((r["record_type"], r["refers_to"]) == kinds[r["page_id"]] for r in got if r["page_id"] != 2)
+    assert sorted((r["record_type"], r["refers_to"]) for r in got if r["page_id"] == 2) == [("response", None), ("revisit", 2)] or sorted(str((r["record_type"], r["refers_to"])) for r in got if r["page_id"] == 2) == ["('response', None)", "('revisit', 2)"]
+
+
+def test_warc_reads_gzip_members():
+    import gzip
+
+    record = lambda i: f"WARC/1.0\r\nWARC-Type: metadata\r\nWARC-Record-ID: <{i}>\r\nContent-Length: 5\r\n\r\nab\r\ncd"[:-1].encode() + b"\r\n\r\n"
+    data = b"".join(gzip.compress(record(i)) for i in range(3))
+    assert [(h["warc-record-id"], b) for h, b in warc.records(data)] == [(f"<{i}>", b"ab\r\nc") for i in range(3)]
+
+
+@pytest.mark.parametrize("run", [substring.kept_digest, lm.score_documents, simhash.simhash_groups, sharding.shard_documents, neardup.near_duplicates, substring.remove_repeats])
+def test_empty_tables(docs, run):
+    assert run(docs.where("doc_id < 0")).count() == 0
+
+
+def test_components(spark):
+    from drawlens.llm.components import connected_components
+
+    r = random.Random(9)
+    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(40)] + [(7, 7)]
+    linked = {(max(e), min(e)) for e in edges}
+    expected = components(541, lambda a, b: (a, b) in linked)
+    got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
+    nodes = {x for e in edges if e[0] != e[1] for x in e}
+    assert got == {x: expected[x] for x in nodes}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_pipeline(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = {r["doc_id"] for r in docs.collect()}
+    for name, stage in p.STAGES:
+        out = stage(spark, docs, SF)
+        if name != p.STAGES[-1][0]:
+            assert out.schema == docs.schema
+        now = [r["doc_id"] for r in out.collect()]
+        assert len(now) == len(set(now)) and set(now) <= before
+        before, docs = set(now), out
+    assert sorted(before) == sorted(r["doc_id"] for r in p.run(spark, SF).collect())
