@@ -10,9 +10,6 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-#: Bytes of rows that travel to Python at once, unless the session says otherwise: bounds memory whatever a text's length.
-BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8388608"
-
 _shipped: weakref.WeakSet = weakref.WeakSet()
 
 
@@ -29,6 +26,4 @@ def ship(spark: SparkSession) -> SparkSession:
         path.write_bytes(data.getvalue())
         context.addPyFile(str(path.resolve()))
         _shipped.add(context)
-    if spark.conf.get(BATCH_KEY, None) is None:
-        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     return spark
