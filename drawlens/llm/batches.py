@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from .common import chunks, materialise
+from .common import chunks, materialise, tidy
 
 STAGED = "batch bigint, role int, data binary"
 REQUEST = "bucket bigint, batch bigint, role int, keys binary, extra binary"
@@ -73,6 +73,7 @@ def ask(staged: DataFrame, keys_of: Callable[[pa.Table, int], list[tuple[int, np
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for batch, role, data in zip(frame.batch, frame.role, frame.data, strict=True):
+                tidy()
                 for kind, keys, extra in keys_of(unpack(data), role):
                     at = cut(keys, buckets)
                     full = np.flatnonzero(np.diff(at))
@@ -85,6 +86,7 @@ def answer(requests: DataFrame, reply_of: Callable[[int, np.ndarray, list[np.nda
     """Replies. reply_of: (bucket, inverse of the distinct keys, where each request begins, extra, roles) to (batch, data)."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         keys = np.frombuffer(b"".join(frame["keys"]), np.uint64)
         at = np.concatenate([[0], np.cumsum([len(x) // 8 for x in frame["keys"]])])
         inverse = np.unique(keys, return_inverse=True)[1]
@@ -99,6 +101,7 @@ def finish(staged: DataFrame, replies: DataFrame, use: Callable[[pa.Table, int,
     """Bring each batch and its replies together."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        tidy()
         got = dict(zip(right.bucket, right.data, strict=True))
         out = [use(unpack(data), role, got) for role, data in zip(left.role, left.data, strict=True)]
         return pd.concat(out, ignore_index=True) if out else EMPTY
