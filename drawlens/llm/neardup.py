@@ -4,6 +4,9 @@ Equal texts are one node. Fingerprints (majority bits of three-word shingles) wi
 pigeonhole principle of `simhash`; on every key each node proposes its `nearest` closest neighbours, so that a group of
 near copies yields a number of pairs that is linear in its size. Proposals are verified on the whole sets of five-word
 shingles (32-bit hashes); pairs of similarity `similarity` or more are links, and documents reachable by links a group.
+A pair can only be missing from the proposals if both nodes have `nearest` closer ones on a key. A second pass over such
+nodes verifies all pairs within `most` bits that no group holds yet and whose sets' sizes allow the similarity, so that
+the groups are those of all pairs within `most` bits.
 
 A pair at similarity 0.8 differs in 7 of 64 bits on average and in more than 12 in about one case of fifty; those are
 found only through other members of their group. Null texts equal empty ones; texts of fewer words than a shingle
@@ -30,7 +33,9 @@ FAR = np.int64(2**62)
 
 
 def proposals(keys: np.ndarray, fps: np.ndarray, most: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted keys: pairs of indexes of each one and its nearest within its key (ties to the earlier)."""
+    """For sorted keys: pairs of indexes of each one and its nearest within its key (ties to the earlier); one that has
+    `nearest` of them, so perhaps more, is also paired with itself.
+    """
     n = len(keys)
     edge = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), n) if n else np.zeros(1, np.int64)
     last = np.repeat(edge[1:], np.diff(edge))
@@ -53,35 +58,79 @@ def proposals(keys: np.ndarray, fps: np.ndarray, most: int, nearest: int) -> tup
                 offer(i + lag, d | i)
         lag += 1
     slot, i = np.nonzero(best < FAR)
-    return i, best[slot, i] & ((1 << 40) - 1)
+    full = np.flatnonzero(best[-1] < FAR)
+    return np.concatenate([i, full]), np.concatenate([best[slot, i] & ((1 << 40) - 1), full])
 
 
-def candidates(nodes: DataFrame, most: int, nearest: int, chosen: list) -> DataFrame:
-    """Distinct pairs (u < v) of node keys."""
+def remaining(keys: np.ndarray, fps: np.ndarray, groups: np.ndarray, sizes: np.ndarray, most: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For sorted keys: all pairs of indexes within a key, within `most` bits, of different groups and of sizes that
+    allow the similarity, some at a time.
+    """
+    n = len(keys)
+    edge = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), n) if n else np.zeros(1, np.int64)
+    last = np.repeat(edge[1:], np.diff(edge))
+    at, lag = np.arange(n), 1
+    while len(at := at[at + lag < last[at]]):
+        for a in range(0, len(at), 1 << 19):
+            i = at[a : a + (1 << 19)]
+            j = i + lag
+            good = (groups[i] != groups[j]) & (np.bitwise_count(fps[i] ^ fps[j]) <= most)
+            i, j = i[good], j[good]
+            good = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])
+            if good.any():
+                yield i[good], j[good]
+        lag += 1
+
+
+def by_key(nodes: DataFrame, chosen: list) -> DataFrame:
+    """nodes (node, fp, ...) once for each key of the plan, sorted by key within partitions."""
     masks = [(i, mask) for i, (bits, t) in enumerate(chosen) for mask in simhash.keys_of(bits, t)]
     signed = lambda mask: mask - (1 << 64) if mask >> 63 else mask
-    keyed = nodes.select("node", "fp", F.explode(F.array(*[F.xxhash64(F.lit(i), F.lit(str(m)), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in masks])).alias("key"))
+    key = F.explode(F.array(*[F.xxhash64(F.lit(i), F.lit(str(m)), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in masks]))
+    return nodes.select("*", key.alias("key")).repartition("key").sortWithinPartitions("key", "node")
 
-    def found(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = frame["node"].to_numpy()
-        i, j = proposals(frame["key"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), most, nearest)
-        pairs = np.unique(np.column_stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=0)
-        return pd.DataFrame(pairs, columns=["u", "v"])
+
+def whole_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Regroup sorted frames so that no key is divided."""
+    held = None
+    for frame in frames:
+        if frame.empty:
+            continue
+        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
+        keys = frame["key"].to_numpy()
+        open_from = int(np.searchsorted(keys, keys[-1]))
+        held, frame = frame.iloc[open_from:], frame.iloc[:open_from]
+        yield frame
+    if held is not None:
+        yield held
+
+
+def _pairs(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
+    pairs = np.unique(np.column_stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=0)
+    return pd.DataFrame(pairs, columns=["u", "v"])
+
+
+def candidates(nodes: DataFrame, most: int, nearest: int, chosen: list) -> DataFrame:
+    """Distinct pairs (u < v) of node keys; u = v marks a node that may have more than the proposed ones on a key."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for frame in frames:
-            if frame.empty:
-                continue
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            keys = frame["key"].to_numpy()
-            open_from = int(np.searchsorted(keys, keys[-1]))
-            held, frame = frame.iloc[open_from:], frame.iloc[:open_from]
-            yield found(frame)
-        if held is not None:
-            yield found(held)
+        for frame in whole_keys(frames):
+            i, j = proposals(frame["key"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), most, nearest)
+            yield _pairs(frame["node"].to_numpy(), i, j)
+
+    return by_key(nodes.select("node", "fp"), chosen).mapInPandas(run, "u bigint, v bigint").distinct()
+
+
+def more_candidates(nodes: DataFrame, most: int, similarity: float, chosen: list) -> DataFrame:
+    """Distinct pairs (u < v) of nodes (node, fp, group, size): all that no group holds yet."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_keys(frames):
+            ids = frame["node"].to_numpy()
+            for i, j in remaining(frame["key"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), frame["group"].to_numpy(), frame["size"].to_numpy(), most, similarity):
+                yield _pairs(ids, i, j)
 
-    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInPandas(run, "u bigint, v bigint").distinct()
+    return by_key(nodes.select("node", "fp", "group", "size"), chosen).mapInPandas(run, "u bigint, v bigint").distinct()
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -131,11 +180,21 @@ def _groups(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle:
     if total < 2:
         return marked.select("id", "node"), nodes.select("node", "id", F.col("id").alias("component"))
     sample = nodes.orderBy(F.xxhash64("fp"), "node").limit(simhash.SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    pairs = materialise(candidates(nodes, most, nearest, simhash.plan(sample, total, most)), "neardup-pairs")
+    chosen = simhash.plan(sample, total, most)
+    proposed = materialise(candidates(nodes, most, nearest, chosen), "neardup-pairs")
+    pairs, full = proposed.where("u <> v"), proposed.where("u = v").select(F.col("u").alias("node"))
     involved = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
     first = nodes.join(involved, "node", "left_semi").select("node", "id")
     sets = materialise(shingle_sets(rows.join(first, ["node", "id"], "left_semi").select("node", "text"), shingle), "neardup-sets", "none").dropDuplicates(["node"])
     links = connected_components(verified(pairs, sets, similarity))
+    if not full.isEmpty():
+        size = sets.select("node", (F.octet_length("shingles") / 4).cast("bigint").alias("size"))
+        known = nodes.join(full, "node", "left_semi").join(links.withColumnRenamed("component", "group"), "node", "left").join(size, "node")
+        known = known.select("node", "fp", F.coalesce("group", "node").alias("group"), "size")
+        more = more_candidates(known, most, similarity, chosen).join(pairs, ["u", "v"], "left_anti")
+        found = materialise(verified(materialise(more, "neardup-more"), sets, similarity), "neardup-found")
+        if not found.isEmpty():
+            links = connected_components(links.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found))
     labelled = nodes.join(links, nodes.node == links.node, "left").select(nodes.node, "id", F.coalesce("component", nodes.node).alias("group"))
     least = labelled.groupBy("group").agg(F.min("id").alias("component"))
     return marked.select("id", "node"), materialise(labelled.join(least, "group").select("node", "id", "component"), "neardup-labels")

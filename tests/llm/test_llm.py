@@ -154,6 +154,25 @@ def test_near_duplicates(spark, docs, texts):
     assert kept == sorted(set(rows.values())) and neardup.keep_one(docs.where("doc_id < 0")).count() == 0
 
 
+def test_near_duplicates_beyond_the_nearest_proposed(spark):
+    """A crowded key: with one proposal a node, groups are still those of all pairs within the bits."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(500)}" for _ in range(120)]
+    own = []
+    for _ in range(70):
+        w = list(base)
+        for k in r.sample(range(120), r.randrange(2, 9)):
+            w[k] = f"x{r.randrange(10**6)}"
+        own.append(" ".join(w))
+    prints = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 3)) for t in own]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in own]
+    near = lambda a, b: ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 12
+    expected = components(len(own), lambda a, b: near(a, b) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    for nearest in (1, 6):
+        got = {x["id"]: x["component"] for x in neardup.near_duplicates(frame(spark, own), nearest=nearest).collect()}
+        assert [got[i] for i in range(len(own))] == expected
+
+
 def test_sharding(docs, texts):
     rows = sharding.shard_documents(docs, shards=5).collect()
     size = {r["doc_id"]: r["size"] for r in rows}
