@@ -5,8 +5,8 @@ pigeonhole principle of `simhash`; on every key each node proposes its `nearest`
 near copies yields a number of pairs that is linear in its size. Proposals are verified on the whole sets of five-word
 shingles (32-bit hashes); pairs of similarity `similarity` or more are links, and documents reachable by links a group.
 A pair can only be missing from the proposals if both nodes have `nearest` closer ones on a key. A second pass over such
-nodes verifies all pairs within `most` bits that no group holds yet and whose sets' sizes allow the similarity, so that
-the groups are those of all pairs within `most` bits.
+nodes verifies all pairs within `most` bits that no group holds yet and whose sets' sizes and parity bits allow the
+similarity, so that the groups are those of all pairs within `most` bits.
 
 A pair at similarity 0.8 differs in 7 of 64 bits on average and in more than 12 in about one case of fifty; those are
 found only through other members of their group. Null texts equal empty ones; texts of fewer words than a shingle
@@ -30,6 +30,7 @@ from .components import connected_components
 
 MOST, NEAREST, SIMILARITY, SHINGLE = 12, 6, 0.8, 5
 FAR = np.int64(2**62)
+MARKS = 1024  # parity bits of a shingle set
 
 
 def proposals(keys: np.ndarray, fps: np.ndarray, most: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,21 +63,25 @@ def proposals(keys: np.ndarray, fps: np.ndarray, most: int, nearest: int) -> tup
     return np.concatenate([i, full]), np.concatenate([best[slot, i] & ((1 << 40) - 1), full])
 
 
-def remaining(keys: np.ndarray, fps: np.ndarray, groups: np.ndarray, sizes: np.ndarray, most: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For sorted keys: all pairs of indexes within a key, within `most` bits, of different groups and of sizes that
-    allow the similarity, some at a time.
+def remaining(keys: np.ndarray, fps: np.ndarray, groups: np.ndarray, sizes: np.ndarray, marks: np.ndarray, most: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For sorted keys: all pairs of indexes within a key, within `most` bits, of different groups, that sizes and marks
+    allow to be similar, some at a time.
+
+    Two sets differ in at least as many members as their marks (rows of 64-bit words) differ in bits.
     """
     n = len(keys)
     edge = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), n) if n else np.zeros(1, np.int64)
     last = np.repeat(edge[1:], np.diff(edge))
     at, lag = np.arange(n), 1
     while len(at := at[at + lag < last[at]]):
-        for a in range(0, len(at), 1 << 19):
-            i = at[a : a + (1 << 19)]
+        for a in range(0, len(at), 1 << 16):
+            i = at[a : a + (1 << 16)]
             j = i + lag
             good = (groups[i] != groups[j]) & (np.bitwise_count(fps[i] ^ fps[j]) <= most)
             i, j = i[good], j[good]
-            good = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j])
+            both = sizes[i] + sizes[j]
+            common = np.minimum((both - np.bitwise_count(marks[i] ^ marks[j]).sum(1, dtype=np.int64)) // 2, np.minimum(sizes[i], sizes[j]))
+            good = common >= similarity * (both - common)
             if good.any():
                 yield i[good], j[good]
         lag += 1
@@ -122,29 +127,32 @@ def candidates(nodes: DataFrame, most: int, nearest: int, chosen: list) -> DataF
 
 
 def more_candidates(nodes: DataFrame, most: int, similarity: float, chosen: list) -> DataFrame:
-    """Distinct pairs (u < v) of nodes (node, fp, group, size): all that no group holds yet."""
+    """Distinct pairs (u < v) of nodes (node, fp, group, size, marks): all that no group holds yet and marks allow."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_keys(frames):
             ids = frame["node"].to_numpy()
-            for i, j in remaining(frame["key"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), frame["group"].to_numpy(), frame["size"].to_numpy(), most, similarity):
+            marks = np.frombuffer(b"".join(frame["marks"]), np.uint64).reshape(len(ids), -1)
+            for i, j in remaining(frame["key"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), frame["group"].to_numpy(), frame["size"].to_numpy(), marks, most, similarity):
                 yield _pairs(ids, i, j)
 
-    return by_key(nodes.select("node", "fp", "group", "size"), chosen).mapInPandas(run, "u bigint, v bigint").distinct()
+    return by_key(nodes.select("node", "fp", "group", "size", "marks"), chosen).mapInPandas(run, "u bigint, v bigint").distinct()
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles): the distinct 32-bit shingle hashes of each text, packed."""
+    """(node, shingles, marks): the distinct 32-bit shingle hashes of each text, packed, and MARKS parity bits of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text", 8 << 20):
             sets = [np.unique(simhash.shingle_hashes(x, shingle).astype(np.uint32)).tobytes() for x in text_bytes(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("node").combine_chunks(), pa.array(sets, pa.binary())], ["node", "shingles"])
+            marks = [np.packbits(np.bincount(np.frombuffer(x, np.uint32) % MARKS, minlength=MARKS) & 1).tobytes() for x in sets]
+            yield pa.RecordBatch.from_arrays([part.column("node").combine_chunks(), pa.array(sets, pa.binary()), pa.array(marks, pa.binary())], ["node", "shingles", "marks"])
 
-    return rows.mapInArrow(run, "node bigint, shingles binary")
+    return rows.mapInArrow(run, "node bigint, shingles binary, marks binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    sets = sets.select("node", "shingles")
     left = pairs.join(sets.withColumnsRenamed({"node": "u", "shingles": "a"}), "u")
     both = left.join(sets.withColumnsRenamed({"node": "v", "shingles": "b"}), "v").select("u", "v", "a", "b")
 
@@ -188,9 +196,9 @@ def _groups(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle:
     sets = materialise(shingle_sets(rows.join(first, ["node", "id"], "left_semi").select("node", "text"), shingle), "neardup-sets", "none").dropDuplicates(["node"])
     links = connected_components(verified(pairs, sets, similarity))
     if not full.isEmpty():
-        size = sets.select("node", (F.octet_length("shingles") / 4).cast("bigint").alias("size"))
+        size = sets.select("node", "marks", (F.octet_length("shingles") / 4).cast("bigint").alias("size"))
         known = nodes.join(full, "node", "left_semi").join(links.withColumnRenamed("component", "group"), "node", "left").join(size, "node")
-        known = known.select("node", "fp", F.coalesce("group", "node").alias("group"), "size")
+        known = known.select("node", "fp", F.coalesce("group", "node").alias("group"), "size", "marks")
         more = more_candidates(known, most, similarity, chosen).join(pairs, ["u", "v"], "left_anti")
         found = materialise(verified(materialise(more, "neardup-more"), sets, similarity), "neardup-found")
         if not found.isEmpty():
