@@ -105,7 +105,8 @@ def whole_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = frame["key"].to_numpy()
         open_from = int(np.searchsorted(keys, keys[-1]))
         held, frame = frame.iloc[open_from:], frame.iloc[:open_from]
-        yield frame
+        if len(frame):
+            yield frame
     if held is not None:
         yield held
 
@@ -132,7 +133,7 @@ def more_candidates(nodes: DataFrame, most: int, similarity: float, chosen: list
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_keys(frames):
             ids = frame["node"].to_numpy()
-            marks = np.frombuffer(b"".join(frame["marks"]), np.uint64).reshape(len(ids), -1)
+            marks = np.frombuffer(b"".join(frame["marks"]), np.uint64).reshape(len(ids), MARKS // 64)
             for i, j in remaining(frame["key"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), frame["group"].to_numpy(), frame["size"].to_numpy(), marks, most, similarity):
                 yield _pairs(ids, i, j)
 

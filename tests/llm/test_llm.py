@@ -168,9 +168,12 @@ def test_near_duplicates_beyond_the_nearest_proposed(spark):
     sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in own]
     near = lambda a, b: ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 12
     expected = components(len(own), lambda a, b: near(a, b) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    for nearest in (1, 6):
-        got = {x["id"]: x["component"] for x in neardup.near_duplicates(frame(spark, own), nearest=nearest).collect()}
-        assert [got[i] for i in range(len(own))] == expected
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(batch)
+    spark.conf.set(batch, 7)  # keys longer than a batch
+    for_each = [(n, {x["id"]: x["component"] for x in neardup.near_duplicates(frame(spark, own), nearest=n).collect()}) for n in (1, 6)]
+    spark.conf.set(batch, before)
+    assert all([got[i] for i in range(len(own))] == expected for _, got in for_each)
 
 
 def test_sharding(docs, texts):
