@@ -1,17 +1,17 @@
-"""Near-duplicate documents: SimHash candidates, verified by the Jaccard similarity of word shingles.
+"""Near-duplicate documents: SimHash candidates and an exact prefix filter, verified by the Jaccard similarity of shingles.
 
 Equal texts are one node. Fingerprints (majority bits of three-word shingles) within `most` bits meet by the generalised
 pigeonhole principle of `simhash`; on every key each node proposes its `nearest` closest neighbours, so that a group of
 near copies yields a number of pairs that is linear in its size. Proposals are verified on the whole sets of five-word
 shingles (32-bit hashes); pairs of similarity `similarity` or more are links, and documents reachable by links a group.
-A pair can only be missing from the proposals if both nodes have `nearest` closer ones on a key. A second pass over such
-nodes verifies all pairs within `most` bits that no group holds yet and whose sets' sizes and parity bits allow the
-similarity, so that the groups are those of all pairs within `most` bits.
-
-A pair at similarity 0.8 differs in 7 of 64 bits on average and in more than 12 in about one case of fifty; those are
-found only through other members of their group. Null texts equal empty ones; texts of fewer words than a shingle
-compare as a whole. Rows with a null id are kept apart (each its own group). Repeated rows are copies. An empty table
-gives an empty result.
+
+A second pass finds every further pair, however far its fingerprints: in any order of all shingles two sets of that
+similarity share one of the first n - ceil(similarity * n) + 1 of either. Those are its keys; pairs of different groups
+that meet on one and whose sizes and parity bits allow the similarity are verified too, so that the groups are those of
+all pairs. Shingles that are common in a sample come last in the order, which changes the cost but no result.
+
+Null texts equal empty ones; texts of fewer words than a shingle compare as a whole. Rows with a null id are kept apart
+(each its own group). Repeated rows are copies. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,12 +31,11 @@ from .components import connected_components
 MOST, NEAREST, SIMILARITY, SHINGLE = 12, 6, 0.8, 5
 FAR = np.int64(2**62)
 MARKS = 1024  # parity bits of a shingle set
+SAMPLE, COMMON = 2000, 4  # texts that common shingles are found in, and in how many of them those are
 
 
 def proposals(keys: np.ndarray, fps: np.ndarray, most: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted keys: pairs of indexes of each one and its nearest within its key (ties to the earlier); one that has
-    `nearest` of them, so perhaps more, is also paired with itself.
-    """
+    """For sorted keys: pairs of indexes of each one and its nearest within its key (ties to the earlier)."""
     n = len(keys)
     edge = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), n) if n else np.zeros(1, np.int64)
     last = np.repeat(edge[1:], np.diff(edge))
@@ -59,13 +58,12 @@ def proposals(keys: np.ndarray, fps: np.ndarray, most: int, nearest: int) -> tup
                 offer(i + lag, d | i)
         lag += 1
     slot, i = np.nonzero(best < FAR)
-    full = np.flatnonzero(best[-1] < FAR)
-    return np.concatenate([i, full]), np.concatenate([best[slot, i] & ((1 << 40) - 1), full])
+    return i, best[slot, i] & ((1 << 40) - 1)
 
 
-def remaining(keys: np.ndarray, fps: np.ndarray, groups: np.ndarray, sizes: np.ndarray, marks: np.ndarray, most: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For sorted keys: all pairs of indexes within a key, within `most` bits, of different groups, that sizes and marks
-    allow to be similar, some at a time.
+def remaining(keys: np.ndarray, groups: np.ndarray, sizes: np.ndarray, marks: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For sorted keys: all pairs of indexes within a key, of different groups, that sizes and marks allow to be similar,
+    some at a time.
 
     Two sets differ in at least as many members as their marks (rows of 64-bit words) differ in bits.
     """
@@ -77,7 +75,7 @@ def remaining(keys: np.ndarray, fps: np.ndarray, groups: np.ndarray, sizes: np.n
         for a in range(0, len(at), 1 << 16):
             i = at[a : a + (1 << 16)]
             j = i + lag
-            good = (groups[i] != groups[j]) & (np.bitwise_count(fps[i] ^ fps[j]) <= most)
+            good = (groups[i] != groups[j]) & (np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]))
             i, j = i[good], j[good]
             both = sizes[i] + sizes[j]
             common = np.minimum((both - np.bitwise_count(marks[i] ^ marks[j]).sum(1, dtype=np.int64)) // 2, np.minimum(sizes[i], sizes[j]))
@@ -117,7 +115,7 @@ def _pairs(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
 
 
 def candidates(nodes: DataFrame, most: int, nearest: int, chosen: list) -> DataFrame:
-    """Distinct pairs (u < v) of node keys; u = v marks a node that may have more than the proposed ones on a key."""
+    """Distinct pairs (u < v) of node keys."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_keys(frames):
@@ -127,17 +125,47 @@ def candidates(nodes: DataFrame, most: int, nearest: int, chosen: list) -> DataF
     return by_key(nodes.select("node", "fp"), chosen).mapInPandas(run, "u bigint, v bigint").distinct()
 
 
-def more_candidates(nodes: DataFrame, most: int, similarity: float, chosen: list) -> DataFrame:
-    """Distinct pairs (u < v) of nodes (node, fp, group, size, marks): all that no group holds yet and marks allow."""
+def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The first members of a set (distinct 32-bit hashes, ascending) that a similar one must share one of; common last."""
+    if not len(hashes):
+        return np.zeros(1, np.uint32)
+    late = np.isin(hashes, common, assume_unique=True)
+    return np.concatenate([hashes[~late], hashes[late]])[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
+
+
+def more_candidates(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (u < v) of all nodes of sets that differ in group (node, group) and may be similar."""
+    own = groups.select("node", "group").join(sets.select("node", "shingles", "marks"), "node").select("*", (F.octet_length("shingles") / 4).cast("bigint").alias("size"))
+    few = sets.orderBy(F.xxhash64("node"), "node").select("node").limit(SAMPLE)
+    seen = [np.frombuffer(r["shingles"], np.uint32) for r in sets.join(F.broadcast(few), "node", "left_semi").where(F.octet_length("shingles") < 1 << 14).select("shingles").toLocalIterator()]
+    value, count = np.unique(np.concatenate(seen) if seen else np.empty(0, np.uint32), return_counts=True)
+    common = value[count >= COMMON]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "shingles", 4 << 20):
+            keys = [prefix(np.frombuffer(x, np.uint32), common, similarity) for x in part.column("shingles").to_pylist()]
+            times = [len(k) for k in keys]
+            columns = [np.concatenate(keys).astype(np.int64), *[np.repeat(part.column(c).to_numpy(), times) for c in ("node", "group")]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "group"])
+
+    def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in whole_keys(frames):
+            keys, group = frame["key"].to_numpy(), frame["group"].to_numpy()
+            edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            mixed = np.minimum.reduceat(group, edge) != np.maximum.reduceat(group, edge)
+            yield frame.loc[np.repeat(mixed, np.diff(np.append(edge, len(keys)))), ["key", "node"]]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in whole_keys(frames):
             ids = frame["node"].to_numpy()
             marks = np.frombuffer(b"".join(frame["marks"]), np.uint64).reshape(len(ids), MARKS // 64)
-            for i, j in remaining(frame["key"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), frame["group"].to_numpy(), frame["size"].to_numpy(), marks, most, similarity):
+            for i, j in remaining(frame["key"].to_numpy(), frame["group"].to_numpy(), frame["size"].to_numpy(), marks, similarity):
                 yield _pairs(ids, i, j)
 
-    return by_key(nodes.select("node", "fp", "group", "size", "marks"), chosen).mapInPandas(run, "u bigint, v bigint").distinct()
+    by = lambda rows: rows.repartition("key").sortWithinPartitions("key", "node")
+    keys = by(own.select("node", "group", "shingles").mapInArrow(keyed, "key bigint, node bigint, group bigint"))
+    shared = materialise(keys.mapInPandas(met, "key bigint, node bigint"), "neardup-keys")
+    return by(shared.join(own.select("node", "group", "size", "marks"), "node")).mapInPandas(run, "u bigint, v bigint").distinct()
 
 
 def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
@@ -152,6 +180,38 @@ def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInArrow(run, "node bigint, shingles binary, marks binary")
 
 
+def parity(hashes: np.ndarray) -> bytes:
+    """Parity bits of a set, four or more a member, a power of two of them."""
+    bits = max(MARKS, 1 << (4 * len(hashes)).bit_length())
+    return np.packbits(np.bincount(hashes % np.uint32(bits), minlength=bits) & 1).tobytes()
+
+
+def allowed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """pairs whose parity bits allow the similarity (a lossless bound); it spares `verified` most of the long sets."""
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "shingles", 4 << 20):
+            own = [np.frombuffer(x, np.uint32) for x in part.column("shingles").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("node").combine_chunks(), pa.array([len(x) for x in own], pa.int64()), pa.array([parity(x) for x in own], pa.binary())], ["node", "n", "bits"])
+
+    few = sets.select("node", "shingles").mapInArrow(shrink, "node bigint, n bigint, bits binary")
+    left = pairs.join(few.withColumnsRenamed({"node": "u", "n": "x", "bits": "a"}), "u")
+    both = left.join(few.withColumnsRenamed({"node": "v", "n": "y", "bits": "b"}), "v").select("u", "v", "x", "y", "a", "b")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            good = []
+            for x, y, a, b in zip(frame["x"], frame["y"], frame["a"], frame["b"], strict=True):
+                a, b = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+                while len(b) > len(a):
+                    b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+                common = min((x + y - int(np.bitwise_count(a ^ b).sum(dtype=np.int64))) // 2, x, y)
+                good.append(common >= similarity * (x + y - common))
+            yield frame.loc[np.array(good, bool), ["u", "v"]]
+
+    return both.mapInPandas(run, "u bigint, v bigint")
+
+
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     sets = sets.select("node", "shingles")
     left = pairs.join(sets.withColumnsRenamed({"node": "u", "shingles": "a"}), "u")
@@ -190,20 +250,14 @@ def _groups(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle:
         return marked.select("id", "node"), nodes.select("node", "id", F.col("id").alias("component"))
     sample = nodes.orderBy(F.xxhash64("fp"), "node").limit(simhash.SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     chosen = simhash.plan(sample, total, most)
-    proposed = materialise(candidates(nodes, most, nearest, chosen), "neardup-pairs")
-    pairs, full = proposed.where("u <> v"), proposed.where("u = v").select(F.col("u").alias("node"))
-    involved = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    first = nodes.join(involved, "node", "left_semi").select("node", "id")
-    sets = materialise(shingle_sets(rows.join(first, ["node", "id"], "left_semi").select("node", "text"), shingle), "neardup-sets", "none").dropDuplicates(["node"])
+    pairs = materialise(candidates(nodes, most, nearest, chosen), "neardup-pairs")
+    sets = materialise(shingle_sets(rows.select("node", "text"), shingle).dropDuplicates(["node"]), "neardup-sets", "none")
     links = connected_components(verified(pairs, sets, similarity))
-    if not full.isEmpty():
-        size = sets.select("node", "marks", (F.octet_length("shingles") / 4).cast("bigint").alias("size"))
-        known = nodes.join(full, "node", "left_semi").join(links.withColumnRenamed("component", "group"), "node", "left").join(size, "node")
-        known = known.select("node", "fp", F.coalesce("group", "node").alias("group"), "size", "marks")
-        more = more_candidates(known, most, similarity, chosen).join(pairs, ["u", "v"], "left_anti")
-        found = materialise(verified(materialise(more, "neardup-more"), sets, similarity), "neardup-found")
-        if not found.isEmpty():
-            links = connected_components(links.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found))
+    known = nodes.join(links.withColumnRenamed("component", "group"), "node", "left").select("node", F.coalesce("group", "node").alias("group"))
+    more = materialise(more_candidates(sets, known, similarity), "neardup-more")
+    found = materialise(verified(materialise(allowed(more, sets, similarity), "neardup-allowed"), sets, similarity), "neardup-found")
+    if not found.isEmpty():
+        links = connected_components(links.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found))
     labelled = nodes.join(links, nodes.node == links.node, "left").select(nodes.node, "id", F.coalesce("component", nodes.node).alias("group"))
     least = labelled.groupBy("group").agg(F.min("id").alias("component"))
     return marked.select("id", "node"), materialise(labelled.join(least, "group").select("node", "id", "component"), "neardup-labels")

@@ -176,6 +176,30 @@ def test_near_duplicates_beyond_the_nearest_proposed(spark):
     assert all([got[i] for i in range(len(own))] == expected for _, got in for_each)
 
 
+def test_near_duplicates_beyond_the_bits(spark):
+    """Similar texts whose fingerprints are far apart: appended, replaced as a block, short, one line repeated."""
+    r = random.Random(12)
+    word = lambda: f"w{r.randrange(10**6)}"
+    own = []
+    for _ in range(60):
+        base = [word() for _ in range(120)]
+        own += [base, base + [word() for _ in range(28)]]
+        short = [word() for _ in range(8)]
+        own += [short, [*short, word()]]
+        long = [word() for _ in range(404)]
+        own += [long, long[:180] + [word() for _ in range(40)] + long[220:]]
+    line = [word() for _ in range(10)]
+    base = [word() for _ in range(120)]
+    own += [base + line, base + line * 40]
+    own = [" ".join(x) for x in own]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, own)]
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    prints = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 3)) for t in own]
+    assert sum(similar(i, i + 1) and ((prints[i] ^ prints[i + 1]) & (2**64 - 1)).bit_count() > 12 for i in range(0, len(own), 2)) > 5
+    got = {x["id"]: x["component"] for x in neardup.near_duplicates(frame(spark, own)).collect()}
+    assert [got[i] for i in range(len(own))] == components(len(own), similar)
+
+
 def test_sharding(docs, texts):
     rows = sharding.shard_documents(docs, shards=5).collect()
     size = {r["doc_id"]: r["size"] for r in rows}
