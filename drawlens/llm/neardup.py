@@ -233,7 +233,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def _groups(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int, most: int, nearest: int) -> tuple[DataFrame, DataFrame]:
-    """(id, node) of every row with an id, and (node, id, component) of every distinct text; id is its smallest."""
+    """(id, node) of every row with an id, and (node, id, component, group) of every distinct text; id is its smallest."""
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), node.alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -247,7 +247,7 @@ def _groups(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle:
     nodes = materialise(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("id").alias("id")), "neardup-nodes")
     total = nodes.count()
     if total < 2:
-        return marked.select("id", "node"), nodes.select("node", "id", F.col("id").alias("component"))
+        return marked.select("id", "node"), nodes.select("node", "id", F.col("id").alias("component"), F.col("node").alias("group"))
     sample = nodes.orderBy(F.xxhash64("fp"), "node").limit(simhash.SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     chosen = simhash.plan(sample, total, most)
     pairs = materialise(candidates(nodes, most, nearest, chosen), "neardup-pairs")
@@ -260,7 +260,7 @@ def _groups(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle:
         links = connected_components(links.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found))
     labelled = nodes.join(links, nodes.node == links.node, "left").select(nodes.node, "id", F.coalesce("component", nodes.node).alias("group"))
     least = labelled.groupBy("group").agg(F.min("id").alias("component"))
-    return marked.select("id", "node"), materialise(labelled.join(least, "group").select("node", "id", "component"), "neardup-labels")
+    return marked.select("id", "node"), materialise(labelled.join(least, "group").select("node", "id", "component", "group"), "neardup-labels")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, most: int = MOST, nearest: int = NEAREST) -> DataFrame:
@@ -272,12 +272,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, most: int = MOST, nearest: int = NEAREST) -> DataFrame:
     """The rows of docs, all columns, but one row of each group: that of the smallest id. Rows with a null id stay.
 
-    Where an id stands for several texts, the text of the least hash stays.
+    Of several texts of that id in one group the one of the least hash stays; texts of different groups stay, each once.
     """
     rows, labels = _groups(docs, doc_id, text, similarity, shingle, most, nearest)
-    chosen = materialise(labels.where("id = component").groupBy("id").agg(F.min("node").alias("__node")).withColumnRenamed("id", "__id"), "neardup-kept")
+    chosen = labels.groupBy("group").agg(F.min(F.struct("id", "node")).alias("k"))
+    chosen = materialise(chosen.select(F.col("k.id").alias("__id"), F.col("k.node").alias("__node")), "neardup-kept")
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     out = docs.join(chosen, (docs[doc_id] == chosen["__id"]) & (node == chosen["__node"]), "left_semi")
     repeated = rows.groupBy("id", "node").count().where("count > 1").limit(1).count()
-    out = out.dropDuplicates([doc_id]) if repeated else out
+    out = out.withColumn("__node", node).dropDuplicates([doc_id, "__node"]).drop("__node") if repeated else out
     return out.unionByName(docs.where(F.col(doc_id).isNull()))

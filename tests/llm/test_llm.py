@@ -200,6 +200,12 @@ def test_near_duplicates_beyond_the_bits(spark):
     assert [got[i] for i in range(len(own))] == components(len(own), similar)
 
 
+def test_keep_one_keeps_each_text_of_a_repeated_id(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = spark.createDataFrame([(5, a), (5, b), (9, b), (5, a)], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in neardup.keep_one(rows).collect()) == [(5, a), (5, b)]
+
+
 def test_sharding(docs, texts):
     rows = sharding.shard_documents(docs, shards=5).collect()
     size = {r["doc_id"]: r["size"] for r in rows}
