@@ -218,16 +218,38 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, toxic: int = TOXIC, clean: int = CLEAN, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Field:
-    """Fit on at most `toxic` + `clean` documents whose fold isn't 0."""
+def fitting(rows: list[tuple[int, bool, int]], chars: int, share: float) -> list[int]:
+    """Of rows (key, toxic, length), in order, the keys of those that fit in `chars`: first in a class's own share, toxic
+    `share` of it, then in what is left of the whole. A row that does not fit is passed over, those after it are not.
+    """
+    room, left = {True: int(chars * share), False: chars - int(chars * share)}, chars
+    own, over = set(), []
+    for key, toxic, n in rows:
+        if n <= room[toxic]:
+            own.add(key)
+            room[toxic], left = room[toxic] - n, left - n
+        else:
+            over.append((key, n))
+    for key, n in over:
+        if n <= left:
+            own.add(key)
+            left -= n
+    return [key for key, _, _ in rows if key in own]
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, toxic: int = TOXIC, clean: int = CLEAN, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", chars: int = FIT_CHARS) -> Field:
+    """Fit on at most `toxic` + `clean` documents whose fold isn't 0, of `chars` characters in all."""
     known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").where(crc_mod("id", folds) != 0)
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     picked = [known.where("y > 0").orderBy(F.xxhash64("id"), "id").limit(toxic), known.where("y <= 0").orderBy(F.xxhash64("id"), "id").limit(clean)]
     ids = picked[0].unionByName(picked[1])  # at most toxic + clean rows: may be broadcast
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id").select("id", "y", "text")
-    got = rows.toPandas()
-    got = got.assign(h=[xxhash.xxh32_intdigest(str(i)) for i in got["id"]]).sort_values(["h", "id"]).drop_duplicates("id")
-    got = got[got["text"].str.len().fillna(0).cumsum() <= FIT_CHARS]
+    sizes = rows.groupBy("id", "y").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n")).collect()
+    sizes = sorted(sizes, key=lambda r: (xxhash.xxh32_intdigest(str(r["id"])), r["id"]))
+    chosen = fitting([(r["id"], r["y"] > 0, r["n"]) for r in sizes], chars, toxic / max(toxic + clean, 1))
+    kept = docs.sparkSession.createDataFrame([(x,) for x in chosen], known.select("id").schema)
+    got = rows.join(F.broadcast(kept), "id").groupBy("id", "y").agg(F.min("text").alias("text")).toPandas()
+    got = got.assign(h=[xxhash.xxh32_intdigest(str(i)) for i in got["id"]]).sort_values(["h", "id"])
     return fit([(x or "").encode() for x in got["text"]], got["y"].to_numpy() > 0)
 
 

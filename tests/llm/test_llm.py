@@ -328,6 +328,19 @@ def test_toxicity_learns_and_marks(spark):
     assert {x["score"] for x in toxicity.score_documents(d, nothing).collect()} == {0.0}
 
 
+def test_toxicity_passes_over_texts_beyond_the_budget(spark):
+    r = random.Random(3)
+    ids = sorted(range(200), key=lambda i: xxhash.xxh32_intdigest(str(i)))
+    huge = next(i for i in ids if lm.fold(i, 5) != 0)
+    text = lambda i: " ".join([*(f"w{r.randrange(99)}" for _ in range(30)), *(["vileword"] if i % 2 else [])])
+    d = spark.createDataFrame([(i, "w1 " * (4_000_000 if i == huge else 0) + text(i)) for i in range(200)], "doc_id bigint, text string")
+    model = toxicity.train(d, spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int"))
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score_documents(d.where(f"doc_id <> {huge}"), model).collect()}
+    assert all(y == i % 2 for i, y in got.items())
+    rows = [(0, True, 90), (1, False, 30), (2, True, 30), (3, False, 40), (4, True, 25), (5, False, 20)]
+    assert toxicity.fitting(rows, 100, 0.4) == [1, 2, 5] and toxicity.fitting(rows, 235, 0.4) == [0, 1, 2, 3, 4, 5]
+
+
 def test_wand_equals_scoring_all():
     r = random.Random(5)
     words_ = [f"w{i}" for i in range(60)]
