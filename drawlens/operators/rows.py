@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import consecutive_pairs, even_count, odd_count, prime_count
@@ -27,6 +27,6 @@ def row_features(h: DataFrame) -> DataFrame:
 
 def window_features(h: DataFrame, width: int = 3) -> DataFrame:
     """(rn, flat): the numbers of each draw and the `width` older ones, one after another; full windows only."""
-    w = Window.orderBy("rn").rowsBetween(0, width)  # over the bounded history given
-    rows = as_arrays(h, "rn").select("rn", F.flatten(F.collect_list("nums").over(w)).alias("flat"), F.count("*").over(w).alias("n"))
-    return rows.where(F.col("n") == width + 1).select("rn", "flat")
+    starts = F.explode(F.sequence(F.col("rn") - width, F.col("rn"))).alias("start")
+    own = as_arrays(h, "rn").select(starts, "rn", "nums").where("start >= 0").groupBy("start").agg(F.sort_array(F.collect_list(F.struct("rn", "nums"))).alias("w"))
+    return own.where(F.size("w") == width + 1).select(F.col("start").alias("rn"), F.flatten("w.nums").alias("flat"))

@@ -344,7 +344,11 @@ def row_features(spark, d):
 
 @query(f"WITH {DN} SELECT a.rn, string_agg(CAST(b.num AS VARCHAR), ',' ORDER BY b.rn, b.num) AS flat FROM (SELECT DISTINCT rn FROM dn WHERE rn < {L}) a JOIN dn b ON b.rn BETWEEN a.rn AND a.rn + 3 AND b.rn < {L} WHERE a.rn + 3 < {L} GROUP BY a.rn")
 def window_features(spark, d):
-    return rows.window_features(last(spark, d)).select("rn", F.concat_ws(",", F.col("flat").cast("array<string>")).alias("flat"))
+    return _windows(last(spark, d))
+
+
+def _windows(h: DataFrame) -> DataFrame:
+    return rows.window_features(h).select("rn", F.concat_ws(",", F.col("flat").cast("array<string>")).alias("flat"))
 
 
 @query(f"WITH {DN}, h AS (SELECT issue, list(CASE WHEN EXISTS (SELECT 1 FROM dn x WHERE x.issue = i.issue AND x.num = u.num) THEN 1 ELSE 0 END ORDER BY u.num) AS b FROM (SELECT DISTINCT issue FROM dn WHERE rn < {L}) i CROSS JOIN u GROUP BY issue) SELECT issue, array_to_string(b, '') AS bits, CAST(list_sum(b) AS INT) AS decoded FROM h")
@@ -415,10 +419,48 @@ SELECT t.pick, t.run, COUNT(*) AS tickets, CAST(SUM(t.hits) AS BIGINT) AS hits,
 def backtest_grid(spark, d):
     n = recent(draw_numbers(spark, d), 60).select("issue", "num")
     targets = recent(n, 12).select("issue").distinct()
+    return _grid(n, targets)
+
+
+def whole(spark: SparkSession, d: str) -> DataFrame:
+    return history(draw_numbers(spark, d))
+
+
+def _grid(n: DataFrame, targets: DataFrame) -> DataFrame:
     own = backtest.frequency_tickets(n, backtest.grid(targets, [4, 7, 10], 2), targets, 30)
     return plain(backtest.report(own, as_arrays(n, "issue")))
 
 
+@query(f"""WITH {DN}, {PZ}, tg AS (SELECT DISTINCT issue, rn AS tr FROM dn), c AS (SELECT tg.issue AS target, tg.tr, d.num, COUNT(*) AS c FROM tg JOIN dn d ON d.rn > tg.tr AND d.rn <= tg.tr + 30 GROUP BY 1, 2, 3),
+p AS (SELECT target, tr, num, ROW_NUMBER() OVER (PARTITION BY target ORDER BY c DESC, num) AS place FROM c), g AS (SELECT pk.pick, r.run FROM (SELECT unnest([4, 7, 10]) AS pick) pk, (SELECT unnest([0, 1]) AS run) r),
+t AS (SELECT p.target, g.pick, g.run, COUNT(d.num) AS hits FROM p JOIN g ON p.place > g.run AND p.place <= g.run + g.pick LEFT JOIN dn d ON d.issue = p.target AND d.num = p.num GROUP BY 1, 2, 3)
+SELECT t.pick, t.run, COUNT(*) AS tickets, CAST(SUM(t.hits) AS BIGINT) AS hits, CAST(SUM(amount) AS DOUBLE) AS prize, ROUND(CAST(SUM(amount) AS DOUBLE) / (COUNT(*) * 2) * 100, 4) AS return_rate FROM t JOIN pz ON pz.pick = t.pick AND pz.hits = t.hits GROUP BY t.pick, t.run""")
+def backtest_grid_all(spark, d):
+    """Every draw that has an older one is a target."""
+    n = draw_numbers(spark, d)
+    return _grid(n, n.select("issue").distinct())
+
+
+@query(f"WITH {DN} SELECT a.rn, string_agg(CAST(b.num AS VARCHAR), ',' ORDER BY b.rn, b.num) AS flat FROM (SELECT DISTINCT rn FROM dn) a JOIN dn b ON b.rn BETWEEN a.rn AND a.rn + 3 WHERE a.rn + 3 <= (SELECT MAX(rn) FROM dn) GROUP BY a.rn")
+def window_features_all(spark, d):
+    return _windows(whole(spark, d))
+
+
+@query(f"WITH {DN} SELECT issue, string_agg(CAST(num AS VARCHAR), ',' ORDER BY num) AS nums FROM dn GROUP BY issue")
+def parse_tables_all(spark, d):
+    return _tables(draw_numbers(spark, d))
+
+
+@query(f"WITH {DN} SELECT issue, string_agg(CAST(num AS VARCHAR), ',' ORDER BY num DESC) AS nums FROM dn GROUP BY issue")
+def sequence_text_parse_all(spark, d):
+    return _lines(draw_numbers(spark, d))
+
+
+@query(f"WITH {DN}, t AS (SELECT issue AS ticket_id, ROW_NUMBER() OVER (ORDER BY issue) AS place FROM (SELECT DISTINCT issue FROM dn)) SELECT ticket_id, CAST(place AS INT) AS place FROM t WHERE place % 3 = 1")
+def sampled_results_all(spark, d):
+    return files.sample_rows(draw_numbers(spark, d).select(F.col("issue").alias("ticket_id")).distinct(), 3, 1)
+
+
 @query("SELECT page_id, CAST(pos - 1 AS INT) AS pos, item FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<li>(?:<a[^>]*>)?([^<]*)', 1)) AS item, unnest(range(1, len(regexp_extract_all(html, '(?s)<li>(?:<a[^>]*>)?([^<]*)', 1)) + 1)) AS pos FROM pages)")
 def parse_pages(spark, d):
     return files.list_items(spark.read.parquet(f"{d}/pages.parquet"))
@@ -426,14 +468,22 @@ def parse_pages(spark, d):
 
 @query(f"WITH {DN} SELECT issue, string_agg(CAST(num AS VARCHAR), ',' ORDER BY num) AS nums FROM dn WHERE rn < {L} GROUP BY issue")
 def parse_tables(spark, d):
-    own = as_arrays(last(spark, d), "issue")
+    return _tables(last(spark, d))
+
+
+def _tables(h: DataFrame) -> DataFrame:
+    own = as_arrays(h, "issue")
     page = own.select(F.concat(F.lit("<table><tbody id='tdata'><tr><td>"), F.col("issue").cast("string"), F.lit("</td><td>"), F.concat_ws("</td><td>", F.transform("nums", lambda x: F.lpad(x.cast("string"), 2, "0"))), F.lit("</td><td>x</td></tr></tbody></table>")).alias("html"))
     return files.parse_tables(page).select("issue", F.concat_ws(",", F.col("nums").cast("array<string>")).alias("nums"))
 
 
 @query(f"WITH {DN} SELECT issue, string_agg(CAST(num AS VARCHAR), ',' ORDER BY num DESC) AS nums FROM dn WHERE rn < {L} GROUP BY issue")
 def sequence_text_parse(spark, d):
-    own = as_arrays(last(spark, d), "issue")
+    return _lines(last(spark, d))
+
+
+def _lines(h: DataFrame) -> DataFrame:
+    own = as_arrays(h, "issue")
     lines = own.select(F.concat_ws(" ", F.col("issue").cast("string"), F.concat_ws(" ", F.reverse(F.col("nums")).cast("array<string>")), F.lit(",rest")).alias("value"))
     return files.parse_sequence(lines.select(F.regexp_replace("value", " ,rest", ",rest").alias("value"))).select("issue", F.concat_ws(",", F.col("nums").cast("array<string>")).alias("nums"))
 

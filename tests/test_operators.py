@@ -153,3 +153,16 @@ def test_streaming_counts(spark, tmp_path):
     job = stream.writeStream.format("memory").queryName("windows").outputMode("complete").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     job.awaitTermination(120)
     assert sorted(r["n"] for r in spark.table("windows").collect()) == [3, 3, 3]
+
+
+def test_whole_histories(spark):
+    """Operators whose input is whole in the reference see more draws than the capped queries do."""
+    from drawlens.plans.queries import queries
+
+    sf = "/root/testdata/sf0.001"
+    from drawlens.sources.draws import draw_numbers
+
+    draws = draw_numbers(spark, sf).select("issue").distinct().count()
+    rows = {name: queries()[f"{name}_all"](spark, sf).count() for name in ("parse_tables", "sequence_text_parse", "sampled_results", "window_features")}
+    assert rows == {"parse_tables": draws, "sequence_text_parse": draws, "sampled_results": -(-draws // 3), "window_features": draws - 3} and draws > 200
+    assert {r["tickets"] for r in queries()["backtest_grid_all"](spark, sf).collect()} == {draws - 1}
