@@ -138,3 +138,59 @@ def window_divergence(h: DataFrame, windows: tuple[int, ...] = (3, 5, 7, 9)) ->
     out = both.select("win", *[F.array(*[F.abs(F.col(f"o_{k}{i}") - F.col(f"n_{k}{i}")) for i in range(len(own))]).alias(k) for k, own in flags.items()])
     mean = lambda c: F.round(F.coalesce(F.aggregate(F.filter(c, lambda x: x > 1e-12), F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(F.filter(c, lambda x: x > 1e-12)), F.lit(0)), F.lit(0.0)), 5)
     return out.select("win", mean("parity").alias("parity_diff"), mean("group").alias("group_diff"))
+
+
+BASE = (0.05, 0.05, 0.05, 0.05, 0.01, 0.05)
+METRICS = ("repeat", "ball", "parity", "group", "consecutive", "march")
+
+
+def _rates(draws: list[list[int]], at: int, n: int, hot_window: int, pick: int, edge: int = 10) -> list[list[float]]:
+    """The six metrics of the n draws from place `at` on, newest first, each against the draws before it."""
+    repeat, balls, groups, runs = [0.0] * (pick + 1), [0, 0], [0] * 8, [0] * 81
+    odd = marched = size = with_runs = 0
+    for i in range(at, at + n):
+        own, older = set(draws[i]), set(draws[i + 1]) if i + 1 < len(draws) else set()
+        size += len(own)
+        overlap = round(len(own & older) * pick / 20)
+        if overlap <= pick:
+            repeat[overlap] += 1 / n
+        counts = [0] * 81
+        for d in draws[i + 1 : i + hot_window]:
+            for x in d:
+                counts[x] += 1
+        ranked = sorted(range(1, 81), key=lambda x: (-counts[x], x))
+        balls = [balls[0] + len(own & set(ranked[:edge])), balls[1] + len(own & set(ranked[-edge:]))]
+        odd += sum(x % 2 for x in own)
+        marched += sum(x not in older and (x - 1 in older or x + 1 in older) for x in own)
+        found = False
+        for x in own:
+            groups[(x - 1) // 10] += 1
+            if x - 1 not in own:
+                length = next(k for k in range(1, 81) if x + k not in own)
+                runs[length] += length > 1
+                found |= length > 1
+        with_runs += found
+    return [repeat[1:], [b / size for b in balls], [odd / size, 1 - odd / size], [g / size for g in groups], [r / max(with_runs, 1) for r in runs[2 : pick + 1]], [marched / size]]
+
+
+def rate_divergence(h: DataFrame, pick: int = 10, windows: tuple[int, ...] = (3, 5, 7, 9), hot_window: int = 50, base: tuple[float, ...] = BASE) -> DataFrame:
+    """(win, six *_diff): the newest draw against trailing windows, means of the positive differences; their mean and
+    maximum over the windows (avg, max); and the results of the modes: mode0 is avg, mode1 at least `base`, mode2 that of max.
+
+    h is a bounded history, of hot_window draws and the longest window's; it comes to the driver.
+    """
+    rows = {r["rn"]: r["nums"] for r in as_arrays(h.where(F.col("rn") < max(hot_window, 2 * max(windows) + 2)), "rn").collect()}
+    draws = [list(rows[i]) for i in sorted(rows)]
+    schema = "win string, " + ", ".join(f"{m}_diff double" for m in METRICS)
+    windows = tuple(w for w in windows if w < len(draws))
+    if not windows:
+        return h.sparkSession.createDataFrame([], schema)
+    now, out = _rates(draws, 0, 1, hot_window, pick), []
+    for win in windows:
+        gaps = [[g for a, b in zip(x, y, strict=True) if (g := abs(a - b)) > 1e-12] for x, y in zip(now, _rates(draws, 1, win, win - 1, pick), strict=True)]
+        out.append([sum(g) / len(g) if g else 0.0 for g in gaps])
+    mean = [round(sum(x) / len(out), 5) for x in zip(*out, strict=True)]
+    most = [round(max(x), 5) for x in zip(*out, strict=True)]
+    table = [(str(w), *(round(x, 5) for x in own)) for w, own in zip(windows, out, strict=True)] + [("avg", *mean), ("max", *most), ("mode0", *mean)]
+    table += [(name, *(max(float(x), float(b)) for x, b in zip(own, base, strict=True))) for name, own in (("mode1", mean), ("mode2", most))]
+    return h.sparkSession.createDataFrame([(w, *map(float, own)) for w, *own in table], schema)

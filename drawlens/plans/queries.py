@@ -297,6 +297,11 @@ def window_divergence(spark, d):
     return metrics.window_divergence(last(spark, d))
 
 
+@query()
+def rate_divergence(spark, d):
+    return metrics.rate_divergence(last(spark, d, L + 1), PICK)
+
+
 def _profile(spark, d) -> constraints.Profile:
     return constraints.profile(last(spark, d, 2 * L), L, PICK)
 

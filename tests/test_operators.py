@@ -164,5 +164,17 @@ def test_whole_histories(spark):
 
     draws = draw_numbers(spark, sf).select("issue").distinct().count()
     rows = {name: queries()[f"{name}_all"](spark, sf).count() for name in ("parse_tables", "sequence_text_parse", "sampled_results", "window_features")}
-    assert rows == {"parse_tables": draws, "sequence_text_parse": draws, "sampled_results": -(-draws // 3), "window_features": draws - 3} and draws > 200
+    assert rows == {"parse_tables": draws, "sequence_text_parse": draws, "sampled_results": -(-draws // 3), "window_features": draws - 3} and draws > 100
     assert {r["tickets"] for r in queries()["backtest_grid_all"](spark, sf).collect()} == {draws - 1}
+
+
+def test_rate_divergence_has_six_metrics(spark, draws):
+    h = recent(numbers(spark, draws), 51)
+    got = {r["win"]: r for r in metrics.rate_divergence(h).collect()}
+    assert list(got) == ["3", "5", "7", "9", "avg", "max", "mode0", "mode1", "mode2"]
+    for r in metrics.window_divergence(h).collect():
+        assert (got[str(r["win"])]["parity_diff"], got[str(r["win"])]["group_diff"]) == pytest.approx((r["parity_diff"], r["group_diff"]), abs=2e-5)
+    for c in (f"{m}_diff" for m in metrics.METRICS):
+        own = [got[w][c] for w in "3579"]
+        assert got["avg"][c] == pytest.approx(sum(own) / 4, abs=2e-5) and got["max"][c] == pytest.approx(max(own), abs=1e-9)
+    assert all(got["mode2"][f"{m}_diff"] == max(got["max"][f"{m}_diff"], b) for m, b in zip(metrics.METRICS, metrics.BASE, strict=True))
