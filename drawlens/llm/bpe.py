@@ -1,12 +1,17 @@
 """Byte-level BPE: encoding by corpus-level merge replay, and decoding.
 
-The distinct words of a chunk of documents are laid out as one array of byte tokens with links to neighbours. An
-inverted index from the rank of a pair to the word positions that hold it yields the merges in rank order; a merge
-touches only its neighbours, whose new pairs enter the index. Within a word the leftmost of equal pairs goes first and
-new pairs of a lower rank go before the rest, so results equal the library's. Documents then gather the tokens of
-their words. Chunks bound memory; each is encoded by itself, no state is shared between tasks.
+Texts are cut into pieces by the pattern and staged as numbers of their batch's distinct pieces. The pieces that are no
+token themselves go, as `batches` deals keys, to the bucket of their hash, so that every distinct piece of the corpus is
+encoded once. A bucket's pieces are laid out as one array of byte tokens with links to neighbours. An inverted index from
+the rank of a pair to the positions that hold it yields the merges in rank order; a merge touches only its neighbours,
+whose new pairs enter the index. Equal pairs of one piece merge at once, every other one from the left where they
+overlap, unless a merge would make a pair of a lower rank, which then goes first; so results equal the library's and a
+piece of n equal characters takes time in proportion to n. The batches get the ids of their pieces and put the texts
+together.
 
-Null texts are empty and have no ids. A rank file's path is a parameter; its tokens are sent with the tasks' closure
+Null texts are empty and have no ids. Repeated rows are encoded like any other; texts may be of any length (one longer
+than a batch stands alone, a piece may be as long as its text). An empty table gives an empty result. Only the two columns
+named are read, so others can't clash. A rank file's path is a parameter; its tokens are sent with the tasks' closure
 (under 1 MB for 50,000 entries, a property of the vocabulary and not of the data).
 """
 
@@ -21,13 +26,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import chunks
+from . import batches
 
 NONE = np.int32(2**31 - 1)
 SHIFT = np.int64(20)
-CHUNK_BYTES = 8 << 20
+WORDS = 100_000  # distinct pieces that are no tokens in a batch, to size the buckets
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -78,42 +85,53 @@ class Vocabulary:
                 index[r].append(part)
         heap = list(index)
         heapq.heapify(heap)
+
+        def enter(spot: np.ndarray, made: np.ndarray) -> None:
+            """New pairs at spots, of ranks made, go into the index."""
+            good = np.flatnonzero((made != NONE) & (spot < n))
+            if len(good) > 1:
+                good = good[np.lexsort((spot[good], made[good]))]
+            spot, made = spot[good], made[good]
+            if len(spot) > 1 and (twice := np.append(False, spot[1:] == spot[:-1])).any():
+                spot, made = spot[~twice], made[~twice]
+            edges = np.flatnonzero(np.append(True, made[1:] != made[:-1]))[: len(made)].tolist()
+            for q, a, b in zip(made[edges].tolist(), edges, [*edges[1:], len(made)], strict=False):
+                if q not in index:
+                    heapq.heappush(heap, q)
+                index[q].append(spot[a:b])
+
         while heap:
             r = heapq.heappop(heap)
             held = index.pop(r)
             at = held[0] if len(held) == 1 else np.unique(np.concatenate(held))
             at = at[pair[at] == r]
+            if len(at) > 1 and (met := after[at[:-1]] == at[1:]).any():
+                # Pairs that overlap: of each run of them every other one, from the left.
+                run = np.append(0, np.cumsum(~met))
+                place = np.arange(len(at)) - np.flatnonzero(np.append(True, ~met))[run]
+                at = at[place % 2 == 0]
+            if len(at) > 1 and (again := np.append(False, word[at[1:]] == word[at[:-1]])).any():
+                # Several in one word: at once, unless one of them would make a pair that goes before the others.
+                gone = after[at]
+                made = np.full(len(at), r, np.int32)
+                soon = (self.rank(made, token[after[gone]]) < r) | (self.rank(token[before[at]], made) < r) | (self.rank(made, made) < r)
+                late = again & np.isin(word[at], word[at[soon]]) if soon.any() else soon
+                if late.any():
+                    index[r].append(at[late])
+                    heapq.heappush(heap, r)
+                    at = at[~late]
             if not len(at):
                 continue
-            if len(at) > 1:
-                w = word[at]
-                again = np.append(False, w[1:] == w[:-1])
-                if again.any():  # later ones of the same word wait for their turn
-                    index[r].append(at[again])
-                    heapq.heappush(heap, r)
-                    at = at[~again]
             gone = after[at]
             right, left = after[gone], before[at]
-            token[at], token[gone], after[at], before[right], pair[gone] = r, -1, right, at, NONE
+            token[at], token[gone], after[at], pair[gone] = r, -1, right, NONE
+            before[right] = at
+            left = before[at]  # that of a neighbour merged just now has moved
             spot = np.concatenate([at, left])
-            made = self.rank(token[spot], token[np.concatenate([right, at])])
+            made = self.rank(token[spot], token[np.concatenate([after[at], at])])
             pair[spot] = made
-            pair[n] = NONE
-            good = np.flatnonzero((made != NONE) & (spot < n))
-            if len(good) == 1:
-                q = int(made[good[0]])
-                if q not in index:
-                    heapq.heappush(heap, q)
-                index[q].append(spot[good])
-            elif len(good):
-                spot, made = spot[good], made[good]
-                order = np.lexsort((spot, made))
-                spot, made = spot[order], made[order]
-                edges = np.flatnonzero(np.append(True, made[1:] != made[:-1]))
-                for q, a, b in zip(made[edges].tolist(), edges.tolist(), [*edges[1:].tolist(), len(made)], strict=True):
-                    if q not in index:
-                        heapq.heappush(heap, q)
-                    index[q].append(spot[a:b])
+            pair[n], before[n] = NONE, n
+            enter(spot, made)
         live = token[:n] >= 0
         return token[:n][live], np.bincount(word[live], minlength=len(words))
 
@@ -127,36 +145,92 @@ class _Numbers(dict):
         return value
 
 
-def encode_texts(texts: list[str], vocabulary: Vocabulary, pattern: regex.Pattern) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after another, and the number of ids of each text."""
+def pieces(part: pa.Table, text: str, pattern: regex.Pattern, ranks: dict[bytes, int]) -> pa.Table:
+    """What a batch of texts is staged as: the ids of its rows and, for each, its pieces by number, ended by -1; in a last
+    row (without an id) the distinct pieces: ids of those that are tokens (else -1), and the bytes of the others.
+    """
     numbers = _Numbers()
     get, find = numbers.__getitem__, pattern.findall
-    parts = [np.fromiter(map(get, find(x)), np.int32) for x in texts]
+    own = [np.fromiter(map(get, find(x or "")), np.int32) for x in part.column(text).to_pylist()]
     words = [w.encode() for w in numbers]
-    known = [vocabulary.ranks.get(w, -1) for w in words]  # a word that is a token stays whole
-    rest = [i for i, k in enumerate(known) if k < 0]
-    ids, n = vocabulary.encode_words([words[i] for i in rest])
-    size = np.ones(len(words), np.int64)
-    size[rest] = n
-    begin = np.cumsum(size) - size
-    flat = np.empty(int(size.sum()), np.int32)
-    single = np.ones(len(flat), bool)
-    at = np.repeat(begin[rest], n) + _within(n)
-    single[at] = False
-    flat[at] = ids
-    flat[single] = [k for k in known if k >= 0]
-    out, counts = [], []
-    for own in parts:
-        s = size[own]
-        out.append(flat[np.repeat(begin[own], s) + _within(s)])
-        counts.append(len(out[-1]))
-    return (np.concatenate(out) if out else np.empty(0, np.int32)), np.array(counts, np.int64)
-
-
-def _within(n: np.ndarray) -> np.ndarray:
-    """0, 1, ... for each of the lengths n, one after another."""
+    known = np.array([ranks.get(w, -1) for w in words], np.int32)  # a word that is a token stays whole
+    rest = np.array([w for w, k in zip(words, known, strict=True) if k < 0] + [b""], object)[:-1]
+    flat = np.concatenate([*own, np.empty(0, np.int32)])
+    blob = batches.pack_arrays([np.array([len(x) for x in own], "<u4"), flat, known, rest])
+    ids = part.column("doc")
+    return pa.table({"doc": pa.chunked_array([*ids.chunks, pa.nulls(1, ids.type)]), "data": pa.array([None] * len(ids) + [blob], pa.binary())})
+
+
+def unstaged(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of each row, all pieces, tokens of the distinct ones, bytes of those that are none."""
+    return tuple(batches.unpack_arrays(part.column("data")[-1].as_py(), ["<u4", "<i4", "<i4", "O"]))
+
+
+def keyed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of distinct words in ascending order, and that order."""
+    keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    order = np.argsort(keys, kind="stable")
+    return keys[order], order
+
+
+class Merging:
+    """Ids of words: every distinct word of the corpus is encoded once, in the bucket of its key."""
+
+    kinds = ["O"]
+
+    def __init__(self, tokens: list[bytes]):
+        self.tokens = tokens
+
+    def keys_of(self, part: pa.Table, role: int) -> list[tuple[int, np.ndarray, list[np.ndarray]]]:
+        words = unstaged(part)[3]
+        keys, order = keyed(words)
+        return [(0, keys, [words[order]])]
+
+    def merge(self, met: batches.Requests) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        numbers = _Numbers()
+        place = np.fromiter(map(numbers.__getitem__, met.extra[0]), np.int64, len(met.keys))
+        words = np.array([*numbers, b""], object)[:-1]
+        keys, order = keyed(words)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return back[place], keys, [words[order]]
+
+    def reply(self, met: batches.Requests, kind: int) -> Iterator[tuple[int, bytes]]:
+        inverse, _, (words,) = self.merge(met)
+        ids, n = vocabulary_of(self.tokens).encode_words(words.tolist())
+        begin = np.cumsum(n) - n
+        for i, own in met.each(inverse):
+            yield i, batches.pack_arrays([n[own].astype("<u4"), gathered(ids, begin[own], n[own])])
+
+    def pick(self, answers: list[tuple[bytes, int]], places: np.ndarray, role: int) -> bytes:
+        n, ids = (np.concatenate(x) for x in zip(*(batches.unpack_arrays(x, ["<u4", "<i4"]) for x, _ in answers), strict=True))
+        n = n.astype(np.int64)
+        return batches.pack_arrays([n[places].astype("<u4"), gathered(ids, (np.cumsum(n) - n)[places], n[places])])
+
+
+def gathered(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The stretches of flat that begin at `begin` and are n long, one after another."""
     ends = np.cumsum(n)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n)
+    return flat[np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+def sizes(known: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct piece's ids begin, how many they are, and all of them one after another."""
+    size = np.ones(len(known), np.int64)
+    size[known < 0] = n
+    flat = np.empty(int(size.sum()), np.int32)
+    whole = np.repeat(known >= 0, size)
+    flat[whole], flat[~whole] = known[known >= 0], ids
+    return np.cumsum(size) - size, size, flat
+
+
+def encode_texts(texts: list[str], vocabulary: Vocabulary, pattern: regex.Pattern) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and the number of ids of each text (without Spark)."""
+    rows, flat, known, rest = unstaged(pieces(pa.table({"doc": pa.nulls(len(texts), pa.int64()), "text": pa.array(texts, pa.string())}), "text", pattern, vocabulary.ranks))
+    ids, n = vocabulary.encode_words(rest.tolist())
+    begin, size, every = sizes(known, n, ids)
+    ends = np.cumsum(np.append(0, size[flat]))[np.cumsum(np.append(0, rows))]
+    return gathered(every, begin[flat], size[flat]), np.diff(ends)
 
 
 def compiled(pattern: str) -> regex.Pattern:
@@ -164,27 +238,52 @@ def compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}"))
 
 
-def tokenize(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+_made: dict[tuple[int, bytes], Vocabulary] = {}
+
+
+def vocabulary_of(tokens: list[bytes]) -> Vocabulary:
+    """The lookups, made once in a worker process."""
+    key = (len(tokens), hashlib.sha256(b"\0".join(tokens)).digest())
+    if key not in _made:
+        _made.clear()
+        _made[key] = Vocabulary(tokens)
+    return _made[key]
+
+
+def tokenize(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False, fan: int = batches.FAN) -> DataFrame:
     """Per row: doc_id, n_tokens, ids_sha256 (ids as little-endian unsigned 32-bit), decoded_sha256, and with keep_ids
     also `ids`.
     """
     tokens = load_ranks(path)
-    made: list = []
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not made:
-            made.extend([Vocabulary(tokens), compiled(pattern)])
-        vocabulary, words = made
-        for part in chunks(batches, text, CHUNK_BYTES):
-            texts = [x or "" for x in part.column(text).to_pylist()]
-            ids, n = encode_texts(texts, vocabulary, words)
-            ends = np.cumsum(n)
-            own = [ids[b - k : b] for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
-            columns = {doc_id: part.column(doc_id).combine_chunks(), "n_tokens": pa.array(n), "ids_sha256": pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own], pa.string()), "decoded_sha256": pa.array([hashlib.sha256(vocabulary.decode(x)).hexdigest() for x in own], pa.string())}
-            if keep_ids:
-                columns["ids"] = pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32()))
-            for batch in pa.table(columns).to_batches():
-                yield batch
+
+    def prepare(part: pa.Table) -> pa.Table:
+        return pieces(part, "text", compiled(pattern), vocabulary_of(tokens).ranks)
+
+    staged = batches.stage(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), "text", "bpe", prepare=prepare)
+    how = batches.plan(staged, WORDS, fan=fan)
+    replies = batches.count(staged, Merging(tokens), how, "bpe-words")
+
+    def use(part: pa.Table, role: int, got: dict[int, bytes]) -> pa.Table:
+        rows, flat, known, rest = unstaged(part)
+        keys, order = keyed(rest)
+        answers = [batches.unpack_arrays(got[b], ["<u4", "<i4"]) for b in np.flatnonzero(np.diff(how.cut(keys))).tolist()]
+        n, ids = (np.concatenate(x) for x in zip([np.empty(0, np.int64), np.empty(0, np.int32)], *answers, strict=True))
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        n = n.astype(np.int64)
+        begin, size, every = sizes(known, n[back], gathered(ids, (np.cumsum(n) - n)[back], n[back]))
+        out, at = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}, 0
+        for k in rows.tolist():
+            own = flat[at : at + k]
+            at += k
+            ids = gathered(every, begin[own], size[own])
+            out["n_tokens"].append(len(ids))
+            out["ids_sha256"].append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+            out["decoded_sha256"].append(hashlib.sha256(b"".join(map(tokens.__getitem__, ids.tolist()))).hexdigest())
+            out["ids"].append(ids if keep_ids else None)
+        kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.list_(pa.int32())}
+        return pa.table({"doc": part.column("doc")[:-1], **{c: pa.array(x, kinds[c]) for c, x in out.items() if keep_ids or c != "ids"}})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    schema = f"doc {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
+    return batches.finish(staged, replies, use, schema).withColumnRenamed("doc", doc_id)

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import shutil
 import tempfile
+import threading
 import uuid
+import weakref
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +24,9 @@ WORD = rb"[^\x20\x09-\x0D]+"
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_local: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()  # temporary folders of local contexts
+_lock, _writers = threading.Lock(), {"n": 0, "before": "false"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,29 +37,56 @@ def shared_dir(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where:
         return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    where = "file://" + tempfile.mkdtemp(prefix="drawlens-")
-    spark.conf.set("spark.checkpoint.dir", where)
-    atexit.register(__import__("shutil").rmtree, where[7:], True)
-    return where
+    if context not in _local:
+        _local[context] = "file://" + tempfile.mkdtemp(prefix="drawlens-")
+        atexit.register(shutil.rmtree, _local[context][7:], True)
+    return _local[context]
+
+
+@contextmanager
+def released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of queries that end inside are released at once (the setting is shared by threads that overlap)."""
+    with _lock:
+        if not _writers["n"]:
+            _writers["before"] = spark.conf.get(CLEANUP, "false")
+            spark.conf.set(CLEANUP, "true")
+        _writers["n"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _writers["n"] -= 1
+            if not _writers["n"]:
+                spark.conf.set(CLEANUP, _writers["before"])
 
 
 def materialise(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors.
 
     The shuffle files behind the write are released at its end, so that a job of several steps holds one step's
-    shuffle at a time.
+    shuffle at a time. `discard` deletes the table when nothing reads it any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with released_shuffles(spark):
         df.write.option("compression", compression).parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._drawlens_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `materialise` returned; frames made from them must not be used afterwards."""
+    for df in tables:
+        remove(df.sparkSession, df._drawlens_path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def crc_mod(col: str, n: int) -> Column:
@@ -98,17 +132,35 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, budget: int, rows: in
     tidy()
 
 
-class WordHashes(dict):
-    """XXH64 of words, each computed once."""
+_GAP = np.zeros(256, bool)
+_GAP[[32, *range(9, 14)]] = True
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)  # masks of the first k bytes
+_LONGER = 256  # bytes of a word from which it is hashed by itself
 
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words of all texts, one after another, and the number of words of each text.
 
-def hash_words(words: list[bytes], cache: WordHashes | None = None) -> np.ndarray:
-    cache = WordHashes() if cache is None else cache
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    Words are mixed eight bytes at a time, all words at once, beginning from their length; so words of equal length up
+    to eight bytes never meet.
+    """
+    joined = b"\n".join([b"", *texts, b"\n" * 9])
+    buffer = joined.lower() if lower else joined
+    gap = _GAP[np.frombuffer(buffer, np.uint8)]
+    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+    starts, size = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
+    h = mix(mix(size.astype(np.uint64)) ^ (eight[starts] & _FIRST[np.minimum(size, 8)]))
+    live, k = np.flatnonzero((size > 8) & (size <= _LONGER)), 8
+    while len(live):
+        more = eight[starts[live] + k] & _FIRST[np.minimum(size[live] - k, 8)]
+        h[live] = mix(h[live] * np.uint64(0x9FB21C651E98DF25) ^ more)
+        k += 8
+        live = live[size[live] > k]
+    for i in np.flatnonzero(size > _LONGER).tolist():
+        h[i] = xxhash.xxh64_intdigest(buffer[starts[i] : starts[i] + size[i]])
+    at = np.cumsum([1, *(len(x) + 1 for x in texts)])
+    return h, np.diff(np.searchsorted(starts, at))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -118,3 +170,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(32))
     x = x * np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+def free_name(name: str, *taken: list[str]) -> str:
+    """name, or name with underscores before it if a column has it (names are compared without case, as Spark does)."""
+    held = {c.lower() for own in taken for c in own}
+    while name.lower() in held:
+        name = "_" + name
+    return name
+
+
+def named(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -16,7 +16,8 @@ def _state(edges: DataFrame) -> tuple:
 def star(edges: DataFrame, large: bool) -> DataFrame:
     """Links every node's (larger: large; other: not larger) neighbours to the least node around it.
 
-    The least neighbour comes from a partial aggregation and is joined back, so that a hub's edges are never gathered.
+    The least neighbour comes from a partial aggregation, so that a hub's edges are not gathered for it, and goes back to
+    the edges by a join whose skewed partitions adaptive execution splits (the other side has one row a node).
     """
     out = edges.select("u", "v")
     if large:
@@ -32,16 +33,21 @@ def star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.where("u <> v").distinct()
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, component) for every node of the edges (u, v); component is the least node reachable.
 
-    Loops, repeated edges and an empty list are fine; nodes without edges don't appear.
+    Loops, repeated edges and an empty list are fine; nodes without edges don't appear. Rounds go on until nothing
+    changes (their number grows with the logarithm of the nodes); after `rounds` of them an error is raised.
     """
     edges = materialise(edges.where("u <> v").distinct(), "edges")
     before = _state(edges)
-    for _ in range(rounds if before[0] else 0):
-        edges = materialise(star(star(edges, True), False), "edges")
-        now = _state(edges)
+    while before[0]:
+        if not rounds:
+            raise RuntimeError("components did not settle")
+        rounds -= 1
+        after = materialise(star(star(edges, True), False), "edges")
+        discard(edges)
+        edges, now = after, _state(after)
         if now == before:
             break
         before = now

@@ -1,46 +1,50 @@
 """Language-model scoring: n-grams mixed by deleted interpolation.
 
-Maximum-likelihood estimates of every order are mixed with weights that depend on how often the context was seen (one
-set of weights a power of two of its frequency). The weights come from expectation-maximisation on a tenth of the
-training documents, whose own counts are left out meanwhile; the final counts are those of all training documents.
-Counts are exact and cover all training text. They stay distributed (see `batches`): a batch of documents gets the
-counts of its own n-grams only. For EM, held-out tokens are summed by context bucket and by each component's
-probability to a quarter of an octave, a table of some thousand rows whatever the corpus.
+Maximum-likelihood estimates of every order, and an even chance for all words and one unknown, are mixed with weights
+that depend on how often the context was seen (one set of weights for each order of the longest context seen and each
+power of two of its frequency; orders whose context was never seen take no part, so every mixture sums to one). The
+weights come from expectation-maximisation on a tenth of the training documents, whose own counts are left out
+meanwhile; the final counts are those of all training documents. Counts are exact and cover all training text. They
+stay distributed (see `batches`): a batch of documents gets the counts of its own n-grams only. For EM, held-out tokens
+are summed by context bucket and by each component's probability to half an octave, a table whose size follows the
+grid of these and not the corpus.
 
 Null texts are empty (their only token is the end). A table without training rows scores every token 1 / (V + 1) with
-V = 0; one without EM rows mixes the components evenly. Repeated rows count as often as they occur.
+V = 0; without EM rows the components that take part are mixed evenly. Repeated rows count as often as they occur. Texts
+may be of any length (one longer than a batch stands alone). An empty table gives an empty result. Only the two columns
+named are read, so others can't clash.
 """
 
 from __future__ import annotations
 
 import zlib
-from functools import partial
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import batches
-from .common import crc_mod, hash_words, materialise, mix, text_bytes
+from .common import crc_mod, mix, text_bytes, word_hashes
 
 TRAIN, DELETED, TEST = 0, 1, 2
 END, START = np.uint64(0x5BD1E995A7C3F10D), np.uint64(0xC2B2AE3D27D4EB4F)
-ORDER, ROUNDS, OCTAVE = 2, 40, 4
+ORDER, ROUNDS, OCTAVE = 3, 40, 2
 NEVER = -(1 << 20)  # binned log of zero
+LEVEL = 64  # buckets of one order of context
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens (words in lower case, then the end), and the number of tokens of each text."""
-    words = [x.lower().split() for x in texts]
-    n = np.array([len(x) + 1 for x in words], np.int64)
+    words, n = word_hashes(texts, lower=True)
+    n = n + 1
     out = np.empty(int(n.sum()), np.uint64)
     ends = np.cumsum(n) - 1
     here = np.ones(len(out), bool)
     here[ends] = False
-    out[here] = hash_words([w for x in words for w in x])
+    out[here] = words
     out[~here] = END
     return out, n
 
@@ -59,42 +63,57 @@ def ngrams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray
     return keys, n, begins
 
 
-def request(part: pa.Table, role: int, text: str, order: int) -> list:
-    out = []
-    for kind, keys in enumerate(ngrams(text_bytes(part.column(text)), order)[0]):
-        own, count = np.unique(keys, return_counts=True)
-        out.append((kind, own, count.astype(np.uint32) if role != TEST else np.zeros(len(own), np.uint32)))
-    return out
+class Counting:
+    """Counts of n-grams over all training text, and over what of it is not deleted."""
 
+    kinds = ["<u8", "<u8"]
 
-def reply(bucket: int, inverse: np.ndarray, at: np.ndarray, extra: np.ndarray, frame: pd.DataFrame, buckets: int):
-    """For each batch, counts over all training text (for a deleted batch also those without deleted text), zstd; for
-    unigrams also a row of batch -1 with the number of known and of all training tokens.
-    """
-    squeeze = zstandard.ZstdCompressor(level=1).compress
-    whole = np.bincount(inverse, weights=extra)
-    trained = np.bincount(inverse, weights=extra * np.repeat(frame.role.to_numpy() == TRAIN, np.diff(at)))
-    if bucket < buckets:
-        yield -1, np.array([(whole > 0).sum(), whole.sum()], np.int64).tobytes()
-    for i, (batch, role) in enumerate(zip(frame.batch, frame.role, strict=True)):
-        own = inverse[at[i] : at[i + 1]]
-        counts = [whole[own], trained[own]] if role == DELETED else [whole[own]]
-        yield batch, squeeze(np.concatenate(counts).astype(np.uint64).tobytes())
-
-
-def looked_up(part: pa.Table, text: str, order: int, buckets: int, got: dict[int, bytes], deleted: bool) -> tuple:
+    def __init__(self, text: str, order: int):
+        self.text, self.order = text, order
+
+    def keys_of(self, part: pa.Table, role: int) -> list[tuple[int, np.ndarray, list[np.ndarray]]]:
+        out = []
+        for kind, keys in enumerate(ngrams(text_bytes(part.column(self.text)), self.order)[0]):
+            own, n = np.unique(keys, return_counts=True)
+            n = n.astype("<u8")
+            out.append((kind, own, [n * np.uint64(role != TEST), n * np.uint64(role == TRAIN)]))
+        return out
+
+    @staticmethod
+    def summed(inverse: np.ndarray, x: np.ndarray) -> np.ndarray:
+        return np.bincount(inverse, weights=x).astype("<u8")  # exact below 2^53
+
+    def merge(self, met: batches.Requests) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        keys, inverse = np.unique(met.keys, return_inverse=True)
+        return inverse, keys, [self.summed(inverse, x) for x in met.extra]
+
+    def reply(self, met: batches.Requests, kind: int) -> Iterator[tuple[int, bytes]]:
+        inverse, _, (whole, kept) = self.merge(met)
+        if kind == 0:  # known words, tokens, tokens that are not deleted
+            yield -1, np.array([(whole > 0).sum(), whole.sum(), kept.sum()], np.int64).tobytes()
+        for i, own in met.each(inverse):
+            yield i, batches.pack_arrays([whole[own], kept[own]][: self.arrays(met.roles[i])])
+
+    @staticmethod
+    def arrays(role: int) -> int:
+        """Deleted batches also learn what counts are without them."""
+        return 2 if role in (DELETED, batches.MERGED) else 1
+
+    def pick(self, answers: list[tuple[bytes, int]], places: np.ndarray, role: int) -> bytes:
+        parts = zip(*(batches.unpack_arrays(x, self.kinds) for x, _ in answers), strict=True)
+        return batches.pack_arrays([np.concatenate(x)[places] for x in parts][: self.arrays(role)])
+
+
+def looked_up(part: pa.Table, text: str, order: int, how: batches.Plan, got: dict[int, bytes], role: int, kept: bool) -> tuple:
     """Counts of the n-gram ending at each token and of its context, for each n (context of unigrams: none)."""
     keys, n, begins = ngrams(text_bytes(part.column(text)), order)
-    expand = zstandard.ZstdDecompressor().decompress
     counts = []
     for kind, level in enumerate(keys):
         own, inverse = np.unique(level, return_inverse=True)
-        at = batches.cut(own, buckets)
+        at = how.cut(own)
         values = np.zeros(len(own), np.uint64)
         for b in np.flatnonzero(np.diff(at)):
-            answer = np.frombuffer(expand(got[kind * buckets + b]), np.uint64)
-            size = at[b + 1] - at[b]
-            values[at[b] : at[b + 1]] = answer[size:] if deleted else answer[:size]
+            values[at[b] : at[b + 1]] = batches.unpack_arrays(got[kind * how.buckets + b], ["<u8"] * Counting.arrays(role))[int(kept)]
         counts.append(values[inverse].astype(np.float64))
     ends = np.cumsum(n) - 1
     texts_seen = counts[0][ends[0]] if len(ends) else 0.0  # as often as the end
@@ -107,75 +126,99 @@ def looked_up(part: pa.Table, text: str, order: int, buckets: int, got: dict[int
 
 
 def components(counts: list, contexts: list, total: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The context bucket of each token, and its probability in each order, the highest last."""
-    bucket = np.log2(contexts[-1] + 1).astype(np.int64) if len(contexts) > 1 else np.zeros(len(counts[0]), np.int64)
+    """The context bucket of each token (LEVEL times the number of orders that take part, and the power of two of the
+    longest context seen), and its probability in each order, the highest last.
+    """
+    n = len(counts[0])
+    bucket = np.full(n, LEVEL * (total > 0), np.int64)
     out = [counts[0] / max(total, 1.0)]
-    for c, context in zip(counts[1:], contexts[1:], strict=True):
-        out.append(np.divide(c, context, out=np.zeros_like(c), where=context > 0))
+    for level, (c, context) in enumerate(zip(counts[1:], contexts[1:], strict=True), 2):
+        seen = context > 0
+        bucket[seen] = LEVEL * level + np.log2(context[seen]).astype(np.int64)
+        out.append(np.divide(c, context, out=np.zeros(n), where=seen))
     return bucket, out
 
 
-def fit(rows: pd.DataFrame, order: int, uniform: float, rounds: int = ROUNDS) -> dict[int, list[float]]:
-    """EM for the weights of each context bucket: uniform first, then each order. -1: for buckets without rows."""
-    weights = {-1: [1 / (order + 1)] * (order + 1)}
-    if rows.empty:
-        return weights
-    for bucket, own in [(-1, rows), *rows.groupby("bucket")]:
-        p = np.column_stack([np.full(len(own), uniform), *(np.where(own[f"q{i}"] == NEVER, 0.0, 2.0 ** (own[f"q{i}"] / OCTAVE)) for i in range(order))])
-        n, w = own["n"].to_numpy(float), np.full(order + 1, 1 / (order + 1))
-        for _ in range(rounds):
-            share = p * w
-            share /= share.sum(1, keepdims=True)
-            w = n @ share / n.sum()
-        w = np.maximum(w, [1e-6, *[0.0] * order])  # an unknown word keeps a chance
-        weights[int(bucket)] = (w / w.sum()).tolist()
-    return weights
-
-
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, folds: int = 10) -> DataFrame:
+def binned(p: np.ndarray) -> np.ndarray:
+    """Logarithm of a probability to 1 / OCTAVE of an octave."""
+    return np.where(p > 0, np.round(np.log2(np.where(p > 0, p, 1)) * OCTAVE), NEVER).astype(np.int64)
+
+
+def em(p: np.ndarray, n: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of the columns of p (rows: how likely each makes a token, n times) by expectation-maximisation."""
+    w = np.full(p.shape[1], 1 / p.shape[1])
+    for _ in range(rounds):
+        share = p * w
+        share /= share.sum(1, keepdims=True)
+        w = n @ share / n.sum()
+    return w
+
+
+def fit(rows: pd.DataFrame, order: int, uniform: float, rounds: int = ROUNDS) -> np.ndarray:
+    """Weights of each context bucket: uniform first, then each order. Rows: bucket, q0.. (binned), n.
+
+    A bucket without rows has the weights of all rows of its number of orders, evenly mixed ones if there are none.
+    """
+    out = np.zeros((LEVEL * (order + 1), order + 1))
+    for level in range(order + 1):
+        own = rows[rows["bucket"] // LEVEL == level]
+        groups = [(slice(LEVEL * level, LEVEL * (level + 1)), own), *own.groupby("bucket")]
+        for bucket, some in groups:
+            if some.empty:
+                w = np.full(level + 1, 1 / (level + 1))
+            else:
+                p = np.column_stack([np.full(len(some), uniform), *(np.where(some[f"q{i}"] == NEVER, 0.0, 2.0 ** (some[f"q{i}"] / OCTAVE)) for i in range(level))])
+                w = em(p, some["n"].to_numpy(float), rounds)
+                w[0] = max(w[0], 1e-6)  # an unknown word keeps a chance
+            out[bucket, : level + 1] = w / w.sum()
+    return out
+
+
+def mixed(bucket: np.ndarray, p: list[np.ndarray], weights: np.ndarray, uniform: float) -> np.ndarray:
+    """Probability of each token."""
+    w = weights[bucket]
+    return w[:, 0] * uniform + sum(w[:, i + 1] * x for i, x in enumerate(p))
+
+
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, folds: int = 10, fan: int = batches.FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed unigrams), score (log10 of the mixture)."""
     held = F.when(crc_mod(doc_id, folds) == 0, TEST).when(F.floor(crc_mod(doc_id, folds * 10) / folds) == 0, DELETED).otherwise(TRAIN)
     staged = batches.stage(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), held.cast("int").alias("role")), "text", "lm", "role")
-    buckets = batches.n_buckets(staged, batches.BATCH_BYTES // 8)
-    replies = materialise(batches.answer(batches.ask(staged, partial(request, text="text", order=order), buckets), partial(reply, buckets=buckets), "u4"), "lm-counts", "none")
-    known, total = (replies.where("batch = -1").mapInPandas(_sums, "known bigint, total bigint").agg(F.sum("known"), F.sum("total")).first()) or (0, 0)
-    known, total = int(known or 0), int(total or 0)
+    how = batches.plan(staged, batches.BATCH_BYTES // 8, fan=fan)
+    replies = batches.count(staged, Counting("text", order), how, "lm-counts")
+    sums = replies.where("batch = -1").mapInPandas(_sums, "known bigint, total bigint, kept bigint").agg(F.sum("known"), F.sum("total"), F.sum("kept")).first()
+    known, total, kept = (int(x or 0) for x in sums or (0, 0, 0))
     replies = replies.where("batch >= 0")
+    grid = ["bucket", *(f"q{i}" for i in range(order))]
 
-    def binned(part: pa.Table, role: int, got: dict[int, bytes]) -> pd.DataFrame:
-        bucket, p = components(*looked_up(part, "text", order, buckets, got, True)[:2], total)
-        q = [np.where(x > 0, np.round(np.log2(np.where(x > 0, x, 1)) * OCTAVE), NEVER).astype(np.int64) for x in p]
-        rows, n = np.unique(np.column_stack([bucket, *q]), axis=0, return_counts=True)
-        return pd.DataFrame(rows, columns=["bucket", *(f"q{i}" for i in range(order))]).assign(n=n)
+    def cells(part: pa.Table, role: int, got: dict[int, bytes]) -> pa.Table:
+        bucket, p = components(*looked_up(part, "text", order, how, got, role, True)[:2], kept)
+        rows, n = np.unique(np.column_stack([bucket, *map(binned, p)]), axis=0, return_counts=True)
+        return pa.table({**{c: rows[:, i] for i, c in enumerate(grid)}, "n": n})
 
-    cells = batches.finish(staged.where(f"role = {DELETED}"), _of(replies, staged, DELETED), binned, ", ".join(f"{c} bigint" for c in ["bucket", *(f"q{i}" for i in range(order)), "n"]))
-    rows = cells.groupBy(*cells.columns[:-1]).agg(F.sum("n").alias("n")).toPandas()
+    own = replies.join(staged.where(f"role = {DELETED}").select("batch"), "batch", "left_semi")
+    rows = batches.finish(staged.where(f"role = {DELETED}"), own, cells, ", ".join(f"{c} bigint" for c in [*grid, "n"]))
     uniform = 1.0 / (known + 1)
-    weights = fit(rows, order, uniform)
-    grid = np.array([weights.get(b, weights[-1]) for b in range(65)])
-
-    def scored(part: pa.Table, role: int, got: dict[int, bytes]) -> pd.DataFrame:
-        counts, contexts, n = looked_up(part, "text", order, buckets, got, False)
-        bucket, p = components(counts, contexts, total)
-        w = grid[bucket]
-        mixed = w[:, 0] * uniform + sum(w[:, i + 1] * x for i, x in enumerate(p))
+    weights = fit(rows.groupBy(*grid).agg(F.sum("n").alias("n")).toPandas(), order, uniform)
+
+    def scored(part: pa.Table, role: int, got: dict[int, bytes]) -> pa.Table:
+        counts, contexts, n = looked_up(part, "text", order, how, got, role, False)
+        p = mixed(*components(counts, contexts, total), weights, uniform)
         base = np.log10((counts[0] + 0.1) / (total + 0.1 * (known + 1)))
         starts = np.cumsum(n) - n
         sums = lambda x: np.add.reduceat(x, starts) if len(x) else x
-        return pd.DataFrame({doc_id: part.column("doc").to_pandas(types_mapper=lambda t: pd.ArrowDtype(t)), "held_out": role == TEST, "n_tokens": n, "n_known": sums((counts[0] > 0).astype(np.int64)), "train_tokens": total, "base_score": sums(base), "score": sums(np.log10(mixed))})
+        columns = {"held_out": pa.array(np.full(len(n), role == TEST)), "n_tokens": n, "n_known": sums((counts[0] > 0).astype(np.int64)), "train_tokens": np.full(len(n), total), "base_score": sums(base), "score": sums(np.log10(p))}
+        return pa.table({"doc": part.column("doc"), **columns})
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return batches.finish(staged, replies, scored, f"`{doc_id}` {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
-
-
-def _of(replies: DataFrame, staged: DataFrame, role: int) -> DataFrame:
-    return replies.join(staged.where(f"role = {role}").select("batch"), "batch", "left_semi")
+    schema = f"doc {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return batches.finish(staged, replies, scored, schema).withColumnRenamed("doc", doc_id)
 
 
-def _sums(frames):
+def _sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        at = np.array([np.frombuffer(x, np.int64) for x in frame["data"]]).reshape(-1, 2)
-        yield pd.DataFrame({"known": at[:, 0], "total": at[:, 1]})
+        at = np.array([np.frombuffer(x, np.int64) for x in frame["data"]]).reshape(-1, 3)
+        yield pd.DataFrame(at, columns=["known", "total", "kept"])
 
 
 def fold(doc_id: object, n: int) -> int:

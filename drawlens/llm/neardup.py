@@ -1,17 +1,21 @@
 """Near-duplicate documents: SimHash candidates and an exact prefix filter, verified by the Jaccard similarity of shingles.
 
-Equal texts are one node. Fingerprints (majority bits of three-word shingles) within `most` bits meet by the generalised
-pigeonhole principle of `simhash`; on every key each node proposes its `nearest` closest neighbours, so that a group of
-near copies yields a number of pairs that is linear in its size. Proposals are verified on the whole sets of five-word
-shingles (32-bit hashes); pairs of similarity `similarity` or more are links, and documents reachable by links a group.
+Equal texts are one node. A node's fingerprint has the majority bits of its distinct five-word shingles; fingerprints
+within `most` bits meet by the generalised pigeonhole principle of `simhash`, and in every cell each node proposes its
+`nearest` closest neighbours, so that a group of near copies yields a number of pairs that is linear in its size. Proposals
+are verified on the whole sets of shingles; pairs of similarity `similarity` or more are links, and documents reachable by
+links a group.
 
 A second pass finds every further pair, however far its fingerprints: in any order of all shingles two sets of that
 similarity share one of the first n - ceil(similarity * n) + 1 of either. Those are its keys; pairs of different groups
 that meet on one and whose sizes and parity bits allow the similarity are verified too, so that the groups are those of
-all pairs. Shingles that are common in a sample come last in the order, which changes the cost but no result.
+all pairs. Shingles that are common in a sample come last in the order, which changes the cost but no result. Keys that
+many nodes share are compared in cells of bounded size (see `pairing`).
 
-Null texts equal empty ones; texts of fewer words than a shingle compare as a whole. Rows with a null id are kept apart
-(each its own group). Repeated rows are copies. An empty table gives an empty result.
+Shingles are 64-bit hashes, so are the texts of nodes: n texts are expected to hold n^2 / 2^65 pairs taken for equal.
+Null texts equal empty ones; texts of fewer words than a shingle compare as a whole; texts may be of any length. Rows with
+a null id are kept apart (each its own group). Repeated rows are copies. An empty table gives an empty result. Columns of
+any name are carried.
 """
 
 from __future__ import annotations
@@ -21,264 +25,275 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import simhash
-from .common import chunks, materialise, text_bytes
+from . import pairing, simhash
+from .common import chunks, discard, free_name, materialise, mix, named, text_bytes, word_hashes
 from .components import connected_components
 
-MOST, NEAREST, SIMILARITY, SHINGLE = 12, 6, 0.8, 5
+MOST, NEAREST, SIMILARITY, SHINGLE = 9, 4, 0.8, 5
 FAR = np.int64(2**62)
-MARKS = 1024  # parity bits of a shingle set
-SAMPLE, COMMON = 2000, 4  # texts that common shingles are found in, and in how many of them those are
-
-
-def proposals(keys: np.ndarray, fps: np.ndarray, most: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted keys: pairs of indexes of each one and its nearest within its key (ties to the earlier)."""
-    n = len(keys)
-    edge = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), n) if n else np.zeros(1, np.int64)
-    last = np.repeat(edge[1:], np.diff(edge))
-    best = np.full((nearest, n), FAR, np.int64)
+FEWEST, MARKS = 64, 8192  # parity bits of a shingle set, at least and at most
+SAMPLE, COMMON, LONG = 4000, 2, 1 << 13  # texts that common shingles are found in, in how many of them, and their bytes
+BROADCAST = 1 << 20  # nodes (8 bytes each) up to which those that are needed are broadcast
+MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
+
+
+def shingle_sets(texts: list[bytes], shingle: int) -> list[np.ndarray]:
+    """The distinct 64-bit hashes of each text's shingles, ascending; of fewer words the whole is the only one."""
+    h, n = word_hashes(texts, lower=True)
+    rolled = np.zeros(max(len(h) - shingle + 1, 0), np.uint64)
+    for k in range(shingle):
+        rolled = rolled * MULTIPLIER + h[k : k + len(rolled)]
+    rolled = mix(rolled)
+    out, at = [], 0
+    for k in n.tolist():
+        if k >= shingle:
+            out.append(np.unique(rolled[at : at + k - shingle + 1]))
+        else:
+            whole = np.array([k + 1], np.uint64)
+            for x in h[at : at + k]:
+                whole = mix(whole) + x
+            out.append(whole)
+        at += k
+    return out
+
+
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """Parity bits of a set as 64-bit words: a power of two of them, of at least three quarters of its size within bounds."""
+    bits = min(max(FEWEST, 1 << (3 * len(hashes) // 4).bit_length()), MARKS)
+    counts = np.bincount((hashes >> np.uint64(13)).astype(np.int64) % bits, minlength=bits)
+    return np.packbits(counts.astype(np.uint8) & 1).view(np.uint64)
+
+
+def possible(i: np.ndarray, j: np.ndarray, sizes: np.ndarray, marks: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of places the sizes and parity bits allow to be similar: sets differ in at least as many members as
+    their parity bits, those of the larger folded to as many as the smaller has.
+    """
+    small = np.minimum(sizes[i], sizes[j])
+    good = small >= similarity * np.maximum(sizes[i], sizes[j])
+    width = np.array([len(m) for m in marks], np.int64)
+    at = np.flatnonzero(good)
+    least = np.minimum(width[i[at]], width[j[at]])
+    for w in np.unique(least).tolist():
+        own = at[least == w]
+        rows, back = np.unique(np.concatenate([i[own], j[own]]), return_inverse=True)
+        folded = np.stack([np.bitwise_xor.reduce(marks[r].reshape(-1, w), axis=0) for r in rows.tolist()])
+        for a in range(0, len(own), 1 << 14):
+            some = own[a : a + (1 << 14)]
+            x, y = back[a : a + len(some)], back[len(own) + a : len(own) + a + len(some)]
+            apart = np.bitwise_count(folded[x] ^ folded[y]).sum(1, dtype=np.int64)
+            both = sizes[i[some]] + sizes[j[some]]
+            common = np.minimum((both - apart) // 2, small[some])
+            good[some] = common >= similarity * (both - common)
+    return good
+
+
+def proposals(cell: np.ndarray, crossed: np.ndarray, part: np.ndarray, fps: np.ndarray, most: int, nearest: int) -> tuple[np.ndarray, np.ndarray]:
+    """For rows in order of their cells: pairs of places of each one and its nearest within its cell (ties to the earlier)."""
+    best = np.full((nearest, len(cell)), FAR, np.int64)
 
     def offer(to: np.ndarray, value: np.ndarray) -> None:
         for row in best:
             held = row[to]
             row[to], value = np.minimum(held, value), np.maximum(held, value)
 
-    at, lag = np.arange(n), 1
-    while len(at := at[at + lag < last[at]]):
-        for a in range(0, len(at), 1 << 19):
-            i = at[a : a + (1 << 19)]
-            d = np.bitwise_count(fps[i] ^ fps[i + lag])
-            close = d <= most
-            if close.any():
-                i, d = i[close], d[close].astype(np.int64) << 40
-                offer(i, d | (i + lag))
-                offer(i + lag, d | i)
-        lag += 1
+    for i, j in pairing.at_lags(cell, crossed, part):
+        d = np.bitwise_count(fps[i] ^ fps[j])
+        close = d <= most
+        if close.any():
+            i, j, d = i[close], j[close], d[close].astype(np.int64) << 40
+            offer(i, d | j)
+            offer(j, d | i)
     slot, i = np.nonzero(best < FAR)
     return i, best[slot, i] & ((1 << 40) - 1)
 
 
-def remaining(keys: np.ndarray, groups: np.ndarray, sizes: np.ndarray, marks: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For sorted keys: all pairs of indexes within a key, of different groups, that sizes and marks allow to be similar,
-    some at a time.
-
-    Two sets differ in at least as many members as their marks (rows of 64-bit words) differ in bits.
-    """
-    n = len(keys)
-    edge = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), n) if n else np.zeros(1, np.int64)
-    last = np.repeat(edge[1:], np.diff(edge))
-    at, lag = np.arange(n), 1
-    while len(at := at[at + lag < last[at]]):
-        for a in range(0, len(at), 1 << 16):
-            i = at[a : a + (1 << 16)]
-            j = i + lag
-            good = (groups[i] != groups[j]) & (np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]))
-            i, j = i[good], j[good]
-            both = sizes[i] + sizes[j]
-            common = np.minimum((both - np.bitwise_count(marks[i] ^ marks[j]).sum(1, dtype=np.int64)) // 2, np.minimum(sizes[i], sizes[j]))
-            good = common >= similarity * (both - common)
-            if good.any():
-                yield i[good], j[good]
-        lag += 1
-
-
-def by_key(nodes: DataFrame, chosen: list) -> DataFrame:
-    """nodes (node, fp, ...) once for each key of the plan, sorted by key within partitions."""
-    masks = [(i, mask) for i, (bits, t) in enumerate(chosen) for mask in simhash.keys_of(bits, t)]
-    signed = lambda mask: mask - (1 << 64) if mask >> 63 else mask
-    key = F.explode(F.array(*[F.xxhash64(F.lit(i), F.lit(str(m)), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in masks]))
-    return nodes.select("*", key.alias("key")).repartition("key").sortWithinPartitions("key", "node")
-
-
-def whole_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Regroup sorted frames so that no key is divided."""
-    held = None
-    for frame in frames:
-        if frame.empty:
-            continue
-        frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-        keys = frame["key"].to_numpy()
-        open_from = int(np.searchsorted(keys, keys[-1]))
-        held, frame = frame.iloc[open_from:], frame.iloc[:open_from]
-        if len(frame):
-            yield frame
-    if held is not None:
-        yield held
-
-
 def _pairs(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> pd.DataFrame:
     pairs = np.unique(np.column_stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]), axis=0)
     return pd.DataFrame(pairs, columns=["u", "v"])
 
 
-def candidates(nodes: DataFrame, most: int, nearest: int, chosen: list) -> DataFrame:
-    """Distinct pairs (u < v) of node keys."""
+def candidates(nodes: DataFrame, most: int, nearest: int, chosen: list, limit: int) -> DataFrame:
+    """Distinct pairs (u < v) of nodes (node, fp)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_keys(frames):
-            i, j = proposals(frame["key"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), most, nearest)
+        for frame, cell in pairing.whole_cells(frames):
+            crossed = frame["a"].to_numpy() != frame["b"].to_numpy()
+            i, j = proposals(cell, crossed, frame["part"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), most, nearest)
             yield _pairs(frame["node"].to_numpy(), i, j)
 
-    return by_key(nodes.select("node", "fp"), chosen).mapInPandas(run, "u bigint, v bigint").distinct()
+    return pairing.dealt(pairing.cells(simhash.by_key(nodes, chosen), limit=limit)).mapInPandas(run, "u bigint, v bigint").distinct()
 
 
 def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
-    """The first members of a set (distinct 32-bit hashes, ascending) that a similar one must share one of; common last."""
-    if not len(hashes):
-        return np.zeros(1, np.uint32)
-    late = np.isin(hashes, common, assume_unique=True)
+    """The first members of a set (ascending) that a similar one must share one of; those of `common` come last."""
+    late = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes if len(common) else np.zeros(len(hashes), bool)
     return np.concatenate([hashes[~late], hashes[late]])[: len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
 
 
-def more_candidates(sets: DataFrame, groups: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (u < v) of all nodes of sets that differ in group (node, group) and may be similar."""
-    own = groups.select("node", "group").join(sets.select("node", "shingles", "marks"), "node").select("*", (F.octet_length("shingles") / 4).cast("bigint").alias("size"))
-    few = sets.orderBy(F.xxhash64("node"), "node").select("node").limit(SAMPLE)
-    seen = [np.frombuffer(r["shingles"], np.uint32) for r in sets.join(F.broadcast(few), "node", "left_semi").where(F.octet_length("shingles") < 1 << 14).select("shingles").toLocalIterator()]
-    value, count = np.unique(np.concatenate(seen) if seen else np.empty(0, np.uint32), return_counts=True)
-    common = value[count >= COMMON]
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "shingles", 4 << 20):
-            keys = [prefix(np.frombuffer(x, np.uint32), common, similarity) for x in part.column("shingles").to_pylist()]
-            times = [len(k) for k in keys]
-            columns = [np.concatenate(keys).astype(np.int64), *[np.repeat(part.column(c).to_numpy(), times) for c in ("node", "group")]]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "group"])
-
-    def met(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_keys(frames):
-            keys, group = frame["key"].to_numpy(), frame["group"].to_numpy()
-            edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            mixed = np.minimum.reduceat(group, edge) != np.maximum.reduceat(group, edge)
-            yield frame.loc[np.repeat(mixed, np.diff(np.append(edge, len(keys)))), ["key", "node"]]
+def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
+    """Shingles of several of a sample's texts (rows: node, text): some SAMPLE distinct texts of LONG bytes at most."""
+    share = max(1, rows.count() // SAMPLE)
+    some = rows.where((F.pmod(F.xxhash64("node", F.lit("sample")), F.lit(share)) == 0) & (F.octet_length("text") < LONG))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_keys(frames):
-            ids = frame["node"].to_numpy()
-            marks = np.frombuffer(b"".join(frame["marks"]), np.uint64).reshape(len(ids), MARKS // 64)
-            for i, j in remaining(frame["key"].to_numpy(), frame["group"].to_numpy(), frame["size"].to_numpy(), marks, similarity):
-                yield _pairs(ids, i, j)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text", 4 << 20):
+            own = np.concatenate(shingle_sets(text_bytes(part.column("text")), shingle))
+            yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()])], ["keys"])
 
-    by = lambda rows: rows.repartition("key").sortWithinPartitions("key", "node")
-    keys = by(own.select("node", "group", "shingles").mapInArrow(keyed, "key bigint, node bigint, group bigint"))
-    shared = materialise(keys.mapInPandas(met, "key bigint, node bigint"), "neardup-keys")
-    return by(shared.join(own.select("node", "group", "size", "marks"), "node")).mapInPandas(run, "u bigint, v bigint").distinct()
+    found = some.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "keys binary").collect()
+    key, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in found)]), return_counts=True)
+    return key[n >= COMMON]
 
 
-def shingle_sets(rows: DataFrame, shingle: int) -> DataFrame:
-    """(node, shingles, marks): the distinct 32-bit shingle hashes of each text, packed, and MARKS parity bits of them."""
+def sketches(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(id, node, fp, size, marks, prefix) of rows (id, node, text)."""
+    common = rows.sparkSession.sparkContext.broadcast(common_shingles(rows, shingle))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text", 8 << 20):
-            sets = [np.unique(simhash.shingle_hashes(x, shingle).astype(np.uint32)).tobytes() for x in text_bytes(part.column("text"))]
-            marks = [np.packbits(np.bincount(np.frombuffer(x, np.uint32) % MARKS, minlength=MARKS) & 1).tobytes() for x in sets]
-            yield pa.RecordBatch.from_arrays([part.column("node").combine_chunks(), pa.array(sets, pa.binary()), pa.array(marks, pa.binary())], ["node", "shingles", "marks"])
+        for part in chunks(batches, "text", 4 << 20):
+            sets = shingle_sets(text_bytes(part.column("text")), shingle)
+            columns = [
+                part.column("id").combine_chunks(), part.column("node").combine_chunks(), pa.array([simhash.fingerprint(x) for x in sets], pa.int64()), pa.array([len(x) for x in sets], pa.int64()),
+                pa.array([parity(x).tobytes() for x in sets], pa.binary()), pa.array([prefix(x, common.value, similarity).tobytes() for x in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "node", "fp", "size", "marks", "prefix"])
 
-    return rows.mapInArrow(run, "node bigint, shingles binary, marks binary")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, node bigint, fp bigint, size bigint, marks binary, prefix binary")
 
 
-def parity(hashes: np.ndarray) -> bytes:
-    """Parity bits of a set, four or more a member, a power of two of them."""
-    bits = max(MARKS, 1 << (4 * len(hashes)).bit_length())
-    return np.packbits(np.bincount(hashes % np.uint32(bits), minlength=bits) & 1).tobytes()
+def marks_of(column: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column]
 
 
-def allowed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs whose parity bits allow the similarity (a lossless bound); it spares `verified` most of the long sets."""
+def more_candidates(nodes: DataFrame, similarity: float, limit: int) -> DataFrame:
+    """Distinct pairs (u < v) of nodes (node, group, size, marks, prefix) of different groups that may be similar."""
 
-    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "shingles", 4 << 20):
-            own = [np.frombuffer(x, np.uint32) for x in part.column("shingles").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("node").combine_chunks(), pa.array([len(x) for x in own], pa.int64()), pa.array([parity(x) for x in own], pa.binary())], ["node", "n", "bits"])
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "prefix", 4 << 20):
+            keys = [np.frombuffer(x, np.int64) for x in part.column("prefix").to_pylist()]
+            times = [len(k) for k in keys]
+            columns = [np.concatenate(keys), *[np.repeat(part.column(c).to_numpy(), times) for c in ("node", "group")]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "group"])
 
-    few = sets.select("node", "shingles").mapInArrow(shrink, "node bigint, n bigint, bits binary")
-    left = pairs.join(few.withColumnsRenamed({"node": "u", "n": "x", "bits": "a"}), "u")
-    both = left.join(few.withColumnsRenamed({"node": "v", "n": "y", "bits": "b"}), "v").select("u", "v", "x", "y", "a", "b")
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, cell in pairing.whole_cells(frames):
+            # Within a block, in order of groups, each row meets those behind its group; across blocks, those of the second.
+            crossed, part, group = (frame["a"] != frame["b"]).to_numpy(), frame["part"].to_numpy(), frame["group"].to_numpy()
+            order = np.lexsort((np.where(crossed, part, group), cell))
+            ids, group, size = (frame[c].to_numpy()[order] for c in ("node", "group", "size"))
+            marks = marks_of(frame["marks"].to_numpy()[order])
+            cell = cell[order]
+            own = np.cumsum(np.append(0, (cell[1:] != cell[:-1]) | (np.where(crossed, part, group)[order][1:] != np.where(crossed, part, group)[order][:-1])))
+            for i, j in pairing.spans(pairing.ends(own), pairing.ends(cell)):
+                other = group[i] != group[j]
+                i, j = i[other], j[other]
+                good = possible(i, j, size, marks, similarity)
+                if good.any():
+                    yield _pairs(ids, i[good], j[good])
+
+    keys = nodes.select("node", "group", "prefix").mapInArrow(keyed, "key bigint, node bigint, group bigint")
+    shared = materialise(pairing.cells(keys, "group", limit), "neardup-keys")
+    met = shared.drop("group").join(nodes.select("node", "group", "size", "marks"), "node")
+    out = materialise(pairing.dealt(met).mapInPandas(run, "u bigint, v bigint").distinct(), "neardup-more")
+    discard(shared)
+    return out
+
+
+def allowed(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that sizes and parity bits allow to be similar."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            good = []
-            for x, y, a, b in zip(frame["x"], frame["y"], frame["a"], frame["b"], strict=True):
-                a, b = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
-                while len(b) > len(a):
-                    b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-                common = min((x + y - int(np.bitwise_count(a ^ b).sum(dtype=np.int64))) // 2, x, y)
-                good.append(common >= similarity * (x + y - common))
-            yield frame.loc[np.array(good, bool), ["u", "v"]]
+            n = len(frame)
+            sizes, marks = np.concatenate([frame["x"], frame["y"]]), [*marks_of(frame["p"]), *marks_of(frame["q"])]
+            yield frame.loc[possible(np.arange(n), np.arange(n, 2 * n), sizes, marks, similarity), ["u", "v"]]
+
+    own = nodes.select("node", "size", "marks")
+    left = pairs.join(own.withColumnsRenamed({"node": "u", "size": "x", "marks": "p"}), "u")
+    return left.join(own.withColumnsRenamed({"node": "v", "size": "y", "marks": "q"}), "v").mapInPandas(run, "u bigint, v bigint")
 
-    return both.mapInPandas(run, "u bigint, v bigint")
 
+def verified(pairs: DataFrame, rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of similar texts; rows: node, text."""
+    needed = materialise(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct(), "neardup-needed")
+    few = F.broadcast(needed) if needed.count() <= BROADCAST else needed
 
-def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    sets = sets.select("node", "shingles")
-    left = pairs.join(sets.withColumnsRenamed({"node": "u", "shingles": "a"}), "u")
-    both = left.join(sets.withColumnsRenamed({"node": "v", "shingles": "b"}), "v").select("u", "v", "a", "b")
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text", 4 << 20):
+            own = [x.tobytes() for x in shingle_sets(text_bytes(part.column("text")), shingle)]
+            yield pa.RecordBatch.from_arrays([part.column("node").combine_chunks(), pa.array(own, pa.binary())], ["node", "shingles"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             good = []
-            for a, b in zip(frame["a"], frame["b"], strict=True):
-                x, y = len(a) // 4, len(b) // 4
-                if min(x, y) < similarity * max(x, y):
-                    good.append(False)
-                    continue
-                common = x + y - len(np.unique(np.frombuffer(a + b, np.uint32)))
-                good.append(common >= similarity * (x + y - common) if x + y else True)
-            yield frame.loc[good, ["u", "v"]]
+            for a, b in zip(frame["p"], frame["q"], strict=True):
+                both = (len(a) + len(b)) // 8
+                either = len(np.unique(np.frombuffer(a + b, np.uint64)))
+                good.append(both - either >= similarity * either)
+            yield frame.loc[np.array(good, bool), ["u", "v"]]
 
-    return both.mapInPandas(run, "u bigint, v bigint")
+    texts = rows.join(few, "node", "left_semi").dropDuplicates(["node"])
+    own = materialise(texts.mapInArrow(sets, "node bigint, shingles binary"), "neardup-sets")
+    left = pairs.join(own.withColumnsRenamed({"node": "u", "shingles": "p"}), "u")
+    out = materialise(left.join(own.withColumnsRenamed({"node": "v", "shingles": "q"}), "v").mapInPandas(run, "u bigint, v bigint"), "neardup-links")
+    discard(needed, own)
+    return out
 
 
-def _groups(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int, most: int, nearest: int) -> tuple[DataFrame, DataFrame]:
-    """(id, node) of every row with an id, and (node, id, component, group) of every distinct text; id is its smallest."""
-    node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("id"), node.alias("node"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = docs.schema[doc_id].dataType.simpleString()
+def node_of(text: str) -> Column:
+    return F.xxhash64(F.coalesce(named(text), F.lit("")))
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text", 8 << 20):
-            fp = [simhash.fingerprint(simhash.shingle_hashes(x, 3)) for x in text_bytes(part.column("text"))]
-            yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks(), part.column("node").combine_chunks(), pa.array(fp, pa.int64())], ["id", "node", "fp"])
 
-    marked = materialise(rows.mapInArrow(prints, f"id {kind}, node bigint, fp bigint"), "neardup-prints")
-    nodes = materialise(marked.groupBy("node").agg(F.min("fp").alias("fp"), F.min("id").alias("id")), "neardup-nodes")
+def _groups(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle: int, most: int, nearest: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(id, node) of every row with an id, and (node, id, component, group) of every distinct text; id is its smallest."""
+    rows = docs.where(named(doc_id).isNotNull()).select(named(doc_id).alias("id"), node_of(text).alias("node"), F.coalesce(named(text), F.lit("")).alias("text"))
+    marked = materialise(sketches(rows, shingle, similarity), "neardup-sketches")
+    nodes = materialise(marked.groupBy("node").agg(F.min("id").alias("id"), F.first(F.struct("fp", "size", "marks", "prefix")).alias("s")).select("node", "id", "s.*"), "neardup-nodes")
     total = nodes.count()
     if total < 2:
         return marked.select("id", "node"), nodes.select("node", "id", F.col("id").alias("component"), F.col("node").alias("group"))
-    sample = nodes.orderBy(F.xxhash64("fp"), "node").limit(simhash.SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
-    chosen = simhash.plan(sample, total, most)
-    pairs = materialise(candidates(nodes, most, nearest, chosen), "neardup-pairs")
-    sets = materialise(shingle_sets(rows.select("node", "text"), shingle).dropDuplicates(["node"]), "neardup-sets", "none")
-    links = connected_components(verified(pairs, sets, similarity))
-    known = nodes.join(links.withColumnRenamed("component", "group"), "node", "left").select("node", F.coalesce("group", "node").alias("group"))
-    more = materialise(more_candidates(sets, known, similarity), "neardup-more")
-    found = materialise(verified(materialise(allowed(more, sets, similarity), "neardup-allowed"), sets, similarity), "neardup-found")
-    if not found.isEmpty():
-        links = connected_components(links.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found))
-    labelled = nodes.join(links, nodes.node == links.node, "left").select(nodes.node, "id", F.coalesce("component", nodes.node).alias("group"))
+    ids = materialise(marked.select("id", "node"), "neardup-rows")
+    discard(marked)
+    texts = rows.select("node", "text")
+    chosen = simhash.plan(simhash.sampled(nodes), total, most)
+    pairs = materialise(candidates(nodes.select("node", "fp"), most, nearest, chosen, limit), "neardup-pairs")
+    near = materialise(allowed(pairs, nodes, similarity), "neardup-allowed")
+    found = verified(near, texts, shingle, similarity)
+    discard(pairs, near)
+    links = materialise(connected_components(found), "neardup-first")
+    known = nodes.join(links.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    more = more_candidates(known, similarity, limit)
+    further = verified(more, texts, shingle, similarity)
+    discard(found, more)
+    if not further.isEmpty():
+        links = connected_components(links.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(further))
+    labelled = nodes.select("node", "id").join(links.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     least = labelled.groupBy("group").agg(F.min("id").alias("component"))
-    return marked.select("id", "node"), materialise(labelled.join(least, "group").select("node", "id", "component", "group"), "neardup-labels")
+    labels = materialise(labelled.join(least, "group").select("node", "id", "component", "group"), "neardup-labels")
+    discard(nodes, further)
+    return ids, labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, most: int = MOST, nearest: int = NEAREST) -> DataFrame:
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, most: int = MOST, nearest: int = NEAREST, limit: int = pairing.LIMIT) -> DataFrame:
     """(id, node, component) per row with an id: component is the smallest id of the group, node the text's hash."""
-    rows, labels = _groups(docs, doc_id, text, similarity, shingle, most, nearest)
+    rows, labels = _groups(docs, doc_id, text, similarity, shingle, most, nearest, limit)
     return rows.join(labels.select("node", "component"), "node").select("id", "node", "component")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, most: int = MOST, nearest: int = NEAREST) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, shingle: int = SHINGLE, most: int = MOST, nearest: int = NEAREST, limit: int = pairing.LIMIT) -> DataFrame:
     """The rows of docs, all columns, but one row of each group: that of the smallest id. Rows with a null id stay.
 
     Of several texts of that id in one group the one of the least hash stays; texts of different groups stay, each once.
     """
-    rows, labels = _groups(docs, doc_id, text, similarity, shingle, most, nearest)
+    rows, labels = _groups(docs, doc_id, text, similarity, shingle, most, nearest, limit)
+    own, key, node = (free_name(x, docs.columns) for x in ("own_node", "kept_id", "kept_node"))
     chosen = labels.groupBy("group").agg(F.min(F.struct("id", "node")).alias("k"))
-    chosen = materialise(chosen.select(F.col("k.id").alias("__id"), F.col("k.node").alias("__node")), "neardup-kept")
-    node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    out = docs.join(chosen, (docs[doc_id] == chosen["__id"]) & (node == chosen["__node"]), "left_semi")
+    chosen = materialise(chosen.select(F.col("k.id").alias(key), F.col("k.node").alias(node)), "neardup-kept")
+    out = docs.where(named(doc_id).isNotNull()).withColumn(own, node_of(text)).join(chosen, (named(doc_id) == F.col(key)) & (F.col(own) == F.col(node)), "left_semi")
     repeated = rows.groupBy("id", "node").count().where("count > 1").limit(1).count()
-    out = out.withColumn("__node", node).dropDuplicates([doc_id, "__node"]).drop("__node") if repeated else out
-    return out.unionByName(docs.where(F.col(doc_id).isNull()))
+    out = out.dropDuplicates([doc_id, own]) if repeated else out
+    return out.drop(own).unionByName(docs.where(named(doc_id).isNull()))

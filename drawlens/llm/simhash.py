@@ -7,11 +7,13 @@ cost of keys and candidates: two fingerprints within `most` bits are within t_i
 meet on keys (t_i = 0: the partition's bits; t_i = 1 and 2: those with one or two bits left out; -1: partition unused)
 and are verified on all 64 bits.
 
-Equal fingerprints are joined beforehand, so a group of copies is one node however large; within a key only a spanning
-forest of verified links leaves the task, never all pairs. Components come from `components`.
+Equal fingerprints are joined beforehand, so a group of copies is one node however large; keys that many nodes share are
+divided into cells of bounded size (see `pairing`), and within a cell only a spanning forest of verified links leaves the
+task, never all pairs. Components come from `components`.
 
-Null texts and texts without words have fingerprint zero and link like any other. Rows with a null id get a fingerprint
-but take no part in links: their component is null. Repeated rows are copies. An empty table gives an empty result.
+Null texts and texts without words have fingerprint zero and link like any other; texts may be of any length. Rows with a
+null id get a fingerprint but take no part in links: their component is null. Repeated rows are copies. An empty table
+gives an empty result. Only the two columns named are read, so others can't clash.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, materialise, text_bytes
+from . import pairing
+from .common import chunks, discard, materialise, text_bytes
 from .components import connected_components
 
 SAMPLE = 20_000  # fingerprints that the estimates are made from
@@ -129,76 +132,67 @@ def plan(sample: np.ndarray, total: int, most: int) -> list[tuple[list[int], int
     return min((allocate(sample, total, most, parts) for parts in range(2, most + 4)), key=lambda x: x[0])[1]
 
 
-def forest(keys: np.ndarray, fps: np.ndarray, most: int) -> np.ndarray:
-    """For sorted keys: the least index that each is linked to, directly or not, within its key."""
-    n = len(keys)
-    parent = np.arange(n)
-    if n < 2:
-        return parent
-    edge = np.append(np.flatnonzero(np.append(True, keys[1:] != keys[:-1])), n)
-    last = np.repeat(edge[1:], np.diff(edge))  # one past the end of each one's key
-    at, lag = np.arange(n), 1
-    while len(at := at[at + lag < last[at]]):
-        for a in range(0, len(at), 1 << 20):
-            i = at[a : a + (1 << 20)]
-            j = i + lag
-            close = np.bitwise_count(fps[i] ^ fps[j]) <= most
-            x, y = parent[i[close]], parent[j[close]]
-            while len(x):
-                apart = x != y
-                x, y = x[apart], y[apart]
-                if not len(x):
-                    break
-                np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-                while not np.array_equal(up := parent[parent], parent):
-                    parent = up
-                x, y = parent[x], parent[y]
-        lag += 1
+def forest(cell: np.ndarray, crossed: np.ndarray, part: np.ndarray, fps: np.ndarray, most: int) -> np.ndarray:
+    """For rows in order of their cells: the least place that each is linked to, directly or not, within its cell."""
+    parent = np.arange(len(cell))
+    for i, j in pairing.at_lags(cell, crossed, part):
+        close = np.bitwise_count(fps[i] ^ fps[j]) <= most
+        x, y = parent[i[close]], parent[j[close]]
+        while len(x):
+            apart = x != y
+            x, y = x[apart], y[apart]
+            if not len(x):
+                break
+            np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+            while not np.array_equal(up := parent[parent], parent):
+                parent = up
+            x, y = parent[x], parent[y]
     return parent
 
 
-def links(nodes: DataFrame, most: int, chosen: list[tuple[list[int], int]]) -> DataFrame:
-    """Edges (u, v) between ids of nodes (id, fp): in every key a spanning forest of those within `most` bits."""
+def by_key(nodes: DataFrame, chosen: list[tuple[list[int], int]]) -> DataFrame:
+    """(key, node, fp) of nodes (node, fp), once for each key of the plan."""
     masks = [(i, mask) for i, (bits, t) in enumerate(chosen) for mask in keys_of(bits, t)]
-    key = lambda i, mask: F.xxhash64(F.lit(i), F.lit(str(mask)), F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask)))
-    keyed = nodes.select("id", "fp", F.explode(F.array(*[key(i, m) for i, m in masks])).alias("key"))
+    signed = lambda mask: mask - (1 << 64) if mask >> 63 else mask
+    keys = [F.xxhash64(F.lit(i), F.lit(str(m)), F.col("fp").bitwiseAND(F.lit(signed(m)))) for i, m in masks]
+    return nodes.select(F.explode(F.array(*keys)).alias("key"), "node", "fp")
+
+
+def links(nodes: DataFrame, most: int, chosen: list[tuple[list[int], int]], limit: int = pairing.LIMIT) -> DataFrame:
+    """Edges (u, v) between nodes (node, fp): in every key's cells a spanning forest of those within `most` bits."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for frame in frames:
-            if frame.empty:
-                continue
-            frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            open_from = int(np.searchsorted(frame["key"].to_numpy(), frame["key"].iloc[-1]))
-            held, frame = frame.iloc[open_from:], frame.iloc[:open_from]
-            yield found(frame)
-        if held is not None:
-            yield found(held)
-
-    def found(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = frame["id"].to_numpy()
-        parent = forest(frame["key"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), most)
-        child = np.flatnonzero(parent != np.arange(len(parent)))
-        return pd.DataFrame({"u": ids[child], "v": ids[parent[child]]})
-
-    return keyed.repartition("key").sortWithinPartitions("key").mapInPandas(run, "u bigint, v bigint")
-
-
-def near_groups(prints: DataFrame, most: int) -> DataFrame:
+        for frame, cell in pairing.whole_cells(frames):
+            ids = frame["node"].to_numpy()
+            crossed = frame["a"].to_numpy() != frame["b"].to_numpy()
+            parent = forest(cell, crossed, frame["part"].to_numpy(), frame["fp"].to_numpy().view(np.uint64), most)
+            child = np.flatnonzero(parent != np.arange(len(parent)))
+            yield pd.DataFrame({"u": ids[child], "v": ids[parent[child]]})
+
+    return pairing.dealt(pairing.cells(by_key(nodes, chosen), limit=limit)).mapInPandas(run, "u bigint, v bigint")
+
+
+def sampled(nodes: DataFrame) -> np.ndarray:
+    """A bounded sample of the fingerprints of nodes (node, fp)."""
+    return nodes.orderBy(F.xxhash64("fp"), "node").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+
+
+def near_groups(prints: DataFrame, most: int, limit: int = pairing.LIMIT) -> DataFrame:
     """(fp, component) for each distinct fingerprint of prints (id, fp)."""
-    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("id")), "simhash-nodes")
-    known = nodes.where("id is not null")
+    nodes = materialise(prints.groupBy("fp").agg(F.min("id").alias("node")), "simhash-nodes")
+    known = nodes.where("node is not null")
     total = known.count()
-    sample = known.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     if total < 2:
-        return nodes.select("fp", F.col("id").alias("component"))
-    groups = connected_components(links(known, most, plan(sample, total, most)))
-    return materialise(nodes.join(groups, nodes.id == groups.node, "left").select("fp", F.coalesce("component", "id").alias("component")), "simhash-groups")
+        return nodes.select("fp", F.col("node").alias("component"))
+    groups = connected_components(links(known, most, plan(sampled(known), total, most), limit))
+    out = materialise(nodes.join(groups.withColumnRenamed("node", "own"), F.col("node") == F.col("own"), "left").select("fp", F.coalesce("component", "node").alias("component")), "simhash-groups")
+    discard(nodes)
+    return out
 
 
-def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, most: int = 3) -> DataFrame:
+def simhash_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 3, most: int = 3, limit: int = pairing.LIMIT) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest id reachable by links)."""
     prints = materialise(fingerprints(docs, doc_id, text, width), "simhash")
-    groups = near_groups(prints, most)
+    groups = near_groups(prints, most, limit)
     out = prints.join(groups, "fp")
     return out.select(F.col("id").alias(doc_id), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.when(F.col("id").isNotNull(), F.col("component")).alias("component_id"))

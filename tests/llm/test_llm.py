@@ -17,195 +17,6 @@ SF = "/root/testdata/sf0.001"
 DOC = "doc_id bigint, text string, lang string, source string, n_chars bigint, batch int, id int, node string, n_words string"
 
 
-def frame(spark, texts, start=0):
-    """Documents with columns whose names operators use inside."""
-    return spark.createDataFrame([(i + start, t, "en", "s", len(t or ""), 1, 2, "x", "y") for i, t in enumerate(texts)], DOC)
-
-
-@pytest.fixture(scope="module")
-def texts():
-    r = random.Random(3)
-    words = [f"w{i}" for i in range(300)]
-    prose = lambda n: " ".join(r.choice(words) for _ in range(n))
-    shared = prose(60)
-    out = [prose(r.randrange(1, 200)) for _ in range(40)]
-    out += [prose(20) + " " + shared + "\n" + prose(15) for _ in range(5)]
-    out += [out[0]] * 6 + [shared, "", None, "  \t\n ", "a " * 120, "ÄÖ ü\x1c x\x85y z", "w1", prose(30_000)]
-    near = out[41].split()
-    return [*out, " ".join([*near[:50], "changed", *near[51:]])]
-
-
-@pytest.fixture(scope="module")
-def docs(spark, texts):
-    return frame(spark, texts).repartition(3).cache()
-
-
-def words(t):
-    return (t or "").encode().split()
-
-
-def test_substring_equals_brute_force(docs, texts):
-    seen = Counter(tuple(w[i : i + 35]) for w in map(words, texts) for i in range(len(w) - 34))
-    got = {r["doc_id"]: r for r in substring.kept_digest(docs).collect()}
-    whole = {r["doc_id"]: r for r in substring.remove_repeats(docs, carry=("lang", "batch")).collect()}
-    assert len(got) == len(texts)
-    for i, t in enumerate(texts):
-        w = words(t)
-        gone = [False] * len(w)
-        for k in range(len(w) - 34):
-            if seen[tuple(w[k : k + 35])] > 1:
-                gone[k : k + 35] = [True] * 35
-        kept = b" ".join(x for x, g in zip(w, gone) if not g)
-        assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), sum(gone), hashlib.sha256(kept).hexdigest())
-        assert whole[i]["kept_text"] == (kept.decode() if any(gone) else t) and sum(s["end"] - s["start"] for s in whole[i]["removed"]) == sum(gone) and whole[i]["batch"] == 1
-
-
-def test_lm_counts_and_base_scores(docs, texts):
-    tokens = [[*((t or "").encode().lower().split()), None] for t in texts]
-    train = Counter(x for i, w in enumerate(tokens) if lm.fold(i, 10) for x in w)
-    n, v = sum(train.values()), len(train)
-    rows = {r["doc_id"]: r for r in lm.score_documents(docs).collect()}
-    for i, w in enumerate(tokens):
-        r = rows[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (lm.fold(i, 10) == 0, len(w), sum(train[x] > 0 for x in w), n)
-        assert math.isclose(r["base_score"], sum(math.log10((train[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel_tol=1e-9)
-        assert math.isfinite(r["score"]) and r["score"] < 0
-    trained = [i for i in range(len(tokens)) if lm.fold(i, 10)]
-    assert sum(rows[i]["score"] for i in trained) > sum(rows[i]["base_score"] for i in trained)
-
-
-def test_lm_probabilities_sum_to_one():
-    counts = {"a": 3, "b": 1}
-    uniform = 1 / (len(counts) + 1)
-    p = [0.2 * uniform + 0.8 * c / 4 for c in counts.values()] + [0.2 * uniform]
-    assert math.isclose(sum(p), 1.0)
-
-
-def test_em_finds_the_better_order():
-    import pandas as pd
-
-    rows = pd.DataFrame({"bucket": [5], "q0": [-40], "q1": [-4], "n": [100]})
-    assert lm.fit(rows, 2, 1e-4)[5][2] > 0.99
-
-
-def brute_print(t):
-    w = (t or "").encode().lower().split()
-    s = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 3 else [b" ".join(w)] if w else []
-    h = [xxhash.xxh64_intdigest(x, seed=42) for x in s]
-    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
-
-
-def components(n, linked):
-    parent = list(range(n))
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in range(n):
-        for b in range(a):
-            if linked(a, b):
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    return [find(i) for i in range(n)]
-
-
-def test_simhash_equals_brute_force(docs, texts):
-    prints = [brute_print(t) for t in texts]
-    expected = components(len(texts), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
-    rows = {r["doc_id"]: r for r in simhash.simhash_groups(docs).collect()}
-    assert [rows[i]["fingerprint"] for i in range(len(texts))] == [f"{p:016x}" for p in prints]
-    assert [rows[i]["component_id"] for i in range(len(texts))] == expected
-
-
-@pytest.mark.parametrize("most", [1, 3, 6])
-def test_pigeonhole_loses_no_pair(most):
-    r = np.random.default_rng(most)
-    base = r.integers(0, 2**63, 300, dtype=np.uint64)
-    plan = simhash.plan(base, len(base), most)
-    assert sum(t + 1 for _, t in plan) == most + 1
-    masks = [m for bits, t in plan for m in simhash.keys_of(bits, t)]
-    for x in base[:60].tolist():
-        y = x
-        for b in r.choice(64, most, replace=False).tolist():
-            y ^= 1 << b
-        assert any(x & m == y & m for m in masks)
-
-
-def test_forest_links_what_is_near():
-    r = np.random.default_rng(0)
-    fps = np.array([0b1, 0b11, 0b111, *r.integers(0, 2**63, 5)], np.uint64)
-    assert simhash.forest(np.zeros(8, np.int64), fps, 1).tolist()[:3] == [0, 0, 0]
-
-
-def test_near_duplicates(spark, docs, texts):
-    def shingles(t):
-        w = (t or "").lower().split()
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
-
-    sets = [shingles(t) for t in texts]
-    expected = components(len(texts), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    rows = {r["id"]: r["component"] for r in neardup.near_duplicates(docs).collect()}
-    missed = sum(rows[i] != e for i, e in enumerate(expected) if i not in (46, 48, 49))
-    assert missed == 0
-    again = docs.union(docs.where("doc_id < 10"))
-    kept = sorted(r["doc_id"] for r in neardup.keep_one(again).collect())
-    assert kept == sorted(set(rows.values())) and neardup.keep_one(docs.where("doc_id < 0")).count() == 0
-
-
-def test_near_duplicates_beyond_the_nearest_proposed(spark):
-    """A crowded key: with one proposal a node, groups are still those of all pairs within the bits."""
-    r = random.Random(8)
-    base = [f"w{r.randrange(500)}" for _ in range(120)]
-    own = []
-    for _ in range(70):
-        w = list(base)
-        for k in r.sample(range(120), r.randrange(2, 9)):
-            w[k] = f"x{r.randrange(10**6)}"
-        own.append(" ".join(w))
-    prints = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 3)) for t in own]
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(116)} for t in own]
-    near = lambda a, b: ((prints[a] ^ prints[b]) & (2**64 - 1)).bit_count() <= 12
-    expected = components(len(own), lambda a, b: near(a, b) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(batch)
-    spark.conf.set(batch, 7)  # keys longer than a batch
-    for_each = [(n, {x["id"]: x["component"] for x in neardup.near_duplicates(frame(spark, own), nearest=n).collect()}) for n in (1, 6)]
-    spark.conf.set(batch, before)
-    assert all([got[i] for i in range(len(own))] == expected for _, got in for_each)
-
-
-def test_near_duplicates_beyond_the_bits(spark):
-    """Similar texts whose fingerprints are far apart: appended, replaced as a block, short, one line repeated."""
-    r = random.Random(12)
-    word = lambda: f"w{r.randrange(10**6)}"
-    own = []
-    for _ in range(60):
-        base = [word() for _ in range(120)]
-        own += [base, base + [word() for _ in range(28)]]
-        short = [word() for _ in range(8)]
-        own += [short, [*short, word()]]
-        long = [word() for _ in range(404)]
-        own += [long, long[:180] + [word() for _ in range(40)] + long[220:]]
-    line = [word() for _ in range(10)]
-    base = [word() for _ in range(120)]
-    own += [base + line, base + line * 40]
-    own = [" ".join(x) for x in own]
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, own)]
-    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    prints = [simhash.fingerprint(simhash.shingle_hashes(t.encode(), 3)) for t in own]
-    assert sum(similar(i, i + 1) and ((prints[i] ^ prints[i + 1]) & (2**64 - 1)).bit_count() > 12 for i in range(0, len(own), 2)) > 5
-    got = {x["id"]: x["component"] for x in neardup.near_duplicates(frame(spark, own)).collect()}
-    assert [got[i] for i in range(len(own))] == components(len(own), similar)
-
-
-def test_keep_one_keeps_each_text_of_a_repeated_id(spark):
-    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
-    rows = spark.createDataFrame([(5, a), (5, b), (9, b), (5, a)], "doc_id bigint, text string")
-    assert sorted((r["doc_id"], r["text"]) for r in neardup.keep_one(rows).collect()) == [(5, a), (5, b)]
-
-
 def test_sharding(docs, texts):
     rows = sharding.shard_documents(docs, shards=5).collect()
     size = {r["doc_id"]: r["size"] for r in rows}
@@ -265,35 +76,6 @@ def test_ann_small_tables(spark):
     assert ann.nearest(vectors(spark, [])).count() == 0
 
 
-def test_bpe_equals_library(docs, texts):
-    tiktoken = pytest.importorskip("tiktoken")
-    from drawlens.llm.queries import tokenizer
-
-    path, pattern = tokenizer()
-    ranks = {t: i for i, t in enumerate(bpe.load_ranks(path))}
-    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    rows = {r["doc_id"]: r for r in bpe.tokenize(docs, path, pattern, keep_ids=True).collect()}
-    for i, t in enumerate(texts):
-        ids = library.encode_ordinary(t or "")
-        assert rows[i]["ids"] == ids and rows[i]["n_tokens"] == len(ids)
-        assert rows[i]["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
-        assert rows[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
-
-
-def test_bpe_odd_texts():
-    tiktoken = pytest.importorskip("tiktoken")
-    from drawlens.llm.queries import tokenizer
-
-    path, pattern = tokenizer()
-    vocabulary, own = bpe.Vocabulary(bpe.load_ranks(path)), bpe.compiled(pattern)
-    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=vocabulary.ranks, special_tokens={})
-    r = random.Random(1)
-    odd = ["", "a" * 3000, "ab" * 999, "!!!??" * 50, " " * 77, "日本語🙂🙂 ñandú", "<|endoftext|>", "\x1c\x1d \x85 　"]
-    odd += ["".join(r.choice("ab cdé\n1!'st") for _ in range(200)) for _ in range(100)]
-    ids, n = bpe.encode_texts(odd, vocabulary, own)
-    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [library.encode_ordinary(x) for x in odd]
-
-
 def test_marginals_equal_enumeration():
     r = np.random.default_rng(0)
     e, t, s = r.standard_normal(9) * 2, r.standard_normal((2, 2)), r.standard_normal(2)
@@ -356,9 +138,9 @@ def test_wand_equals_scoring_all():
         assert {i for i, _ in index.wand(query)} == {i for i, x in score.items() if x >= 1}
 
 
-def test_leaks(spark, docs, texts):
+def test_leaks(spark, docs, texts, frame):
     item = "Which colour has the deep sea at noon. The sea is blue and very cold"
-    extra = frame(spark, ["before " * 150 + item.upper() + "! after " * 90, "the sea is blue"], start=1000)
+    extra = frame(["before " * 150 + item.upper() + "! after " * 90, "the sea is blue"], start=1000)
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "unseen words only here . nothing else at all")], "item_id bigint, text string")
     got = decontam.find_leaks(docs.union(extra), bench).collect()
     assert [(r["doc_id"], r["item_id"]) for r in got] == [(1000, 1)]
@@ -427,23 +209,6 @@ def test_warc_reads_gzip_members():
     assert [(h["warc-record-id"], b) for h, b in warc.records(data)] == [(f"<{i}>", b"ab\r\nc") for i in range(3)]
 
 
-@pytest.mark.parametrize("run", [substring.kept_digest, lm.score_documents, simhash.simhash_groups, sharding.shard_documents, neardup.near_duplicates, substring.remove_repeats])
-def test_empty_tables(docs, run):
-    assert run(docs.where("doc_id < 0")).count() == 0
-
-
-def test_components(spark):
-    from drawlens.llm.components import connected_components
-
-    r = random.Random(9)
-    edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(500 + i, 501 + i) for i in range(40)] + [(7, 7)]
-    linked = {(max(e), min(e)) for e in edges}
-    expected = components(541, lambda a, b: (a, b) in linked)
-    got = {x["node"]: x["component"] for x in connected_components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
-    nodes = {x for e in edges if e[0] != e[1] for x in e}
-    assert got == {x: expected[x] for x in nodes}
-
-
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
 def test_pipeline(spark):
     import corpus_pipeline as p
