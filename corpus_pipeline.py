@@ -30,12 +30,10 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def remove_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words covered by a window of 35 words that occurs elsewhere go; the row stays, with the length of its new text."""
     ship(spark)
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = substring.remove_repeats(docs, carry=carry)
-    text = out.withColumn("text", F.col("kept_text"))
+    text = substring.without_repeats(docs)
     if "n_chars" in docs.columns:
         text = text.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return text.select(docs.columns)
+    return text
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
