@@ -32,7 +32,7 @@ from . import pairing, simhash
 from .common import chunks, discard, free_name, materialise, mix, named, text_bytes, word_hashes
 from .components import connected_components
 
-MOST, NEAREST, SIMILARITY, SHINGLE = 9, 4, 0.8, 5
+MOST, NEAREST, SIMILARITY, SHINGLE = 6, 4, 0.8, 5
 FAR = np.int64(2**62)
 FEWEST, MARKS = 64, 8192  # parity bits of a shingle set, at least and at most
 SAMPLE, COMMON, LONG = 4000, 2, 1 << 13  # texts that common shingles are found in, in how many of them, and their bytes
