@@ -9,7 +9,7 @@ import tempfile
 import threading
 import uuid
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -138,29 +138,46 @@ _FIRST = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uin
 _LONGER = 256  # bytes of a word from which it is hashed by itself
 
 
-def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of all texts, one after another, and the number of words of each text.
+class Words:
+    """All words of some texts: hashes, one after another; `n`, how many each text has; and where they are in `buffer`.
 
     Words are mixed eight bytes at a time, all words at once, beginning from their length; so words of equal length up
     to eight bytes never meet.
     """
-    joined = b"\n".join([b"", *texts, b"\n" * 9])
-    buffer = joined.lower() if lower else joined
-    gap = _GAP[np.frombuffer(buffer, np.uint8)]
-    edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
-    starts, size = edge[::2], edge[1::2] - edge[::2]
-    eight = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
-    h = mix(mix(size.astype(np.uint64)) ^ (eight[starts] & _FIRST[np.minimum(size, 8)]))
-    live, k = np.flatnonzero((size > 8) & (size <= _LONGER)), 8
-    while len(live):
-        more = eight[starts[live] + k] & _FIRST[np.minimum(size[live] - k, 8)]
-        h[live] = mix(h[live] * np.uint64(0x9FB21C651E98DF25) ^ more)
-        k += 8
-        live = live[size[live] > k]
-    for i in np.flatnonzero(size > _LONGER).tolist():
-        h[i] = xxhash.xxh64_intdigest(buffer[starts[i] : starts[i] + size[i]])
-    at = np.cumsum([1, *(len(x) + 1 for x in texts)])
-    return h, np.diff(np.searchsorted(starts, at))
+
+    def __init__(self, texts: list[bytes], lower: bool = False):
+        joined = b"\n".join([b"", *texts, b"\n" * 9])
+        self.buffer = buffer = joined.lower() if lower else joined
+        gap = _GAP[np.frombuffer(buffer, np.uint8)]
+        edge = np.flatnonzero(gap[1:] != gap[:-1]) + 1
+        self.starts, self.size = starts, size = edge[::2], edge[1::2] - edge[::2]
+        eight = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
+        h = mix(mix(size.astype(np.uint64)) ^ (eight[starts] & _FIRST[np.minimum(size, 8)]))
+        live, k = np.flatnonzero((size > 8) & (size <= _LONGER)), 8
+        while len(live):
+            more = eight[starts[live] + k] & _FIRST[np.minimum(size[live] - k, 8)]
+            h[live] = mix(h[live] * np.uint64(0x9FB21C651E98DF25) ^ more)
+            k += 8
+            live = live[size[live] > k]
+        for i in np.flatnonzero(size > _LONGER).tolist():
+            h[i] = xxhash.xxh64_intdigest(self.word(i))
+        self.hashes = h
+        self.n = np.diff(np.searchsorted(starts, np.cumsum([1, *(len(x) + 1 for x in texts)])))
+
+    def word(self, i: int) -> bytes:
+        at = int(self.starts[i])
+        return self.buffer[at : at + int(self.size[i])]
+
+    def distinct(self) -> tuple[list[bytes], np.ndarray]:
+        """The distinct words, and for each word the number of its distinct one."""
+        _, first, inverse = np.unique(self.hashes, return_index=True, return_inverse=True)
+        return [self.word(i) for i in first.tolist()], inverse
+
+
+def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of all texts, and the number of words of each text."""
+    words = Words(texts, lower)
+    return words.hashes, words.n
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -183,3 +200,16 @@ def free_name(name: str, *taken: list[str]) -> str:
 def named(name: str) -> Column:
     """The column of that very name, dots and all."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def filter_rows(docs: DataFrame, text: str, start: Callable[[], Callable[[list[bytes]], np.ndarray]], budget: int = 4 << 20) -> DataFrame:
+    """The rows of docs, all columns whatever their names, whose texts are kept; start: made once a task, texts to flags."""
+    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    column = own.columns[docs.columns.index(text)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = start()
+        for part in chunks(batches, column, budget):
+            yield from part.filter(pa.array(keep(text_bytes(part.column(column))), pa.bool_())).to_batches()
+
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)

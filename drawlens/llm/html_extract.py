@@ -6,16 +6,21 @@ its hashed words plus a few numbers, and labels every block as main text or not
 trained at first use on synthetic pages from a seeded grammar (articles among menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments under many names), once per driver process.
 
-Scripts, styles, templates, comments and the head are no text. Character references are decoded, white space inside a
-block becomes one space, blocks are joined in page order by one line end; nothing is dropped for its length. Null and
-empty pages give an empty text. Repeated rows are pages of their own; an empty table gives an empty result.
+Pages are scanned once, in time proportional to their length whatever they hold: a tag ends at the first ">" outside the
+quoted values of its attributes (or at the first of all, where a quote is never closed), what is unfinished at the page's
+end is markup, and open elements are found by name without a search. Scripts, styles, titles, templates, frames,
+drawings with an end tag and comments are no text, nor is anything else in the head; fallbacks, formulas and objects are
+read like other elements. Character references are decoded, white space inside a block becomes one space, blocks are
+joined in page order by one line end; nothing is dropped for its length. Null and empty pages give an empty text; a page
+may be of any length. Repeated rows are pages of their own; an empty table gives an empty result. Only the three columns
+named are read, so others can't clash.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -29,14 +34,17 @@ from .common import chunks
 #: Element names of HTML by how they are read.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style template noscript iframe head object svg math canvas audio video".split())
+RAW = frozenset("script style title iframe noembed noframes xmp".split())  # what is in them is no markup
+SKIPPED = frozenset("template svg".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody"}, "thead": {"caption"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "option": {"select"}}
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 SPACE = re.compile(r"\s+")
 PATHS, WORDS = 1 << 12, 1 << 12
+NEAR, NAMES = 48, 16  # open elements around a block that its path tells of, and names of one of them
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+QUOTED = re.compile(r"""=\s*(["'])""")
 
 
 class Block:
@@ -46,86 +54,173 @@ class Block:
         self.path, self.text, self.linked = path, text, linked
 
 
+class Tags:
+    """The tags of a page, one after another."""
+
+    def __init__(self, page: str):
+        self.page, self.at = page, 0
+        self.plain = False  # a quote is never closed: from there on quotes mean nothing
+        self.endings: dict[str, re.Pattern] = {}
+        self.gone: set[str] = set()  # elements of which no end tag is ahead
+
+    def text(self) -> str:
+        """What comes before the next "<" that begins markup."""
+        page, start = self.page, self.at
+        at = start
+        while (at := page.find("<", at)) >= 0:
+            after = page[at + 1 : at + 2]
+            if after.isascii() and after.isalpha() or after and after in "!/?":
+                break
+            at += 1
+        self.at = at if at >= 0 else len(page)
+        return page[start : self.at]
+
+    def tag(self) -> tuple[bool, str, str]:
+        """Whether the tag here is an end tag, its name in lower case (empty: no element) and what follows the name."""
+        page, at = self.page, self.at
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            self.at = end + 3 if end >= 0 else len(page)
+            return False, "", ""
+        close = page.startswith("/", at + 1)
+        name = NAME.match(page, at + 1 + close)
+        if not name:
+            end = page.find(">", at)
+            self.at = end + 1 if end >= 0 else len(page)
+            return False, "", ""
+        end = self._end(name.end())
+        self.at = end + 1
+        return close, name[0].lower(), page[name.end() : end]
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose name ends at `at`."""
+        page, start, end = self.page, at, -1
+        while True:
+            end = end if end >= at else page.find(">", at)
+            if end < 0:
+                return len(page)
+            quote = None if self.plain else QUOTED.search(page, at, end)
+            if not quote:
+                return end
+            close = page.find(quote[1], quote.end())
+            if close < 0:
+                self.plain = True
+                return page.find(">", start)
+            at = close + 1
+
+    def skip(self, name: str) -> bool:
+        """Go behind the next end tag of this name, if there is one."""
+        if name in self.gone:
+            return False
+        if name not in self.endings:
+            self.endings[name] = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I)
+        found = self.endings[name].search(self.page, self.at)
+        end = self.page.find(">", found.end()) if found else -1
+        if end >= 0:
+            self.at = end + 1
+        else:
+            self.gone.add(name)
+        return end >= 0
+
+
+class Elements:
+    """The open elements, and where those of each name are among them."""
+
+    def __init__(self):
+        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.where: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, own: tuple[str, ...]) -> None:
+        self.where.setdefault(name, []).append(len(self.open))
+        if name in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append((name, own))
+
+    def last(self, names: Iterable[str]) -> int:
+        """Place of the innermost of these names, -1 if none is open."""
+        return max((self.where[n][-1] for n in names if self.where.get(n)), default=-1)
+
+    def pop(self) -> str:
+        name, _ = self.open.pop()
+        self.where[name].pop()
+        if name in BLOCKS:
+            self.blocks.pop()
+        return name
+
+    def path(self) -> tuple[str, ...]:
+        return tuple(n for _, own in self.open[-NEAR:] for n in own)
+
+
 def blocks(page: str) -> list[Block]:
     """The leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    elements, tags = Elements(), Tags(page)
     parts: list[str] = []
     linked = links = 0
-    names: tuple[str, ...] | None = None
+    head = False
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(tuple(n for _, own in stack for n in own), text, linked / max(sum(map(len, parts)), 1)))
+                out.append(Block(elements.path(), text, linked / max(sum(map(len, parts)), 1)))
         parts, linked = [], 0
 
     def pop_to(k: int) -> None:
+        """Close the elements from place k on."""
         nonlocal links
-        if any(name in BLOCKS for name, _ in stack[k:]):
+        if elements.blocks and elements.blocks[-1] >= k:
             flush()
-        links -= sum(name == "a" for name, _ in stack[k:])
-        del stack[k:]
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TAG.search(page, at)
-        end = m.start() if m else n
-        if end > at:
-            parts.append(page[at:end])
-            linked += (end - at) * (links > 0)
-        if not m:
+        while len(elements.open) > k:
+            links -= elements.pop() == "a"
+
+    while tags.at < len(page):
+        text = tags.text()
+        if text and not head:
+            parts.append(text)
+            linked += len(text) * (links > 0)
+        if tags.at >= len(page):
             break
-        at = m.end()
-        name = (m[2] or m[5] or "").lower()
+        close, name, rest = tags.tag()
         if not name:
             continue
-        if m[1] or m[4]:  # an end tag
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop_to(k)
-                    break
-                if stack[k][0] in BLOCKS and name not in BLOCKS:
-                    break
+        head = head and name != "body" and not (close and name == "head") and (name not in BLOCKS)
+        if close:
+            k = elements.last((name,))
+            if k >= 0 and (name in BLOCKS or not elements.blocks or k > elements.blocks[-1]):
+                pop_to(k)
+            continue
+        empty = rest.rstrip().endswith("/")
+        if name in RAW:
+            if not tags.skip(name) and name in ("script", "style"):
+                break  # unclosed, they reach to the page's end
             continue
-        if name in SKIPPED:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            if name == "head" and not close:
+        if name in SKIPPED and not empty:
+            if tags.skip(name):
                 continue
-            at = close.end() if close else n
-            if name == "head":
-                flush()
+        if name == "head":
+            flush()
+            head = not empty
             continue
         if name == "br":
             parts.append(" ")
             continue
         if name in BLOCKS:
             flush()
-            if name not in ("button", "option", "select", "textarea", "legend", "summary"):
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == "p":
-                        pop_to(k)
-                        break
-                    if stack[k][0] in BLOCKS:
-                        break
-            if name in CLOSES:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in SCOPE[name]:
-                        break
-                    if stack[k][0] in CLOSES[name]:
-                        pop_to(k)
-                        if name != "tr":
-                            break
-        if name in VOID or (m[3] or m[6] or "").rstrip().endswith("/") and name not in BLOCKS:
+            if name not in ("button", "option", "select", "textarea", "legend", "summary") and elements.blocks and elements.open[elements.blocks[-1]][0] == "p":
+                pop_to(elements.blocks[-1])
+            while name in CLOSES and (k := elements.last(CLOSES[name])) > elements.last(SCOPE[name]):
+                pop_to(k)
+                if name != "tr":
+                    break
+        if name in VOID or empty and name not in BLOCKS:
             continue
         own = [name]
-        rest = m[3] or m[6]
-        if rest:
-            for key, value in ATTRIBUTE.findall(rest):
-                own += [f"{key[0].lower()}:{w}" for w in re.split(r"[\s_-]+", value.strip("\"'").lower()) if w]
-        stack.append((name, tuple(own)))
+        for key, value in ATTRIBUTE.findall(rest) if rest else ():
+            own += [f"{key[0].lower()}:{w}" for w in re.split(r"[\s_-]+", value.strip("\"'").lower())[:NAMES] if w]
+        elements.push(name, tuple(own[: NAMES + 1]))
         links += name == "a"
     flush()
     return out

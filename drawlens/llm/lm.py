@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -64,7 +65,7 @@ def ngrams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], np.ndarray
 
 
 class Counting:
-    """Counts of n-grams over all training text, and over what of it is not deleted."""
+    """Counts of the n-grams of one order over all training text, and over what of it is not deleted."""
 
     kinds = ["<u8", "<u8"]
 
@@ -72,12 +73,9 @@ class Counting:
         self.text, self.order = text, order
 
     def keys_of(self, part: pa.Table, role: int) -> list[tuple[int, np.ndarray, list[np.ndarray]]]:
-        out = []
-        for kind, keys in enumerate(ngrams(text_bytes(part.column(self.text)), self.order)[0]):
-            own, n = np.unique(keys, return_counts=True)
-            n = n.astype("<u8")
-            out.append((kind, own, [n * np.uint64(role != TEST), n * np.uint64(role == TRAIN)]))
-        return out
+        own, n = np.unique(ngrams(text_bytes(part.column(self.text)), self.order)[0][-1], return_counts=True)
+        n = n.astype("<u8")
+        return [(self.order - 1, own, [n * np.uint64(role != TEST), n * np.uint64(role == TRAIN)])]
 
     @staticmethod
     def summed(inverse: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -185,8 +183,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     held = F.when(crc_mod(doc_id, folds) == 0, TEST).when(F.floor(crc_mod(doc_id, folds * 10) / folds) == 0, DELETED).otherwise(TRAIN)
     staged = batches.stage(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), held.cast("int").alias("role")), "text", "lm", "role")
     how = batches.plan(staged, batches.BATCH_BYTES // 8, fan=fan)
-    replies = batches.count(staged, Counting("text", order), how, "lm-counts")
-    sums = replies.where("batch = -1").mapInPandas(_sums, "known bigint, total bigint, kept bigint").agg(F.sum("known"), F.sum("total"), F.sum("kept")).first()
+    counted = [batches.count(staged, Counting("text", n + 1), how, "lm-counts") for n in range(order)]  # one order's shuffle at a time
+    replies = reduce(DataFrame.unionByName, counted)
+    sums = counted[0].where("batch = -1").mapInPandas(_sums, "known bigint, total bigint, kept bigint").agg(F.sum("known"), F.sum("total"), F.sum("kept")).first()
     known, total, kept = (int(x or 0) for x in sums or (0, 0, 0))
     replies = replies.where("batch >= 0")
     grid = ["bucket", *(f"q{i}" for i in range(order))]

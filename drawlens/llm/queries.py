@@ -15,7 +15,7 @@ RANKS = "byte_bpe_50k.tiktoken"
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score_documents(docs, model).drop("spans")
+    return toxicity.score_documents(docs, model)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,43 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
+def _crc_table() -> list[int]:
+    """CRC-32 of each byte, reflected polynomial."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+def _cuts(shards: int) -> str:
+    """Greedy cuts, one after another."""
+    return ", ".join(f"x{k} AS (SELECT COALESCE(MAX(e), 0) AS e FROM p WHERE e <= (SELECT e FROM x{k - 1}) + (SELECT c FROM best))" for k in range(1, shards))
+
+
 #: DuckDB SQL where it can express a query.
 ORACLES = {
+    "op7_sharding": f"""
+WITH RECURSIVE t AS (SELECT {_crc_table()} AS crc),
+d AS (SELECT doc_id, COALESCE(text, '') AS body, sha256(COALESCE(text, chr(0) || 'null')) AS digest FROM documents),
+r AS (SELECT doc_id, CAST(octet_length(encode(body)) + 1 AS BIGINT) AS size, digest,
+      xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+          lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+      FROM d, t),
+g AS (SELECT digest, SUM(size) AS s FROM r GROUP BY digest),
+p AS (SELECT digest, CAST(SUM(s) OVER (ORDER BY digest) AS BIGINT) AS e FROM g),
+-- Least possible largest shard of the first groups, by number of shards.
+m AS (SELECT 1 AS k, e, e AS c FROM p
+      UNION ALL
+      SELECT k + 1, z.e, MIN(GREATEST(c, z.e - m.e)) FROM m JOIN p z ON m.e <= z.e WHERE k < 16 GROUP BY k, z.e),
+best AS (SELECT c FROM m WHERE k = 16 ORDER BY e DESC LIMIT 1),
+x0 AS (SELECT CAST(0 AS BIGINT) AS e), {_cuts(16)},
+cuts AS ({" UNION ALL ".join(f"SELECT e FROM x{k}" for k in range(1, 16))}),
+placed AS (SELECT digest, CAST((SELECT COUNT(*) FROM cuts WHERE cuts.e < p.e) AS INT) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+       ROW_NUMBER() OVER (PARTITION BY shard ORDER BY digest, md5(COALESCE(CAST(doc_id AS VARCHAR), '')), doc_id) - 1 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM r JOIN placed USING (digest)""",
     "op4_warc": """
 WITH p AS (SELECT page_id, encode(COALESCE(html, '')) AS body FROM pages),
      d AS (SELECT page_id, octet_length(body) AS payload_bytes, sha1(body) AS payload_digest FROM p),

@@ -1,27 +1,34 @@
 """Toxicity: a linear-chain conditional random field tags toxic tokens; forward-backward marginals make scores.
 
-Labels mark documents, so tokens are labelled first: in a toxic document, a token whose word or prefix occurs in many
-toxic documents and hardly in others is toxic, every other token is not. The field (two labels; features of the word:
-its form, prefixes, suffix and shape; transitions and start) is fitted to them by maximum likelihood. A document's
-score is a logistic function, fitted on the same documents, of the expected number of its toxic tokens; tokens whose
-marginal is at least one half give the offending offsets.
-
-Fitting uses a bounded sample of labelled rows (`toxic`, `clean`: the documents of least hash among those allowed);
-scoring covers the whole text of every row. All documents of a chunk form one chain whose transfer matrices have rank
+The field has two labels; features of the word (its form, prefixes, suffix and shape) and of its neighbours (their
+prefixes), transitions and start. All weights are learned together, by the likelihood's gradient: expected less
+observed counts of single labels and of pairs, from forward and backward passes.
+
+Labels mark documents, so tokens are labelled in two steps. First a token of a toxic document counts as toxic if its form
+or prefix occurs in many toxic documents and hardly in others, every other token as clean, and the field is fitted to
+these. Then the document's label alone counts: no token of a clean document is toxic, at least one of a toxic document
+is; the observed counts of the latter are those expected under that condition, as the field itself sees them. So what
+the list of forms missed, or wrongly held, is settled by the documents. A document's score is a logistic function, fitted
+on the same documents, of the expected number of its toxic tokens; tokens whose marginal is at least one half give the
+offending offsets.
+
+Fitting uses a bounded number of labelled documents (`toxic`, `clean`: those of least hash among those allowed), each with
+its whole text; of a text only the numbers of its words are kept, and gradients are summed over pieces of bounded length.
+Scoring covers the whole text of every row. All documents of a piece form one chain whose transfer matrices have rank
 one at each document's start, which is exact and lets numpy work on many blocks of the chain at once.
 
-Null and empty texts get the score of no toxic token. Without toxic or without clean training rows every score is 0.
-Rows with null labels or ids are not learned from; of several labels of one document the largest counts. Repeated rows
-are scored alike.
+Null and empty texts get the score of no toxic token; texts may be of any length. Without toxic or without clean training
+rows every score is 0. Rows with null labels or ids are not learned from; of several labels of one document the largest
+counts, of several texts the least. Repeated rows are scored alike. An empty table gives an empty result. Only the columns
+named are read, so others can't clash.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +36,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, crc_mod, text_bytes
+from .common import Words, chunks, crc_mod, filter_rows, named, text_bytes
 
-#: Documents of either class that the model is fitted on, at most, and characters of them.
-TOXIC, CLEAN, FIT_CHARS = 1500, 2500, 10_000_000
-SLOTS, BLOCK, CACHE = 1 << 18, 256, 250_000
+#: Documents of either class that the model is fitted on, at most.
+TOXIC, CLEAN = 1500, 2500
+SLOTS, BLOCK, CACHE, PIECE = 1 << 18, 256, 250_000, 1 << 20
 LEAST, ODDS = 5, 20.0  # toxic documents with a form, and how much likelier it is there, to label its tokens
+ROUNDS = (20, 8)  # with labelled tokens, and with labelled documents
+SLOW = 1.0  # squared gradient that a weight begins with, so that rare features move little
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
@@ -44,11 +53,13 @@ def forms(word: bytes) -> tuple[str, ...]:
     return (w, *(f"{w[:k]}*" for k in (4, 5) if len(w) > k))
 
 
-def features(word: bytes) -> list[int]:
+def features(word: bytes) -> list[list[int]]:
+    """Slots of what a word says about its own label, about the label after it and about the one before it."""
     raw = word.decode("utf-8", "replace")
     w = raw.strip(STRIP).lower()
     shape = ("U" if raw.isupper() else "T" if raw[:1].isupper() else "l") + ("d" if any(map(str.isdigit, raw)) else "") + ("p" if len(raw) > len(raw.strip(STRIP)) else "")
-    return [xxhash.xxh32_intdigest(x) % SLOTS for x in (f"w={w}", f"3={w[:3]}", f"4={w[:4]}", f"5={w[:5]}", f"s={w[-3:]}", f"h={shape}{min(len(w), 12)}")]
+    own = (f"w={w}", f"3={w[:3]}", f"4={w[:4]}", f"5={w[:5]}", f"s={w[-3:]}", f"h={shape}{min(len(w), 12)}")
+    return [[xxhash.xxh32_intdigest(x) % SLOTS for x in some] for some in (own, (f"<{w[:5]}",), (f">{w[:5]}",))]
 
 
 @dataclass
@@ -60,9 +71,6 @@ class Field:
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
     score: tuple[float, float] | None = None  # none: nothing learned
 
-    def emissions(self) -> "Emissions":
-        return Emissions(self.weights)
-
     def probability(self, expected: np.ndarray) -> np.ndarray:
         if self.score is None:
             return np.zeros(len(expected))
@@ -71,26 +79,37 @@ class Field:
 
 
 class Emissions(dict):
-    """The toxic label's score of each word, computed once."""
+    """What each word says for the toxic label (its own, after it, before it), computed once."""
 
     def __init__(self, weights: np.ndarray):
         super().__init__()
         self.weights = weights
 
-    def __missing__(self, word: bytes) -> float:
-        value = float(self.weights[features(word)].sum())
+    def __missing__(self, word: bytes) -> tuple[float, ...]:
+        value = tuple(float(self.weights[own].sum()) for own in features(word))
         if len(self) < CACHE:
             self[word] = value
         return value
 
 
-def marginals(emission: np.ndarray, begins: np.ndarray, transition: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Probability of the toxic label at each token; `begins` marks the first token of each document."""
-    n = len(emission)
+def emission(says: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The toxic label's score of each token, of what it and its neighbours in the document say (columns of says)."""
+    out = says[:, 0].copy()
+    inner = ~begins[1:]
+    out[1:] += says[:-1, 1] * inner
+    out[:-1] += says[1:, 2] * inner
+    return out
+
+
+def marginals(e: np.ndarray, begins: np.ndarray, transition: np.ndarray, start: np.ndarray, paired: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """Probability of the toxic label at each token, and (if paired) of each pair of labels (00, 01, 10, 11) of the token
+    before and it; `begins` marks the first token of each document (whose pairs mean nothing).
+    """
+    n = len(e)
     if not n:
-        return np.empty(0)
+        return np.empty(0), np.empty((4, 0))
     blocks = -(-n // BLOCK)
-    x = np.exp(np.clip(emission, -30, 30))
+    x = np.exp(np.clip(e, -30, 30))
     move = np.exp(transition - transition.max())
     first = np.exp(start - start.max())
     size = blocks * BLOCK
@@ -127,84 +146,155 @@ def marginals(emission: np.ndarray, begins: np.ndarray, transition: np.ndarray,
         u, v = c00 * u + c01 * v, c10 * u + c11 * v
         u, v = u / (u + v), v / (u + v)
     u, v = np.array(ahead).T
-    forward = np.empty((BLOCK, blocks))  # of label 1, of 1 in all
+    forward = np.empty((BLOCK + 1, blocks))  # of label 1, of 1 in all, before each token
+    forward[0] = v
     for k in range(BLOCK):
         u, v = u * m00[k] + v * m10[k], u * m01[k] + v * m11[k]
         v = v / (u + v)
         u = 1 - v
-        forward[k] = v
+        forward[k + 1] = v
     u, v = np.array(behind[::-1]).T
-    out = np.empty((BLOCK, blocks))
+    out, pairs = np.empty((BLOCK, blocks)), np.empty((4, BLOCK, blocks) if paired else (4, 0, 0))
     for k in range(BLOCK - 1, -1, -1):
-        one = forward[k] * v
-        out[k] = one / (one + (1 - forward[k]) * u)
+        one = forward[k + 1] * v
+        total = one + (1 - forward[k + 1]) * u
+        out[k] = one / total
+        if paired:
+            a = forward[k]
+            b = 1 - a
+            scale = 1 / (u * (b * m00[k] + a * m10[k]) + v * (b * m01[k] + a * m11[k]))
+            pairs[0, k], pairs[1, k], pairs[2, k], pairs[3, k] = b * m00[k] * u * scale, b * m01[k] * v * scale, a * m10[k] * u * scale, a * m11[k] * v * scale
         u, v = m00[k] * u + m01[k] * v, m10[k] * u + m11[k] * v
         v = v / (u + v)
         u = 1 - v
-    return out.T.reshape(-1)[:n]
-
-
-def token_labels(words: list[list[bytes]], toxic: np.ndarray) -> list[np.ndarray]:
-    """Labels of the tokens, from those of the documents.
-
-    Telling forms are those of at least a fiftieth of the toxic documents and far rarer in others; then, while toxic
-    documents have none, the form that most of these share.
+    return out.T.reshape(-1)[:n], pairs.transpose(0, 2, 1).reshape(4, -1)[:, :n] if paired else None
+
+
+class Sample:
+    """Documents as numbers of their words."""
+
+    def __init__(self, rows: Iterable[tuple[bytes, bool]]):
+        numbers: dict[bytes, int] = {}
+        once: dict[tuple, tuple[np.ndarray, bool]] = {}
+        for text, t in rows:
+            words = text.split()
+            if words:
+                own = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32)
+                once.setdefault((tuple(words[:6]), tuple(words[-6:])), (own, bool(t)))  # near copies would vote many times
+        self.words = list(numbers)
+        self.docs = [own for own, _ in once.values()]
+        self.toxic = np.array([t for _, t in once.values()], bool)
+
+    def pieces(self) -> Iterator[np.ndarray]:
+        """Numbers of documents, some PIECE tokens at a time."""
+        total = np.cumsum([len(d) for d in self.docs])
+        piece = (total - 1) // PIECE
+        for p in np.unique(piece):
+            yield np.flatnonzero(piece == p)
+
+    def chances(self, marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where transitions and starts begin: logarithms of how often the labels of marked words follow each other."""
+        pairs, starts = np.ones(4), np.ones(2)
+        for d, t in zip(self.docs, self.toxic, strict=True):
+            y = (marked[d] & t).astype(np.int64)
+            pairs += np.bincount(2 * y[:-1] + y[1:], minlength=4)
+            starts[y[0]] += 1
+        pairs = pairs.reshape(2, 2)
+        return np.log(pairs / pairs.sum(1, keepdims=True)), np.log(starts / starts.sum())
+
+    def labelled(self) -> np.ndarray:
+        """Which words make a token of a toxic document toxic.
+
+        Telling forms are those of at least a fiftieth of the toxic documents and far rarer in others; then, while toxic
+        documents have none, the form that most of these share.
+        """
+        own_forms = [forms(w) for w in self.words]
+        held = lambda d: {f for i in np.unique(d).tolist() for f in own_forms[i]}
+        bad, good = Counter(), Counter()
+        for d, t in zip(self.docs, self.toxic, strict=True):
+            (bad if t else good).update(held(d))
+        n_bad, n_good = max(int(self.toxic.sum()), 1), max(int((~self.toxic).sum()), 1)
+        rare = lambda f, n: n / n_bad >= ODDS * (good[f] + 0.5) / n_good
+        telling = {f for f, n in bad.items() if n >= max(LEAST, n_bad // 50) and rare(f, n)}
+        bare = [h for d, t in zip(self.docs, self.toxic, strict=True) if t and not (h := held(d)) & telling]
+        while bare:
+            form, n = max(Counter(f for own in bare for f in own if rare(f, bad[f])).items(), key=lambda x: (x[1], -len(x[0]), x[0]), default=("", 0))
+            if n < 3:
+                break
+            telling.add(form)
+            bare = [own for own in bare if form not in own]
+        return np.array([any(f in telling for f in own) for own in own_forms], bool)
+
+
+def counts(tokens: np.ndarray, size: np.ndarray, toxic: np.ndarray, says: np.ndarray, model: Field, marked: np.ndarray | None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For documents one after another: log-likelihood (of documents' labels; 0 with marked tokens), and expected less
+    observed counts of the toxic label by token, of pairs and of starts; then the beginnings and the marginals.
     """
-    bad, good, seen = Counter(), Counter(), {}
-
-    def held(own: list[bytes]) -> set[str]:
-        return {f for w in set(own) for f in seen[w]}
-
-    for own, t in zip(words, toxic, strict=True):
-        seen.update((w, forms(w)) for w in own if w not in seen)
-        (bad if t else good).update(held(own))
-    n_bad, n_good = max(int(toxic.sum()), 1), max(int((~toxic).sum()), 1)
-    rare = lambda f, n: n / n_bad >= ODDS * (good[f] + 0.5) / n_good
-    telling = {f for f, n in bad.items() if n >= max(LEAST, n_bad // 50) and rare(f, n)}
-    bare = [h for own, t in zip(words, toxic, strict=True) if t and not (h := held(own)) & telling]
-    while bare:
-        form, n = max(Counter(f for own in bare for f in own if rare(f, bad[f])).items(), key=lambda x: (x[1], -len(x[0]), x[0]), default=("", 0))
-        if n < 3:
-            break
-        telling.add(form)
-        bare = [own for own in bare if form not in own]
-    return [np.array([bool(t) and any(f in telling for f in seen[w]) for w in own], bool) for own, t in zip(words, toxic, strict=True)]
-
-
-def fit(texts: list[bytes], toxic: np.ndarray, rounds: int = 50, rate: float = 0.5, decay: float = 1e-4) -> Field:
-    """Maximum likelihood by Adagrad on the whole sample; gradients are marginals less labels."""
-    model = Field()
-    once = {}
-    for text, t in zip(texts, toxic.tolist(), strict=True):
-        w = text.split()
-        if w:
-            once.setdefault((tuple(w[:6]), tuple(w[-6:])), (w, t))  # near copies would vote many times
-    words, labels = [w for w, _ in once.values()], np.array([t for _, t in once.values()], bool)
-    if not labels.any() or labels.all():
-        return model
-    tags = token_labels(words, labels)
-    numbers: dict[bytes, int] = {}
-    token = np.array([numbers.setdefault(w, len(numbers)) for own in words for w in own], np.int64)
-    slots = np.array([features(w) for w in numbers], np.int64)
-    y = np.concatenate(tags).astype(float)
-    size = np.array([len(w) for w in words])
     starts = np.cumsum(size) - size
-    begins = np.zeros(len(token), bool)
+    begins = np.zeros(len(tokens), bool)
     begins[starts] = True
-    inner = np.flatnonzero(~begins)
-    pairs = np.zeros((2, 2))
-    np.add.at(pairs, (y[inner - 1].astype(int), y[inner].astype(int)), 1)
-    model.transition = np.log((pairs + 1) / (pairs.sum(1, keepdims=True) + 2))
-    model.start = np.log(np.array([(1 - y[starts]).sum() + 1, y[starts].sum() + 1]) / (len(starts) + 2))
-    w, g2 = model.weights, np.full(SLOTS, 1e-8)
-    for _ in range(rounds):
-        p = marginals(w[slots].sum(1)[token], begins, model.transition, model.start)
-        by_word = np.bincount(token, weights=p - y, minlength=len(numbers))
-        g = np.bincount(slots.ravel(), weights=np.repeat(by_word, slots.shape[1]), minlength=SLOTS) + decay * w
-        g2 += g * g
-        w -= rate * g / np.sqrt(g2)
-    p = marginals(w[slots].sum(1)[token], begins, model.transition, model.start)
-    model.score = logistic(np.log(np.add.reduceat(p, starts) + 1e-3), labels)
+    p, pairs = marginals(emission(says[tokens], begins), begins, model.transition, model.start)
+    pairs[:, begins] = 0
+    doc = np.repeat(np.arange(len(size)), size)
+    likelihood = 0.0
+    if marked is not None:
+        y = marked[tokens] & toxic[doc]
+        seen = np.zeros(4)
+        code = 2 * y[:-1] + y[1:]
+        seen += np.bincount(code[~begins[1:]], minlength=4)
+        by_token, by_pair, by_start = p - y, pairs.sum(1) - seen, p[starts] - y[starts]
+    else:
+        # P(no toxic token) of each document, as a product of the chances of going on clean.
+        clean = np.where(begins, 1 - p, pairs[0] / np.maximum(1 - np.append(0.0, p[:-1]), 1e-300))
+        none = np.exp(np.add.reduceat(np.log(np.maximum(clean, 1e-300)), starts))
+        some = np.maximum(1 - none, 1e-9)
+        likelihood = float(np.log(np.where(toxic, some, np.maximum(none, 1e-300))).sum())
+        # Expected counts given the label: of a clean document those of no toxic token, else all less those, rescaled.
+        up = np.where(toxic, 1 / some, 0.0)
+        by_token = p - p * up[doc]
+        inner = (size - 1).astype(float)
+        own = np.stack([np.add.reduceat(x, starts) for x in pairs])
+        given = own * up
+        given[0] += np.where(toxic, -none * inner * up, inner)
+        by_pair, by_start = (own - given).sum(1), p[starts] * (1 - up)
+    return likelihood, by_token, by_pair, np.array([-by_start.sum(), by_start.sum()]), begins, p
+
+
+def gradient(sample: Sample, slots: list[np.ndarray], model: Field, marked: np.ndarray | None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Log-likelihood, gradients of weights, transitions and starts, and the expected toxic tokens of each document."""
+    says = np.column_stack([model.weights[s].sum(1) for s in slots])
+    by_word, pair, start, total, held = np.zeros((len(sample.words), 3)), np.zeros(4), np.zeros(2), 0.0, []
+    for own in sample.pieces():
+        tokens = np.concatenate([sample.docs[i] for i in own])
+        size = np.array([len(sample.docs[i]) for i in own])
+        likelihood, g, by_pair, by_start, begins, p = counts(tokens, size, sample.toxic[own], says, model, marked)
+        inner = ~begins[1:]
+        by_word[:, 0] += np.bincount(tokens, g, len(sample.words))
+        by_word[:, 1] += np.bincount(tokens[:-1], g[1:] * inner, len(sample.words))
+        by_word[:, 2] += np.bincount(tokens[1:], g[:-1] * inner, len(sample.words))
+        pair, start, total = pair + by_pair, start + by_start, total + likelihood
+        held.append(np.add.reduceat(p, np.cumsum(size) - size))
+    weights = sum(np.bincount(s.ravel(), np.repeat(by_word[:, k], s.shape[1]), SLOTS) for k, s in enumerate(slots))
+    return total, weights, pair.reshape(2, 2), start, np.concatenate(held)
+
+
+def fit(rows: Iterable[tuple[bytes, bool]], rounds: tuple[int, int] = ROUNDS, rate: float = 0.5, decay: float = 1e-4) -> Field:
+    """Maximum likelihood by Adagrad on all rows (text, whether it is toxic)."""
+    sample, model = Sample(rows), Field()
+    if not sample.toxic.any() or sample.toxic.all():
+        return model
+    slots = [np.array(x, np.int64) for x in zip(*map(features, sample.words), strict=True)]
+    marked = sample.labelled()
+    model.transition, model.start = sample.chances(marked)
+    squares = [np.full(x.shape, SLOW) for x in (model.weights, model.transition, model.start)]
+    for k in range(sum(rounds)):
+        _, *g, _ = gradient(sample, slots, model, marked if k < rounds[0] else None)
+        g[0] += decay * model.weights
+        for own, x, g2 in zip((model.weights, model.transition, model.start), g, squares, strict=True):
+            g2 += x * x
+            own -= rate * x / np.sqrt(g2)
+    held = gradient(sample, slots, model, None)[-1]
+    model.score = logistic(np.log(held + 1e-3), sample.toxic)
     return model
 
 
@@ -218,73 +308,49 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def fitting(rows: list[tuple[int, bool, int]], chars: int, share: float) -> list[int]:
-    """Of rows (key, toxic, length), in order, the keys of those that fit in `chars`: first in a class's own share, toxic
-    `share` of it, then in what is left of the whole. A row that does not fit is passed over, those after it are not.
-    """
-    room, left = {True: int(chars * share), False: chars - int(chars * share)}, chars
-    own, over = set(), []
-    for key, toxic, n in rows:
-        if n <= room[toxic]:
-            own.add(key)
-            room[toxic], left = room[toxic] - n, left - n
-        else:
-            over.append((key, n))
-    for key, n in over:
-        if n <= left:
-            own.add(key)
-            left -= n
-    return [key for key, _, _ in rows if key in own]
-
-
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, toxic: int = TOXIC, clean: int = CLEAN, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", chars: int = FIT_CHARS) -> Field:
-    """Fit on at most `toxic` + `clean` documents whose fold isn't 0, of `chars` characters in all."""
-    known = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null").where(crc_mod("id", folds) != 0)
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, toxic: int = TOXIC, clean: int = CLEAN, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> Field:
+    """Fit on at most `toxic` + `clean` documents whose fold isn't 0, on whole texts."""
+    known = labels.select(named(doc_id).alias("id"), named(label).cast("int").alias("y")).where("id is not null and y is not null").where(crc_mod("id", folds) != 0)
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     picked = [known.where("y > 0").orderBy(F.xxhash64("id"), "id").limit(toxic), known.where("y <= 0").orderBy(F.xxhash64("id"), "id").limit(clean)]
     ids = picked[0].unionByName(picked[1])  # at most toxic + clean rows: may be broadcast
-    rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).join(F.broadcast(ids), "id").select("id", "y", "text")
-    sizes = rows.groupBy("id", "y").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n")).collect()
-    sizes = sorted(sizes, key=lambda r: (xxhash.xxh32_intdigest(str(r["id"])), r["id"]))
-    chosen = fitting([(r["id"], r["y"] > 0, r["n"]) for r in sizes], chars, toxic / max(toxic + clean, 1))
-    kept = docs.sparkSession.createDataFrame([(x,) for x in chosen], known.select("id").schema)
-    got = rows.join(F.broadcast(kept), "id").groupBy("id", "y").agg(F.min("text").alias("text")).toPandas()
-    got = got.assign(h=[xxhash.xxh32_intdigest(str(i)) for i in got["id"]]).sort_values(["h", "id"])
-    return fit([(x or "").encode() for x in got["text"]], got["y"].to_numpy() > 0)
-
-
-def expected(texts: list[bytes], model: Field, emissions: Emissions) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Words of each text, the marginal of each word, and the expected number of toxic tokens of each text."""
-    words = [x.split() for x in texts]
-    size = np.array([len(w) for w in words], np.int64)
-    e = np.fromiter(map(emissions.__getitem__, chain.from_iterable(words)), np.float64, int(size.sum()))
-    starts = (np.cumsum(size) - size)[size > 0]
-    begins = np.zeros(len(e), bool)
+    rows = docs.select(named(doc_id).alias("id"), named(text).alias("text")).join(F.broadcast(ids), "id")
+    rows = rows.groupBy("id", "y").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id")
+    return fit(((r["text"] or "").encode(), r["y"] > 0) for r in rows.toLocalIterator())
+
+
+def expected(texts: list[bytes], model: Field, emissions: Emissions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of words of each text, the marginal of each word, and the expected number of toxic tokens of each text."""
+    words = Words(texts)
+    every, number = words.distinct()
+    says = np.array([emissions[w] for w in every], float).reshape(-1, 3)[number]
+    starts = (np.cumsum(words.n) - words.n)[words.n > 0]
+    begins = np.zeros(len(says), bool)
     begins[starts] = True
-    p = marginals(e, begins, model.transition, model.start)
+    p = marginals(emission(says, begins), begins, model.transition, model.start, paired=False)[0] if len(says) else np.empty(0)
     total = np.zeros(len(texts))
     if len(starts):
-        total[size > 0] = np.add.reduceat(p, starts)
-    return words, p, total
+        total[words.n > 0] = np.add.reduceat(p, starts)
+    return words.n, p, total
 
 
-def score_documents(docs: DataFrame, model: Field, doc_id: str = "doc_id", text: str = "text", folds: int = 5, spans: bool = True) -> DataFrame:
+def score_documents(docs: DataFrame, model: Field, doc_id: str = "doc_id", text: str = "text", folds: int = 5) -> DataFrame:
     """doc_id, held_out, score, predicted, toxic_tokens (expected), spans (character offsets of toxic stretches)."""
+    span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emissions = model.emissions()
+        emissions = Emissions(model.weights)
         for part in chunks(batches, "text", 4 << 20):
-            words, p, total = expected(text_bytes(part.column("text")), model, emissions)
+            n, p, total = expected(text_bytes(part.column("text")), model, emissions)
             score = model.probability(total)
-            at, found = 0, []
-            for own, text_ in zip(words, part.column("text").to_pylist(), strict=True):
-                hit = p[at : at + len(own)] >= 0.5
-                at += len(own)
-                found.append(stretches(text_, hit) if spans and hit.any() else [])
-            yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks(), part.column("held_out").combine_chunks(), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(total), pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["id", "held_out", "score", "predicted", "toxic_tokens", "spans"])
+            hits = np.split(p >= 0.5, np.cumsum(n)[:-1]) if len(n) else []
+            texts = part.column("text")
+            found = [stretches(texts[i].as_py(), hit) if hit.any() else [] for i, hit in enumerate(hits)]
+            columns = [part.column("id").combine_chunks(), part.column("held_out").combine_chunks(), pa.array(score), pa.array((score >= 0.5).astype(np.int32)), pa.array(total), pa.array(found, span)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "held_out", "score", "predicted", "toxic_tokens", "spans"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("id"), (crc_mod(doc_id, folds) == 0).alias("held_out"), F.col(text).alias("text"))
+    rows = docs.select(named(doc_id).alias("id"), (crc_mod(doc_id, folds) == 0).alias("held_out"), named(text).alias("text"))
     return rows.mapInArrow(run, f"id {kind}, held_out boolean, score double, predicted int, toxic_tokens double, spans array<struct<start:int,end:int>>").withColumnRenamed("id", doc_id)
 
 
@@ -304,10 +370,8 @@ def stretches(text: str, hit: np.ndarray) -> list[dict]:
 def drop_toxic(docs: DataFrame, model: Field, text: str = "text") -> DataFrame:
     """The rows of docs, all columns, that are not predicted toxic."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        emissions = model.emissions()
-        for part in chunks(batches, text, 4 << 20):
-            score = model.probability(expected(text_bytes(part.column(text)), model, emissions)[2])
-            yield from part.filter(pa.array(score < 0.5)).to_batches()
+    def start():
+        emissions = Emissions(model.weights)
+        return lambda texts: model.probability(expected(texts, model, emissions)[2]) < 0.5
 
-    return docs.mapInArrow(run, docs.schema)
+    return filter_rows(docs, text, start)
