@@ -259,7 +259,7 @@ def _groups(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle:
     ids = materialise(marked.select("id", "node"), "neardup-rows")
     discard(marked)
     texts = rows.select("node", "text")
-    chosen = simhash.plan(simhash.sampled(nodes), total, most)
+    chosen = simhash.plan(simhash.sampled(nodes.select("node", "fp")), total, most)
     pairs = materialise(candidates(nodes.select("node", "fp"), most, nearest, chosen, limit), "neardup-pairs")
     near = materialise(allowed(pairs, nodes, similarity), "neardup-allowed")
     found = verified(near, texts, shingle, similarity)
