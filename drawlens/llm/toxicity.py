@@ -29,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,13 +54,39 @@ def forms(word: bytes) -> tuple[str, ...]:
     return (w, *(f"{w[:k]}*" for k in (4, 5) if len(w) > k))
 
 
+@lru_cache(1 << 16)
+def slot(feature: str) -> int:
+    return xxhash.xxh32_intdigest(feature) % SLOTS
+
+
+@lru_cache(1 << 16)
+def of_prefix(w: str) -> tuple[int, ...]:
+    """Slots that the first five characters settle: of their prefixes, of the label after the word and of that before it."""
+    return slot(f"3={w[:3]}"), slot(f"4={w[:4]}"), slot(f"5={w}"), slot(f"<{w}"), slot(f">{w}")
+
+
+def word_slots(words: Iterable[bytes]) -> list[np.ndarray]:
+    """By word: slots of what it says about its own label (six), about the label after it and about the one before it."""
+    out: list[int] = []
+    for word in words:
+        raw = word.decode("utf-8", "replace")
+        bare = raw.strip(STRIP)
+        w = bare.lower()
+        shape = ("U" if raw.isupper() else "T" if raw[:1].isupper() else "l") + ("" if raw.isalpha() else "d" * any(map(str.isdigit, raw)) + "p" * (len(raw) > len(bare)))
+        three, four, five, after, before = of_prefix(w[:5])
+        out += (xxhash.xxh32_intdigest(f"w={w}") % SLOTS, three, four, five, slot(f"s={w[-3:]}"), slot(f"h={shape}{min(len(w), 12)}"), after, before)
+    slots = np.array(out, np.int64).reshape(-1, 8)
+    return [slots[:, :6], slots[:, 6:7], slots[:, 7:]]
+
+
 def features(word: bytes) -> list[list[int]]:
-    """Slots of what a word says about its own label, about the label after it and about the one before it."""
-    raw = word.decode("utf-8", "replace")
-    w = raw.strip(STRIP).lower()
-    shape = ("U" if raw.isupper() else "T" if raw[:1].isupper() else "l") + ("d" if any(map(str.isdigit, raw)) else "") + ("p" if len(raw) > len(raw.strip(STRIP)) else "")
-    own = (f"w={w}", f"3={w[:3]}", f"4={w[:4]}", f"5={w[:5]}", f"s={w[-3:]}", f"h={shape}{min(len(w), 12)}")
-    return [[xxhash.xxh32_intdigest(x) % SLOTS for x in some] for some in (own, (f"<{w[:5]}",), (f">{w[:5]}",))]
+    """The slots of one word."""
+    return [s[0].tolist() for s in word_slots([word])]
+
+
+def said(weights: np.ndarray, slots: list[np.ndarray]) -> np.ndarray:
+    """What words say for the toxic label: their own, after them and before them (columns), by the slots of their features."""
+    return np.column_stack([weights[s].sum(1) for s in slots])
 
 
 @dataclass
@@ -78,18 +105,24 @@ class Field:
         return 1 / (1 + np.exp(-np.clip(a * np.log(expected + 1e-3) + b, -30, 30)))
 
 
-class Emissions(dict):
-    """What each word says for the toxic label (its own, after it, before it), computed once."""
+class Emissions:
+    """What each word says for the toxic label (its own, after it, before it), computed once for up to CACHE words."""
 
     def __init__(self, weights: np.ndarray):
-        super().__init__()
-        self.weights = weights
-
-    def __missing__(self, word: bytes) -> tuple[float, ...]:
-        value = tuple(float(self.weights[own].sum()) for own in features(word))
-        if len(self) < CACHE:
-            self[word] = value
-        return value
+        self.weights, self.place, self.held = weights, {}, np.empty((0, 3))
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """A row for each of some distinct words."""
+        at = np.fromiter((self.place.get(w, -1) for w in words), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        own = [words[i] for i in new.tolist()]
+        values = said(self.weights, word_slots(own))
+        out = np.empty((len(words), 3))
+        out[new], out[at >= 0] = values, self.held[at[at >= 0]]
+        room = max(CACHE - len(self.place), 0)
+        self.place.update(zip(own[:room], range(len(self.held), CACHE), strict=False))
+        self.held = np.concatenate([self.held, values[:room]])
+        return out
 
 
 def emission(says: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -262,7 +295,7 @@ def counts(tokens: np.ndarray, size: np.ndarray, toxic: np.ndarray, says: np.nda
 
 def gradient(sample: Sample, slots: list[np.ndarray], model: Field, marked: np.ndarray | None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Log-likelihood, gradients of weights, transitions and starts, and the expected toxic tokens of each document."""
-    says = np.column_stack([model.weights[s].sum(1) for s in slots])
+    says = said(model.weights, slots)
     by_word, pair, start, total, held = np.zeros((len(sample.words), 3)), np.zeros(4), np.zeros(2), 0.0, []
     for own in sample.pieces():
         tokens = np.concatenate([sample.docs[i] for i in own])
@@ -283,7 +316,7 @@ def fit(rows: Iterable[tuple[bytes, bool]], rounds: tuple[int, int] = ROUNDS, ra
     sample, model = Sample(rows), Field()
     if not sample.toxic.any() or sample.toxic.all():
         return model
-    slots = [np.array(x, np.int64) for x in zip(*map(features, sample.words), strict=True)]
+    slots = word_slots(sample.words)
     marked = sample.labelled()
     model.transition, model.start = sample.chances(marked)
     squares = [np.full(x.shape, SLOW) for x in (model.weights, model.transition, model.start)]
@@ -323,7 +356,7 @@ def expected(texts: list[bytes], model: Field, emissions: Emissions) -> tuple[np
     """Number of words of each text, the marginal of each word, and the expected number of toxic tokens of each text."""
     words = Words(texts)
     every, number = words.distinct()
-    says = np.array([emissions[w] for w in every], float).reshape(-1, 3)[number]
+    says = emissions.of(every)[number]
     starts = (np.cumsum(words.n) - words.n)[words.n > 0]
     begins = np.zeros(len(says), bool)
     begins[starts] = True
