@@ -71,8 +71,12 @@ def mean_of_positive(x: Column) -> Column:
     return F.coalesce(F.avg(F.when(x > 0, x)), F.lit(0.0))
 
 
-def subset_sums(nums: Column, k: int, top: int = 810) -> Column:
-    """counts[s]: how many subsets of k of nums have the sum s. Counting, not enumeration: one pass over nums."""
+def subset_sums(nums: Column, k: int, universe: int = 80) -> Column:
+    """counts[s]: how many subsets of k of nums have the sum s, up to the sum of the k largest numbers of the universe.
+
+    Counting, not enumeration: one pass over nums.
+    """
+    top = k * (2 * universe + 1 - k) // 2
     zero = F.array_repeat(F.lit(0).cast("bigint"), top + 1)
     start = F.concat(F.array(F.concat(F.array(F.lit(1).cast("bigint")), F.array_repeat(F.lit(0).cast("bigint"), top))), F.array_repeat(zero, k))
     shifted = lambda row, x: F.slice(F.concat(F.array_repeat(F.lit(0).cast("bigint"), x), row), 1, top + 1)

@@ -55,16 +55,23 @@ def relaxed(threshold: float, target: float, epoch: int) -> float:
 
 
 def generate(spark: SparkSession, p: Profile, total: int, thresholds: list[float], check, batch: int = 2000, rounds: int = 5, seed: int = 42) -> DataFrame:
-    """Batch rejection sampling: propose, check, keep; thresholds relax between rounds. At most rounds x batch proposals."""
-    kept = None
+    """Batch rejection sampling: propose, check, keep; thresholds relax between rounds of `batch` proposals.
+
+    What is missing after `rounds` of them is filled by uniform tickets (that need not pass), so `total` distinct tickets
+    come back. No more than `total` tickets of a round, a parameter, reach the driver.
+    """
+    kept: dict[tuple[int, ...], None] = {}
     own = list(thresholds)
     for epoch in range(rounds):
-        good = check(heuristic_tickets(spark, p, batch, seed=seed + epoch), p, tuple(own)).where("code = 99").select((F.col("ticket_id") + epoch * batch).alias("ticket_id"), "nums")
-        kept = good if kept is None else kept.unionByName(good)
-        if kept.dropDuplicates(["nums"]).count() >= total:
+        good = check(heuristic_tickets(spark, p, batch, seed=seed + epoch), p, tuple(own)).where("code = 99")
+        kept |= {tuple(r["nums"]): None for r in good.orderBy("ticket_id").limit(total).collect()}
+        if len(kept) >= total:
             break
         own = [relaxed(t, 0.2, epoch) for t in own]
-    return kept.dropDuplicates(["nums"]).orderBy("ticket_id").limit(total)
+    while len(kept) < total:
+        seed += rounds
+        kept |= {tuple(r["nums"]): None for r in random_tickets(spark, total, p.pick, seed).collect()}
+    return spark.createDataFrame([(i, list(nums)) for i, nums in enumerate([*kept][:total])], TICKET)
 
 
 def greedy_ticket(posterior: DataFrame, pick: int) -> list[int]:

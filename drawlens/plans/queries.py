@@ -125,6 +125,18 @@ def sum_distribution_3(spark, d):
     return metrics.sum_distribution(last(spark, d), 3)
 
 
+@query(f"""WITH RECURSIVE {DN}, o AS (SELECT rn, num, ROW_NUMBER() OVER (PARTITION BY rn ORDER BY num) AS i FROM dn WHERE rn < {L}),
+r AS (SELECT DISTINCT rn, CAST(0 AS BIGINT) AS i, 0 AS c, 0 AS s, CAST(1 AS BIGINT) AS n FROM o
+      UNION ALL
+      SELECT r.rn, r.i + 1, r.c + t, r.s + t * o.num, CAST(SUM(r.n) AS BIGINT)
+      FROM r JOIN o ON o.rn = r.rn AND o.i = r.i + 1, (SELECT unnest([0, 1]) AS t) x WHERE r.c + t <= 12 GROUP BY 1, 2, 3, 4),
+g AS (SELECT (s - 1) // 50 AS g, CAST(SUM(n) AS BIGINT) AS subsets FROM r WHERE i = 20 AND c = 12 GROUP BY 1)
+SELECT CAST(g * 50 + 1 AS VARCHAR) || '-' || CAST((g + 1) * 50 AS VARCHAR) AS bin, subsets,
+       ROUND(subsets / CAST(SUM(subsets) OVER () AS DOUBLE), 6) AS rate FROM g""")
+def sum_distribution_12(spark, d):
+    return metrics.sum_distribution(last(spark, d), 12)
+
+
 @query(f"WITH {DN}, p AS (SELECT rn, COUNT(CASE WHEN num IN {C.PRIMES} THEN 1 END) AS primes FROM dn WHERE rn < {L} GROUP BY rn) SELECT primes, COUNT(*) AS draws FROM p GROUP BY primes")
 def prime_rate(spark, d):
     return metrics.prime_rate(last(spark, d))
@@ -326,17 +338,24 @@ def advanced_generation(spark, d):
 def _markov_sql(order: int) -> str:
     joins = "".join(f" JOIN st s{k} ON s{k}.rn = a.rn + {k}" for k in range(1, order + 1))
     state = " || '|' || ".join(f"s{k}.s" for k in range(order, 0, -1))
-    return f"WITH {DN}, st AS (SELECT rn, string_agg(CAST(num AS VARCHAR), ',' ORDER BY num) AS s FROM dn WHERE rn < {L} GROUP BY rn), c AS (SELECT {state} AS state, a.num, COUNT(*) AS n FROM dn a{joins} WHERE a.rn < {L} GROUP BY 1, 2) SELECT state, num, n, ROUND(n / CAST(SUM(n) OVER (PARTITION BY state) AS DOUBLE), 6) AS p FROM c"
+    return f"""WITH {DN}, st AS (SELECT rn, string_agg(CAST(num AS VARCHAR), ',' ORDER BY num) AS s FROM dn GROUP BY rn),
+c AS (SELECT {state} AS state, a.num, COUNT(*) AS n FROM dn a{joins} GROUP BY 1, 2)
+SELECT state, num, n, ROUND(n / CAST(SUM(n) OVER (PARTITION BY state) AS DOUBLE), 6) AS p FROM c"""
 
 
 @query(_markov_sql(1))
 def markov_transitions(spark, d):
-    return metrics.markov_transitions(last(spark, d))
+    return metrics.markov_transitions(whole(spark, d))
 
 
 @query(_markov_sql(2))
 def markov_transitions_2(spark, d):
-    return metrics.markov_transitions(last(spark, d), 2)
+    return metrics.markov_transitions(whole(spark, d), 2)
+
+
+@query(_markov_sql(3))
+def markov_transitions_3(spark, d):
+    return metrics.markov_transitions(whole(spark, d), 3)
 
 
 @query(f"""WITH {DN}, g AS (SELECT issue, num, num - LAG(num) OVER (PARTITION BY issue ORDER BY num) AS gap FROM dn),
@@ -347,18 +366,18 @@ def row_features(spark, d):
     return rows.row_features(draw_numbers(spark, d))
 
 
-@query(f"WITH {DN} SELECT a.rn, string_agg(CAST(b.num AS VARCHAR), ',' ORDER BY b.rn, b.num) AS flat FROM (SELECT DISTINCT rn FROM dn WHERE rn < {L}) a JOIN dn b ON b.rn BETWEEN a.rn AND a.rn + 3 AND b.rn < {L} WHERE a.rn + 3 < {L} GROUP BY a.rn")
+@query(f"""WITH {DN} SELECT a.rn, string_agg(CAST(b.num AS VARCHAR), ',' ORDER BY b.rn, b.num) AS flat
+FROM (SELECT DISTINCT rn FROM dn) a JOIN dn b ON b.rn BETWEEN a.rn AND a.rn + 3 WHERE a.rn + 3 <= (SELECT MAX(rn) FROM dn) GROUP BY a.rn""")
 def window_features(spark, d):
-    return _windows(last(spark, d))
+    return rows.window_features(whole(spark, d)).select("rn", F.concat_ws(",", F.col("flat").cast("array<string>")).alias("flat"))
 
 
-def _windows(h: DataFrame) -> DataFrame:
-    return rows.window_features(h).select("rn", F.concat_ws(",", F.col("flat").cast("array<string>")).alias("flat"))
-
-
-@query(f"WITH {DN}, h AS (SELECT issue, list(CASE WHEN EXISTS (SELECT 1 FROM dn x WHERE x.issue = i.issue AND x.num = u.num) THEN 1 ELSE 0 END ORDER BY u.num) AS b FROM (SELECT DISTINCT issue FROM dn WHERE rn < {L}) i CROSS JOIN u GROUP BY issue) SELECT issue, array_to_string(b, '') AS bits, CAST(list_sum(b) AS INT) AS decoded FROM h")
+@query(f"""WITH {DN}, c AS (SELECT i.issue, u.num, CASE WHEN x.num IS NULL THEN 0 ELSE 1 END AS hit
+FROM (SELECT DISTINCT issue FROM dn) i CROSS JOIN u LEFT JOIN dn x ON x.issue = i.issue AND x.num = u.num),
+h AS (SELECT issue, list(hit ORDER BY num) AS b FROM c GROUP BY issue)
+SELECT issue, array_to_string(b, '') AS bits, CAST(list_sum(b) AS INT) AS decoded FROM h""")
 def multi_hot_encoding(spark, d):
-    own = as_arrays(last(spark, d), "issue").withColumn("b", C.multi_hot(F.col("nums")))
+    own = as_arrays(draw_numbers(spark, d), "issue").withColumn("b", C.multi_hot(F.col("nums")))
     return own.select("issue", F.concat_ws("", F.col("b").cast("array<string>")).alias("bits"), F.size(C.decode_multi_hot(F.col("b"))).alias("decoded"))
 
 
@@ -417,16 +436,6 @@ def kmeans_draws(spark, d):
     return features.draw_clusters(last(spark, d, FEATURE), FEATURE)
 
 
-@query(f"""WITH {DN}, {PZ}, tg AS (SELECT DISTINCT issue, rn AS tr FROM dn WHERE rn < 12), c AS (SELECT tg.issue AS target, tg.tr, d.num, COUNT(*) AS c FROM tg JOIN dn d ON d.rn > tg.tr AND d.rn <= tg.tr + 30 GROUP BY 1, 2, 3),
-p AS (SELECT target, tr, num, ROW_NUMBER() OVER (PARTITION BY target ORDER BY c DESC, num) AS place FROM c), g AS (SELECT pk.pick, r.run FROM (SELECT unnest([4, 7, 10]) AS pick) pk, (SELECT unnest([0, 1]) AS run) r),
-t AS (SELECT p.target, g.pick, g.run, COUNT(d.num) AS hits FROM p JOIN g ON p.place > g.run AND p.place <= g.run + g.pick LEFT JOIN dn d ON d.issue = p.target AND d.num = p.num GROUP BY 1, 2, 3)
-SELECT t.pick, t.run, COUNT(*) AS tickets, CAST(SUM(t.hits) AS BIGINT) AS hits, CAST(SUM(amount) AS DOUBLE) AS prize, ROUND(CAST(SUM(amount) AS DOUBLE) / (COUNT(*) * 2) * 100, 4) AS return_rate FROM t JOIN pz ON pz.pick = t.pick AND pz.hits = t.hits GROUP BY t.pick, t.run""")
-def backtest_grid(spark, d):
-    n = recent(draw_numbers(spark, d), 60).select("issue", "num")
-    targets = recent(n, 12).select("issue").distinct()
-    return _grid(n, targets)
-
-
 def whole(spark: SparkSession, d: str) -> DataFrame:
     return history(draw_numbers(spark, d))
 
@@ -440,29 +449,24 @@ def _grid(n: DataFrame, targets: DataFrame) -> DataFrame:
 p AS (SELECT target, tr, num, ROW_NUMBER() OVER (PARTITION BY target ORDER BY c DESC, num) AS place FROM c), g AS (SELECT pk.pick, r.run FROM (SELECT unnest([4, 7, 10]) AS pick) pk, (SELECT unnest([0, 1]) AS run) r),
 t AS (SELECT p.target, g.pick, g.run, COUNT(d.num) AS hits FROM p JOIN g ON p.place > g.run AND p.place <= g.run + g.pick LEFT JOIN dn d ON d.issue = p.target AND d.num = p.num GROUP BY 1, 2, 3)
 SELECT t.pick, t.run, COUNT(*) AS tickets, CAST(SUM(t.hits) AS BIGINT) AS hits, CAST(SUM(amount) AS DOUBLE) AS prize, ROUND(CAST(SUM(amount) AS DOUBLE) / (COUNT(*) * 2) * 100, 4) AS return_rate FROM t JOIN pz ON pz.pick = t.pick AND pz.hits = t.hits GROUP BY t.pick, t.run""")
-def backtest_grid_all(spark, d):
+def backtest_grid(spark, d):
     """Every draw that has an older one is a target."""
     n = draw_numbers(spark, d)
     return _grid(n, n.select("issue").distinct())
 
 
-@query(f"WITH {DN} SELECT a.rn, string_agg(CAST(b.num AS VARCHAR), ',' ORDER BY b.rn, b.num) AS flat FROM (SELECT DISTINCT rn FROM dn) a JOIN dn b ON b.rn BETWEEN a.rn AND a.rn + 3 WHERE a.rn + 3 <= (SELECT MAX(rn) FROM dn) GROUP BY a.rn")
-def window_features_all(spark, d):
-    return _windows(whole(spark, d))
-
-
 @query(f"WITH {DN} SELECT issue, string_agg(CAST(num AS VARCHAR), ',' ORDER BY num) AS nums FROM dn GROUP BY issue")
-def parse_tables_all(spark, d):
+def parse_tables(spark, d):
     return _tables(draw_numbers(spark, d))
 
 
 @query(f"WITH {DN} SELECT issue, string_agg(CAST(num AS VARCHAR), ',' ORDER BY num DESC) AS nums FROM dn GROUP BY issue")
-def sequence_text_parse_all(spark, d):
+def sequence_text_parse(spark, d):
     return _lines(draw_numbers(spark, d))
 
 
 @query(f"WITH {DN}, t AS (SELECT issue AS ticket_id, ROW_NUMBER() OVER (ORDER BY issue) AS place FROM (SELECT DISTINCT issue FROM dn)) SELECT ticket_id, CAST(place AS INT) AS place FROM t WHERE place % 3 = 1")
-def sampled_results_all(spark, d):
+def sampled_results(spark, d):
     return files.sample_rows(draw_numbers(spark, d).select(F.col("issue").alias("ticket_id")).distinct(), 3, 1)
 
 
@@ -471,22 +475,12 @@ def parse_pages(spark, d):
     return files.list_items(spark.read.parquet(f"{d}/pages.parquet"))
 
 
-@query(f"WITH {DN} SELECT issue, string_agg(CAST(num AS VARCHAR), ',' ORDER BY num) AS nums FROM dn WHERE rn < {L} GROUP BY issue")
-def parse_tables(spark, d):
-    return _tables(last(spark, d))
-
-
 def _tables(h: DataFrame) -> DataFrame:
     own = as_arrays(h, "issue")
     page = own.select(F.concat(F.lit("<table><tbody id='tdata'><tr><td>"), F.col("issue").cast("string"), F.lit("</td><td>"), F.concat_ws("</td><td>", F.transform("nums", lambda x: F.lpad(x.cast("string"), 2, "0"))), F.lit("</td><td>x</td></tr></tbody></table>")).alias("html"))
     return files.parse_tables(page).select("issue", F.concat_ws(",", F.col("nums").cast("array<string>")).alias("nums"))
 
 
-@query(f"WITH {DN} SELECT issue, string_agg(CAST(num AS VARCHAR), ',' ORDER BY num DESC) AS nums FROM dn WHERE rn < {L} GROUP BY issue")
-def sequence_text_parse(spark, d):
-    return _lines(last(spark, d))
-
-
 def _lines(h: DataFrame) -> DataFrame:
     own = as_arrays(h, "issue")
     lines = own.select(F.concat_ws(" ", F.col("issue").cast("string"), F.concat_ws(" ", F.reverse(F.col("nums")).cast("array<string>")), F.lit(",rest")).alias("value"))
@@ -498,12 +492,6 @@ def latest_issue(spark, d):
     return files.latest_issue(draw_numbers(spark, d))
 
 
-@query(f"WITH {DN}, t AS (SELECT issue AS ticket_id, ROW_NUMBER() OVER (ORDER BY issue) AS place FROM (SELECT DISTINCT issue FROM dn WHERE rn < 200)) SELECT ticket_id, CAST(place AS INT) AS place FROM t WHERE place % 3 = 1")
-def sampled_results(spark, d):
-    own = recent(draw_numbers(spark, d), 200).select(F.col("issue").alias("ticket_id")).distinct()
-    return files.sample_rows(own, 3, 1)
-
-
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, COUNT(*) AS n, ROUND(SUM(value), 4) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark, d):
     return events.windowed_counts(spark.read.parquet(f"{d}/events.parquet"))
