@@ -34,7 +34,9 @@ from . import batches
 
 NONE = np.int32(2**31 - 1)
 SHIFT = np.int64(20)
-WORDS = 100_000  # distinct pieces that are no tokens in a batch, to size the buckets
+#: Bytes of text in a batch, and distinct pieces that are no tokens in one, to size the buckets. A batch asks for each of
+#: its distinct pieces once, and texts share most of them: large batches ask for less in all.
+BATCH_BYTES, WORDS = 24 << 20, 400_000
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -152,18 +154,29 @@ def pieces(part: pa.Table, text: str, pattern: regex.Pattern, ranks: dict[bytes,
     numbers = _Numbers()
     get, find = numbers.__getitem__, pattern.findall
     own = [np.fromiter(map(get, find(x or "")), np.int32) for x in part.column(text).to_pylist()]
-    words = [w.encode() for w in numbers]
+    flat = np.concatenate([*own, np.empty(0, np.int32)])
+    # Frequent pieces get small numbers, and the bytes of the numbers are stored apart: both make them shorter packed.
+    order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+    number = np.empty(len(order), np.int32)
+    number[order] = np.arange(len(order), dtype=np.int32)
+    every = [*numbers]
+    words = [every[i].encode() for i in order.tolist()]
     known = np.array([ranks.get(w, -1) for w in words], np.int32)  # a word that is a token stays whole
     rest = np.array([w for w, k in zip(words, known, strict=True) if k < 0] + [b""], object)[:-1]
-    flat = np.concatenate([*own, np.empty(0, np.int32)])
-    blob = batches.pack_arrays([np.array([len(x) for x in own], "<u4"), flat, known, rest])
+    blob = batches.pack_arrays([np.array([len(x) for x in own], "<u4"), *planes(number[flat]), known, rest])
     ids = part.column("doc")
     return pa.table({"doc": pa.chunked_array([*ids.chunks, pa.nulls(1, ids.type)]), "data": pa.array([None] * len(ids) + [blob], pa.binary())})
 
 
 def unstaged(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Pieces of each row, all pieces, tokens of the distinct ones, bytes of those that are none."""
-    return tuple(batches.unpack_arrays(part.column("data")[-1].as_py(), ["<u4", "<i4", "<i4", "O"]))
+    rows, *own, known, rest = batches.unpack_arrays(part.column("data")[-1].as_py(), ["<u4", *["u1"] * 4, "<i4", "O"])
+    return rows, np.stack(own, axis=1).view("<i4")[:, 0], known, rest
+
+
+def planes(x: np.ndarray) -> list[np.ndarray]:
+    """The four bytes of each number apart, lowest first."""
+    return list(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T))
 
 
 def keyed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,7 +272,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
     def prepare(part: pa.Table) -> pa.Table:
         return pieces(part, "text", compiled(pattern), vocabulary_of(tokens).ranks)
 
-    staged = batches.stage(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), "text", "bpe", prepare=prepare)
+    staged = batches.stage(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), "text", "bpe", budget=BATCH_BYTES, prepare=prepare)
     how = batches.plan(staged, WORDS, fan=fan)
     replies = batches.count(staged, Merging(tokens), how, "bpe-words")
 
