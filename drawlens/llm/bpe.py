@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import batches
+from .common import chunks, released_shuffles, remove, shared_dir
 
 NONE = np.int32(2**31 - 1)
 SHIFT = np.int64(20)
@@ -147,31 +149,47 @@ class _Numbers(dict):
         return value
 
 
-def pieces(part: pa.Table, text: str, pattern: regex.Pattern, ranks: dict[bytes, int]) -> pa.Table:
-    """What a batch of texts is staged as: the ids of its rows and, for each, its pieces by number, ended by -1; in a last
-    row (without an id) the distinct pieces: ids of those that are tokens (else -1), and the bytes of the others.
+def pieces(part: pa.Table, text: str, pattern: regex.Pattern, ranks: dict[bytes, int]) -> tuple[pa.Table, pa.Table]:
+    """What a batch of texts is staged as. First: the ids of its rows and, in a last row (without an id), how many pieces
+    each text has, the numbers of its pieces, and of each distinct piece the id if it is a token, else -1. Second: the
+    distinct pieces that are no tokens, by key.
+
+    Pieces are numbered by the binary magnitude of their counts, frequent ones first, tokens before others and those by
+    key: so the numbers pack well, and the magnitudes by key tell which number a piece of the second table has.
     """
     numbers = _Numbers()
     get, find = numbers.__getitem__, pattern.findall
     own = [np.fromiter(map(get, find(x or "")), np.int32) for x in part.column(text).to_pylist()]
     flat = np.concatenate([*own, np.empty(0, np.int32)])
-    # Frequent pieces get small numbers, and the bytes of the numbers are stored apart: both make them shorter packed.
-    order = np.argsort(-np.bincount(flat, minlength=len(numbers)), kind="stable")
+    words = [w.encode() for w in numbers]
+    known = np.array([ranks.get(w, -1) for w in words], np.int32)  # a word that is a token stays whole
+    level = np.frexp(np.bincount(flat, minlength=len(words)))[1].astype(np.uint8)
+    rest = np.flatnonzero(known < 0)
+    rest = rest[keyed([words[i] for i in rest.tolist()])[1]]
+    order = np.concatenate([np.flatnonzero(known >= 0), rest])
+    order = order[by_level(level[order])]
     number = np.empty(len(order), np.int32)
     number[order] = np.arange(len(order), dtype=np.int32)
-    every = [*numbers]
-    words = [every[i].encode() for i in order.tolist()]
-    known = np.array([ranks.get(w, -1) for w in words], np.int32)  # a word that is a token stays whole
-    rest = np.array([w for w, k in zip(words, known, strict=True) if k < 0] + [b""], object)[:-1]
-    blob = batches.pack_arrays([np.array([len(x) for x in own], "<u4"), *planes(number[flat]), known, rest])
+    texts = batches.pack_arrays([np.array([len(x) for x in own], "<u4"), *planes(number[flat]), known[order], level[rest]])
+    others = batches.pack_arrays([np.array([*(words[i] for i in rest.tolist()), b""], object)[:-1]])
     ids = part.column("doc")
-    return pa.table({"doc": pa.chunked_array([*ids.chunks, pa.nulls(1, ids.type)]), "data": pa.array([None] * len(ids) + [blob], pa.binary())})
+    first = pa.table({"doc": pa.chunked_array([*ids.chunks, pa.nulls(1, ids.type)]), "data": pa.array([None] * len(ids) + [texts], pa.binary())})
+    return first, pa.table({"data": pa.array([others], pa.binary())})
+
+
+def by_level(level: np.ndarray) -> np.ndarray:
+    return np.argsort(-level.astype(np.int16), kind="stable")
 
 
 def unstaged(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of each row, all pieces, tokens of the distinct ones, bytes of those that are none."""
-    rows, *own, known, rest = batches.unpack_arrays(part.column("data")[-1].as_py(), ["<u4", *["u1"] * 4, "<i4", "O"])
-    return rows, np.stack(own, axis=1).view("<i4")[:, 0], known, rest
+    """Pieces of each row, all pieces, tokens of the distinct ones, magnitudes by key of those that are none."""
+    rows, *own, known, level = batches.unpack_arrays(part.column("data")[-1].as_py(), ["<u4", *["u1"] * 4, "<i4", "u1"])
+    return rows, np.stack(own, axis=1).view("<i4")[:, 0], known, level
+
+
+def others(part: pa.Table) -> np.ndarray:
+    """The distinct pieces of a batch that are no tokens, by key."""
+    return batches.unpack_arrays(part.column("data")[0].as_py(), ["O"])[0]
 
 
 def planes(x: np.ndarray) -> list[np.ndarray]:
@@ -179,7 +197,7 @@ def planes(x: np.ndarray) -> list[np.ndarray]:
     return list(np.ascontiguousarray(x.astype("<i4").view(np.uint8).reshape(-1, 4).T))
 
 
-def keyed(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def keyed(words: np.ndarray | list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of distinct words in ascending order, and that order."""
     keys = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     order = np.argsort(keys, kind="stable")
@@ -195,9 +213,8 @@ class Merging:
         self.tokens = tokens
 
     def keys_of(self, part: pa.Table, role: int) -> list[tuple[int, np.ndarray, list[np.ndarray]]]:
-        words = unstaged(part)[3]
-        keys, order = keyed(words)
-        return [(0, keys, [words[order]])]
+        words = others(part)
+        return [(0, keyed(words)[0], [words])]
 
     def merge(self, met: batches.Requests) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         numbers = _Numbers()
@@ -227,8 +244,12 @@ def gathered(flat: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
     return flat[np.repeat(begin - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
 
-def sizes(known: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each distinct piece's ids begin, how many they are, and all of them one after another."""
+def sizes(known: np.ndarray, level: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct piece's ids begin, how many they are, and all of them one after another; n and ids are those of
+    the pieces that are no tokens, by key.
+    """
+    back, n = by_level(level), n.astype(np.int64)
+    n, ids = n[back], gathered(ids, (np.cumsum(n) - n)[back], n[back])
     size = np.ones(len(known), np.int64)
     size[known < 0] = n
     flat = np.empty(int(size.sum()), np.int32)
@@ -239,9 +260,10 @@ def sizes(known: np.ndarray, n: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray
 
 def encode_texts(texts: list[str], vocabulary: Vocabulary, pattern: regex.Pattern) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts one after another, and the number of ids of each text (without Spark)."""
-    rows, flat, known, rest = unstaged(pieces(pa.table({"doc": pa.nulls(len(texts), pa.int64()), "text": pa.array(texts, pa.string())}), "text", pattern, vocabulary.ranks))
-    ids, n = vocabulary.encode_words(rest.tolist())
-    begin, size, every = sizes(known, n, ids)
+    first, second = pieces(pa.table({"doc": pa.nulls(len(texts), pa.int64()), "text": pa.array(texts, pa.string())}), "text", pattern, vocabulary.ranks)
+    rows, flat, known, level = unstaged(first)
+    ids, n = vocabulary.encode_words(others(second).tolist())
+    begin, size, every = sizes(known, level, n, ids)
     ends = np.cumsum(np.append(0, size[flat]))[np.cumsum(np.append(0, rows))]
     return gathered(every, begin[flat], size[flat]), np.diff(ends)
 
@@ -269,22 +291,29 @@ def tokenize(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
     """
     tokens = load_ranks(path)
 
-    def prepare(part: pa.Table) -> pa.Table:
-        return pieces(part, "text", compiled(pattern), vocabulary_of(tokens).ranks)
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(frames, "text", BATCH_BYTES):
+            batch = uuid.uuid4().int >> 65
+            data = [batches.pack(x) for x in pieces(part, "text", compiled(pattern), vocabulary_of(tokens).ranks)]
+            yield pa.RecordBatch.from_arrays([pa.array([batch] * 2, pa.int64()), pa.array([0, 1], pa.int32()), pa.array(data, pa.binary())], ["batch", "role", "data"])
+
+    spark, path = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/bpe-{uuid.uuid4().hex}"
+    with released_shuffles(spark):
+        staged = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInArrow(run, batches.STAGED)
+        staged.write.option("compression", "none").partitionBy("role").parquet(path)
+
+    def of_role(role: int) -> DataFrame:
+        return spark.read.schema(batches.STAGED).parquet(path).where(F.col("role") == role).select("batch", "role", "data")
 
-    staged = batches.stage(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), "text", "bpe", budget=BATCH_BYTES, prepare=prepare)
-    how = batches.plan(staged, WORDS, fan=fan)
-    replies = batches.count(staged, Merging(tokens), how, "bpe-words")
+    words = of_role(1)
+    replies = batches.count(words, Merging(tokens), batches.plan(words, WORDS, fan=fan), "bpe-words")
+    remove(spark, f"{path}/role=1")  # the words are in the replies now
 
     def use(part: pa.Table, role: int, got: dict[int, bytes]) -> pa.Table:
-        rows, flat, known, rest = unstaged(part)
-        keys, order = keyed(rest)
-        answers = [batches.unpack_arrays(got[b], ["<u4", "<i4"]) for b in np.flatnonzero(np.diff(how.cut(keys))).tolist()]
+        rows, flat, known, level = unstaged(part)
+        answers = [batches.unpack_arrays(got[b], ["<u4", "<i4"]) for b in sorted(got)]
         n, ids = (np.concatenate(x) for x in zip([np.empty(0, np.int64), np.empty(0, np.int32)], *answers, strict=True))
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        n = n.astype(np.int64)
-        begin, size, every = sizes(known, n[back], gathered(ids, (np.cumsum(n) - n)[back], n[back]))
+        begin, size, every = sizes(known, level, n, ids)
         out, at = {"n_tokens": [], "ids_sha256": [], "decoded_sha256": [], "ids": []}, 0
         for k in rows.tolist():
             own = flat[at : at + k]
@@ -299,4 +328,4 @@ def tokenize(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
 
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
-    return batches.finish(staged, replies, use, schema).withColumnRenamed("doc", doc_id)
+    return batches.finish(of_role(0), replies, use, schema).withColumnRenamed("doc", doc_id)

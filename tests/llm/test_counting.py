@@ -230,6 +230,6 @@ def test_empty_tables(docs, run):
 
 def test_table_of_pieces_holds_every_piece_once():
     _, pattern, vocabulary, _ = library()
-    part = bpe.pieces(pa.table({"doc": [1, 2], "text": ["zqxj zqxj", None]}), "text", bpe.compiled(pattern), vocabulary.ranks)
-    rows, flat, known, rest = bpe.unstaged(part)
-    assert rows.tolist() == [2, 0] and len(known) == 2 and len(rest) == int((known < 0).sum())
+    part, second = bpe.pieces(pa.table({"doc": [1, 2], "text": ["zqxj zqxj", None]}), "text", bpe.compiled(pattern), vocabulary.ranks)
+    rows, flat, known, level = bpe.unstaged(part)
+    assert rows.tolist() == [2, 0] and len(known) == 2 and len(bpe.others(second)) == len(level) == int((known < 0).sum())
