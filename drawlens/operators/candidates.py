@@ -54,20 +54,27 @@ def relaxed(threshold: float, target: float, epoch: int) -> float:
     return float(np.clip(threshold + max(0.05 * 0.98**epoch, 0.005) * 0.2 * (target - threshold), 0.01, 0.2))
 
 
-def generate(spark: SparkSession, p: Profile, total: int, thresholds: list[float], check, batch: int = 2000, rounds: int = 5, seed: int = 42) -> DataFrame:
+def accepted(spark: SparkSession, p: Profile, total: int, thresholds: list[float], check, batch: int = 2000, rounds: int = 5, seed: int = 42) -> dict[tuple[int, ...], list[float]]:
     """Batch rejection sampling: propose, check, keep; thresholds relax between rounds of `batch` proposals.
 
-    What is missing after `rounds` of them is filled by uniform tickets (that need not pass), so `total` distinct tickets
-    come back. No more than `total` tickets of a round, a parameter, reach the driver.
+    At most `total` tickets, with the thresholds they passed under; fewer where `rounds` of proposals do not do. No more
+    than `total` tickets of a round, a parameter, reach the driver.
     """
-    kept: dict[tuple[int, ...], None] = {}
+    kept: dict[tuple[int, ...], list[float]] = {}
     own = list(thresholds)
     for epoch in range(rounds):
         good = check(heuristic_tickets(spark, p, batch, seed=seed + epoch), p, tuple(own)).where("code = 99")
-        kept |= {tuple(r["nums"]): None for r in good.orderBy("ticket_id").limit(total).collect()}
+        for r in good.orderBy("ticket_id").limit(total).collect():
+            kept.setdefault(tuple(r["nums"]), list(own))
         if len(kept) >= total:
             break
         own = [relaxed(t, 0.2, epoch) for t in own]
+    return {nums: kept[nums] for nums in [*kept][:total]}
+
+
+def generate(spark: SparkSession, p: Profile, total: int, thresholds: list[float], check, batch: int = 2000, rounds: int = 5, seed: int = 42) -> DataFrame:
+    """Accepted tickets; what is missing is filled by uniform ones (that need not pass), so `total` distinct ones come back."""
+    kept = dict.fromkeys(accepted(spark, p, total, thresholds, check, batch, rounds, seed))
     while len(kept) < total:
         seed += rounds
         kept |= {tuple(r["nums"]): None for r in random_tickets(spark, total, p.pick, seed).collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,6 +116,24 @@ def chi_square(h: DataFrame) -> DataFrame:
     return counts.agg(F.round(F.sum((F.col("cnt") - F.col("e")) ** 2 / F.col("e")), 6).alias("statistic"), (F.count("*") - 1).alias("dof"))
 
 
+def chi_square_tail(statistic: float, dof: int) -> float:
+    """Chance that a chi-square variable exceeds the statistic: the finite sums for even and for odd degrees of freedom."""
+    half = statistic / 2
+    if half <= 0 or dof <= 0:
+        return 1.0
+    first = 0.0 if dof % 2 == 0 else 0.5
+    terms = (math.exp((k + first) * math.log(half) - half - math.lgamma(k + first + 1)) for k in range(dof // 2))
+    return min(1.0, sum(terms) + (math.erfc(math.sqrt(half)) if dof % 2 else 0.0))
+
+
+def chi_square_test(h: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """(statistic, dof, p_value, significant); one row reaches the driver. Without draws nothing is significant."""
+    row = chi_square(h).first()
+    statistic, dof = row["statistic"] or 0.0, max(row["dof"], 0)
+    p = chi_square_tail(statistic, dof)
+    return h.sparkSession.createDataFrame([(statistic, dof, round(p, 6), p < alpha)], "statistic double, dof bigint, p_value double, significant boolean")
+
+
 def markov_transitions(h: DataFrame, order: int = 1) -> DataFrame:
     """(state, num, n, p): numbers that follow each state (the sets of the `order` draws before, oldest first)."""
     arrays = as_arrays(h, "rn")

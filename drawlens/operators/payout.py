@@ -28,6 +28,14 @@ def score(tickets: DataFrame, draws: DataFrame, strict_reference: bool = False)
     return paid.select("ticket_id", "issue", "pick", "hits", amount.alias("amount"))
 
 
+def known_targets(tickets: DataFrame, draws: DataFrame) -> DataFrame:
+    """tickets (ticket_id, issue, nums) with the latest draw's issue where no draw has theirs."""
+    issues = draws.select("issue").distinct()
+    latest = issues.agg(F.max("issue").alias("latest"))
+    met = tickets.join(issues.withColumn("known", F.lit(True)), "issue", "left").join(F.broadcast(latest))
+    return met.select("ticket_id", F.when(F.col("known"), F.col("issue")).otherwise(F.col("latest")).alias("issue"), "nums")
+
+
 def by_hits(scored: DataFrame) -> DataFrame:
     return scored.groupBy("pick", "hits").agg(F.count("*").alias("tickets"), F.sum("amount").cast("decimal(20,2)").alias("prize"))
 

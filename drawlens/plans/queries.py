@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PRIZES
 from ..functions import columns as C
-from ..operators import backtest, candidates, constraints, features, graph, metrics, pairs, payout, rows
+from ..operators import backtest, candidates, constraints, features, generation, graph, metrics, pairs, payout, rows
 from ..sources import files
-from ..sources.draws import as_arrays, draw_numbers, history, recent, tickets
+from ..sources.draws import as_arrays, draw_numbers, history, recent, split_by_issue, tickets
 from ..streaming import events
 
 L, FEATURE, PICK = DEFAULT.window, DEFAULT.feature_window, DEFAULT.pick
@@ -330,8 +330,75 @@ def candidate_ranking(spark, d):
     return constraints.rank(own, p, features.enhanced_scores(h, FEATURE), pairs.mutual_information(h)).limit(20)
 
 
+def _chances(spark, d) -> dict[int, float]:
+    h = last(spark, d)
+    state = ",".join(map(str, candidates.newest(h)))
+    return {r["num"]: r["p"] for r in metrics.markov_transitions(h).where(F.col("state") == state).collect()}
+
+
 @query()
 def advanced_generation(spark, d):
+    """The union of the generators, checked and scored."""
+    p, h = _profile(spark, d), last(spark, d, FEATURE)
+    scores = features.enhanced_scores(h, FEATURE)
+    own = generation.union(h, p, metrics.bayes_posterior(last(spark, d)), _chances(spark, d), generation.ranked_numbers(scores), min_draws=100)
+    return generation.best(own, p, THRESHOLDS, scores, pairs.mutual_information(h))
+
+
+@query()
+def calibrated_thresholds(spark, d):
+    h = last(spark, d, 2 * L)
+    own = generation.calibrated(spark, [constraints.profile(h, L, k) for k in (5, PICK)], list(THRESHOLDS), 20, 500, 3)
+    return own.select("pick", *[F.element_at("thr", i).alias(f"s{i}") for i in range(1, 7)])
+
+
+PENALISED = ", ".join(f"ROUND({t}E0 + ROUND(COALESCE(worst * 0.1E0, 0), 6), 6) AS s{i}" for i, t in enumerate(THRESHOLDS, 1))
+
+
+@query(f"""WITH {DN}, {TK}, {RULES}, {BROKEN}
+SELECT i.issue AS ticket_id, {PENALISED}
+FROM (SELECT DISTINCT issue FROM tk) i LEFT JOIN broken b ON b.issue = i.issue""")
+def rule_penalised_results(spark, d):
+    checked = pairs.filter_tickets(tickets_by_issue(spark, d), pairs.association_rules(last(spark, d, FEATURE)))
+    own = generation.penalised(checked, F.array(*[F.lit(t) for t in THRESHOLDS]))
+    return own.select("ticket_id", *[F.element_at("thr", i).alias(f"s{i}") for i in range(1, 7)])
+
+
+@query(f"""WITH {DN}, {REC},
+m AS (SELECT num, ROUND(CASE WHEN m1 - m0 < 1E-9 THEN 0 ELSE (mom - m0) / (m1 - m0) END, 6) AS score FROM y, z)
+SELECT num, score, CAST(ROW_NUMBER() OVER (ORDER BY score DESC, num) AS INT) AS place FROM m""")
+def momentum_ranking(spark, d):
+    return generation.ranked_numbers(features.recency_momentum(last(spark, d, FEATURE)), "momentum")
+
+
+@query()
+def chi_square_test(spark, d):
+    return metrics.chi_square_test(last(spark, d))
+
+
+@query(f"""WITH {DN} SELECT CASE WHEN issue <= {TARGET} THEN 'train' ELSE 'test' END AS part,
+COUNT(DISTINCT issue) AS draws, MIN(issue) AS first_issue, MAX(issue) AS last_issue FROM dn GROUP BY 1""")
+def issue_split(spark, d):
+    own = split_by_issue(draw_numbers(spark, d), TARGET)
+    return own.groupBy("part").agg(F.countDistinct("issue").alias("draws"), F.min("issue").alias("first_issue"), F.max("issue").alias("last_issue"))
+
+
+@query(f"""WITH {DN}, {TK}, {PZ}, have AS (SELECT DISTINCT issue FROM dn),
+tg AS (SELECT i.issue AS ticket_id, COALESCE(h.issue, (SELECT MAX(issue) FROM have)) AS target
+FROM (SELECT DISTINCT issue FROM tk) i LEFT JOIN have h ON h.issue = i.issue + 7),
+hx AS (SELECT tg.ticket_id, COUNT(x.num) AS hits FROM tg JOIN tk t ON t.issue = tg.ticket_id
+LEFT JOIN dn x ON x.issue = tg.target AND x.num = t.num GROUP BY 1)
+SELECT {PICK} AS pick, CAST(hx.hits AS INT) AS hits, COUNT(*) AS tickets, CAST(SUM(amount) AS DOUBLE) AS prize
+FROM hx JOIN pz ON pz.pick = {PICK} AND pz.hits = hx.hits GROUP BY hx.hits""")
+def payout_fallback(spark, d):
+    """Tickets for the draw seven issues on; those of the newest issues get the latest draw."""
+    draws = as_arrays(draw_numbers(spark, d), "issue")
+    own = tickets_by_issue(spark, d).withColumn("issue", F.col("ticket_id") + 7)
+    return plain(payout.by_hits(payout.score(payout.known_targets(own, draws), draws)))
+
+
+@query()
+def rejection_generation(spark, d):
     return candidates.generate(spark, _profile(spark, d), 50, list(THRESHOLDS), constraints.validate)
 
 
@@ -404,10 +471,7 @@ def greedy_ticket(spark, d):
 
 @query()
 def markov_tickets(spark, d):
-    h = last(spark, d)
-    state = ",".join(map(str, candidates.newest(h)))
-    chances = {r["num"]: r["p"] for r in metrics.markov_transitions(h).where(F.col("state") == state).collect()}
-    return candidates.markov_tickets(spark, chances, 50, PICK)
+    return candidates.markov_tickets(spark, _chances(spark, d), 50, PICK)
 
 
 @query()

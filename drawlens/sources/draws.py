@@ -48,6 +48,11 @@ def history(numbers: DataFrame) -> DataFrame:
     return numbers.join(ranks, "issue").select("rn", "issue", "num")
 
 
+def split_by_issue(numbers: DataFrame, begin: int) -> DataFrame:
+    """numbers with their part: train up to the issue `begin`, test after it."""
+    return numbers.withColumn("part", F.when(F.col("issue") <= begin, "train").otherwise("test"))
+
+
 def as_arrays(numbers: DataFrame, *keys: str) -> DataFrame:
     """One row per draw with ascending nums."""
     keys = keys or ("issue",)

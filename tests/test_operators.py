@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from drawlens.functions import columns as C
-from drawlens.operators import candidates, constraints, features, metrics, pairs, payout
+from drawlens.operators import candidates, constraints, features, generation, metrics, pairs, payout
 from drawlens.sources import files
 from drawlens.sources.draws import as_arrays, recent
 
@@ -179,3 +179,47 @@ def test_rate_divergence_has_six_metrics(spark, draws):
         own = [got[w][c] for w in "3579"]
         assert got["avg"][c] == pytest.approx(sum(own) / 4, abs=2e-5) and got["max"][c] == pytest.approx(max(own), abs=1e-9)
     assert all(got["mode2"][f"{m}_diff"] == max(got["max"][f"{m}_diff"], b) for m, b in zip(metrics.METRICS, metrics.BASE, strict=True))
+
+
+def test_chi_square_tail_at_known_quantiles():
+    for statistic, dof, p in ((3.841459, 1, 0.05), (5.991465, 2, 0.05), (16.918978, 9, 0.05), (23.209251, 10, 0.01), (100.748619, 79, 0.05)):
+        assert abs(metrics.chi_square_tail(statistic, dof) - p) < 1e-6
+    assert metrics.chi_square_tail(0.0, 79) == 1.0
+
+
+def test_windows_adapt_after_half_the_memory():
+    own = (3, 5, 7, 9)
+    assert generation.adapted(own, [0.9] * 9) == own and generation.adapted(own, [0.9] * 10) == (3, 5, 7, 9, 11)
+    assert generation.adapted((3, 15), [0.9] * 30) == (3, 15) and generation.adapted(own, [0.0] * 30) == own
+    assert generation.adapted((*own, 11), [0.0] * 30) == own and generation.adapted((*own, 11), [0.9] * 10 + [0.02] * 20) == (*own, 11)
+
+
+def test_thresholds_come_back(spark, tmp_path):
+    rows = [(5, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6]), (10, [0.05] * 6)]
+    files.write_thresholds(spark.createDataFrame(rows, "pick int, thr array<double>"), f"{tmp_path}/t")
+    assert sorted((r["pick"], list(r["thr"])) for r in files.read_thresholds(spark, f"{tmp_path}/t").collect()) == rows
+
+
+def test_penalties_order_results_and_rejected_ones_go(spark):
+    rows = [(1, [1], 0.2, True), (2, [2], 0.0, True), (3, [3], 0.0, False), (4, [4], 0.1, True), (5, [5], 0.0, True)]
+    got = generation.penalised(spark.createDataFrame(rows, "ticket_id int, nums array<int>, penalty double, accepted boolean"), F.array(F.lit(0.5), F.lit(0.1))).collect()
+    assert [(r["ticket_id"], r["thr"]) for r in got] == [(2, [0.5, 0.1]), (5, [0.5, 0.1]), (4, [0.6, 0.2]), (1, [0.7, 0.3])]
+
+
+def test_best_of_the_union_passes_or_is_the_first(spark, h):
+    p = constraints.profile(h, 20, 5)
+    scores = features.recency_momentum(h).withColumn("combined", F.col("recency"))
+    own = spark.createDataFrame([(0, "a", [1, 2, 3, 4, 5]), (1, "b", [6, 22, 37, 51, 78])], "ticket_id bigint, source string, nums array<int>")
+    information = pairs.mutual_information(h)
+    none = generation.best(own, p, (0.0,) * 6, scores, information).collect()
+    assert [r["ticket_id"] for r in none if r["chosen"]] == [0] and all(r["code"] != 99 for r in none)
+    assert sum(r["chosen"] for r in generation.best(own, p, (2.0,) * 6, scores, information).collect()) == 1
+
+
+def test_repeat_distance(spark, h):
+    p = constraints.profile(h, 20, 5)
+    for nums in ([1, 2, 3, 4, 5], p.newest[:5], sorted([*p.newest[:2], *[x for x in range(1, 81) if x not in p.newest][:3]])):
+        overlap = len(set(nums) & set(p.newest))
+        expected = sum(abs(x - (i == overlap)) for i, x in enumerate(p.repeat) if i)
+        got = spark.range(1).select(generation.repeat_distance(F.array(*map(F.lit, nums)), p).alias("x")).first()["x"]
+        assert abs(got - expected) < 1e-9
