@@ -167,7 +167,11 @@ class Operation(Protocol):
         """One request of several: inverse, ascending keys, extra. Its role is MERGED."""
 
     def pick(self, answers: list[tuple[bytes | None, int]], places: np.ndarray, role: int) -> bytes | None:
-        """Of the answers (and numbers of entries) of consecutive buckets to a merged request, the entries at places."""
+        """Of the answers (and numbers of entries) of consecutive buckets to a merged request, the entries at places.
+
+        An operation whose merged entries lose something may have `settle(picked, met, i, places, extra)` besides: what
+        request i of those met gets for what was picked, extra being the merged request's.
+        """
 
 
 def _rows(own: np.ndarray, keys: np.ndarray, extra: Arrays, kind: int, buckets: int) -> pd.DataFrame:
@@ -211,12 +215,14 @@ def count(staged: DataFrame, operation: Operation, how: Plan, name: str) -> Data
         if not len(left):
             return right.rename(columns={"owner": "batch"})[["batch", "bucket", "data"]]  # of batch -1
         met = Requests(left, kinds)
-        inverse, keys, _ = operation.merge(met)
+        inverse, keys, extra = operation.merge(met)
         kind = int(left["bucket"].iloc[0]) // buckets
         own, size = np.unique(bucket_of(keys, buckets).astype(np.int64) + kind * buckets, return_counts=True)
         data = dict(zip(right["bucket"].tolist(), right["data"], strict=True))
         answers = [(data.get(b), n) for b, n in zip(own.tolist(), size.tolist(), strict=True)]
-        out = [(met.batches[i], x) for i, places in met.each(inverse) if (x := operation.pick(answers, places, met.roles[i])) is not None]
+        settle = getattr(operation, "settle", lambda picked, *_: picked)
+        own = [(i, settle(operation.pick(answers, places, met.roles[i]), met, i, places, extra)) for i, places in met.each(inverse)]
+        out = [(met.batches[i], x) for i, x in own if x is not None]
         return pd.DataFrame({"batch": [b for b, _ in out], "bucket": left["bucket"].iloc[0], "data": [x for _, x in out]})
 
     # A set of batches and a range of buckets make an owner, whose number stands for the batch in the second step.

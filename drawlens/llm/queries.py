@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, html_extract, lm, sharding, simhash, substring, toxicity, warc
+from . import ann, bpe, decontam, html_extract, lm, merkle, sharding, simhash, substring, suffixes, toxicity, warc
 from .common import table
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -61,8 +61,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.tokenize(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.kept_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_toxicity, op2_html_extraction, op3_decontamination, op4_warc, op5_simhash, op6_lm_scoring, op7_sharding, op8_nearest_neighbours, op9_substring_dedup, op10_byte_bpe]
+    own = [op1_toxicity, op2_html_extraction, op3_decontamination, op4_warc, op5_simhash, op6_lm_scoring, op7_sharding, op8_nearest_neighbours, op9_substring_dedup, op10_byte_bpe, op11_merkle_manifest, op12_suffix_dedup]
     return {f.__name__: f for f in own}
 
 
@@ -81,14 +89,25 @@ def _cuts(shards: int) -> str:
     return ", ".join(f"x{k} AS (SELECT COALESCE(MAX(e), 0) AS e FROM p WHERE e <= (SELECT e FROM x{k - 1}) + (SELECT c FROM best))" for k in range(1, shards))
 
 
+def _field(value: str) -> str:
+    return f"CASE WHEN {value} IS NULL THEN '-' ELSE CAST(octet_length(encode(CAST({value} AS VARCHAR))) AS VARCHAR) || ':' || CAST({value} AS VARCHAR) END"
+
+
+def _leaf(n_chars: str) -> str:
+    return "sha256(" + " || ".join(_field(c) for c in ("doc_id", "source", "lang", n_chars, "text")) + ")"
+
+
+_CRC = """xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: CAST('0x' || h AS BIGINT))),
+          lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295)"""
+
+
 #: DuckDB SQL where it can express a query.
 ORACLES = {
     "op7_sharding": f"""
 WITH RECURSIVE t AS (SELECT {_crc_table()} AS crc),
 d AS (SELECT doc_id, COALESCE(text, '') AS body, sha256(COALESCE(text, chr(0) || 'null')) AS digest FROM documents),
 r AS (SELECT doc_id, CAST(octet_length(encode(body)) + 1 AS BIGINT) AS size, digest,
-      xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(body)), '..'), lambda h: CAST('0x' || h AS BIGINT))),
-          lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+      {_CRC.format("body")} AS text_crc32
       FROM d, t),
 g AS (SELECT digest, SUM(size) AS s FROM r GROUP BY digest),
 p AS (SELECT digest, CAST(SUM(s) OVER (ORDER BY digest) AS BIGINT) AS e FROM g),
@@ -126,6 +145,46 @@ WITH w AS (SELECT doc_id, regexp_extract_all(COALESCE(text, ''), '[^\x20\x09-\x0
 SELECT kept.doc_id, CAST(len(kept.ws) AS BIGINT) AS n_words, CAST(len(kept.ws) - COALESCE(r.n_kept, 0) AS BIGINT) AS n_removed,
        sha256(COALESCE(r.t, '')) AS kept_sha256
 FROM kept LEFT JOIN r ON r.doc_id = kept.doc_id""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE c AS (SELECT {_crc_table()} AS crc),
+d AS (SELECT doc_id, lang, {_leaf("n_chars")} AS leaf, {_leaf("n_chars + 1")} AS changed, COALESCE({_CRC.format("CAST(doc_id AS VARCHAR)")} % 7 = 0, FALSE) AS tampered FROM documents, c),
+l AS (SELECT ROW_NUMBER() OVER () AS rid, doc_id, leaf, CASE WHEN tampered THEN changed ELSE leaf END AS x, DENSE_RANK() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+             ROW_NUMBER() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, COUNT(*) OVER (PARTITION BY lang) AS n FROM d),
+-- Nodes of the groups' trees, then of the tree over their roots.
+t AS (SELECT tree, 0 AS level, i, leaf AS h, n FROM l
+      UNION ALL
+      SELECT tree, level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM t WHERE n > 1 GROUP BY tree, level, i // 2, n),
+u AS (SELECT 0 AS level, tree AS i, h, (SELECT COUNT(DISTINCT tree) FROM l) AS n FROM t WHERE n = 1
+      UNION ALL
+      SELECT level + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY level, i // 2, n),
+-- Every row climbs its tree, then the upper one.
+w AS (SELECT rid, tree, 0 AS level, i, x, '' AS siblings, n FROM l
+      UNION ALL
+      SELECT rid, w.tree, w.level + 1, w.i // 2, sha256(CASE WHEN s.h IS NULL THEN x WHEN s.i < w.i THEN s.h || x ELSE x || s.h END), siblings || COALESCE(s.h, ''), (w.n + 1) // 2
+      FROM w LEFT JOIN t s ON s.tree = w.tree AND s.level = w.level AND s.i = xor(w.i, 1) WHERE w.n > 1),
+v AS (SELECT rid, 0 AS level, tree AS i, x, siblings, (SELECT COUNT(DISTINCT tree) FROM l) AS n FROM w WHERE n = 1
+      UNION ALL
+      SELECT rid, v.level + 1, v.i // 2, sha256(CASE WHEN s.h IS NULL THEN x WHEN s.i < v.i THEN s.h || x ELSE x || s.h END), siblings || COALESCE(s.h, ''), (v.n + 1) // 2
+      FROM v LEFT JOIN u s ON s.level = v.level AND s.i = xor(v.i, 1) WHERE v.n > 1),
+r AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT l.doc_id, l.leaf, t.h AS subroot, root, sha256(siblings) AS proof_sha256, v.x AS folded_root, v.x = root AS verified
+FROM l JOIN v ON v.rid = l.rid AND v.n = 1 JOIN t ON t.tree = l.tree AND t.n = 1, r""",
+    "op12_suffix_dedup": """
+WITH b AS (SELECT ROW_NUMBER() OVER () AS rid, doc_id, hex(encode(COALESCE(text, ''))) AS x FROM documents),
+-- Windows are cut from pieces of a thousand bytes, two hexadecimal digits a byte.
+p AS (SELECT rid, doc_id, k, substr(x, 2000 * k + 1, 2098) AS s FROM (SELECT *, unnest(range(0, length(x) // 2000 + 1)) AS k FROM b)),
+w AS (SELECT rid, doc_id, 1000 * k + j AS pos, substr(s, 2 * j + 1, 100) AS g
+      FROM (SELECT *, unnest(range(0, LEAST(1000, GREATEST(length(s) // 2 - 49, 0)))) AS j FROM p)),
+m AS (SELECT g, MIN(doc_id) AS earliest FROM w GROUP BY g),
+h AS (SELECT rid, pos, LAG(pos) OVER (PARTITION BY rid ORDER BY pos) AS before FROM w JOIN m USING (g) WHERE earliest < doc_id),
+i AS (SELECT rid, pos, SUM(CASE WHEN before IS NULL OR pos - before > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY pos) AS island FROM h),
+r AS (SELECT rid, MIN(pos) AS a, MAX(pos) + 50 AS e FROM i GROUP BY rid, island),
+c AS (SELECT rid, a, e, LAG(e, 1, 0) OVER (PARTITION BY rid ORDER BY a) AS kept_from FROM r),
+k AS (SELECT rid, COUNT(*) AS n_spans, SUM(e - a) AS n_removed, MAX(e) AS tail, string_agg(substr(x, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) AS kept
+      FROM c JOIN b USING (rid) GROUP BY rid)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(COALESCE(n_removed, 0) AS BIGINT) AS n_removed, CAST(COALESCE(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN kept IS NULL THEN x ELSE kept || substr(x, 2 * tail + 1) END)) AS kept_sha256
+FROM b LEFT JOIN k USING (rid)""",
 }
 
 
