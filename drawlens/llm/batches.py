@@ -181,9 +181,11 @@ def _rows(own: np.ndarray, keys: np.ndarray, extra: Arrays, kind: int, buckets:
     return pd.DataFrame({"bucket": own[edges].astype(np.int64) + kind * buckets, "keys": [pack_keys(keys[a:b]) for a, b in spans], "extra": [pack_arrays([x[a:b] for x in extra]) for a, b in spans]})
 
 
-def count(staged: DataFrame, operation: Operation, how: Plan, name: str) -> DataFrame:
+def count(staged: DataFrame, operation: Operation, how: Plan, name: str, known: DataFrame | None = None) -> DataFrame:
     """(batch, bucket, data): answers to the batches of staged, written under `name`; bucket is the first of a range's
     number, kind x buckets added. Rows of batch -1 are what the buckets said besides.
+
+    known: answers to an earlier question; keys_of then gets those of its batch as a third argument, by bucket.
     """
     buckets, step, kinds = how.buckets, how.step, operation.kinds
 
@@ -200,7 +202,15 @@ def count(staged: DataFrame, operation: Operation, how: Plan, name: str) -> Data
         out = list(operation.reply(met, int(key[0]) // buckets))
         return pd.DataFrame({"batch": [met.batches[i] if i >= 0 else -1 for i, _ in out], "bucket": int(key[0]), "data": [x for _, x in out]})
 
-    first = staged.mapInPandas(ask, REQUEST)
+    def ask_again(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        tidy()
+        got, out = dict(zip(right["bucket"].tolist(), right["data"], strict=True)), []
+        for batch, role, data in zip(left["batch"], left["role"], left["data"], strict=True):
+            for kind, keys, extra in operation.keys_of(unpack(data), role, got):
+                out.append(_rows(bucket_of(keys, buckets).astype(np.int64) // step, keys, extra, kind, buckets).assign(batch=batch, role=role))
+        return pd.concat(out)[["bucket", "batch", "role", "keys", "extra"]]
+
+    first = staged.mapInPandas(ask, REQUEST) if known is None else staged.groupBy("batch").cogroup(known.groupBy("batch")).applyInPandas(ask_again, REQUEST)
     if step == 1:
         return materialise(first.groupBy("bucket").applyInPandas(answer, REPLY), name, "none")
 

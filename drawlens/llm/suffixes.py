@@ -3,7 +3,8 @@
 A suffix array of everything would move `length` bytes for each byte of text. So suffixes are sampled by their content:
 of the strings of GRAM bytes in every window of `length` bytes, the one of least hash is the window's anchor, and equal
 windows have equal anchors. Consecutive windows of one anchor travel as one record, the stretch of text that they span
-(some 67 bytes for 18 windows), with the least id of the documents of a batch that hold it.
+(some 67 bytes for 18 windows), with the least id of the documents of a batch that hold it. Before they do, hashes of the
+stretches around anchors are counted over the corpus: records that share none with another have no repeated window, and stay.
 
 Records are range-partitioned by the leading bytes of the suffix at their anchor: sampled splitters cut the order into
 RANGES ranges of about equal weight, and buckets inside a range part by the whole leading string, so that equal windows
@@ -36,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from . import batches
+from . import batches, substring
 from .common import discard, free_name, materialise, mix, named, text_bytes, tidy
 
 LENGTH = 50
@@ -114,7 +115,7 @@ class Records:
     start: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
 
     def pick(self, at: np.ndarray) -> Records:
-        return Records(self.key[at], self.lead[at], self.n[at], self.data[at], self.doc[at], self.start[at])
+        return Records(self.key[at], self.lead[at], self.n[at], self.data[at] if len(self.data) else self.data, self.doc[at], self.start[at])
 
     @staticmethod
     def join(parts: list[Records]) -> Records:
@@ -149,42 +150,61 @@ def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join([*texts, bytes(WIDE + 8)]), np.uint8), np.cumsum([len(t) for t in texts], dtype=np.int64)
 
 
-def records(buffer: np.ndarray, ends: np.ndarray, ids: np.ndarray, length: int, hot: np.ndarray) -> Iterator[Records]:
-    """Records of the windows of the texts whose id isn't NOBODY, stretch by stretch; those of hot keys window by window."""
+def _hash_at(buffer: np.ndarray, start: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the `size` bytes at each start."""
+    eight, h = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,)), np.full(len(start), size, np.uint64)
+    for k in range(0, size, 8):
+        value = eight[start + k]
+        h = mix(h * np.uint64(0x9FB21C651E98DF25) ^ (value if size - k >= 8 else value & np.uint64((1 << 8 * (size - k)) - 1)))
+    return h
+
+
+def scan(buffer: np.ndarray, ends: np.ndarray, ids: np.ndarray, length: int) -> tuple[Records, np.ndarray]:
+    """Records, still without bytes, of the windows of the texts whose id isn't NOBODY; and the two keys of each.
+
+    A window begins `half` bytes or more before its anchor, or fewer. Two equal windows agree in that, so they agree in the
+    `half` bytes before the anchor and its string, or in the string and what follows it up to length - half + 1 bytes. A
+    record whose stretches of this kind occur nowhere else has no window that does. Zero stands for a stretch that no
+    window of the record has.
+    """
+    half = max((length - GRAM + 1) // 2, 1)
     total = int(ends[-1]) if len(ends) else 0
     eight = np.ndarray((len(buffer) - 7,), "<u8", buffer, strides=(1,))
+    parts, keys = [Records()], [np.empty((0, 2), np.uint64)]
     for a in range(0, max(total - length + 1, 0), STRETCH):
         count = min(STRETCH, total - length + 1 - a)
         owner = np.searchsorted(ends, [a, a + count - 1], side="right")
-        edges = ends[owner[0] : owner[1] + 1]
-        fits = np.diff(np.clip(np.append(a, edges), a, a + count))  # windows that begin in each text
+        fits = np.diff(np.clip(np.append(a, ends[owner[0] : owner[1] + 1]), a, a + count))  # windows that begin in each text
         doc = np.repeat(np.arange(owner[0], owner[1] + 1), fits)
-        place = np.arange(a, a + count)
-        valid = (place + length <= ends[doc]) & (ids[doc] != NOBODY)
+        valid = (np.arange(a, a + count) + length <= ends[doc]) & (ids[doc] != NOBODY)
         if not valid.any():
             continue
-        h = _grams(eight[a : a + count + length - 8 + 7])
+        h = _grams(eight[a : a + count + length - 1])
         anchor = _anchors(h, count, length)
-        new = valid & ~np.append(False, valid[:-1] & (anchor[1:] == anchor[:-1]) & (doc[1:] == doc[:-1]))
-        first = np.flatnonzero(new)
+        first = np.flatnonzero(valid & ~np.append(False, valid[:-1] & (anchor[1:] == anchor[:-1]) & (doc[1:] == doc[:-1])))
         n = np.add.reduceat(valid, first).astype(np.int64)
         at = anchor[first]
-        out = Records(h[at], eight[a + at].byteswap(), n.astype(np.uint8), np.empty((0, WIDE), np.uint8), ids[doc[first]], first + a)
-        often = np.isin(out.key, hot) if len(hot) else np.zeros(len(first), bool)
-        if often.any():
-            i = np.flatnonzero(often)
-            each = np.repeat(i, n[i])
-            begin = out.start[each] + np.arange(len(each)) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
-            one = Records(out.key[each], out.lead[each], np.ones(len(each), np.uint8), _bytes_at(buffer, begin, np.full(len(each), length)), out.doc[each], begin)
-            one.key = _hash_rows(one.data)
-            one.lead = one.key
-            rest = np.flatnonzero(~often)
-            out = Records(out.key[rest], out.lead[rest], out.n[rest], out.data, out.doc[rest], out.start[rest])
-            out.data = _bytes_at(buffer, out.start, out.n.astype(np.int64) + length - 1)
-            out = Records.join([out, one])
-        else:
-            out.data = _bytes_at(buffer, out.start, n + length - 1)
-        yield out
+        parts.append(Records(h[at], eight[a + at].byteswap(), n.astype(np.uint8), np.empty((0, WIDE), np.uint8), ids[doc[first]], first + a))
+        own, before, after = np.zeros((len(first), 2), np.uint64), at - first >= half, at - first - n + 1 < half
+        own[before, 0] = _hash_at(buffer, a + at[before] - half, half + GRAM)
+        own[after, 1] = _hash_at(buffer, a + at[after], length - half + 1)
+        keys.append(own)
+    return Records.join(parts), np.concatenate(keys)
+
+
+def filled(buffer: np.ndarray, r: Records, length: int, hot: np.ndarray) -> Records:
+    """The records with their bytes; those of hot keys window by window, each under a key of all of its bytes."""
+    often = np.isin(r.key, hot) if len(hot) else np.zeros(len(r.key), bool)
+    i, rest = np.flatnonzero(often), np.flatnonzero(~often)
+    n = r.n.astype(np.int64)
+    out = [Records(r.key[rest], r.lead[rest], r.n[rest], _bytes_at(buffer, r.start[rest], n[rest] + length - 1), r.doc[rest], r.start[rest])]
+    if len(i):
+        each = np.repeat(i, n[i])
+        begin = r.start[each] + np.arange(len(each)) - np.repeat(np.cumsum(n[i]) - n[i], n[i])
+        data = _bytes_at(buffer, begin, np.full(len(each), length))
+        key = _hash_rows(data)
+        out.append(Records(key, key, np.ones(len(each), np.uint8), data, r.doc[each], begin))
+    return Records.join(out)
 
 
 def distinct(r: Records) -> tuple[np.ndarray, np.ndarray]:
@@ -200,13 +220,48 @@ def distinct(r: Records) -> tuple[np.ndarray, np.ndarray]:
     return order[~same], kind
 
 
-def prepared(data: pa.Table, text: str, doc: str, length: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Records, np.ndarray, np.ndarray]:
-    """Buffer, ends and ids of a batch's texts, all its records, which of them are sent, and each record's kind."""
-    buffer, ends = joined(text_bytes(data.column(text)))
-    ids = data.column(doc).fill_null(NOBODY).to_numpy().astype(np.int64)
-    r = Records.join(list(records(buffer, ends, ids, length, hot)))
+class Shared(substring.Repeats):
+    """Which stretches around anchors occur twice or more in the corpus: a bit for each (a hash met by chance is one more)."""
+
+    def __init__(self, text: str, doc: str, length: int):
+        self.text, self.doc, self.length = text, doc, length
+
+    def keys_of(self, part: pa.Table, role: int) -> list[tuple[int, np.ndarray, list[np.ndarray]]]:
+        keys, counts = np.unique(scan(*texts_of(part, self.text, self.doc), self.length)[1], return_counts=True)
+        keys, counts = (keys[1:], counts[1:]) if len(keys) and keys[0] == 0 else (keys, counts)
+        return [(0, keys, [np.zeros(len(keys), "<u4"), (counts > 1).astype(np.uint8)])]
+
+
+def texts_of(part: pa.Table, text: str, doc: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buffer, ends and ids of a batch's texts."""
+    return *joined(text_bytes(part.column(text))), part.column(doc).fill_null(NOBODY).to_numpy().astype(np.int64)
+
+
+@dataclass
+class Plans:
+    """How the two questions travel, and what the second one sorts by."""
+
+    shared: batches.Plan
+    matches: batches.Plan
+    splitters: np.ndarray
+    hot: np.ndarray
+
+
+def prepared(part: pa.Table, text: str, doc: str, length: int, how: Plans, got: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, Records, np.ndarray, np.ndarray]:
+    """Buffer and ends of a batch's texts, its records that share a stretch with others (got: the answers of Shared, by
+    bucket), which of them are sent, and each record's kind.
+    """
+    buffer, ends, ids = texts_of(part, text, doc)
+    r, stretches = scan(buffer, ends, ids, length)
+    keys = np.unique(stretches)
+    keys = keys[1:] if len(keys) and keys[0] == 0 else keys
+    at, bits = how.shared.cut(keys), [keys[:0]]
+    for bucket, data in got.items():
+        own = keys[at[bucket] : at[bucket + 1]]
+        bits.append(own[np.unpackbits(np.frombuffer(data, np.uint8), count=len(own)).astype(bool)])
+    r = filled(buffer, r.pick(np.flatnonzero(np.isin(stretches, np.concatenate(bits)).any(1))), length, how.hot)
     first, kind = distinct(r)
-    return buffer, ends, ids, r, first, kind
+    return buffer, ends, r, first, kind
 
 
 def route(key: np.ndarray, lead: np.ndarray, splitters: np.ndarray) -> np.ndarray:
@@ -280,17 +335,17 @@ class Suffixes:
 
     kinds = ["<i8", "|u1", f"|V{WIDE}"]
 
-    def __init__(self, text: str, doc: str, length: int, splitters: np.ndarray, hot: np.ndarray):
-        self.text, self.doc, self.length, self.splitters, self.hot = text, doc, length, splitters, hot
+    def __init__(self, text: str, doc: str, length: int, how: Plans):
+        self.text, self.doc, self.length, self.how = text, doc, length, how
 
     def asked(self, r: Records, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of the kinds in ascending order, and the kind at each place."""
-        key = route(r.key[first], r.lead[first], self.splitters)
+        key = route(r.key[first], r.lead[first], self.how.splitters)
         order = np.argsort(key, kind="stable")
         return key[order], order
 
-    def keys_of(self, part: pa.Table, role: int) -> list[tuple[int, np.ndarray, list[np.ndarray]]]:
-        *_, r, first, _ = prepared(part, self.text, self.doc, self.length, self.hot)
+    def keys_of(self, part: pa.Table, role: int, got: dict[int, bytes]) -> list[tuple[int, np.ndarray, list[np.ndarray]]]:
+        _, _, r, first, _ = prepared(part, self.text, self.doc, self.length, self.how, got)
         key, order = self.asked(r, first)
         own = r.pick(first[order])
         return [(0, key, [own.doc, own.n, _void(own.data)])]
@@ -345,15 +400,15 @@ def expand(data: bytes) -> np.ndarray:
 
 
 def _sampled(staged: DataFrame, length: int, bits: int) -> DataFrame:
-    """(lead, key) of the kinds of record of each batch that are in the sample, chosen by what they hold."""
+    """(lead, key) of the records of each batch that are in the sample, chosen by what is around their anchors."""
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in frames:
             for data in frame.column("data").to_pylist():
                 tidy()
-                *_, r, first, _ = prepared(batches.unpack(data), "text", "doc", length, np.empty(0, np.uint64))
-                h = _hash_rows(r.data[first])
-                own = first[h & np.uint64((1 << bits) - 1) == 0]
+                r, stretches = scan(*texts_of(batches.unpack(data), "text", "doc"), length)
+                _, first = np.unique(stretches, axis=0, return_index=True)
+                own = first[mix(stretches[first].sum(1)) & np.uint64((1 << bits) - 1) == 0]
                 yield pa.RecordBatch.from_arrays([pa.array((r.lead[own] ^ np.uint64(1 << 63)).view(np.int64)), pa.array(r.key[own].view(np.int64))], ["lead", "key"])
 
     return staged.select("data").mapInArrow(run, "lead bigint, key bigint")
@@ -361,7 +416,9 @@ def _sampled(staged: DataFrame, length: int, bits: int) -> DataFrame:
 
 def _splitters(staged: DataFrame, length: int, hot_from: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """RANGES - 1 splitters of the leading bytes at most, ascending, and the keys of hot strings, ascending."""
-    sample = materialise(_sampled(staged, length, bits), "suffix-sample")
+    part = min(bits, 2) if staged.count() >= 64 else 0  # of 2^part batches one is looked at, and fewer of its records pass over
+    seen = staged.where(F.pmod("batch", F.lit(1 << part)) == 0)
+    sample = materialise(_sampled(seen, length, bits - part), "suffix-sample")
     cut = sample.agg(F.percentile_approx("lead", F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)]), F.lit(4 * RANGES)).alias("at")).first()["at"]
     often = sample.groupBy("key").count().where(F.col("count") >= max(hot_from >> bits, 2)).orderBy(F.desc("count"), "key").limit(LISTED)
     hot = [r["key"] for r in often.collect()]
@@ -369,25 +426,29 @@ def _splitters(staged: DataFrame, length: int, hot_from: int, bits: int) -> tupl
     return np.unique(np.array(cut or [], np.int64).view(np.uint64) ^ np.uint64(1 << 63)), np.sort(np.array(hot, np.int64).view(np.uint64))
 
 
-def covered(part: pa.Table, ask: Suffixes, how: batches.Plan, got: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all texts of a batch, where each text ends, and whether each byte is covered."""
-    buffer, ends, _, r, first, kind = prepared(part, ask.text, ask.doc, ask.length, ask.hot)
+def covered(part: pa.Table, ask: Suffixes, got: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts of a batch, where each text ends, and whether each byte is covered.
+
+    got: answers by bucket; those of Shared under -1 - bucket.
+    """
+    buffer, ends, r, first, kind = prepared(part, ask.text, ask.doc, ask.length, ask.how, {-1 - b: x for b, x in got.items() if b < 0})
     key, order = ask.asked(r, first)
     masks = np.zeros(len(first), np.uint64)
-    at = how.cut(key)
+    at = ask.how.matches.cut(key)
     for bucket, data in got.items():
-        masks[order[at[bucket] : at[bucket + 1]]] = expand(data)
+        if bucket >= 0:
+            masks[order[at[bucket] : at[bucket + 1]]] = expand(data)
     mask = masks[kind]
     later = r.doc > r.doc[first][kind]
     mask[later] = (np.uint64(1) << r.n[later].astype(np.uint64)) - np.uint64(1)
     size = len(buffer) - WIDE - 8
-    edge = np.zeros(size + 1, np.int64)
+    edge = np.zeros(size + 1, np.int32)
     live = np.flatnonzero(mask)
     for k in range(int(r.n[live].max()) if len(live) else 0):
         hit = r.start[live[(mask[live] >> np.uint64(k) & np.uint64(1)).astype(bool)]] + k
-        edge[hit] += 1  # windows that begin at one place are one
+        edge[hit] += 1  # a window belongs to one record
         edge[hit + ask.length] -= 1
-    return buffer[:size], ends, np.cumsum(edge[:-1]) > 0
+    return buffer[:size], ends, np.cumsum(edge[:-1], dtype=np.int32) > 0
 
 
 def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, carry: tuple[str, ...] = (), fan: int = batches.FAN, hot_from: int = HOT, sample_bits: int = SAMPLE_BITS) -> DataFrame:
@@ -401,13 +462,15 @@ def remove_earlier(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keep = [doc_id, *[c for c in carry if c != doc_id]]
     own = docs.select(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)], named(doc_id).cast("bigint").alias("doc"), named(text).alias("text"))
     staged = batches.stage(own, "text", "suffixes")
-    ask = Suffixes("text", "doc", length, *_splitters(staged, length, hot_from, sample_bits))
-    how = batches.plan(staged, batches.BATCH_BYTES // 8, fan=fan)
-    replies = batches.count(staged, ask, how, "suffix-matches")
+    how = Plans(*[batches.plan(staged, batches.BATCH_BYTES // n, fan=fan) for n in (9, 16)], *_splitters(staged, length, hot_from, sample_bits))
+    ask = Suffixes("text", "doc", length, how)
+    shared = batches.count(staged, Shared("text", "doc", length), how.shared, "suffix-shared")
+    matches = batches.count(staged, ask, how.matches, "suffix-matches", shared)
+    replies = matches.unionByName(shared.withColumn("bucket", -1 - F.col("bucket")))
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def use(part: pa.Table, role: int, got: dict[int, bytes]) -> pa.Table:
-        data, ends, gone = covered(part, ask, how, got)
+        data, ends, gone = covered(part, ask, got)
         spans, kept = [], []
         for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False):
             g = gone[a:b]
