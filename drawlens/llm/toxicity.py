@@ -204,16 +204,16 @@ def marginals(e: np.ndarray, begins: np.ndarray, transition: np.ndarray, start:
 
 
 class Sample:
-    """Documents as numbers of their words."""
+    """Documents as numbers of their words. Texts of equal words and equal label count once, whatever else they share."""
 
     def __init__(self, rows: Iterable[tuple[bytes, bool]]):
         numbers: dict[bytes, int] = {}
-        once: dict[tuple, tuple[np.ndarray, bool]] = {}
+        once: dict[tuple[bytes, bool], tuple[np.ndarray, bool]] = {}
         for text, t in rows:
             words = text.split()
             if words:
                 own = np.array([numbers.setdefault(w, len(numbers)) for w in words], np.int32)
-                once.setdefault((tuple(words[:6]), tuple(words[-6:])), (own, bool(t)))  # near copies would vote many times
+                once.setdefault((own.tobytes(), bool(t)), (own, bool(t)))
         self.words = list(numbers)
         self.docs = [own for own, _ in once.values()]
         self.toxic = np.array([t for _, t in once.values()], bool)

@@ -249,3 +249,18 @@ def test_labeller_on_unseen_pages():
     pages, labels = zip(*(x for x in ((html_extract.blocks(p), own) for p, own in (html_extract.synthetic(r) for _ in range(150))) if len(x[0]) == len(x[1])), strict=True)
     got = html_extract.trained().label(list(pages))
     assert np.mean(np.concatenate(got) == np.concatenate([np.array(x, bool) for x in labels])) > 0.97
+
+
+def test_toxicity_learns_from_texts_that_share_header_and_footer(spark):
+    r = random.Random(4)
+    frame = "one two three four five six seven {} more words at the very end of it"
+    body = [(" ".join(r.choice("abcdefgh") * 3 for _ in range(30)) + (" vile" if i % 2 else ""), i % 2) for i in range(200)]
+    rows = [(i, frame.format(t), bad) for i, (t, bad) in enumerate(body)]
+    docs, labels = spark.createDataFrame([r[:2] for r in rows], "doc_id bigint, text string"), spark.createDataFrame([(i, bad) for i, _, bad in rows], "doc_id bigint, toxic int")
+    got = {x["doc_id"]: x for x in toxicity.score_documents(docs, toxicity.train(docs, labels)).collect()}
+    assert all(got[i]["predicted"] == bad for i, _, bad in rows)
+
+
+def test_toxicity_keeps_both_labels_of_a_text():
+    sample = toxicity.Sample([(b"a b c", True), (b"a b c", False), (b"a b c", True), (b"a b  c d", True)])
+    assert sample.toxic.tolist() == [True, False, True] and [len(d) for d in sample.docs] == [3, 3, 4]
