@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.places import places
 from . import payout
 
 
@@ -16,10 +17,11 @@ def grid(targets: DataFrame, picks: list[int], runs: int) -> DataFrame:
 def frequency_tickets(numbers: DataFrame, cells: DataFrame, targets: DataFrame, window: int) -> DataFrame:
     """A ticket per cell: the `pick` most frequent numbers of the `window` draws before the target, from place run on.
 
-    All targets share one pass: ranks are of issues, and a draw serves the targets of the next `window` ranks.
+    All targets share one pass: a draw serves the targets at the next `window` places, which it is sent to by their places.
     """
-    ranks = numbers.select("issue").distinct().select("issue", F.row_number().over(Window.orderBy("issue")).alias("r"))
-    serves = ranks.join(targets.join(ranks, "issue").select(F.col("issue").alias("target"), F.col("r").alias("tr")), (F.col("r") < F.col("tr")) & (F.col("r") >= F.col("tr") - window))
+    ranks = places(numbers.select("issue").distinct(), "issue", "r")
+    later = ranks.select("issue", F.explode(F.sequence(F.col("r") + 1, F.col("r") + window)).alias("r"))
+    serves = later.join(targets.join(ranks, "issue").select(F.col("issue").alias("target"), "r"), "r")
     counts = numbers.join(serves.select("issue", "target"), "issue").groupBy("target", "num").agg(F.count("*").alias("c"))
     place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("c"), "num"))
     ranked = counts.withColumn("place", place)

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.places import places
+
 #: A history of at most this many draws may be broadcast (a row of a few bytes each).
 RECENT_MOST = 200_000
 
@@ -43,9 +45,9 @@ def recent(numbers: DataFrame, limit: int, before: int | None = None) -> DataFra
 
 
 def history(numbers: DataFrame) -> DataFrame:
-    """history of all draws: ranks come from the distinct issues only, which are few against the numbers."""
-    ranks = numbers.select("issue").distinct().select("issue", (F.row_number().over(Window.orderBy(F.desc("issue"))) - 1).cast("int").alias("rn"))
-    return numbers.join(ranks, "issue").select("rn", "issue", "num")
+    """history of all draws: the distinct issues are placed, newest first, and joined back."""
+    ranks = places(numbers.select("issue").distinct(), "issue", "rn", descending=True, first=0)
+    return numbers.join(ranks, "issue").select(F.col("rn").cast("int").alias("rn"), "issue", "num")
 
 
 def split_by_issue(numbers: DataFrame, begin: int) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.places import places
+
 #: Column names of the history files.
 ISSUE, NUMBER, DATE = "期数", "红球_", "日期"
 
@@ -43,12 +45,13 @@ def latest_issue(numbers: DataFrame) -> DataFrame:
     return numbers.agg(F.max("issue").alias("issue"))
 
 
-def sample_rows(results: DataFrame, modulus: int, remainder: int, order: Column | str = "ticket_id", most: int | None = None) -> DataFrame:
-    """Rows whose 1-based place in the order leaves the remainder; at most `most` of them."""
-    from pyspark.sql import Window
-
-    placed = results.withColumn("place", F.row_number().over(Window.orderBy(order))).where(F.pmod("place", F.lit(modulus)) == remainder)
-    return placed.limit(most) if most else placed
+def sample_rows(results: DataFrame, modulus: int, remainder: int, order: str = "ticket_id", most: int | None = None) -> DataFrame:
+    """Rows whose 1-based place in the order (of a number without repetitions) leaves the remainder; the first `most` of them."""
+    placed = places(results, order).where(F.pmod("place", F.lit(modulus)) == remainder)
+    if most is not None:
+        first = remainder % modulus or modulus
+        placed = placed.where(F.col("place") < first + most * modulus)
+    return placed.withColumn("place", F.col("place").cast("int"))
 
 
 def write_results(tickets: DataFrame, path: str, pick: int) -> None:

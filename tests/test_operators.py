@@ -7,9 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from drawlens.functions import columns as C
-from drawlens.operators import candidates, constraints, features, generation, metrics, pairs, payout
+from drawlens.functions.places import places
+from drawlens.operators import backtest, candidates, constraints, features, generation, metrics, pairs, payout
 from drawlens.sources import files
-from drawlens.sources.draws import as_arrays, recent
+from drawlens.sources.draws import as_arrays, history, recent
 
 
 def numbers(spark, draws):
@@ -223,3 +224,32 @@ def test_repeat_distance(spark, h):
         expected = sum(abs(x - (i == overlap)) for i, x in enumerate(p.repeat) if i)
         got = spark.range(1).select(generation.repeat_distance(F.array(*map(F.lit, nums)), p).alias("x")).first()["x"]
         assert abs(got - expected) < 1e-9
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 64])
+@pytest.mark.parametrize("descending", [False, True])
+def test_places(spark, ranges, descending):
+    values = [5, -3, 10**12, 7, 0, 42, 41, 2, None]
+    df = spark.createDataFrame([(v, 1) for v in values], "v bigint, w int").repartition(3)
+    order = sorted(values, key=lambda v: (v is not None, v or 0), reverse=descending)
+    got = {r["v"]: r["place"] for r in places(df, "v", descending=descending, ranges=ranges).collect()}
+    assert got == {v: i for i, v in enumerate(order, 1)}
+    assert places(df.where("v > 10e15"), "v").collect() == []
+
+
+def test_places_cut_the_work(spark, capsys):
+    """Only the sizes of the ranges are added up in one task, and a backtest has no nested loop."""
+    numbers = spark.range(2000).selectExpr("id as issue", "cast(id % 80 + 1 as int) as num")
+    history(numbers).explain("formatted")
+    windows = [x for x in capsys.readouterr().out.split("\n\n") if "Window" in x.split("\n")[0] and "Arguments" in x]
+    assert windows and all("_range" in x for x in windows)
+    targets = numbers.select("issue")
+    backtest.frequency_tickets(numbers, backtest.grid(targets, [4], 1), targets, 3).explain()
+    assert "NestedLoop" not in capsys.readouterr().out
+
+
+def test_sampled_rows_in_order(spark):
+    df = spark.range(1, 101).selectExpr("id * 3 as ticket_id").repartition(5)
+    for modulus, remainder, most in ((7, 3, 4), (5, 0, None), (1, 0, 10)):
+        own = [x for i, x in enumerate(range(3, 303, 3), 1) if i % modulus == remainder][:most]
+        assert sorted(r["ticket_id"] for r in files.sample_rows(df, modulus, remainder, most=most).collect()) == own
