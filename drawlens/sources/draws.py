@@ -14,12 +14,17 @@ from ..functions.places import places
 RECENT_MOST = 200_000
 
 
-def derived(lineitem: DataFrame, multiplier: int = 37, size: int = 20) -> DataFrame:
-    """numbers derived from order lines: draws of 20 distinct numbers by bucket of ten orders (deterministic)."""
+def ranked(lineitem: DataFrame, multiplier: int = 37, size: int = 20) -> DataFrame:
+    """(issue, num, rk): `size` distinct numbers by bucket of ten orders, in an order of their own (deterministic)."""
     n = lineitem.select(F.floor(F.col("l_orderkey") / 10).cast("bigint").alias("d"), (F.col("l_partkey") % 80 + 1).cast("int").alias("num")).distinct()
     own = Window.partitionBy("d")
-    ranked = n.withColumn("rk", F.row_number().over(own.orderBy((F.col("num") * multiplier + F.col("d") * 11) % 83))).withColumn("c", F.count("*").over(own))
-    return ranked.where((F.col("rk") <= size) & (F.col("c") >= 20)).select((F.col("d") + 2020000).alias("issue"), "num")
+    placed = n.withColumn("rk", F.row_number().over(own.orderBy((F.col("num") * multiplier + F.col("d") * 11) % 83))).withColumn("c", F.count("*").over(own))
+    return placed.where((F.col("rk") <= size) & (F.col("c") >= 20)).select((F.col("d") + 2020000).alias("issue"), "num", "rk")
+
+
+def derived(lineitem: DataFrame, multiplier: int = 37, size: int = 20) -> DataFrame:
+    """numbers derived from order lines: draws of 20 distinct numbers by bucket of ten orders."""
+    return ranked(lineitem, multiplier, size).drop("rk")
 
 
 def draw_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:

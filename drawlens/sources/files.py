@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.places import places
@@ -41,6 +41,18 @@ def list_items(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
     return pages.select(key, F.posexplode(items).alias("pos", "item"))
 
 
+def host_of(url: Column) -> Column:
+    """The host of a web address, in lower case; null without one."""
+    host = F.lower(F.regexp_extract(url, r"^[Hh][Tt][Tt][Pp][Ss]?://([^/:?#]+)", 1))
+    return F.when(host != "", host)
+
+
+def list_entries(html: Column) -> Column:
+    """The entries of a page's lists in their order: structs of item and href (empty if it is no link)."""
+    entry = r'(?s)<li>(?:<a(?:[^>]*?\shref="([^"]*)")?[^>]*>)?([^<]*)'
+    return F.zip_with(F.regexp_extract_all(html, F.lit(entry), 2), F.regexp_extract_all(html, F.lit(entry), 1), lambda item, href: F.struct(item.alias("item"), href.alias("href")))
+
+
 def latest_issue(numbers: DataFrame) -> DataFrame:
     return numbers.agg(F.max("issue").alias("issue"))
 
