@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, PRIZES
 from ..functions import columns as C
 from ..operators import backtest, candidates, constraints, features, generation, graph, metrics, pairs, payout, rows
-from ..sources import files
+from ..sources import download, files
 from ..sources.draws import as_arrays, draw_numbers, history, recent, split_by_issue, tickets
 from ..streaming import events
 
@@ -539,6 +539,18 @@ def parse_pages(spark, d):
     return files.list_items(spark.read.parquet(f"{d}/pages.parquet"))
 
 
+@query(r"""SELECT page_id, page_id // 64 * 64 AS first, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS host, CAST(length(html) AS INT) AS n_chars,
+CAST(len(regexp_extract_all(html, '(?s)<li>(?:<a[^>]*>)?([^<]*)', 1)) AS INT) AS entries FROM pages""")
+def downloaded_pages(spark, d):
+    """All pages, fetched range by range through the download source from an archive of them."""
+    download.register(spark, "page_archive", download.archive(f"{d}/pages.parquet", "page_id"))
+    ids = spark.read.parquet(f"{d}/pages.parquet").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).first()
+    asked = {"url": "http://archive.example/pages?{first}-{last}", "hosts": "archive.example", "step": 64, "first": ids["first"] or 0, "last": -1 if ids["last"] is None else ids["last"]}
+    got = spark.read.format("page_archive").options(**asked).load().select("first", F.explode(F.split("body", "\n")).alias("line"))
+    page = got.select("first", F.from_json("line", "page_id bigint, url string, html string").alias("p")).where("p.page_id is not null")
+    return page.select("p.page_id", "first", files.host_of(F.col("p.url")).alias("host"), F.length("p.html").alias("n_chars"), F.size(files.list_entries(F.col("p.html"))).alias("entries"))
+
+
 def _tables(h: DataFrame) -> DataFrame:
     own = as_arrays(h, "issue")
     page = own.select(F.concat(F.lit("<table><tbody id='tdata'><tr><td>"), F.col("issue").cast("string"), F.lit("</td><td>"), F.concat_ws("</td><td>", F.transform("nums", lambda x: F.lpad(x.cast("string"), 2, "0"))), F.lit("</td><td>x</td></tr></tbody></table>")).alias("html"))

@@ -24,15 +24,16 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 def parse_sequence(lines: DataFrame, value: str = "value", size: int = 20) -> DataFrame:
     """(issue, nums in ball order) of text lines `issue n1 ... n20,rest`; shorter lines are left out."""
     tokens = F.split(F.trim(F.split(F.col(value), ",").getItem(0)), r"\s+")
-    good = (F.size(tokens) >= size + 1) & F.element_at(tokens, 1).rlike(r"^\d+$")
-    return lines.where(good).select(F.element_at(tokens, 1).cast("bigint").alias("issue"), F.transform(F.slice(tokens, 2, size), lambda x: x.cast("int")).alias("nums"))
+    issue = F.get(tokens, F.lit(0))
+    good = (F.size(tokens) >= size + 1) & issue.rlike(r"^\d+$")
+    return lines.where(good).select(issue.try_cast("bigint").alias("issue"), F.transform(F.slice(tokens, 2, size), lambda x: x.try_cast("int")).alias("nums"))
 
 
-def parse_tables(pages: DataFrame, html: str = "html", size: int = 20) -> DataFrame:
-    """(issue, nums) of the rows of HTML tables: a first cell of digits, then at least `size` number cells."""
-    rows = pages.select(F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("row"))
-    cells = rows.select(F.filter(F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>\s*(.*?)\s*</td>"), 1), lambda c: F.trim(c)), lambda c: c.rlike(r"^\d+$")).alias("c"))
-    return cells.where(F.size("c") >= size + 1).select(F.element_at("c", 1).cast("bigint").alias("issue"), F.transform(F.slice("c", 2, size), lambda x: x.cast("int")).alias("nums"))
+def parse_tables(pages: DataFrame, html: str = "html", size: int = 20, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(issue, nums, keep...) of the rows of HTML tables: a first cell of digits, then at least `size` number cells."""
+    rows = pages.select(*keep, F.explode(F.regexp_extract_all(F.col(html), F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), 1)).alias("row"))
+    cells = rows.select(*keep, F.filter(F.transform(F.regexp_extract_all("row", F.lit(r"(?is)<td[^>]*>\s*(.*?)\s*</td>"), 1), lambda c: F.trim(c)), lambda c: c.rlike(r"^\d+$")).alias("c"))
+    return cells.where(F.size("c") >= size + 1).select(F.get("c", F.lit(0)).try_cast("bigint").alias("issue"), F.transform(F.slice("c", 2, size), lambda x: x.try_cast("int")).alias("nums"), *keep)
 
 
 def list_items(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
