@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.draws import as_arrays
@@ -52,22 +52,48 @@ def pointwise_information(h: DataFrame, limit: int) -> DataFrame:
     return rows.select("i", "j", (F.round(F.col("pij") * F.log2(F.col("pij") / (F.col("pi") * F.col("pj"))), 6) + 0.0).alias("term"))
 
 
-def itemsets(h: DataFrame, most: int = 2) -> DataFrame:
-    """(items array, freq): all itemsets of up to `most` (1 to 3) numbers with their frequencies."""
-    arrays = as_arrays(h, "rn")
-    nums = F.col("nums")
-    level = [F.transform(nums, lambda a: F.array(a))]
+WORDS = 64  # words of 64 draws in a row of a bitmap
+
+
+def bitmaps(h: DataFrame) -> DataFrame:
+    """(num, chunk, bits): for each number and chunk of draws an array of words with a bit for each draw that has it."""
+    bit = F.expr("shiftleft(1L, cast(pmod(rn, 64) as int))")
+    word = F.pmod(F.floor(F.col("rn") / 64), F.lit(WORDS))
+    words = [F.coalesce(F.bit_or(F.when(word == i, bit)), F.lit(0).cast("bigint")) for i in range(WORDS)]
+    return h.groupBy("num", F.floor(F.col("rn") / (64 * WORDS)).alias("chunk")).agg(F.array(*words).alias("bits"))
+
+
+def itemsets(h: DataFrame, most: int = 2, support: float = 0.0) -> DataFrame:
+    """(items array, freq): the itemsets of up to `most` numbers in at least `support` of the draws, with their frequencies.
+
+    Level by level, from bitmaps: a set of k grows by a larger number to the draws that both have, chunk by chunk, and goes on
+    only if it is frequent. Nothing lists the subsets of a draw; a set's chunks, a row for 4,096 draws, are added up together.
+    """
+    n = F.broadcast(h.agg(F.countDistinct("rn").alias("n")))
+    draws_of = lambda bits: F.aggregate(bits, F.lit(0).cast("bigint"), lambda total, w: total + F.bit_count(w))
+
+    def frequent(rows: DataFrame) -> DataFrame:
+        counted = rows.withColumn("own", draws_of(F.col("bits"))).where("own > 0").withColumn("freq", F.sum("own").over(Window.partitionBy("items")))
+        return counted.join(n).where(F.col("freq") / F.col("n") >= support).select("items", "chunk", "bits", "freq")
+
+    single = bitmaps(h)
+    level = frequent(single.select(F.array("num").alias("items"), "chunk", "bits"))
+    more = level.select(F.element_at("items", 1).alias("num"), "chunk", F.col("bits").alias("added"))
+    once = lambda rows: rows.groupBy("items").agg(F.first("freq").alias("freq"))
+    out = once(level)
     for _ in range(most - 1):
-        level.append(F.flatten(F.transform(level[-1], lambda s: F.transform(F.filter(nums, lambda b: b > F.element_at(s, -1)), lambda b: F.concat(s, F.array(b))))))
-    return arrays.select(F.explode(F.concat(*level)).alias("items")).groupBy("items").agg(F.count("*").alias("freq"))
+        grown = level.join(more, "chunk").where(F.col("num") > F.element_at("items", -1))
+        level = frequent(grown.select(F.concat("items", F.array("num")).alias("items"), "chunk", F.zip_with("bits", "added", lambda a, b: a.bitwiseAND(b)).alias("bits")))
+        out = out.unionByName(once(level))
+    return out
 
 
 def association_rules(h: DataFrame, support: float = 0.08, confidence: float = 0.3, most: int = 2) -> DataFrame:
-    """(antecedent, consequent, support, confidence, lift) with a single consequent."""
-    sets = itemsets(h, most)
+    """(antecedent, consequent, support, confidence, lift) with a single consequent, from itemsets of up to `most`."""
+    sets = itemsets(h, most, support)
     n = h.agg(F.countDistinct("rn").alias("n"))
-    frequent = sets.join(F.broadcast(n)).where(F.col("freq") / F.col("n") >= support)
-    whole = frequent.where(F.size("items") >= 2).select("items", "freq", "n", F.explode("items").alias("consequent")).withColumn("antecedent", F.array_except("items", F.array("consequent")))
+    frequent = sets.where(F.size("items") >= 2).join(F.broadcast(n))
+    whole = frequent.select("items", "freq", "n", F.explode("items").alias("consequent")).withColumn("antecedent", F.array_except("items", F.array("consequent")))
     left = sets.select(F.col("items").alias("antecedent"), F.col("freq").alias("fa"))
     right = sets.where(F.size("items") == 1).select(F.element_at("items", 1).alias("consequent"), F.col("freq").alias("fc"))
     rules = whole.join(left, "antecedent").join(F.broadcast(right), "consequent")
@@ -75,7 +101,7 @@ def association_rules(h: DataFrame, support: float = 0.08, confidence: float = 0
     return rules.where(conf >= confidence).select("antecedent", "consequent", F.round(F.col("freq") / F.col("n"), 6).alias("support"), F.round(conf, 6).alias("confidence"), F.round(conf / (F.col("fc") / F.col("n")), 6).alias("lift"))
 
 
-def filter_tickets(tickets: DataFrame, rules: DataFrame, mode: str = "soft", weight: float = 0.1, most_rules: int = 100_000) -> DataFrame:
+def filter_tickets(tickets: DataFrame, rules: DataFrame, mode: str = "soft", weight: float = 0.1) -> DataFrame:
     """(ticket_id, nums, violated, penalty, accepted): a rule is violated if its antecedent is held and its consequent isn't.
 
     Rules are looked up by the first number of their antecedent, so a ticket meets only rules it can violate.

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PRIZES
 from ..functions import columns as C
-from ..operators import backtest, candidates, constraints, features, generation, graph, metrics, pairs, payout, rows
+from ..operators import backtest, candidates, constraints, features, frames, generation, graph, metrics, pairs, payout, rows
 from ..sources import download, files
 from ..sources.draws import as_arrays, draw_numbers, history, recent, split_by_issue, tickets
 from ..streaming import events
@@ -184,6 +184,42 @@ def itemsets(spark, d):
     return pairs.itemsets(last(spark, d, FEATURE)).select(F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"), "freq")
 
 
+def _sets_sql(most: int, source: str, n: str, support: float) -> str:
+    """Itemsets of up to `most` numbers as lists, from rows (rn, num)."""
+    levels = []
+    for k in range(1, most + 1):
+        joins = " ".join(f"JOIN {source} t{i} ON t{i}.rn = t0.rn AND t{i}.num > t{i - 1}.num" for i in range(1, k))
+        levels.append(f"SELECT [{', '.join(f't{i}.num' for i in range(k))}] AS items, COUNT(*) AS freq FROM {source} t0 {joins} GROUP BY 1 HAVING COUNT(*) / CAST({n} AS DOUBLE) >= {support}E0")
+    return " UNION ALL ".join(levels)
+
+
+def _whole_sets_sql(most: int) -> str:
+    return f"WITH {DN} SELECT array_to_string(items, ',') AS items, freq FROM ({_sets_sql(most, 'dn', '(SELECT COUNT(DISTINCT rn) FROM dn)', 0.02)})"
+
+
+def _sets(spark, d, most: int) -> DataFrame:
+    return pairs.itemsets(whole(spark, d), most, 0.02).select(F.concat_ws(",", F.col("items").cast("array<string>")).alias("items"), "freq")
+
+
+@query(_whole_sets_sql(3))
+def itemsets_3(spark, d):
+    return _sets(spark, d, 3)
+
+
+@query(_whole_sets_sql(4))
+def itemsets_4(spark, d):
+    return _sets(spark, d, 4)
+
+
+@query(f"""WITH {DN}, r AS (SELECT rn, num FROM dn WHERE rn < {FEATURE}), s AS ({_sets_sql(3, "r", str(FEATURE), 0.03)}),
+w AS (SELECT list_filter(items, lambda x: x <> c) AS ante, c AS cons, freq FROM (SELECT items, freq, unnest(items) AS c FROM s WHERE len(items) > 1))
+SELECT array_to_string(ante, ',') AS antecedent, cons AS consequent, ROUND(w.freq / {FEATURE}.0E0, 6) AS support, ROUND(w.freq / CAST(a.freq AS DOUBLE), 6) AS confidence,
+       ROUND(w.freq / CAST(a.freq AS DOUBLE) / (b.freq / {FEATURE}.0E0), 6) AS lift
+FROM w JOIN s a ON a.items = ante JOIN s b ON b.items = [cons] WHERE w.freq / CAST(a.freq AS DOUBLE) >= 0.5E0""")
+def association_rules_3(spark, d):
+    return pairs.association_rules(last(spark, d, FEATURE), 0.03, 0.5, 3).withColumn("antecedent", F.concat_ws(",", F.col("antecedent").cast("array<string>")))
+
+
 RULES = f"""{PAIRS.format(n=FEATURE)}, c1 AS (SELECT num, COUNT(*) AS c FROM dn WHERE rn < {FEATURE} GROUP BY num), c2 AS (SELECT i, j, COUNT(*) AS f FROM pr GROUP BY i, j HAVING COUNT(*) / {FEATURE}.0E0 >= 0.08E0),
 bth AS (SELECT i AS ante, j AS cons, f FROM c2 UNION ALL SELECT j, i, f FROM c2),
 rules AS (SELECT ante, cons, f / {FEATURE}.0E0 AS support, f / CAST(a.c AS DOUBLE) AS confidence, (f / CAST(a.c AS DOUBLE)) / (b.c / {FEATURE}.0E0) AS lift FROM bth JOIN c1 a ON a.num = ante JOIN c1 b ON b.num = cons WHERE f / CAST(a.c AS DOUBLE) >= 0.3E0)"""
@@ -439,6 +475,36 @@ def window_features(spark, d):
     return rows.window_features(whole(spark, d)).select("rn", F.concat_ws(",", F.col("flat").cast("array<string>")).alias("flat"))
 
 
+# Counts of frames: f numbers the draws before each (age 1 the nearest), v gives every feature its place in the vector.
+FRAMES = """b AS (SELECT DISTINCT issue, rn FROM dn),
+f AS (SELECT b.issue, dn.rn - b.rn AS age, dn.num FROM b JOIN dn ON dn.rn > b.rn AND dn.rn <= b.rn + 10 WHERE b.rn + 10 <= (SELECT MAX(rn) FROM dn)),
+w AS (SELECT DISTINCT issue FROM f),
+o AS (SELECT x.issue, x.age, COUNT(*) AS c FROM f x JOIN f y ON y.issue = x.issue AND y.age = x.age + 1 AND y.num = x.num GROUP BY 1, 2),
+q AS (SELECT issue, num, COUNT(*) AS c FROM f GROUP BY 1, 2),
+d AS (SELECT issue, age, COUNT(CASE WHEN num % 2 = 1 THEN 1 END) AS c FROM f GROUP BY 1, 2),
+g AS (SELECT issue, age, (num - 1) // 10 AS bin, COUNT(*) AS c FROM f GROUP BY 1, 2, 3),
+s AS (SELECT CAST(unnest(range(1, 180)) AS INT) AS pos),
+v AS (SELECT w.issue, s.pos, COALESCE(o.c, q.c, d.c, g.c, 0) AS c FROM w CROSS JOIN s
+      LEFT JOIN o ON o.issue = w.issue AND s.pos = o.age
+      LEFT JOIN q ON q.issue = w.issue AND s.pos = 9 + q.num
+      LEFT JOIN d ON d.issue = w.issue AND s.pos = 89 + d.age
+      LEFT JOIN g ON g.issue = w.issue AND s.pos = 100 + (g.age - 1) * 8 + g.bin),
+z AS (SELECT b.issue, u.num, COUNT(x.num) AS c FROM b JOIN w ON w.issue = b.issue CROSS JOIN u LEFT JOIN dn x ON x.num = u.num AND x.rn > b.rn AND x.rn <= b.rn + 50 GROUP BY 1, 2),
+h AS (SELECT issue, num, ROW_NUMBER() OVER (PARTITION BY issue ORDER BY c DESC, num) AS place FROM z),
+t AS (SELECT w.issue, COUNT(dn.num) AS target FROM w LEFT JOIN h ON h.issue = w.issue AND h.place <= 10 LEFT JOIN dn ON dn.issue = h.issue AND dn.num = h.num GROUP BY 1)"""
+
+
+@query(f"WITH {DN}, {FRAMES} SELECT v.issue, string_agg(CAST(v.c AS VARCHAR), ',' ORDER BY v.pos) AS features, CAST(ANY_VALUE(t.target) AS INT) AS target FROM v JOIN t ON t.issue = v.issue GROUP BY v.issue")
+def feature_frames(spark, d):
+    return frames.frames(draw_numbers(spark, d)).select("issue", F.concat_ws(",", F.col("features").cast("array<string>")).alias("features"), "target")
+
+
+@query()
+def frame_forecast(spark, d):
+    """Of the newest fifth of the draws; tests compare components and forecasts with numpy."""
+    return frames.forecast(frames.frames(draw_numbers(spark, d)))
+
+
 @query(f"""WITH {DN}, c AS (SELECT i.issue, u.num, CASE WHEN x.num IS NULL THEN 0 ELSE 1 END AS hit
 FROM (SELECT DISTINCT issue FROM dn) i CROSS JOIN u LEFT JOIN dn x ON x.issue = i.issue AND x.num = u.num),
 h AS (SELECT issue, list(hit ORDER BY num) AS b FROM c GROUP BY issue)
