@@ -5,7 +5,8 @@ Every row draws from a generator seeded by its own id, so results do not depend
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.draws import as_arrays
-from .constraints import Profile
+from .constraints import Profile, first_failure, measured
+from .pairs import filter_tickets
 
 TICKET = "ticket_id bigint, nums array<int>"
 
@@ -24,15 +26,15 @@ def random_tickets(spark: SparkSession, rows: int, pick: int, seed: int = 42) ->
     return spark.range(rows).select(F.col("id").alias("ticket_id"), F.sort_array(F.transform(F.slice(ranked, 1, pick), lambda s: s["n"])).cast("array<int>").alias("nums"))
 
 
-def _sampled(spark: SparkSession, rows: int, make, seed: int) -> DataFrame:
+def _sampled(spark: SparkSession, rows: int, make, seed: int, first: int = 0) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             yield pd.DataFrame({"ticket_id": frame["id"], "nums": [sorted(int(x) for x in make(np.random.default_rng([seed, i]))) for i in frame["id"]]})
 
-    return spark.range(rows).mapInPandas(run, TICKET)
+    return spark.range(first, first + rows).mapInPandas(run, TICKET)
 
 
-def heuristic_tickets(spark: SparkSession, p: Profile, rows: int, parity_slack: float = 0.1, seed: int = 42) -> DataFrame:
+def heuristic_tickets(spark: SparkSession, p: Profile, rows: int, parity_slack: float = 0.1, seed: int = 42, first: int = 0) -> DataFrame:
     """Quotas of hot, cold and odd numbers from the profile, the rest from the other numbers."""
     k, hot, cold = p.pick, p.hot_numbers, p.cold_numbers
 
@@ -46,7 +48,7 @@ def heuristic_tickets(spark: SparkSession, p: Profile, rows: int, parity_slack:
         n_odd = min(max(odd, 0), need, len(odds))
         return [*own, *r.choice(odds, n_odd, replace=False), *r.choice(evens, need - n_odd, replace=False)]
 
-    return _sampled(spark, rows, make, seed)
+    return _sampled(spark, rows, make, seed, first)
 
 
 def relaxed(threshold: float, target: float, epoch: int) -> float:
@@ -54,31 +56,102 @@ def relaxed(threshold: float, target: float, epoch: int) -> float:
     return float(np.clip(threshold + max(0.05 * 0.98**epoch, 0.005) * 0.2 * (target - threshold), 0.01, 0.2))
 
 
-def accepted(spark: SparkSession, p: Profile, total: int, thresholds: list[float], check, batch: int = 2000, rounds: int = 5, seed: int = 42) -> dict[tuple[int, ...], list[float]]:
-    """Batch rejection sampling: propose, check, keep; thresholds relax between rounds of `batch` proposals.
+def loosened(threshold: float) -> float:
+    """One step of a threshold outwards: a hundredth or a tenth of it, whichever is more."""
+    return threshold + max(0.01, 0.1 * threshold)
 
-    At most `total` tickets, with the thresholds they passed under; fewer where `rounds` of proposals do not do. No more
-    than `total` tickets of a round, a parameter, reach the driver.
+
+@dataclass(frozen=True)
+class Patience:
+    """failures: of one stage after which its threshold gives way; a fifth of them are enough to ignore earlier stages.
+    attempts: proposals for one ticket, after which a ticket that need not pass takes its place.
+    """
+
+    failures: int = 50
+    attempts: int = 1000
+
+
+@dataclass
+class Relaxation:
+    """Takes proposals one after another and accepts those that pass; thresholds give way stage by stage.
+
+    A stage whose failures exceed `patience.failures` is relaxed by `step`; the later ones then start again from their first
+    thresholds. Counts begin anew with each accepted ticket, relaxed thresholds stay.
+    """
+
+    start: list[float]
+    patience: Patience = Patience()
+    step: Callable[[float], float] = loosened
+
+    def __post_init__(self):
+        self.thresholds = list(self.start)
+        self._begin()
+
+    def _begin(self) -> None:
+        self.failures, self.deepest, self.attempts = [0] * len(self.start), -1, 0
+
+    def offer(self, sound: bool, needs: list[float], sum_good: bool) -> bool:
+        self.attempts += 1
+        code = first_failure(sound, needs, sum_good, self.thresholds)
+        if 0 <= code < 99 and code >= self.deepest:
+            self.failures[code] += 1
+            if self.failures[code] > self.patience.failures // 5:
+                self.deepest = code
+            if self.failures[code] > self.patience.failures:
+                self.thresholds[code] = self.step(self.thresholds[code])
+                self.failures[code] = 0
+                for later in range(code + 1, len(self.start)):
+                    self.thresholds[later], self.failures[later] = self.start[later], 0
+        return code == 99
+
+    def accept(self) -> list[float]:
+        """The thresholds of the ticket that ends here; the next one begins."""
+        self._begin()
+        return list(self.thresholds)
+
+
+@dataclass(frozen=True)
+class Found:
+    nums: tuple[int, ...]
+    thresholds: list[float]
+    passed: bool
+
+
+def accepted(spark: SparkSession, p: Profile, total: int, thresholds: list[float], batch: int = 2000, patience: Patience = Patience(), rules: DataFrame | None = None, mode: str = "soft", seed: int = 42) -> list[Found]:
+    """Rejection sampling with relaxation: `total` distinct tickets in the order in which a plain loop over the proposals
+    finds them, each with the thresholds in force (and its rule penalty added to them).
+
+    Spark proposes and measures `batch` tickets at a time, all stages at once; so what the loop does with a proposal needs no
+    second look at it, however thresholds change in between. The driver holds one batch of measurements, a parameter. With
+    `rules`, a ticket that hard rules reject is passed over. A ticket that isn't found in patience.attempts is uniform.
+    """
+    state, found, done = Relaxation(list(thresholds), patience), {}, 0
+    while len(found) < total:
+        rows = measured(heuristic_tickets(spark, p, batch, seed=seed, first=done), p)
+        if rules is not None:
+            rows = rows.join(filter_tickets(rows.select("ticket_id", "nums"), rules, mode).select("ticket_id", "penalty", "accepted"), "ticket_id")
+        else:
+            rows = rows.withColumns({"penalty": F.lit(0.0), "accepted": F.lit(True)})
+        for r in rows.orderBy("ticket_id").collect():
+            nums = tuple(r["nums"])
+            if nums not in found and state.offer(r["sound"], r["needs"], r["sum_good"]) and r["accepted"]:
+                found[nums] = Found(nums, [t + r["penalty"] for t in state.accept()], True)
+            elif state.attempts >= patience.attempts:
+                left = (tuple(x["nums"]) for x in random_tickets(spark, len(found) + 1, p.pick, seed + len(found)).collect())
+                nums = next(x for x in left if x not in found)
+                found[nums] = Found(nums, state.accept(), False)
+            if len(found) == total:
+                break
+        done += batch
+    return list(found.values())
+
+
+def generate(spark: SparkSession, p: Profile, total: int, thresholds: list[float], batch: int = 2000, patience: Patience = Patience(), seed: int = 42) -> DataFrame:
+    """(ticket_id, nums, passed): `total` distinct tickets; passed tells those that the stages let through from the uniform
+    ones that took the place of others.
     """
-    kept: dict[tuple[int, ...], list[float]] = {}
-    own = list(thresholds)
-    for epoch in range(rounds):
-        good = check(heuristic_tickets(spark, p, batch, seed=seed + epoch), p, tuple(own)).where("code = 99")
-        for r in good.orderBy("ticket_id").limit(total).collect():
-            kept.setdefault(tuple(r["nums"]), list(own))
-        if len(kept) >= total:
-            break
-        own = [relaxed(t, 0.2, epoch) for t in own]
-    return {nums: kept[nums] for nums in [*kept][:total]}
-
-
-def generate(spark: SparkSession, p: Profile, total: int, thresholds: list[float], check, batch: int = 2000, rounds: int = 5, seed: int = 42) -> DataFrame:
-    """Accepted tickets; what is missing is filled by uniform ones (that need not pass), so `total` distinct ones come back."""
-    kept = dict.fromkeys(accepted(spark, p, total, thresholds, check, batch, rounds, seed))
-    while len(kept) < total:
-        seed += rounds
-        kept |= {tuple(r["nums"]): None for r in random_tickets(spark, total, p.pick, seed).collect()}
-    return spark.createDataFrame([(i, list(nums)) for i, nums in enumerate([*kept][:total])], TICKET)
+    own = accepted(spark, p, total, thresholds, batch, patience, seed=seed)
+    return spark.createDataFrame([(i, list(f.nums), f.passed) for i, f in enumerate(own)], TICKET + ", passed boolean")
 
 
 def greedy_ticket(posterior: DataFrame, pick: int) -> list[int]:

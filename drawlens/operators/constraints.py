@@ -55,18 +55,22 @@ def ints(x: list[int]) -> Column:
     return F.array(*[F.lit(i) for i in x]).cast("array<int>")
 
 
-def validate(tickets: DataFrame, p: Profile, thresholds: tuple[float, ...], sum_width: int = 50) -> DataFrame:
-    """tickets (ticket_id, nums ascending) with code: 99 passes; -1 size, repeats, duplicate or sum; 0 to 5 by stage."""
+def measured(tickets: DataFrame, p: Profile, sum_width: int = 50) -> DataFrame:
+    """tickets (ticket_id, nums ascending) with `sound` (size, no repeated number), `needs` and `sum_good`.
+
+    needs: for each of the six stages the least threshold under which the ticket passes it, infinity if none does; so one
+    measurement serves every threshold.
+    """
     n, k = F.col("nums"), p.pick
-    t = thresholds
+    never = F.lit(float("inf"))
+    shares = F.array(*[F.lit(float(x)) for x in p.repeat])
     overlap = F.size(F.array_intersect(n, ints(p.newest)))
-    expected = F.element_at(F.array(*[F.lit(x) for x in p.repeat]), F.least(overlap, F.lit(k)) + 1)
-    others = lambda o: F.exists(F.sequence(F.lit(1), F.lit(k)), lambda i: (i != o) & (F.element_at(F.array(*[F.lit(x) for x in p.repeat]), i + 1) > t[0]))
-    repeat_bad = others(overlap) | ((overlap >= 1) & (F.abs(expected - 1.0) > t[0]))
+    expected = F.element_at(shares, F.least(overlap, F.lit(k)) + 1)
+    others = F.array_max(F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.when(i != overlap, F.element_at(shares, i + 1)).otherwise(0.0)))
+    repeat = F.greatest(others, F.when(overlap >= 1, F.abs(expected - 1.0)).otherwise(0.0))
     size = F.greatest(F.size(n), F.lit(1))
     share = lambda own: F.size(F.array_intersect(n, ints(own))) / size
-    hot_bad = (F.abs(share(p.hot_numbers) - p.hot) > t[1]) | (F.abs(share(p.cold_numbers) - p.cold) > t[1])
-    parity_bad = F.abs(odd_count(n) / size - p.odd) > t[2]
+    hot = F.greatest(F.abs(share(p.hot_numbers) - p.hot), F.abs(share(p.cold_numbers) - p.cold))
     group_bad = F.lit(False)
     for g, his in enumerate(p.groups):
         now = F.size(F.filter(n, lambda x, g=g: F.floor((x - 1) / 10) == g)) / size
@@ -81,15 +85,36 @@ def validate(tickets: DataFrame, p: Profile, thresholds: tuple[float, ...], sum_
     run_bad = run_bad | (~F.exists(lengths, lambda x: x.isin(*seen)) if seen else F.lit(True))
     total = F.aggregate(n, F.lit(0), lambda s, x: s + x)
     good_sums = [b for b, r in p.sums.items() if r >= 0.1]
-    sum_bad = ~(F.floor((total - 1) / sum_width) * sum_width + 1).isin(*good_sums) if good_sums else F.lit(True)
+    sum_good = (F.floor((total - 1) / sum_width) * sum_width + 1).isin(*good_sums) if good_sums else F.lit(False)
     old = ints(p.newest)
     marched = F.size(F.filter(n, lambda x: ~F.array_contains(old, x) & (F.array_contains(old, x - 1) | F.array_contains(old, x + 1)))) / size
-    march_bad = F.abs(marched - p.adjacency) > t[5]
+    hard = lambda bad: F.when(bad, never).otherwise(0.0)
+    needs = F.array(repeat, hot, F.abs(odd_count(n) / size - p.odd), hard(group_bad), hard(run_bad), F.abs(marched - p.adjacency))
+    sound = (F.size(n) == k) & (F.size(F.array_distinct(n)) == F.size(n))
+    return tickets.withColumns({"sound": sound, "needs": needs, "sum_good": sum_good})
+
+
+def first_failure(sound: bool, needs: list[float], sum_good: bool, thresholds: list[float]) -> int:
+    """The code of a measured ticket: 99 passes; -1 size, repeats or sum; 0 to 5 by stage."""
+    if not sound:
+        return -1
+    for stage, (need, threshold) in enumerate(zip(needs, thresholds, strict=True)):
+        if stage == 5 and not sum_good:
+            return -1
+        if need > threshold:
+            return stage
+    return 99
+
+
+def validate(tickets: DataFrame, p: Profile, thresholds: tuple[float, ...], sum_width: int = 50) -> DataFrame:
+    """tickets (ticket_id, nums ascending) with code: 99 passes; -1 size, repeats, duplicate or sum; 0 to 5 by stage."""
     again = F.row_number().over(Window.partitionBy("nums").orderBy("ticket_id")) > 1
-    code = F.when((F.size(n) != k) | (F.size(F.array_distinct(n)) != F.size(n)) | again, -1)
-    for bad, value in ((repeat_bad, 0), (hot_bad, 1), (parity_bad, 2), (group_bad, 3), (run_bad, 4), (sum_bad, -1), (march_bad, 5)):
-        code = code.when(bad, value)
-    return tickets.withColumn("code", code.otherwise(99))
+    fails = lambda stage: F.get("needs", F.lit(stage)) > thresholds[stage]
+    code = F.when(~F.col("sound") | again, -1)
+    for stage in range(5):
+        code = code.when(fails(stage), stage)
+    code = code.when(~F.col("sum_good"), -1).when(fails(5), 5).otherwise(99)
+    return measured(tickets, p, sum_width).withColumn("code", code).drop("sound", "needs", "sum_good")
 
 
 def rank(validated: DataFrame, p: Profile, scores: DataFrame, information: DataFrame, weight: float = 1.0) -> DataFrame:

@@ -82,15 +82,15 @@ def best(tickets: DataFrame, p: Profile, thresholds: tuple[float, ...], scores:
     return rows.join(F.broadcast(tickets.select("ticket_id", "source")), "ticket_id").select("ticket_id", "source", "nums", "code", "score", "chosen")
 
 
-def calibrated(spark: SparkSession, profiles: list[Profile], thresholds: list[float], total: int = 50, batch: int = 2000, rounds: int = 5, seed: int = 42) -> DataFrame:
-    """(pick, thr array of six): for each profile the mean of the thresholds under which its tickets passed; the given
-    ones where none did.
+def calibrated(spark: SparkSession, profiles: list[Profile], thresholds: list[float], total: int = 50, batch: int = 2000, patience: candidates.Patience = candidates.Patience(), rules: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """(pick, thr array of six, passed): for each profile the mean of the thresholds under which its tickets were found,
+    rule penalties included, rounded to three places; and how many of them passed.
     """
     rows = []
     for p in profiles:
-        kept = list(candidates.accepted(spark, p, total, thresholds, constraints.validate, batch, rounds, seed).values()) or [thresholds]
-        rows.append((p.pick, [round(float(sum(x) / len(x)), 3) for x in zip(*kept, strict=True)]))
-    return spark.createDataFrame(rows, "pick int, thr array<double>")
+        own = candidates.accepted(spark, p, total, thresholds, batch, patience, rules, seed=seed)
+        rows.append((p.pick, [round(sum(x) / len(x), 3) for x in zip(*(f.thresholds for f in own), strict=True)], sum(f.passed for f in own)))
+    return spark.createDataFrame(rows, "pick int, thr array<double>, passed int")
 
 
 def penalised(filtered: DataFrame, thresholds: Column) -> DataFrame:

@@ -383,9 +383,12 @@ def advanced_generation(spark, d):
 
 @query()
 def calibrated_thresholds(spark, d):
+    """From tight thresholds, which give way stage by stage; soft rules add their penalties."""
     h = last(spark, d, 2 * L)
-    own = generation.calibrated(spark, [constraints.profile(h, L, k) for k in (5, PICK)], list(THRESHOLDS), 20, 500, 3)
-    return own.select("pick", *[F.element_at("thr", i).alias(f"s{i}") for i in range(1, 7)])
+    rules = pairs.association_rules(last(spark, d, FEATURE)).cache()
+    own = generation.calibrated(spark, [constraints.profile(h, L, k) for k in (5, PICK)], [t / 4 for t in THRESHOLDS], 20, rules=rules)
+    rules.unpersist()
+    return own.select("pick", *[F.element_at("thr", i).alias(f"s{i}") for i in range(1, 7)], "passed")
 
 
 PENALISED = ", ".join(f"ROUND({t}E0 + ROUND(COALESCE(worst * 0.1E0, 0), 6), 6) AS s{i}" for i, t in enumerate(THRESHOLDS, 1))
@@ -435,7 +438,7 @@ def payout_fallback(spark, d):
 
 @query()
 def rejection_generation(spark, d):
-    return candidates.generate(spark, _profile(spark, d), 50, list(THRESHOLDS), constraints.validate)
+    return candidates.generate(spark, _profile(spark, d), 50, list(THRESHOLDS))
 
 
 def _markov_sql(order: int) -> str:
