@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PRIZES
 from ..functions import columns as C
-from ..operators import backtest, candidates, constraints, features, frames, generation, graph, metrics, pairs, payout, rows
+from ..operators import backtest, candidates, constraints, features, frames, generation, graph, metrics, pairs, payout, rows, rule_cache
 from ..sources import download, files
 from ..sources.draws import as_arrays, draw_numbers, history, recent, split_by_issue, tickets
-from ..streaming import events
+from ..streaming import events, results
+from .folders import workspace
 
 L, FEATURE, PICK = DEFAULT.window, DEFAULT.feature_window, DEFAULT.pick
 TARGET = 2020120
@@ -230,6 +231,15 @@ def association_rules(spark, d):
     return pairs.association_rules(last(spark, d, FEATURE)).withColumn("antecedent", F.concat_ws(",", F.col("antecedent").cast("array<string>")))
 
 
+@query(f"WITH {DN}, {RULES} SELECT CAST(ante AS VARCHAR) AS antecedent, cons AS consequent, ROUND(support, 6) AS support, ROUND(confidence, 6) AS confidence, ROUND(lift, 6) AS lift FROM rules")
+def cached_rules(spark, d):
+    """Mined and kept, then found again."""
+    path, h = workspace(spark, "rules"), last(spark, d, FEATURE)
+    for _ in range(2):
+        own = rule_cache.cached_rules(h, path)
+    return own.withColumn("antecedent", F.concat_ws(",", F.col("antecedent").cast("array<string>")))
+
+
 def tickets_by_issue(spark, d) -> DataFrame:
     return as_arrays(tickets(spark, d), "issue").select(F.col("issue").alias("ticket_id"), "nums")
 
@@ -436,6 +446,20 @@ def payout_fallback(spark, d):
     return plain(payout.by_hits(payout.score(payout.known_targets(own, draws), draws)))
 
 
+@query(f"""WITH {DN}, {TK}, {PZ}, h AS (SELECT tk.issue, COUNT(dn.num) AS hits FROM tk LEFT JOIN dn ON dn.issue = tk.issue + 1 AND dn.num = tk.num GROUP BY tk.issue)
+SELECT h.issue + 1 AS issue, {PICK} AS pick, CAST(1 AS BIGINT) AS tickets, CAST(CASE WHEN k.issue IS NULL THEN 0 ELSE amount END AS DOUBLE) AS prize, CAST(2 AS BIGINT) AS stake,
+       ROUND(CAST(CASE WHEN k.issue IS NULL THEN 0 ELSE amount END AS DOUBLE) / 2 * 100, 4) AS return_rate, k.issue IS NOT NULL AS known
+FROM h JOIN pz ON pz.pick = {PICK} AND pz.hits = h.hits LEFT JOIN (SELECT DISTINCT issue FROM dn) k ON k.issue = h.issue + 1""")
+def result_files(spark, d):
+    """Every issue leaves a file, in two runs; each is scored against the next issue's draw as it arrives."""
+    where, draws = workspace(spark, "results"), as_arrays(draw_numbers(spark, d), "issue")
+    own = as_arrays(tickets(spark, d), "issue").withColumn("issue", F.col("issue") + 1)
+    for part in (0, 1):
+        results.write(own.where(F.col("issue") % 2 == part), f"{where}/in", f"r{part}", PICK)
+        results.take(spark, f"{where}/in", draws, f"{where}/out", f"{where}/checkpoint")
+    return plain(results.report(spark, f"{where}/out").drop("file", "run", "modified"))
+
+
 @query()
 def rejection_generation(spark, d):
     return candidates.generate(spark, _profile(spark, d), 50, list(THRESHOLDS))

@@ -1,11 +1,9 @@
-"""What the jobs share: configuration, sessions of the command line, reading output back, a workspace for queries."""
+"""What the jobs share: configuration, sessions of the command line, reading output back."""
 
 from __future__ import annotations
 
 import json
 import logging
-import tempfile
-import uuid
 from dataclasses import fields
 from pathlib import Path
 from typing import TypeVar
@@ -39,13 +37,3 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
-
-
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder name under spark.checkpoint.dir (in local mode without that setting, under a temporary folder)."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="jobs-")
-    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"

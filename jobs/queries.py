@@ -8,18 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from drawlens.config import PRIZES
+from drawlens.plans.folders import workspace
 from jobs import backtest_report, common, page_ingest
 
 
 def job1_page_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, config = common.workspace(spark, "page-ingest"), common.configured(page_ingest.Config, page_ingest.CONFIG)
+    out, config = workspace(spark, "page-ingest"), common.configured(page_ingest.Config, page_ingest.CONFIG)
     for _ in range(2):
         page_ingest.run(spark, f"{sf_dir}/pages.parquet", f"{out}/output", f"{out}/checkpoint", config)
     return page_ingest.read_items(spark, f"{out}/output")
 
 
 def job2_backtest_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out, config = common.workspace(spark, "backtest-report"), common.configured(backtest_report.Config, backtest_report.CONFIG)
+    out, config = workspace(spark, "backtest-report"), common.configured(backtest_report.Config, backtest_report.CONFIG)
     for _ in range(2):
         backtest_report.run(spark, f"{sf_dir}/lineitem.parquet", out, config)
     return backtest_report.read_report(spark, out).withColumn("prize", F.col("prize").cast("double"))
