@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import batches
-from .common import chunks, released_shuffles, remove, shared_dir
+from .common import chunks, named, released_shuffles, remove, shared_dir
 
 NONE = np.int32(2**31 - 1)
 SHIFT = np.int64(20)
@@ -299,7 +299,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", t
 
     spark, path = docs.sparkSession, f"{shared_dir(docs.sparkSession)}/bpe-{uuid.uuid4().hex}"
     with released_shuffles(spark):
-        staged = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")).mapInArrow(run, batches.STAGED)
+        staged = docs.select(named(doc_id).alias("doc"), named(text).alias("text")).mapInArrow(run, batches.STAGED)
         staged.write.option("compression", "none").partitionBy("role").parquet(path)
 
     def of_role(role: int) -> DataFrame:

@@ -91,7 +91,7 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def crc_mod(col: str, n: int) -> Column:
     """crc32 of the id written as text, modulo n; a null id counts as the empty text."""
-    return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % n
+    return F.crc32(F.coalesce(named(col).cast("string"), F.lit("")).cast("binary")) % n
 
 
 def text_bytes(column: pa.ChunkedArray | pa.Array) -> list[bytes]:

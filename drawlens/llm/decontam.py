@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import chunks, filter_rows, materialise, named, text_bytes
 
@@ -286,7 +287,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", te
     """(doc_id, item_id, bm25_share, question_overlap, answer_overlap, first_word): a row for each leak."""
     kind = docs.schema[doc_id].dataType.simpleString()
     item_kind = benchmark.schema[item_id].dataType.simpleString()
-    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
+    item_type = to_arrow_type(benchmark.schema[item_id].dataType)
     schema = f"id {kind}, item {item_kind}, bm25_share double, question_overlap double, answer_overlap double, first_word int"
     rows = docs.select(named(doc_id).alias("id"), named(text).alias("text"))
 

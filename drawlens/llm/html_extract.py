@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, named
 
 #: Element names of HTML by how they are read.
 BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
@@ -535,5 +535,5 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup
             yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks(), part.column("url").combine_chunks(), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64()), pa.array([len(x) for x in read], pa.int64()), pa.array(kept, pa.int64())], ["id", "url", "text", "n_chars", "n_blocks", "kept_blocks"])
 
     kind, link = (pages.schema[c].dataType.simpleString() for c in (page_id, url))
-    rows = pages.select(F.col(page_id).alias("id"), F.col(url).alias("url"), F.col(markup).alias("html"))
+    rows = pages.select(named(page_id).alias("id"), named(url).alias("url"), named(markup).alias("html"))
     return rows.mapInArrow(run, f"id {kind}, url {link}, text string, n_chars bigint, n_blocks bigint, kept_blocks bigint").withColumnRenamed("id", page_id)

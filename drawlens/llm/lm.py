@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import batches
-from .common import crc_mod, mix, text_bytes, word_hashes
+from .common import crc_mod, mix, named, text_bytes, word_hashes
 
 TRAIN, DELETED, TEST = 0, 1, 2
 END, START = np.uint64(0x5BD1E995A7C3F10D), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -181,7 +181,7 @@ def mixed(bucket: np.ndarray, p: list[np.ndarray], weights: np.ndarray, uniform:
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, folds: int = 10, fan: int = batches.FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score (smoothed unigrams), score (log10 of the mixture)."""
     held = F.when(crc_mod(doc_id, folds) == 0, TEST).when(F.floor(crc_mod(doc_id, folds * 10) / folds) == 0, DELETED).otherwise(TRAIN)
-    staged = batches.stage(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"), held.cast("int").alias("role")), "text", "lm", "role")
+    staged = batches.stage(docs.select(named(doc_id).alias("doc"), named(text).alias("text"), held.cast("int").alias("role")), "text", "lm", "role")
     how = batches.plan(staged, batches.BATCH_BYTES // 8, fan=fan)
     counted = [batches.count(staged, Counting("text", n + 1), how, "lm-counts") for n in range(order)]  # one order's shuffle at a time
     replies = reduce(DataFrame.unionByName, counted)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pairing
-from .common import chunks, discard, materialise, text_bytes
+from .common import chunks, discard, materialise, named, text_bytes
 from .components import connected_components
 
 SAMPLE = 20_000  # fingerprints that the estimates are made from
@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFra
             fp = [fingerprint(shingle_hashes(x, width)) for x in text_bytes(part.column("text"))]
             yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks(), pa.array(fp, pa.int64())], ["id", "fp"])
 
-    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    return docs.select(named(doc_id).alias("id"), named(text).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
 
 
 def partitions(sample: np.ndarray, parts: int) -> list[list[int]]:

@@ -164,7 +164,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def kept_digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, fan: int = batches.FAN) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
-    staged = batches.stage(docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text")), "text", "substring")
+    staged = batches.stage(docs.select(named(doc_id).alias("doc"), named(text).alias("text")), "text", "substring")
     replies, how = repeated_windows(staged, "text", width, fan)
 
     def use(part: pa.Table, role: int, got: dict[int, bytes]) -> pa.Table:
