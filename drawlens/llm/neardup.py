@@ -10,7 +10,9 @@ A second pass finds every further pair, however far its fingerprints: in any ord
 similarity share one of the first n - ceil(similarity * n) + 1 of either. Those are its keys; pairs of different groups
 that meet on one and whose sizes and parity bits allow the similarity are verified too, so that the groups are those of
 all pairs. Shingles that are common in a sample come last in the order, which changes the cost but no result. Keys that
-many nodes share are compared in cells of bounded size (see `pairing`).
+many nodes share are compared in cells of bounded size (see `pairing`). Before all such pairs are named, every node names a
+few in each cell; what they link is one group by then, so that a large group of near copies names no more than a linear
+number of pairs of its own.
 
 Shingles are 64-bit hashes, so are the texts of nodes: n texts are expected to hold n^2 / 2^65 pairs taken for equal.
 Null texts equal empty ones; texts of fewer words than a shingle compare as a whole; texts may be of any length. Rows with
@@ -34,7 +36,7 @@ from .components import connected_components
 
 MOST, NEAREST, SIMILARITY, SHINGLE = 6, 4, 0.8, 5
 FAR = np.int64(2**62)
-FEWEST, MARKS = 64, 8192  # parity bits of a shingle set, at least and at most
+FEWEST, MARKS = 512, 8192  # parity bits of a shingle set, at least and at most
 SAMPLE, COMMON, LONG = 4000, 2, 1 << 13  # texts that common shingles are found in, in how many of them, and their bytes
 BROADCAST = 1 << 20  # nodes (8 bytes each) up to which those that are needed are broadcast
 MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
@@ -141,11 +143,11 @@ def common_shingles(rows: DataFrame, shingle: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text", 4 << 20):
             own = np.concatenate(shingle_sets(text_bytes(part.column("text")), shingle))
-            yield pa.RecordBatch.from_arrays([pa.array([own.tobytes()])], ["keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64))], ["key"])
 
-    found = some.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "keys binary").collect()
-    key, n = np.unique(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r["keys"], np.uint64) for r in found)]), return_counts=True)
-    return key[n >= COMMON]
+    found = some.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "key bigint")
+    keys = found.groupBy("key").count().where(F.col("count") >= COMMON).select("key").toArrow()
+    return np.sort(keys.column("key").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def sketches(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -169,8 +171,16 @@ def marks_of(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column]
 
 
-def more_candidates(nodes: DataFrame, similarity: float, limit: int) -> DataFrame:
-    """Distinct pairs (u < v) of nodes (node, group, size, marks, prefix) of different groups that may be similar."""
+def first_of_each(i: np.ndarray, n: int) -> np.ndarray:
+    """Which of the entries, equal ones together, are among the first n of their kind."""
+    new = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+    return np.arange(len(i)) - np.repeat(new, np.diff(np.append(new, len(i)))) < n
+
+
+def more_candidates(nodes: DataFrame, similarity: float, limit: int, few: int | None = None) -> DataFrame:
+    """Distinct pairs (u < v) of nodes (node, group, size, marks, prefix) of different groups that may be similar; with
+    `few`, a node names about so many of those behind it in a cell.
+    """
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "prefix", 4 << 20):
@@ -192,8 +202,12 @@ def more_candidates(nodes: DataFrame, similarity: float, limit: int) -> DataFram
                 other = group[i] != group[j]
                 i, j = i[other], j[other]
                 good = possible(i, j, size, marks, similarity)
-                if good.any():
-                    yield _pairs(ids, i[good], j[good])
+                i, j = i[good], j[good]
+                if few and len(i):
+                    first = first_of_each(i, few)
+                    i, j = i[first], j[first]
+                if len(i):
+                    yield _pairs(ids, i, j)
 
     keys = nodes.select("node", "group", "prefix").mapInArrow(keyed, "key bigint, node bigint, group bigint")
     shared = materialise(pairing.cells(keys, "group", limit), "neardup-keys")
@@ -265,16 +279,18 @@ def _groups(docs: DataFrame, doc_id: str, text: str, similarity: float, shingle:
     found = verified(near, texts, shingle, similarity)
     discard(pairs, near)
     links = materialise(connected_components(found), "neardup-first")
-    known = nodes.join(links.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
-    more = more_candidates(known, similarity, limit)
-    further = verified(more, texts, shingle, similarity)
-    discard(found, more)
-    if not further.isEmpty():
-        links = connected_components(links.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(further))
+    for few in (nearest, None):  # large groups grow together before all pairs between groups are looked at
+        known = nodes.join(links.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+        more = more_candidates(known, similarity, limit, few)
+        further = verified(more, texts, shingle, similarity)
+        if not further.isEmpty():
+            links = materialise(connected_components(links.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(further)), "neardup-further")
+        discard(more, further)
+    discard(found)
     labelled = nodes.select("node", "id").join(links.withColumnRenamed("component", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     least = labelled.groupBy("group").agg(F.min("id").alias("component"))
     labels = materialise(labelled.join(least, "group").select("node", "id", "component", "group"), "neardup-labels")
-    discard(nodes, further)
+    discard(nodes)
     return ids, labels
 
 
