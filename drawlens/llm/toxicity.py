@@ -37,11 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, crc_mod, filter_rows, named, text_bytes
+from .common import chunks, crc_mod, filter_rows, named, text_bytes, tidy, Words
 
 #: Documents of either class that the model is fitted on, at most.
 TOXIC, CLEAN = 1500, 2500
-SLOTS, BLOCK, CACHE, PIECE = 1 << 18, 256, 250_000, 1 << 20
+SLOTS, BLOCK, CACHE, PIECE = 1 << 18, 256, 250_000, 1 << 17
 LEAST, ODDS = 5, 20.0  # toxic documents with a form, and how much likelier it is there, to label its tokens
 ROUNDS = (20, 8)  # with labelled tokens, and with labelled documents
 SLOW = 1.0  # squared gradient that a weight begins with, so that rare features move little
@@ -349,7 +349,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, toxic: int = TOXIC
     ids = picked[0].unionByName(picked[1])  # at most toxic + clean rows: may be broadcast
     rows = docs.select(named(doc_id).alias("id"), named(text).alias("text")).join(F.broadcast(ids), "id")
     rows = rows.groupBy("id", "y").agg(F.min("text").alias("text")).orderBy(F.xxhash64("id"), "id")
-    return fit(((r["text"] or "").encode(), r["y"] > 0) for r in rows.toLocalIterator())
+    model = fit(((r["text"] or "").encode(), r["y"] > 0) for r in rows.toLocalIterator())
+    tidy()
+    return model
 
 
 def expected(texts: list[bytes], model: Field, emissions: Emissions) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
