@@ -100,18 +100,3 @@ def penalised(filtered: DataFrame, thresholds: Column) -> DataFrame:
     """
     own = filtered.where("accepted").select("ticket_id", "nums", F.transform(thresholds, lambda t: F.round(t + F.col("penalty"), 6)).alias("thr"))
     return own.orderBy("thr", "ticket_id")
-
-
-def adapted(windows: tuple[int, ...], differences: list[float], grow: float = 0.04, shrink: float = 0.015, base: int = 4, longest: int = 15, step: int = 2, memory: int = 20) -> tuple[int, ...]:
-    """The trailing windows after the newest of `differences`: one longer where the draws differ much on average of the
-    last `memory`, the longest one gone where they differ little; unchanged with fewer than half the memory.
-    """
-    recent = differences[-memory:]
-    if len(recent) < max(4, memory // 2):
-        return windows
-    trend, top = sum(recent) / len(recent), max(windows)
-    if trend > grow and top < longest:
-        return tuple(sorted({*windows, min(top + step, longest)}))
-    if trend < shrink and len(windows) > base:
-        return tuple(w for w in windows if w != top)
-    return windows

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT, PRIZES
 from ..functions import columns as C
-from ..operators import backtest, candidates, constraints, features, frames, generation, graph, metrics, pairs, payout, rows, rule_cache
+from ..functions.places import places
+from ..operators import adaptation, backtest, candidates, constraints, features, frames, generation, graph, metrics, pairs, payout, rows, rule_cache
 from ..sources import download, files
 from ..sources.draws import as_arrays, draw_numbers, history, recent, split_by_issue, tickets
 from ..streaming import events, results
@@ -532,6 +533,30 @@ def frame_forecast(spark, d):
     return frames.forecast(frames.frames(draw_numbers(spark, d)))
 
 
+# How far a draw's share of odd numbers is from that of the draws before it, on average over four windows.
+DIFFERENCES = """o AS (SELECT rn, COUNT(CASE WHEN num % 2 = 1 THEN 1 END) / 20.0E0 AS odd FROM dn GROUP BY rn),
+x AS (SELECT a.rn, w.n, ABS(a.odd - AVG(b.odd)) AS d FROM o a CROSS JOIN (SELECT unnest([3, 5, 7, 9]) AS n) w JOIN o b ON b.rn > a.rn AND b.rn <= a.rn + w.n WHERE a.rn + 9 <= (SELECT MAX(rn) FROM dn) GROUP BY a.rn, a.odd, w.n),
+f AS (SELECT CAST(ROW_NUMBER() OVER (ORDER BY rn DESC) - 1 AS BIGINT) AS place, ROUND(AVG(d), 6) AS difference FROM x GROUP BY rn),
+v AS (SELECT place, COUNT(*) OVER w AS n, ROUND(AVG(difference) OVER w, 10) AS mean FROM f WINDOW w AS (ORDER BY place ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+m AS (SELECT place, CASE WHEN n < 10 THEN 0 WHEN mean > 0.1E0 THEN 1 WHEN mean < 0.09E0 THEN -1 ELSE 0 END AS move FROM v),
+l AS (SELECT place, GREATEST(LEAST(move, 3), 0) AS level FROM m WHERE place = 0
+      UNION ALL
+      SELECT m.place, GREATEST(LEAST(l.level + m.move, 3), 0) FROM l JOIN m ON m.place = l.place + 1)"""
+
+
+@query(f"WITH RECURSIVE {DN}, {DIFFERENCES} SELECT place, array_to_string(list_slice([3, 5, 7, 9, 11, 13, 15], 1, 4 + level), ',') AS windows FROM l")
+def window_adaptation(spark, d):
+    draws = as_arrays(whole(spark, d), "issue", "rn")
+    ranks = places(draws.select("issue"), "issue", first=0)
+    odd = draws.join(ranks, "issue").select("place", (C.odd_count(F.col("nums")) / 20).alias("odd"))
+    own = frames.with_before(odd, 9).where("place >= 9")
+    past = lambda n: F.aggregate(F.slice(F.col("before")["odd"], 1, n), F.lit(0.0), lambda a, x: a + x) / n
+    mean = sum((F.abs(F.col("odd") - past(n)) for n in (3, 5, 7, 9)), F.lit(0.0)) / 4
+    differences = own.select((F.col("place") - 9).alias("place"), F.round(mean, 6).alias("difference"))
+    out = adaptation.adapted(differences, grow=0.1, shrink=0.09)
+    return out.select("place", F.concat_ws(",", F.col("windows").cast("array<string>")).alias("windows"))
+
+
 @query(f"""WITH {DN}, c AS (SELECT i.issue, u.num, CASE WHEN x.num IS NULL THEN 0 ELSE 1 END AS hit
 FROM (SELECT DISTINCT issue FROM dn) i CROSS JOIN u LEFT JOIN dn x ON x.issue = i.issue AND x.num = u.num),
 h AS (SELECT issue, list(hit ORDER BY num) AS b FROM c GROUP BY issue)

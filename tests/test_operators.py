@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from drawlens.functions import columns as C
 from drawlens.functions.places import places
-from drawlens.operators import backtest, candidates, constraints, features, generation, metrics, pairs, payout
+from drawlens.operators import adaptation, backtest, candidates, constraints, features, generation, metrics, pairs, payout
 from drawlens.sources import files
 from drawlens.sources.draws import as_arrays, history, recent
 
@@ -67,16 +67,16 @@ def test_mutual_information_is_not_negative(h):
     assert len(rows) == 3160 and all(r["mi"] >= 0 for r in rows)
 
 
-def test_rules_literal(spark):
-    base = [(5 - i, [1, 2, 3, *range(4 + 17 * (i % 4), 21 + 17 * (i % 4))]) for i in range(4)]
-    h = recent(numbers(spark, [*base, (1, [1, 2, 21, *range(40, 57)])]), 5)
-    rules = pairs.association_rules(h, 0.6, 0.9)
-    held = {(tuple(r["antecedent"]), r["consequent"]) for r in rules.collect()}
-    assert ((3,), 1) in held and ((1,), 2) in held and ((1,), 3) not in held
-    own = spark.createDataFrame([(0, [2, 3, 4]), (1, [1, 2, 3])], "ticket_id bigint, nums array<int>")
-    hard = {r["ticket_id"]: r["accepted"] for r in pairs.filter_tickets(own, rules, "hard").collect()}
-    soft = {r["ticket_id"]: r["penalty"] for r in pairs.filter_tickets(own, rules, "soft").collect()}
-    assert hard == {0: False, 1: True} and soft[0] > 0 and soft[1] == 0
+def test_tickets_against_given_rules(spark):
+    rules = spark.createDataFrame([([70], 9, 0.5), ([33, 48], 12, 0.8), ([12], 61, 0.25)], "antecedent array<int>, consequent int, confidence double")
+    tickets = {0: [33, 48, 70], 1: [9, 61, 70], 2: [33, 50, 51], 3: [12, 33, 48], 4: [12, 33, 48, 61]}
+    own = spark.createDataFrame(list(tickets.items()), "ticket_id bigint, nums array<int>")
+    broken = {0: 2, 1: 0, 2: 0, 3: 1, 4: 0}
+    for mode in ("hard", "soft"):
+        got = {r["ticket_id"]: r for r in pairs.filter_tickets(own, rules, mode, 0.2).collect()}
+        assert {i: r["violated"] for i, r in got.items()} == broken
+        assert {i: r["accepted"] for i, r in got.items()} == {i: mode == "soft" or not n for i, n in broken.items()}
+        assert {i: round(r["penalty"], 6) for i, r in got.items()} == ({0: 0.16, 1: 0, 2: 0, 3: 0.05, 4: 0} if mode == "soft" else dict.fromkeys(broken, 0))
 
 
 def test_scores_are_bounded_and_ranked(h):
@@ -188,11 +188,18 @@ def test_chi_square_tail_at_known_quantiles():
     assert metrics.chi_square_tail(0.0, 79) == 1.0
 
 
-def test_windows_adapt_after_half_the_memory():
-    own = (3, 5, 7, 9)
-    assert generation.adapted(own, [0.9] * 9) == own and generation.adapted(own, [0.9] * 10) == (3, 5, 7, 9, 11)
-    assert generation.adapted((3, 15), [0.9] * 30) == (3, 15) and generation.adapted(own, [0.0] * 30) == own
-    assert generation.adapted((*own, 11), [0.0] * 30) == own and generation.adapted((*own, 11), [0.9] * 10 + [0.02] * 20) == (*own, 11)
+@pytest.mark.parametrize("block", [1, 7, 1024])
+def test_windows_adapt_as_in_a_walk(spark, block):
+    differences = [abs((i * i * 37 + 11 * i) % 101 / 101 - (0.9 if i // 40 % 2 else 0.3)) / 8 for i in range(200)]
+    level, expected = 0, []
+    for i in range(200):
+        seen = differences[max(0, i - 19) : i + 1]
+        mean = round(sum(seen) / len(seen), 10)
+        level = min(max(level + (0 if len(seen) < 10 else 1 if mean > 0.045 else -1 if mean < 0.042 else 0), 0), 3)
+        expected.append((3, 5, 7, 9, 11, 13, 15)[: 4 + level])
+    df = spark.createDataFrame(list(enumerate(differences)), "place bigint, difference double").repartition(3)
+    got = {r["place"]: tuple(r["windows"]) for r in adaptation.adapted(df, grow=0.045, shrink=0.042, block=block).collect()}
+    assert [got[i] for i in range(200)] == expected and len(set(expected)) == 4
 
 
 def test_thresholds_come_back(spark, tmp_path):
