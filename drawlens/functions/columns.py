@@ -42,6 +42,11 @@ def one_hot(num: Column, universe: int = 80) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(universe)), lambda n: (n == num).cast("int"))
 
 
+def decode_one_hot(bits: Column) -> Column:
+    """The number of the largest entry, the first of several; null for an empty array."""
+    return F.nullif(F.array_position(bits, F.array_max(bits)).cast("int"), F.lit(0))
+
+
 def consecutive_pairs(nums: Column) -> Column:
     """Neighbours in the list that differ by one."""
     return F.size(F.filter(F.zip_with(F.slice(nums, 2, F.greatest(F.size(nums) - 1, F.lit(0))), nums, lambda b, a: b - a), lambda d: d == 1))
@@ -62,15 +67,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def half_even(x: Column, places: int = 0) -> Column:
-    return F.bround(x, places)
-
-
-def mean_of_positive(x: Column) -> Column:
-    """An aggregate: the mean of the positive values, 0 without any."""
-    return F.coalesce(F.avg(F.when(x > 0, x)), F.lit(0.0))
-
-
 def subset_sums(nums: Column, k: int, universe: int = 80) -> Column:
     """counts[s]: how many subsets of k of nums have the sum s, up to the sum of the k largest numbers of the universe.
 

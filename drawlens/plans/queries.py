@@ -566,6 +566,14 @@ def multi_hot_encoding(spark, d):
     return own.select("issue", F.concat_ws("", F.col("b").cast("array<string>")).alias("bits"), F.size(C.decode_multi_hot(F.col("b"))).alias("decoded"))
 
 
+@query(f"""WITH {DN} SELECT issue, num, CAST(2 * num AS INT) AS doubled, repeat('0', 2 * num - 1) || '1' || repeat('0', 80 - 2 * num) AS bits, CAST(2 * num AS INT) AS decoded FROM dn WHERE 2 * num <= 80""")
+def one_hot_encoding(spark, d):
+    """Doubled numbers, those beyond the universe left out, encoded and decoded."""
+    own = as_arrays(draw_numbers(spark, d), "issue").select("issue", F.explode(C.valid(F.transform("nums", lambda n: n * 2))).alias("doubled"))
+    bits = own.withColumn("b", C.one_hot(F.col("doubled")))
+    return bits.select("issue", (F.col("doubled") / 2).cast("int").alias("num"), "doubled", F.concat_ws("", F.col("b").cast("array<string>")).alias("bits"), C.decode_one_hot(F.col("b")).alias("decoded"))
+
+
 @query()
 def random_tickets(spark, d):
     return candidates.random_tickets(spark, 1000, PICK)

@@ -88,7 +88,3 @@ def read_thresholds(spark: SparkSession, path: str) -> DataFrame:
     """(pick, thr array of six) as write_thresholds leaves them."""
     rows = spark.read.option("header", True).schema("pick int, " + ", ".join(f"s{i} double" for i in range(1, 7))).csv(path)
     return rows.select("pick", F.array(*[f"s{i}" for i in range(1, 7)]).alias("thr"))
-
-
-def append_report(lines: DataFrame, path: str) -> None:
-    lines.write.mode("append").text(path)

@@ -1,4 +1,4 @@
-"""Structured Streaming: windowed counts of events with late data, and refreshed number counts of arriving draws."""
+"""Structured Streaming: windowed counts of events with late data."""
 
 from __future__ import annotations
 
@@ -14,8 +14,3 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", lateness: str = "2
 
 def read_events(spark: SparkSession, folder: str, schema, files_per_trigger: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
-
-
-def number_counts(draws: DataFrame) -> DataFrame:
-    """(num, cnt) of a stream of draws (issue, nums)."""
-    return draws.select(F.explode("nums").alias("num")).groupBy("num").agg(F.count("*").alias("cnt"))
