@@ -1,10 +1,10 @@
 """Mined rules kept for as long as they are fresh and the draws that they were mined from are the same.
 
     rules/key=K/version=V/     one mining of rules
-    manifest/                  JSON, a row for each version that is complete: key, version, rules, written_at
+    manifest/version=V/        JSON, a row for each version that is complete: key, rules, written_at
 
 A version gets its manifest row after its rules are written, and nobody reads a version without one: readers never see half
-a table, and two writers of one key leave two whole versions, of which the newest counts.
+a table, and two writers of one key, who share no folder, leave two whole versions, of which the newest counts.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .pairs import association_rules
 
 RULES = "antecedent array<int>, consequent int, support double, confidence double, lift double"
-MANIFEST = "key string, version string, rules bigint, written_at timestamp"
+MANIFEST = "key string, rules bigint, written_at timestamp, version string"
 
 
 def fingerprint(h: DataFrame) -> str:
@@ -49,8 +49,8 @@ def publish(rules: DataFrame, path: str, key: str) -> str:
     where = f"{path}/rules/key={key}/version={version}"
     rules.write.parquet(where)
     row = spark.read.parquet(where).agg(F.count("*").alias("rules"))
-    row = row.select(F.lit(key).alias("key"), F.lit(version).alias("version"), "rules", F.current_timestamp().alias("written_at"))
-    row.coalesce(1).write.mode("append").json(f"{path}/manifest")
+    row = row.select(F.lit(key).alias("key"), "rules", F.current_timestamp().alias("written_at"))
+    row.coalesce(1).write.json(f"{path}/manifest/version={version}")  # a folder of its own: writers never meet
     return version
 
 
