@@ -101,15 +101,21 @@ def association_rules(h: DataFrame, support: float = 0.08, confidence: float = 0
     return rules.where(conf >= confidence).select("antecedent", "consequent", F.round(F.col("freq") / F.col("n"), 6).alias("support"), F.round(conf, 6).alias("confidence"), F.round(conf / (F.col("fc") / F.col("n")), 6).alias("lift"))
 
 
-def filter_tickets(tickets: DataFrame, rules: DataFrame, mode: str = "soft", weight: float = 0.1) -> DataFrame:
-    """(ticket_id, nums, violated, penalty, accepted): a rule is violated if its antecedent is held and its consequent isn't.
+def violations(tickets: DataFrame, rules: DataFrame) -> DataFrame:
+    """(ticket_id, antecedent, consequent, confidence) of every rule that a ticket violates: its antecedent is held and its
+    consequent isn't.
 
     Rules are looked up by the first number of their antecedent, so a ticket meets only rules it can violate.
     """
     keyed = rules.select(F.element_at(F.sort_array("antecedent"), 1).alias("first"), "antecedent", "consequent", "confidence")
     met = tickets.select("ticket_id", "nums", F.explode("nums").alias("first")).join(keyed, "first")
-    broken = met.where((F.size(F.array_except("antecedent", "nums")) == 0) & ~F.array_contains(F.col("nums"), F.col("consequent")))
-    per = broken.groupBy("ticket_id").agg(F.count("*").alias("violated"), F.max("confidence").alias("worst"))
+    broken = (F.size(F.array_except("antecedent", "nums")) == 0) & ~F.array_contains(F.col("nums"), F.col("consequent"))
+    return met.where(broken).select("ticket_id", "antecedent", "consequent", "confidence")
+
+
+def filter_tickets(tickets: DataFrame, rules: DataFrame, mode: str = "soft", weight: float = 0.1) -> DataFrame:
+    """(ticket_id, nums, violated, penalty, accepted): how many rules each ticket violates and what follows."""
+    per = violations(tickets, rules).groupBy("ticket_id").agg(F.count("*").alias("violated"), F.max("confidence").alias("worst"))
     out = tickets.join(per, "ticket_id", "left").withColumn("violated", F.coalesce("violated", F.lit(0)))
     if mode == "hard":
         return out.select("ticket_id", "nums", "violated", F.lit(0.0).alias("penalty"), (F.col("violated") == 0).alias("accepted"))

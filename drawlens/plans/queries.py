@@ -258,6 +258,13 @@ def rule_filter_hard(spark, d):
     return pairs.filter_tickets(tickets_by_issue(spark, d), pairs.association_rules(last(spark, d, FEATURE)), "hard").drop("nums")
 
 
+@query(f"""WITH {DN}, {TK}, {RULES} SELECT t.issue AS ticket_id, CAST(ante AS VARCHAR) AS antecedent, cons AS consequent, ROUND(confidence, 6) AS confidence FROM tk t JOIN rules r ON r.ante = t.num
+WHERE NOT EXISTS (SELECT 1 FROM tk x WHERE x.issue = t.issue AND x.num = r.cons)""")
+def violated_rules(spark, d):
+    own = pairs.violations(tickets_by_issue(spark, d), pairs.association_rules(last(spark, d, FEATURE)))
+    return own.withColumn("antecedent", F.concat_ws(",", F.col("antecedent").cast("array<string>")))
+
+
 REC = f"""k AS (SELECT LEAST(COUNT(DISTINCT rn), 40) AS nr, LEAST(COUNT(DISTINCT rn), 160) AS nf FROM dn WHERE rn < {FEATURE}),
 x AS (SELECT u.num, COALESCE(SUM(CASE WHEN rn < 40 THEN GREATEST(1E0 - rn / CAST(nr AS DOUBLE), 0.1E0) ELSE 0 END), 0) AS rec, COALESCE(SUM(CASE WHEN rn < 160 THEN 1 ELSE 0 END), 0) AS ref, ANY_VALUE(nr / CAST(nf AS DOUBLE)) AS q FROM u CROSS JOIN k LEFT JOIN dn ON dn.num = u.num AND dn.rn < {FEATURE} GROUP BY u.num),
 y AS (SELECT num, rec, rec - CASE WHEN ref > 0 THEN ref * q ELSE 0 END AS mom FROM x),

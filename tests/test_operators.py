@@ -72,6 +72,8 @@ def test_tickets_against_given_rules(spark):
     tickets = {0: [33, 48, 70], 1: [9, 61, 70], 2: [33, 50, 51], 3: [12, 33, 48], 4: [12, 33, 48, 61]}
     own = spark.createDataFrame(list(tickets.items()), "ticket_id bigint, nums array<int>")
     broken = {0: 2, 1: 0, 2: 0, 3: 1, 4: 0}
+    told = {(r["ticket_id"], *r["antecedent"], r["consequent"]) for r in pairs.violations(own, rules).collect()}
+    assert told == {(0, 70, 9), (0, 33, 48, 12), (3, 12, 61)}
     for mode in ("hard", "soft"):
         got = {r["ticket_id"]: r for r in pairs.filter_tickets(own, rules, mode, 0.2).collect()}
         assert {i: r["violated"] for i, r in got.items()} == broken
