@@ -1,7 +1,7 @@
 """HTML extraction by a recurrent block labeller.
 
 A page is read into its leaf blocks: runs of text between block-level tags, with the path of open elements (tags,
-classes, ids, roles). A bidirectional LSTM in numpy reads the sequence of blocks, each as embeddings of its path and of
+classes, ids, roles; each name once, however often and however deep it is open). A bidirectional LSTM in numpy reads the sequence of blocks, each as embeddings of its path and of
 its hashed words plus a few numbers, and labels every block as main text or not with the whole page as context. It is
 trained at first use on synthetic pages from a seeded grammar (articles among menus, headers, footers, sidebars, notices,
 adverts, forms and reader comments under many names), once per driver process.
@@ -10,7 +10,7 @@ Pages are scanned once, in time proportional to their length whatever they hold:
 quoted values of its attributes (or at the first of all, where a quote is never closed), what is unfinished at the page's
 end is markup, and open elements are found by name without a search. Scripts, styles, titles, templates, frames,
 drawings with an end tag and comments are no text, nor is anything else in the head; fallbacks, formulas and objects are
-read like other elements. Character references are decoded, white space inside a block becomes one space, blocks are
+read like other elements, examples (xmp) as they stand. Character references are decoded, white space inside a block becomes one space, blocks are
 joined in page order by one line end; nothing is dropped for its length. Null and empty pages give an empty text; a page
 may be of any length. Repeated rows are pages of their own; an empty table gives an empty result. Only the three columns
 named are read, so others can't clash.
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from .common import chunks, named
 
 #: Element names of HTML by how they are read.
-BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
+BLOCKS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title iframe noembed noframes xmp".split())  # what is in them is no markup
+RAW = frozenset("script style title iframe noembed noframes".split())  # what is in them is no markup
 SKIPPED = frozenset("template svg".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody"}, "thead": {"caption"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "thead": {"table"}, "option": {"select"}}
@@ -42,16 +42,17 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 SPACE = re.compile(r"\s+")
 PATHS, WORDS = 1 << 12, 1 << 12
-NEAR, NAMES = 48, 16  # open elements around a block that its path tells of, and names of one of them
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 QUOTED = re.compile(r"""=\s*(["'])""")
 
 
 class Block:
-    __slots__ = ("path", "text", "linked")
+    """A leaf block. moves: slots of names that open (slot + 1) and close (minus it) on the way from the page's block before."""
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: float):
-        self.path, self.text, self.linked = path, text, linked
+    __slots__ = ("moves", "last", "depth", "text", "linked")
+
+    def __init__(self, moves: list[int], last: str, depth: int, text: str, linked: float):
+        self.moves, self.last, self.depth, self.text, self.linked = moves, last, depth, text, linked
 
 
 class Tags:
@@ -108,48 +109,65 @@ class Tags:
                 return page.find(">", start)
             at = close + 1
 
-    def skip(self, name: str) -> bool:
-        """Go behind the next end tag of this name, if there is one."""
+    def skip(self, name: str) -> int:
+        """Go behind the next end tag of this name and tell where it begins, -1 if there is none."""
         if name in self.gone:
-            return False
+            return -1
         if name not in self.endings:
             self.endings[name] = re.compile(rf"</{re.escape(name)}(?=[\s/>])", re.I)
         found = self.endings[name].search(self.page, self.at)
         end = self.page.find(">", found.end()) if found else -1
         if end >= 0:
             self.at = end + 1
-        else:
-            self.gone.add(name)
-        return end >= 0
+            return found.start()
+        self.gone.add(name)
+        return -1
 
 
 class Elements:
-    """The open elements, and where those of each name are among them."""
+    """The open elements, where those of each name are among them, and what their names changed since the last block."""
 
     def __init__(self):
         self.open: list[tuple[str, tuple[str, ...]]] = []
         self.where: dict[str, list[int]] = {}
         self.blocks: list[int] = []
+        self.depth = 0
+        self.times: dict[int, int] = {}
+        self.pending: dict[int, int] = {}
+
+    def _move(self, names: tuple[str, ...], by: int) -> None:
+        """A slot counts while it is open at least once; what opens and closes between two blocks leaves no trace."""
+        self.depth += by * len(names)
+        for n in names:
+            k = slot(n, PATHS)
+            before = self.times.get(k, 0)
+            self.times[k] = before + by
+            if before == 0 or before + by == 0:
+                if self.pending.pop(k, 0) == 0:
+                    self.pending[k] = by
 
     def push(self, name: str, own: tuple[str, ...]) -> None:
         self.where.setdefault(name, []).append(len(self.open))
         if name in BLOCKS:
             self.blocks.append(len(self.open))
         self.open.append((name, own))
+        self._move(own, 1)
 
     def last(self, names: Iterable[str]) -> int:
         """Place of the innermost of these names, -1 if none is open."""
         return max((self.where[n][-1] for n in names if self.where.get(n)), default=-1)
 
     def pop(self) -> str:
-        name, _ = self.open.pop()
+        name, own = self.open.pop()
+        self._move(own, -1)
         self.where[name].pop()
         if name in BLOCKS:
             self.blocks.pop()
         return name
 
-    def path(self) -> tuple[str, ...]:
-        return tuple(n for _, own in self.open[-NEAR:] for n in own)
+    def block(self, text: str, linked: float) -> Block:
+        moves, self.pending = [by * (k + 1) for k, by in self.pending.items()], {}
+        return Block(moves, self.open[-1][1][-1] if self.open else "", self.depth, text, linked)
 
 
 def blocks(page: str) -> list[Block]:
@@ -165,7 +183,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             text = SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(elements.path(), text, linked / max(sum(map(len, parts)), 1)))
+                out.append(elements.block(text, linked / max(sum(map(len, parts)), 1)))
         parts, linked = [], 0
 
     def pop_to(k: int) -> None:
@@ -194,11 +212,11 @@ def blocks(page: str) -> list[Block]:
             continue
         empty = rest.rstrip().endswith("/")
         if name in RAW:
-            if not tags.skip(name) and name in ("script", "style"):
+            if tags.skip(name) < 0 and name in ("script", "style"):
                 break  # unclosed, they reach to the page's end
             continue
         if name in SKIPPED and not empty:
-            if tags.skip(name):
+            if tags.skip(name) >= 0:
                 continue
         if name == "head":
             flush()
@@ -217,10 +235,19 @@ def blocks(page: str) -> list[Block]:
                     break
         if name in VOID or empty and name not in BLOCKS:
             continue
+        if name == "xmp":
+            start, end = tags.at, tags.skip(name)
+            if end < 0:
+                end = tags.at = len(page)
+            elements.push(name, ("pre",))
+            parts.append(html.escape(page[start:end]))  # flush() undoes it
+            linked += len(parts[-1]) * (links > 0)
+            pop_to(len(elements.open) - 1)
+            continue
         own = [name]
         for key, value in ATTRIBUTE.findall(rest) if rest else ():
-            own += [f"{key[0].lower()}:{w}" for w in re.split(r"[\s_-]+", value.strip("\"'").lower())[:NAMES] if w]
-        elements.push(name, tuple(own[: NAMES + 1]))
+            own += [f"{key[0].lower()}:{w}" for w in re.split(r"[\s_-]+", value.strip("\"'").lower()) if w]
+        elements.push(name, tuple(own))
         links += name == "a"
     flush()
     return out
@@ -241,17 +268,30 @@ NUMBERS = 7
 
 
 class Features:
-    """Inputs of a set of pages: path slots and word slots of each block in compressed rows, numbers, page lengths."""
+    """Inputs of a set of pages: moves of the paths and word slots of each block in compressed rows, slots of the innermost
+    names, numbers, page lengths.
+    """
 
     def __init__(self, pages: list[list[Block]]):
-        paths, words, rows = [], [], []
+        moves, words, last, rows, left = [], [], [], [], []
         for own in pages:
             for i, b in enumerate(own):
-                paths.append([slot(x, PATHS) for x in b.path] + [slot("last=" + (b.path[-1] if b.path else ""), PATHS)])
+                moves.append(left + b.moves if i == 0 else b.moves)
                 words.append([slot(w, WORDS) for w in b.text.lower().split()])
-                rows.append(numbers(b, i / max(len(own) - 1, 1), len(b.path)))
+                last.append(slot("last=" + b.last, PATHS))
+                rows.append(numbers(b, i / max(len(own) - 1, 1), b.depth))
+            if own:
+                still: dict[int, None] = {}  # open at the page's last block; the next page closes them
+                for b in own:
+                    for m in b.moves:
+                        if m > 0:
+                            still[m] = None
+                        else:
+                            del still[-m]
+                left = [-m for m in still]
         self.lengths = np.array([len(p) for p in pages], np.int64)
-        self.paths, self.path_at = self._rows(paths)
+        self.last = np.array(last, np.int64)
+        self.moves, self.move_at = self._rows(moves)
         self.words, self.word_at = self._rows(words)
         self.rows = np.array(rows, np.float32).reshape(-1, NUMBERS)
 
@@ -273,8 +313,25 @@ class Labeller:
         for side in "fb":
             self.w |= {f"x{side}": norm(d, 4 * h), f"h{side}": norm(h, 4 * h), f"c{side}": np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)]).astype(np.float32)}
 
+    PIECE = 1 << 14
+
+    def paths(self, f: Features) -> np.ndarray:
+        """Sum of the embeddings of the names open at each block: running sums of moves, piece by piece of the blocks."""
+        out = np.empty((len(f.last), self.PATH), np.float32)
+        ends = np.append(f.move_at[1:], len(f.moves))
+        now, at = np.zeros(self.PATH), 0
+        for a in range(0, len(out), self.PIECE):
+            own = ends[a : a + self.PIECE]
+            moves = f.moves[at : own[-1]]
+            steps = np.zeros((len(own), self.PATH))
+            np.add.at(steps, np.searchsorted(own, np.arange(at, own[-1]), side="right"), self.w["path"][np.abs(moves) - 1] * np.sign(moves)[:, None])
+            total = now + np.cumsum(steps, axis=0)
+            out[a : a + self.PIECE] = total
+            now, at = total[-1], own[-1]
+        return out + self.w["path"][f.last]
+
     def inputs(self, f: Features) -> np.ndarray:
-        path = np.add.reduceat(self.w["path"][f.paths], f.path_at, axis=0)
+        path = self.paths(f)
         n = np.diff(np.append(f.word_at, len(f.words)))[:, None].astype(np.float32)
         word = np.add.reduceat(self.w["word"][f.words], f.word_at, axis=0) / n
         return np.concatenate([path, word, f.rows], axis=1)
@@ -340,9 +397,11 @@ class Labeller:
                 d_state, d_cell = g @ self.w[f"h{s}"].T, dc * forget
             grad[f"x{s}"], grad[f"c{s}"] = x.T @ d_gates, d_gates.sum(0)
             d_x += d_gates @ self.w[f"x{s}"].T
-        n = np.diff(np.append(f.path_at, len(f.paths)))
+        n = np.diff(np.append(f.move_at, len(f.moves)))
         grad["path"] = np.zeros_like(self.w["path"])
-        np.add.at(grad["path"], f.paths, np.repeat(d_x[:, : self.PATH], n, axis=0))
+        np.add.at(grad["path"], f.last, d_x[:, : self.PATH])
+        onwards = np.cumsum(d_x[::-1, : self.PATH].astype(np.float64), axis=0)[::-1]  # a move is felt by all blocks after it
+        np.add.at(grad["path"], np.abs(f.moves) - 1, np.repeat(onwards, n, axis=0) * np.sign(f.moves)[:, None])
         n = np.diff(np.append(f.word_at, len(f.words)))
         grad["word"] = np.zeros_like(self.w["word"])
         np.add.at(grad["word"], f.words, np.repeat(d_x[:, self.PATH : self.PATH + self.WORD] / n[:, None], n, axis=0))

@@ -264,3 +264,53 @@ def test_toxicity_learns_from_texts_that_share_header_and_footer(spark):
 def test_toxicity_keeps_both_labels_of_a_text():
     sample = toxicity.Sample([(b"a b c", True), (b"a b c", False), (b"a b c", True), (b"a b  c d", True)])
     assert sample.toxic.tolist() == [True, False, True] and [len(d) for d in sample.docs] == [3, 3, 4]
+
+
+def plain_logits(w, page):
+    """The labeller's forward pass over one page, block by block in double precision, from the sets of open names."""
+    own = html_extract.blocks(page)
+    w = {k: v.astype(float) for k, v in w.items()}
+    open_now, xs = set(), []
+    for i, b in enumerate(own):
+        for m in b.moves:
+            (open_now.add if m > 0 else open_now.remove)(abs(m) - 1)
+        path = sum((w["path"][k] for k in open_now), w["path"][html_extract.slot("last=" + b.last, html_extract.PATHS)])
+        words = [w["word"][html_extract.slot(x, html_extract.WORDS)] for x in b.text.lower().split()]
+        xs.append(np.concatenate([path, sum(words) / len(words), html_extract.numbers(b, i / max(len(own) - 1, 1), b.depth)]))
+    hidden = {}
+    for side, order in (("f", range(len(xs))), ("b", range(len(xs) - 1, -1, -1))):
+        n = html_extract.Labeller.HIDDEN
+        state = cell = np.zeros(n)
+        for i in order:
+            g = xs[i] @ w[f"x{side}"] + state @ w[f"h{side}"] + w[f"c{side}"]
+            take, forget, out = (1 / (1 + np.exp(-g[k * n : (k + 1) * n])) for k in range(3))
+            cell = forget * cell + take * np.tanh(g[3 * n :])
+            state = out * np.tanh(cell)
+            hidden[side, i] = state
+    return [float((np.concatenate([hidden["f", i], hidden["b", i], x]) @ w["out"] + w["bias"])[0]) for i, x in enumerate(xs)]
+
+
+def test_forward_pass_equals_a_plain_loop():
+    model = html_extract.trained()
+    r = np.random.default_rng(5)
+    pages = [html_extract.synthetic(r)[0] for _ in range(8)]
+    pages.insert(3, "")
+    pages.append("<div id=a><div class='b a'><p>one</div><p>two<div><b>three</b><i>four</i>")
+    got = np.split(model.logits(html_extract.Features([html_extract.blocks(p) for p in pages])), np.cumsum([len(html_extract.blocks(p)) for p in pages])[:-1])
+    for page, own in zip(pages, got, strict=True):
+        assert np.allclose(own, plain_logits(model.w, page), atol=2e-2, rtol=1e-3)
+
+
+def test_paths_have_no_bounds():
+    """An id behind many class words, names far above the block, and many equal wrappers."""
+    many = " ".join(f"u{i}" for i in range(40))
+    own = html_extract.blocks(f"<div class='{many}' id=comments>" + "<div class=deep>" * 90 + "<p>x</p>" + "</div>" * 90 + "<p>y</p></div><p>z")
+    at = lambda name: html_extract.slot(name, html_extract.PATHS) + 1
+    assert [b.text for b in own] == ["x", "y", "z"]
+    assert {at("i:comments"), at("c:deep"), at("c:u39")} <= set(own[0].moves) and own[0].moves.count(at("c:deep")) == 1
+    assert -at("c:deep") in own[1].moves and -at("i:comments") not in own[1].moves and -at("i:comments") in own[2].moves
+
+
+def test_examples_are_text_as_they_stand():
+    own = html_extract.blocks("<p>a<xmp>if x < 3 &amp; <b>y</b></xmp><p>b</p><xmp>to the <i>end")
+    assert [b.text for b in own] == ["a", "if x < 3 &amp; <b>y</b>", "b", "to the <i>end"]
