@@ -301,7 +301,7 @@ class Features:
 
 
 class Labeller:
-    """Bidirectional LSTM over blocks, trained by Adam on the mean logistic loss."""
+    """Bidirectional LSTM over blocks, trained by Adam, whose rate falls to zero, on the mean logistic loss."""
 
     PATH, WORD, HIDDEN = 16, 8, 20
 
@@ -409,6 +409,7 @@ class Labeller:
 
     def fit(self, pages: list[list[Block]], labels: list[list[int]], epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 5) -> "Labeller":
         r, moments, t = np.random.default_rng(seed), {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.w.items()}, 0
+        steps = epochs * -(-len(pages) // batch)
         for _ in range(epochs):
             order = r.permutation(len(pages))
             for a in range(0, len(pages), batch):
@@ -419,7 +420,7 @@ class Labeller:
                     m, v = moments[k]
                     m += 0.1 * (g - m)
                     v += 0.01 * (g * g - v)
-                    self.w[k] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
+                    self.w[k] -= rate * (1 - (t - 1) / steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-7)
         return self
 
     def label(self, pages: list[list[Block]]) -> list[np.ndarray]:
