@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, EngineConfig
 from ..functions.columns import dot, norm
 from ..sources.draws import as_arrays, grid, universe
-from .pairs import cooccurrence
+from .pairs import cooccurrence, pair_rows
 
 
 def scaled(x: str, phantom: bool = False) -> Column:
@@ -45,30 +44,62 @@ def dirichlet_scores(h: DataFrame, config: EngineConfig = DEFAULT) -> DataFrame:
     return a.select("num", F.round(scaled("x"), 6).alias("dirichlet"), F.round(F.col("a") / F.col("s"), 8).alias("mean")).where("num > 0")
 
 
+def principal(cells: DataFrame, squarings: int = 12, top: int = 80) -> DataFrame:
+    """(num, x): the unit principal eigenvector of a symmetric matrix given by its cells (i, j, x), i <= j; absent ones are 0.
+
+    Power iteration of 2^squarings steps from a fixed vector: the matrix, of top x top numbers whatever the history, stands
+    in one row, and array functions square it. Its largest entry is positive; a matrix of zeros gives zeros.
+    """
+    numbers = F.sequence(F.lit(1), F.lit(top))
+    both = cells.unionByName(cells.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "x"))
+    full = universe(cells.sparkSession, top).select(F.col("num").alias("i"), F.explode(numbers).alias("j")).join(both, ["i", "j"], "left").na.fill(0.0, ["x"])
+    in_order = lambda key, value: F.transform(F.sort_array(F.collect_list(F.struct(key, value))), lambda s: s[value])
+    matrix = full.groupBy("i").agg(in_order("j", "x").alias("line")).agg(in_order("i", "line").alias("m"))
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda t, y: t + y)
+
+    def squared(m: Column, _: Column) -> Column:
+        size = F.array(F.nullif(total(F.transform(m, lambda r: dot(r, r))), F.lit(0.0)))  # one place, so that it is computed once
+        return F.get(F.transform(size, lambda f: F.transform(m, lambda r: F.transform(m, lambda q: dot(r, q) / f))), F.lit(0))
+
+    start = F.transform(numbers, lambda i: (i * 37 % top + 1) / F.lit(float(top)))
+    power = matrix.select(F.aggregate(F.sequence(F.lit(1), F.lit(squarings)), F.col("m"), squared).alias("m"))
+    x = power.select(F.posexplode(F.transform("m", lambda r: dot(r, start))).alias("pos", "x")).select((F.col("pos") + 1).alias("num"), F.coalesce("x", F.lit(0.0)).alias("x"))
+    every = Window.partitionBy()  # over the numbers
+    length = F.nullif(F.sqrt(F.sum(F.col("x") * F.col("x")).over(every)), F.lit(0.0))
+    return x.select("num", F.coalesce(F.signum(F.max_by("x", F.abs("x")).over(every)) * F.col("x") / length, F.lit(0.0)).alias("x"))
+
+
 def cooccurrence_centrality(h: DataFrame, decay: float = 0.97) -> DataFrame:
-    """(num, cooc): the principal eigenvector of the decayed pair matrix. At most 3,160 cells reach the driver."""
-    m = np.zeros((80, 80))
-    for r in cooccurrence(h, decay).collect():
-        m[r["i"] - 1, r["j"] - 1] = m[r["j"] - 1, r["i"] - 1] = r["weight"]
-    v = np.abs(np.linalg.eigh(m)[1][:, -1]) if m.any() else np.zeros(80)
-    return _scores(h, "cooc", v)
+    """(num, cooc): the principal eigenvector of the decayed pair matrix, scaled."""
+    own = principal(cooccurrence(h, decay).select("i", "j", F.col("weight").alias("x"))).withColumn("x", F.abs("x"))
+    return own.select("num", F.round(scaled("x"), 6).alias("cooc"))
 
 
-def _scores(h: DataFrame, name: str, v: np.ndarray) -> DataFrame:
-    span = v.max() - v.min()
-    v = (v - v.min()) / span if span >= 1e-9 else np.zeros(80)
-    return h.sparkSession.createDataFrame(pd.DataFrame({"num": np.arange(1, 81, dtype=np.int32), name: np.round(v, 6)}))
+def covariances(h: DataFrame, top: int = 80) -> DataFrame:
+    """(i, j, x), i <= j: the covariance of the numbers' being drawn, times the square of the draws; whole numbers."""
+    spark = h.sparkSession
+    n = h.agg(F.countDistinct("rn").alias("n"))
+    counts = universe(spark, top).join(h.groupBy("num").agg(F.count("*").alias("c")), "num", "left").na.fill(0, ["c"])
+    joint = pair_rows(h).groupBy("i", "j").agg(F.count("*").alias("joint"))
+    cells = universe(spark, top).select(F.col("num").alias("i"), F.explode(F.sequence("num", F.lit(top))).alias("j"))
+    rows = cells.join(counts.toDF("i", "ci"), "i").join(counts.toDF("j", "cj"), "j").join(joint, ["i", "j"], "left").join(F.broadcast(n))
+    together = F.when(F.col("i") == F.col("j"), F.col("ci")).otherwise(F.coalesce("joint", F.lit(0)))
+    return rows.select("i", "j", (F.col("n") * together - F.col("ci") * F.col("cj")).cast("double").alias("x"))
 
 
 def pca_loadings(h: DataFrame, limit: int, components: int = 1) -> DataFrame:
-    """(num, pca): loadings of the first principal components of the indicator matrix, the largest one positive."""
+    """(num, pca): loadings of the first principal components of the indicator matrix, the largest one positive, scaled; of
+    several components the sum of their absolute loadings.
+    """
+    if components == 1:
+        return principal(covariances(h.where(F.col("rn") < limit))).select("num", F.round(scaled("x"), 6).alias("pca"))
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
 
     rows = grid(h, limit).groupBy("rn").agg(F.transform(F.sort_array(F.collect_list(F.struct("num", "hit"))), lambda s: s["hit"].cast("double")).alias("v"))
     pc = PCA(k=components, inputCol="x", outputCol="y").fit(rows.select(array_to_vector("v").alias("x"))).pc.toArray()
-    pc = pc * np.sign(pc[np.abs(pc).argmax(0), np.arange(components)])
-    return _scores(h, "pca", pc[:, 0] if components == 1 else np.abs(pc).sum(1))
+    loadings = h.sparkSession.createDataFrame([(i + 1, float(x)) for i, x in enumerate(np.abs(pc).sum(1))], "num int, x double")
+    return loadings.select("num", F.round(scaled("x"), 6).alias("pca"))
 
 
 def embedding_scores(vectors: DataFrame, mode: str = "norm", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -94,7 +125,8 @@ def enhanced_scores(h: DataFrame, limit: int, config: EngineConfig = DEFAULT, gr
         out = out.join(F.broadcast(graph), "num", "left").na.fill(0.0, ["graph"])
         weights["graph"] = graph_weight
     blend = sum((F.col(c) * w for c, w in weights.items()), F.lit(0.0))
-    return out.withColumn("combined", F.round(blend, 6)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("combined"), "num")))
+    combined = F.round(blend.cast("decimal(20,8)"), 6).cast("double")  # channels have six places, weights two
+    return out.withColumn("combined", combined).withColumn("place", F.row_number().over(Window.orderBy(F.desc("combined"), "num")))
 
 
 def draw_clusters(h: DataFrame, limit: int, k: int = 3, seed: int = 1) -> DataFrame:

@@ -276,25 +276,70 @@ def recency_momentum(spark, d):
     return features.recency_momentum(last(spark, d, FEATURE))
 
 
-@query(f"""WITH {DN}, s AS (SELECT num FROM u UNION ALL SELECT 0), c AS (SELECT s.num, COUNT(dn.num) AS g, COUNT(CASE WHEN rn < {DEFAULT.dirichlet_window} THEN 1 END) AS l FROM s LEFT JOIN dn ON dn.num = s.num AND dn.rn < 240 GROUP BY s.num),
-a AS (SELECT num, GREATEST(g / CAST((SELECT SUM(g) FROM c) AS DOUBLE) * 0.6E0 * 80, 1E-6) + l AS a FROM c), t AS (SELECT num, a, SUM(a) OVER () AS s FROM a),
-x AS (SELECT num, a / s AS mean, a / s - 0.35E0 * SQRT(a * (s - a) / (s * s * (s + 1))) AS x FROM t), m AS (SELECT MIN(x) AS lo, MAX(x) AS hi FROM x)
-SELECT num, ROUND((x - lo) / (hi - lo), 6) AS dirichlet, ROUND(mean, 8) AS mean FROM x, m WHERE num > 0""")
+def _dirichlet_sql(n: int) -> str:
+    """CTEs up to di (num, dirichlet, mean), from the newest n draws."""
+    return f"""ds AS (SELECT num FROM u UNION ALL SELECT 0),
+dc AS (SELECT s.num, COUNT(dn.num) AS g, COUNT(CASE WHEN rn < {DEFAULT.dirichlet_window} THEN 1 END) AS l
+ FROM ds s LEFT JOIN dn ON dn.num = s.num AND dn.rn < {n} GROUP BY s.num),
+da AS (SELECT num, GREATEST(g / CAST((SELECT SUM(g) FROM dc) AS DOUBLE) * 0.6E0 * 80, 1E-6) + l AS a FROM dc),
+dt AS (SELECT num, a, SUM(a) OVER () AS s FROM da),
+dx AS (SELECT num, a / s AS mean, a / s - 0.35E0 * SQRT(a * (s - a) / (s * s * (s + 1))) AS x FROM dt),
+di AS (SELECT num, ROUND((x - lo) / (hi - lo), 6) AS dirichlet, ROUND(mean, 8) AS mean FROM dx, (SELECT MIN(x) AS lo, MAX(x) AS hi FROM dx) WHERE num > 0)"""
+
+
+@query(f"WITH {DN}, {_dirichlet_sql(240)} SELECT num, dirichlet, mean FROM di")
 def dirichlet_scores(spark, d):
     return features.dirichlet_scores(last(spark, d, 240))
 
 
-@query()
+SQUARINGS = 12
+
+
+def _principal_sql(p: str, cells: str) -> str:
+    """CTEs whose names begin with p, the last of them {p}v (num, x): the principal eigenvector of the cells (i, j, x)."""
+    return f"""{p}c AS ({cells}),
+{p}l AS (SELECT a.num AS i, list(COALESCE(x, 0E0) ORDER BY b.num) AS line
+ FROM u a CROSS JOIN u b LEFT JOIN {p}c c ON c.i = LEAST(a.num, b.num) AND c.j = GREATEST(a.num, b.num) GROUP BY a.num),
+{p}p AS (SELECT 0 AS k, list(line ORDER BY i) AS m FROM {p}l UNION ALL
+ SELECT k + 1, list_transform(m, lambda r: list_transform(m, lambda q: list_dot_product(r, q) / f))
+ FROM (SELECT k, m, list_sum(list_transform(m, lambda r: list_dot_product(r, r))) AS f FROM {p}p WHERE k < {SQUARINGS})),
+{p}s AS (SELECT list_transform(range(1, 81), lambda i: (i * 37 % 80 + 1) / 80E0) AS s),
+{p}x AS (SELECT unnest(range(1, 81)) AS num, unnest(list_transform(m, lambda r: list_dot_product(r, s))) AS x FROM {p}p, {p}s WHERE k = {SQUARINGS}),
+{p}v AS (SELECT CAST(num AS INT) AS num, x * SIGN(ARG_MAX(x, ABS(x)) OVER ()) / SQRT(SUM(x * x) OVER ()) AS x FROM {p}x)"""
+
+
+def _scaled_sql(x: str, source: str, name: str) -> str:
+    return f"""SELECT num, ROUND(CASE WHEN hi - lo < 1E-9 THEN 0 ELSE ({x} - lo) / (hi - lo) END, 6) AS {name}
+FROM {source}, (SELECT MIN({x}) AS lo, MAX({x}) AS hi FROM {source})"""
+
+
+CENTRALITY = _principal_sql("c", f"SELECT i, j, ROUND(SUM(POWER(0.97E0, rn)), 6) AS x FROM ({PAIRS.format(n=FEATURE)[7:-1]}) GROUP BY i, j")
+LOADINGS = _principal_sql("p", f"""SELECT a.num AS i, b.num AS j, CAST(n * CASE WHEN a.num = b.num THEN a.cnt ELSE COALESCE(jc, 0) END - a.cnt * b.cnt AS DOUBLE) AS x
+ FROM cnt a JOIN cnt b ON a.num <= b.num CROSS JOIN (SELECT COUNT(DISTINCT rn) AS n FROM dn WHERE rn < {FEATURE})
+ LEFT JOIN (SELECT i, j, COUNT(*) AS jc FROM ({PAIRS.format(n=FEATURE)[7:-1]}) GROUP BY i, j) q ON q.i = a.num AND q.j = b.num""")
+COOC, PCA = _scaled_sql("ABS(x)", "cv", "cooc"), _scaled_sql("x", "pv", "pca")
+
+
+@query(f"WITH RECURSIVE {DN}, {CENTRALITY} {COOC}")
 def cooccurrence_centrality(spark, d):
     return features.cooccurrence_centrality(last(spark, d, FEATURE))
 
 
-@query()
+@query(f"WITH RECURSIVE {DN}, {CNT.format(n=FEATURE)}, {LOADINGS} {PCA}")
 def pca_loadings(spark, d):
     return features.pca_loadings(last(spark, d, FEATURE), FEATURE)
 
 
-@query()
+W = DEFAULT.weights
+
+
+@query(f"""WITH RECURSIVE {DN}, {CNT.format(n=FEATURE)}, {REC}, {CENTRALITY}, {LOADINGS}, cooc AS ({COOC}), pca AS ({PCA}),
+rm AS (SELECT num, ROUND(CASE WHEN r1 - r0 < 1E-9 THEN 0 ELSE (rec - r0) / (r1 - r0) END, 6) AS recency,
+ ROUND(CASE WHEN m1 - m0 < 1E-9 THEN 0 ELSE (mom - m0) / (m1 - m0) END, 6) AS momentum FROM y, z),
+{_dirichlet_sql(FEATURE)},
+ch AS (SELECT num, recency, momentum, cooc, dirichlet, pca FROM rm JOIN cooc USING (num) JOIN di USING (num) JOIN pca USING (num)),
+co AS (SELECT *, CAST(ROUND(CAST({' + '.join(f'{c} * {w}E0' for c, w in W.items())} AS DECIMAL(18, 8)), 6) AS DOUBLE) AS combined FROM ch)
+SELECT *, CAST(ROW_NUMBER() OVER (ORDER BY combined DESC, num) AS INT) AS place FROM co""")
 def enhanced_scores(spark, d):
     return features.enhanced_scores(last(spark, d, FEATURE), FEATURE)
 
@@ -428,8 +473,12 @@ def momentum_ranking(spark, d):
     return generation.ranked_numbers(features.recency_momentum(last(spark, d, FEATURE)), "momentum")
 
 
-@query()
+@query(f"""WITH {DN}, {CNT.format(n=L)}, t AS (SELECT ROUND(SUM((cnt - e) * (cnt - e) / e), 6) AS statistic, COUNT(*) - 1 AS dof FROM cnt, (SELECT AVG(cnt) AS e FROM cnt)),
+p AS (SELECT statistic, dof, 1 - SUM(EXP((dof / 2E0 + k) * LN(statistic / 2) - statistic / 2 - LGAMMA(dof / 2E0 + k + 1))) AS p
+ FROM t, (SELECT unnest(range(2000)) AS k) GROUP BY statistic, dof)
+SELECT statistic, dof, ROUND(p, 6) AS p_value, p < 0.05 AS significant FROM p""")
 def chi_square_test(spark, d):
+    """The SQL sums the series of the lower incomplete gamma function; the operator the finite one of the upper."""
     return metrics.chi_square_test(last(spark, d))
 
 
