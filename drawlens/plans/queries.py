@@ -13,7 +13,7 @@ from ..functions.places import places
 from ..operators import adaptation, backtest, candidates, constraints, features, frames, generation, graph, metrics, pairs, payout, rows, rule_cache
 from ..sources import download, files
 from ..sources.draws import as_arrays, draw_numbers, history, recent, split_by_issue, tickets
-from ..streaming import events, results
+from ..streaming import events, results, thresholds
 from .folders import workspace
 
 L, FEATURE, PICK = DEFAULT.window, DEFAULT.feature_window, DEFAULT.pick
@@ -517,6 +517,40 @@ def result_files(spark, d):
     return plain(results.report(spark, f"{where}/out").drop("file", "run", "modified"))
 
 
+FIRST = 0.1  # first threshold of every decade in adaptive_thresholds
+
+
+@query(f"""WITH RECURSIVE {DN}, {TK},
+ti AS (SELECT issue, (num - 1) // 10 AS name, COUNT(*) AS c FROM tk GROUP BY 1, 2), di AS (SELECT issue, (num - 1) // 10 AS name, COUNT(*) AS c FROM dn GROUP BY 1, 2),
+gaps AS (SELECT i.issue, n.name, ABS(2 * COALESCE(ti.c, 0) - COALESCE(di.c, 0)) AS gap FROM (SELECT DISTINCT issue FROM dn) i
+ CROSS JOIN (SELECT unnest(range(8)) AS name) n LEFT JOIN ti ON ti.issue = i.issue AND ti.name = n.name LEFT JOIN di ON di.issue = i.issue AND di.name = n.name),
+ev AS (SELECT name, ROW_NUMBER() OVER (PARTITION BY name ORDER BY issue) AS r, gap <= 2 AS ok,
+ CASE WHEN gap <= 2 THEN -0.001E0 ELSE 0.01E0 * LEAST(gap / 20E0, 0.5E0) END AS push FROM gaps),
+run AS (SELECT name, CAST(0 AS BIGINT) AS r, {FIRST}E0 AS x, 0E0 AS v FROM (SELECT unnest(range(8)) AS name) UNION ALL
+ SELECT ev.name, ev.r, GREATEST({FIRST / 10}E0, LEAST(run.x + 0.9E0 * run.v + ev.push, {FIRST * 10}E0)), 0.9E0 * run.v + ev.push
+ FROM run JOIN ev ON ev.name = run.name AND ev.r = run.r + 1),
+st AS (SELECT name, COUNT(*) AS attempts, COUNT(CASE WHEN NOT ok THEN 1 END) AS failures,
+ AVG(CASE WHEN r > n - 100 THEN CASE WHEN ok THEN 1E0 ELSE 0E0 END END) AS share
+ FROM (SELECT *, COUNT(*) OVER (PARTITION BY name) AS n FROM ev) GROUP BY name)
+SELECT CAST(st.name AS INT) AS name, ROUND(x, 6) AS threshold, ROUND(v, 6) AS velocity, attempts, failures, ROUND(share, 6) AS success_rate, attempts >= 50 AND share < 0.1 AS relax
+FROM st JOIN run ON run.name = st.name AND run.r = st.attempts""")
+def adaptive_thresholds(spark, d):
+    """How far a ticket's share of each decade may lie from its draw's: thresholds that follow all issues, in two runs."""
+    counts = lambda n, c: n.groupBy("issue", F.floor((F.col("num") - 1) / 10).cast("int").alias("name")).agg(F.count("*").alias(c))
+    draws = draw_numbers(spark, d).cache()
+    cells = draws.select("issue").distinct().select("issue", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("name"))
+    both = cells.join(counts(tickets(spark, d), "t"), ["issue", "name"], "left").join(counts(draws, "c"), ["issue", "name"], "left").na.fill(0, ["t", "c"])
+    gap = F.abs(2 * F.col("t") - F.col("c"))
+    outcomes = both.select("name", F.col("issue").alias("place"), (gap <= 2).alias("success"), (gap / 20).alias("error"))
+    folder, middle = workspace(spark, "adaptive_thresholds"), draws.agg(F.avg("issue")).first()[0] or 0
+    for part in (outcomes.where(F.col("place") < middle), outcomes.where(F.col("place") >= middle)):
+        part.write.mode("append").parquet(f"{folder}/outcomes")
+        thresholds.take(spark, f"{folder}/outcomes", f"{folder}/thresholds", f"{folder}/checkpoint", dict.fromkeys(range(8), FIRST))
+    draws.unpersist()
+    rounded = [F.round(c, 6).alias(c) for c in ("threshold", "velocity", "success_rate")]
+    return thresholds.current(spark, f"{folder}/thresholds").select("name", *rounded, "attempts", "failures", "relax")
+
+
 @query()
 def rejection_generation(spark, d):
     return candidates.generate(spark, _profile(spark, d), 50, list(THRESHOLDS))
