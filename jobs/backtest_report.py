@@ -82,7 +82,8 @@ def run(spark: SparkSession, lineitem: str, output: str, config: Config) -> None
         scored = scored.where(block <= config.last // config.block)
     scored = scored.observe(read, F.count(F.lit(1)).alias("tickets"), F.min("issue").alias("first"), F.max("issue").alias("last"))
     rows = report(scored, config).observe(wrote, F.count(F.lit(1)).alias("rows"))
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pick", "block").parquet(output)
+    # A partition of the table is one file of one task; the number of tasks is given, as small tables would else come to one.
+    rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "pick", "block").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pick", "block").parquet(output)
     got = read.get
     log.info("scored %s tickets of issues %s to %s from %s, wrote %s rows to %s", got["tickets"], got["first"], got["last"], lineitem, wrote.get["rows"], output)
 

@@ -159,3 +159,10 @@ def test_queries_equal_sql(spark, name):
 def test_jobs_stand_alone():
     text = "".join(p.read_text() for p in [*(ROOT / "jobs").glob("*.py")])
     assert "drawlens.llm" not in text and "corpus_pipeline" not in text
+
+
+@needs_data
+def test_a_partition_of_the_report_is_one_file(spark, tmp_path):
+    backtest_report.run(spark, f"{SF}/lineitem.parquet", f"{tmp_path}/out", common.configured(backtest_report.Config, backtest_report.CONFIG))
+    files = [p.parent for p in Path(tmp_path, "out").glob("pick=*/block=*/*.parquet")]
+    assert files and len(files) == len(set(files))
