@@ -15,6 +15,7 @@ from ..config import PRIZES
 from ..operators import payout
 
 MOST = max(PRIZES)
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
 REPORT = "file string, issue bigint, pick int, run string, modified timestamp, tickets bigint, prize decimal(20,2), stake bigint, return_rate double, known boolean, load bigint"
 
 
@@ -22,7 +23,8 @@ def write(tickets: DataFrame, path: str, run: str, pick: int) -> None:
     """tickets (issue, nums of `pick` numbers) as CSV files, a folder for each issue; a run written again replaces itself."""
     named = [F.element_at("nums", i + 1).alias(f"b{i + 1}") for i in range(pick)]
     rows = tickets.select(*named, F.lit(pick).alias("pick"), "issue", F.lit(run).alias("run"))
-    rows.repartition("issue").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("pick", "issue", "run").csv(path)
+    tasks = int(tickets.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as few bytes would else come to one task
+    rows.repartition(tasks, "issue").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", True).partitionBy("pick", "issue", "run").csv(path)
 
 
 def stream(spark: SparkSession, path: str, files_per_load: int = 1000) -> DataFrame:
@@ -36,24 +38,34 @@ def stream(spark: SparkSession, path: str, files_per_load: int = 1000) -> DataFr
 
 def score(tickets: DataFrame, draws: DataFrame, stake: int = 2) -> DataFrame:
     """A row for each file: tickets, prize, stake, return rate; a file whose draw isn't known yet has no prize and known false."""
-    own = tickets.withColumn("ticket_id", F.struct("file", "run", "modified"))
-    scored = payout.score(own.select("ticket_id", "issue", "nums"), draws)
-    met = scored.groupBy("ticket_id").agg(F.sum("amount").cast("decimal(20,2)").alias("prize"))
-    files = own.groupBy("ticket_id", "issue", "pick").agg(F.count("*").alias("tickets"))
-    rows = files.join(met, "ticket_id", "left").select("ticket_id.*", "issue", "pick", "tickets", F.coalesce("prize", F.lit(0)).cast("decimal(20,2)").alias("prize"), F.col("prize").isNotNull().alias("known"))
+    met = tickets.join(draws.select("issue", F.col("nums").alias("drawn")), "issue", "left")
+    own = [F.size("nums").alias("own_pick"), F.size(F.array_intersect("nums", "drawn")).alias("hits"), F.col("drawn").isNotNull().alias("known")]
+    amounts = F.broadcast(payout.prizes(tickets.sparkSession).toDF("own_pick", "hits", "amount"))
+    paid = met.select("file", "issue", "pick", "run", "modified", *own).join(amounts, ["own_pick", "hits"], "left")
+    # Rows lie by issue after the join, so the files are added up where they are.
+    prize = F.coalesce(F.sum("amount"), F.lit(0)).cast("decimal(20,2)")
+    rows = paid.groupBy("file", "issue", "pick", "run", "modified").agg(F.count("*").alias("tickets"), prize.alias("prize"), F.bool_or("known").alias("known"))
     staked = rows.withColumn("stake", F.col("tickets") * stake)
     rate = F.round(F.col("prize").cast("double") / F.col("stake") * 100, 4)
     return staked.select("file", "issue", "pick", "run", "modified", "tickets", "prize", "stake", rate.alias("return_rate"), "known")
 
 
 def take(spark: SparkSession, path: str, draws: DataFrame, output: str, checkpoint: str, stake: int = 2, files_per_load: int = 1000) -> None:
-    """Scores all files that are new and stops."""
+    """Scores all files that are new and stops. The draws are kept until then; files are listed by as many tasks as there are
+    cores, not by one for each.
+    """
+    kept, before = draws.select("issue", "nums").persist(), spark.conf.get(LISTING)
 
     def load(batch: DataFrame, number: int) -> None:
-        rows = score(batch, draws, stake).withColumn("load", F.lit(number).cast("bigint"))
+        rows = score(batch, kept, stake).repartition(1).withColumn("load", F.lit(number).cast("bigint"))  # a row for each of a load's files
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("load").parquet(output)
 
-    stream(spark, path, files_per_load).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    try:
+        spark.conf.set(LISTING, str(spark.sparkContext.defaultParallelism))
+        stream(spark, path, files_per_load).writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(LISTING, before)
+        kept.unpersist()
 
 
 def report(spark: SparkSession, output: str, least: float | None = None) -> DataFrame:

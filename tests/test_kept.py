@@ -117,3 +117,15 @@ def test_result_files_are_scored_once(spark, tmp_path):
 def test_no_results(spark, tmp_path):
     assert results.report(spark, f"{tmp_path}/none").collect() == []
     assert results.latest(results.report(spark, f"{tmp_path}/none")).first()["issue"] is None
+
+
+def test_result_files_are_listed_by_few_tasks(spark, tmp_path):
+    """Each load's files would else be a task each; the setting is as it was afterwards."""
+    own = spark.createDataFrame([(i, [1, 2, 3]) for i in range(40)], "issue bigint, nums array<int>")
+    results.write(own, f"{tmp_path}/in", "a", 3)
+    before = spark.conf.get(results.LISTING)
+    done = spark.sparkContext._jsc.sc().statusStore().jobsList(None).size()
+    results.take(spark, f"{tmp_path}/in", own, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    jobs = spark.sparkContext._jsc.sc().statusStore().jobsList(None)
+    assert max(jobs.apply(i).numTasks() for i in range(jobs.size() - done)) < 40 and spark.conf.get(results.LISTING) == before
+    assert results.report(spark, f"{tmp_path}/out").count() == 40
