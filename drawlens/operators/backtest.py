@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.places import places
+from ..sources.draws import as_arrays
 from . import payout
+from .frames import with_before
 
 
 def grid(targets: DataFrame, picks: list[int], runs: int) -> DataFrame:
@@ -14,24 +16,33 @@ def grid(targets: DataFrame, picks: list[int], runs: int) -> DataFrame:
     return targets.select("issue", F.explode(F.array(*[F.lit(p) for p in picks])).alias("pick")).select("issue", "pick", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
 
 
+def most_frequent(before: Column, n: int) -> Column:
+    """The n most frequent numbers of the draws (arrays) in before, the most frequent first, ties to the smaller number."""
+    nums = F.sort_array(F.flatten(before))
+    starts = lambda x: F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: (i == 0) | (F.get(x, i) != F.get(x, i - 1)))
+    counted = lambda x, at: F.transform(at, lambda i, k: F.struct((i - F.coalesce(F.get(at, k + 1), F.size(x))).alias("c"), F.get(x, i).alias("num")))
+    # Arrays of one place hold what is used several times, so that it is computed once.
+    once = lambda x, f: F.get(F.transform(F.array(x), f), F.lit(0))
+    return F.slice(F.sort_array(once(nums, lambda x: once(starts(x), lambda at: counted(x, at)))), 1, n)["num"]
+
+
 def frequency_tickets(numbers: DataFrame, cells: DataFrame, targets: DataFrame, window: int) -> DataFrame:
     """A ticket per cell: the `pick` most frequent numbers of the `window` draws before the target, from place run on.
 
-    All targets share one pass: a draw serves the targets at the next `window` places, which it is sent to by their places.
+    All targets share one pass over blocks of draws; a target's numbers are counted in its own row, from the arrays of the
+    draws before it.
     """
-    ranks = places(numbers.select("issue").distinct(), "issue", "r")
-    later = ranks.select("issue", F.explode(F.sequence(F.col("r") + 1, F.col("r") + window)).alias("r"))
-    serves = later.join(targets.join(ranks, "issue").select(F.col("issue").alias("target"), "r"), "r")
-    counts = numbers.join(serves.select("issue", "target"), "issue").groupBy("target", "num").agg(F.count("*").alias("c"))
-    place = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("c"), "num"))
-    ranked = counts.withColumn("place", place)
-    own = cells.join(ranked, (cells.issue == ranked.target) & (F.col("place") > F.col("run")) & (F.col("place") <= F.col("run") + F.col("pick")))
-    return own.groupBy("issue", "pick", "run").agg(F.sort_array(F.collect_list("num")).alias("nums"))
+    ranks = places(numbers.select("issue").distinct(), "issue")
+    draws = as_arrays(numbers, "issue").join(ranks, "issue").select("issue", "place", "nums")
+    framed = with_before(draws, window).where(F.size("before") > 0).join(targets.select("issue"), "issue", "left_semi")
+    most = cells.agg(F.max(F.col("pick") + F.col("run"))).first()[0] or 0
+    ranked = framed.select("issue", most_frequent(F.col("before")["nums"], most).alias("ranked"))
+    own = cells.join(ranked, "issue").select("issue", "pick", "run", F.sort_array(F.slice("ranked", F.col("run") + 1, F.col("pick"))).alias("nums"))
+    return own.where(F.size("nums") > 0)
 
 
 def report(tickets: DataFrame, draws: DataFrame, stake: int = 2) -> DataFrame:
     """(pick, run, tickets, hits, prize, return_rate)."""
-    scored = payout.score(tickets.withColumn("ticket_id", F.xxhash64("pick", "run")).select("ticket_id", "issue", "nums", "run"), draws)
-    runs = tickets.select(F.xxhash64("pick", "run").alias("ticket_id"), "run").distinct()
-    out = scored.join(F.broadcast(runs), "ticket_id").groupBy("pick", "run").agg(F.count("*").alias("tickets"), F.sum("hits").alias("hits"), F.sum("amount").cast("decimal(20,2)").alias("prize"))
+    scored = payout.score(tickets.select(F.col("run").alias("ticket_id"), "issue", "nums"), draws).withColumnRenamed("ticket_id", "run")
+    out = scored.groupBy("pick", "run").agg(F.count("*").alias("tickets"), F.sum("hits").alias("hits"), F.sum("amount").cast("decimal(20,2)").alias("prize"))
     return out.select("pick", "run", "tickets", "hits", "prize", F.round(F.col("prize").cast("double") / (F.col("tickets") * stake) * 100, 4).alias("return_rate"))
