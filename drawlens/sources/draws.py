@@ -14,12 +14,25 @@ from ..functions.places import places
 RECENT_MOST = 200_000
 
 
+#: Numbers are remainders of 80 plus 1, so -78 to 80; a bucket's own are bits of three words, bit 0 stands for null.
+OFFSET, WORDS, BITS = 79, 3, 64
+
+
 def ranked(lineitem: DataFrame, multiplier: int = 37, size: int = 20) -> DataFrame:
-    """(issue, num, rk): `size` distinct numbers by bucket of ten orders, in an order of their own (deterministic)."""
-    n = lineitem.select(F.floor(F.col("l_orderkey") / 10).cast("bigint").alias("d"), (F.col("l_partkey") % 80 + 1).cast("int").alias("num")).distinct()
-    own = Window.partitionBy("d")
-    placed = n.withColumn("rk", F.row_number().over(own.orderBy((F.col("num") * multiplier + F.col("d") * 11) % 83))).withColumn("c", F.count("*").over(own))
-    return placed.where((F.col("rk") <= size) & (F.col("c") >= 20)).select((F.col("d") + 2020000).alias("issue"), "num", "rk")
+    """(issue, num, rk): `size` distinct numbers by bucket of ten orders, in an order of their own (deterministic).
+
+    A bucket's numbers are collected as bits, so lines leave their task as three words a bucket; rows are grouped by issue.
+    """
+    issue = F.floor(F.col("l_orderkey") / 10).cast("bigint") + 2020000
+    lines = lineitem.select(issue.alias("issue"), F.coalesce((F.col("l_partkey") % 80 + 1).cast("int") + OFFSET, F.lit(0)).alias("at"))
+    bit = F.expr(f"shiftleft(1L, cast(at % {BITS} as int))")
+    own = [F.coalesce(F.bit_or(F.when((F.col("at") >= w * BITS) & (F.col("at") < (w + 1) * BITS), bit)), F.lit(0).cast("bigint")).alias(f"w{w}") for w in range(WORDS)]
+    buckets = lines.groupBy("issue").agg(*own).where(sum((F.bit_count(f"w{w}") for w in range(WORDS)), F.lit(0)) >= 20)
+    held = [F.expr(f"filter(sequence({w * BITS}, {w * BITS + BITS - 1}), i -> getbit(w{w}, i - {w * BITS}) = 1)") for w in range(WORDS)]
+    order = lambda num: (num * multiplier + (F.col("issue") - 2020000) * 11) % 83
+    num = lambda i: F.when(i > 0, i - OFFSET)
+    placed = F.slice(F.sort_array(F.transform(F.concat(*held), lambda i: F.struct(order(num(i)).alias("key"), num(i).alias("num")))), 1, size)
+    return buckets.select("issue", F.posexplode(placed).alias("rk", "x")).select("issue", "x.num", (F.col("rk") + 1).alias("rk"))
 
 
 def derived(lineitem: DataFrame, multiplier: int = 37, size: int = 20) -> DataFrame:
@@ -39,14 +52,16 @@ def tickets(spark: SparkSession, sf_dir: str, pick: int = 10) -> DataFrame:
 def recent(numbers: DataFrame, limit: int, before: int | None = None) -> DataFrame:
     """history of the newest `limit` draws (those older than issue `before`, if given).
 
-    Only issue ids are sorted, by a top-k that each partition cuts first; so ranks cost nothing that grows with history.
+    Only issue ids are sorted, by a top-k that each partition cuts first; so ranks cost nothing that grows with history. The
+    oldest of them is looked up at once: whoever reads the result, and however often, reads on from it with a plain filter.
     """
     if not 0 < limit <= RECENT_MOST:
         raise ValueError(f"limit must be 1 to {RECENT_MOST}")
     seen = numbers if before is None else numbers.where(F.col("issue") < before)
-    top = seen.select("issue").distinct().orderBy(F.desc("issue")).limit(limit)
-    ranks = top.select("issue", (F.row_number().over(Window.orderBy(F.desc("issue"))) - 1).cast("int").alias("rn"))
-    return seen.join(F.broadcast(ranks), "issue").select("rn", "issue", "num")
+    oldest = seen.select("issue").distinct().orderBy(F.desc("issue")).limit(limit).agg(F.min("issue")).first()[0]
+    near = seen.where(F.col("issue") >= F.lit(oldest))
+    ranks = near.select("issue").distinct().select("issue", (F.row_number().over(Window.orderBy(F.desc("issue"))) - 1).cast("int").alias("rn"))
+    return near.join(F.broadcast(ranks), "issue").select("rn", "issue", "num")
 
 
 def history(numbers: DataFrame) -> DataFrame:

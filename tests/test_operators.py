@@ -1,5 +1,6 @@
 """Operators against plain restatements, hand-made literals and properties."""
 
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +11,7 @@ from drawlens.functions import columns as C
 from drawlens.functions.places import places
 from drawlens.operators import adaptation, backtest, candidates, constraints, features, generation, metrics, pairs, payout
 from drawlens.sources import files
-from drawlens.sources.draws import as_arrays, history, recent
+from drawlens.sources.draws import as_arrays, history, ranked, recent
 
 
 def numbers(spark, draws):
@@ -262,3 +263,35 @@ def test_sampled_rows_in_order(spark):
     for modulus, remainder, most in ((7, 3, 4), (5, 0, None), (1, 0, 10)):
         own = [x for i, x in enumerate(range(3, 303, 3), 1) if i % modulus == remainder][:most]
         assert sorted(r["ticket_id"] for r in files.sample_rows(df, modulus, remainder, most=most).collect()) == own
+
+
+def test_derived_draws_of_odd_lines(spark, capsys):
+    """Null and negative parts are numbers too; lines meet their bucket in one exchange, without a window."""
+    lines = [(10 * d + i % 10, None if i == 23 and d % 2 else (i * 7 + d * 3) * (-1 if i % 5 == 0 else 1)) for d in range(9) for i in range(26 if d != 4 else 15)]
+    df = spark.createDataFrame(lines * 2, "l_orderkey bigint, l_partkey bigint")
+    own = {}
+    for o, p in lines:
+        own.setdefault(o // 10, set()).add(None if p is None else (p % 80 if p >= 0 else -(-p % 80)) + 1)
+    remainder = lambda x: x % 83 if x >= 0 else -(-x % 83)
+    order = lambda d: lambda n: (n is not None, 0 if n is None else remainder(n * 37 + d * 11), n or 0)
+    expected = {(d + 2020000, n, k) for d, nums in own.items() if len(nums) >= 20 for k, n in enumerate(sorted(nums, key=order(d))[:20], 1)}
+    got = ranked(df)
+    assert {tuple(r) for r in got.collect()} == expected and got.count() == len(expected)
+    ranked(df).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("Exchange") == 1 and "Window" not in plan
+
+
+def test_frequency_tickets_against_a_loop(spark, capsys):
+    draws = {i * 3: sorted({(i * 7 + k * (3 + i % 4)) % 90 + 1 for k in range(6)}) for i in range(30)}
+    numbers = spark.createDataFrame([(i, n) for i, own in draws.items() for n in own], "issue bigint, num int")
+    targets = numbers.select("issue").distinct().where("issue > 6")
+    tickets = backtest.frequency_tickets(numbers, backtest.grid(targets, [2, 40], 2), targets, 5)
+    expected, issues = {}, sorted(draws)
+    for at, issue in enumerate(issues):
+        counts = Counter(n for i in issues[max(at - 5, 0) : at] for n in draws[i])
+        order = sorted(counts, key=lambda n: (-counts[n], n))
+        expected |= {(issue, p, r): sorted(order[r : r + p]) for p in (2, 40) for r in (0, 1) if issue > 6 and order[r : r + p]}
+    assert {(r["issue"], r["pick"], r["run"]): r["nums"] for r in tickets.collect()} == expected
+    tickets.explain()
+    assert "row_number() windowspecdefinition(target" not in capsys.readouterr().out  # no row for each target and number
