@@ -53,6 +53,7 @@ def pointwise_information(h: DataFrame, limit: int) -> DataFrame:
 
 
 WORDS = 64  # words of 64 draws in a row of a bitmap
+BROADCAST_SIZE = 3  # of sets that may be broadcast: there are 82,160 of three numbers
 
 
 def bitmaps(h: DataFrame) -> DataFrame:
@@ -67,24 +68,28 @@ def itemsets(h: DataFrame, most: int = 2, support: float = 0.0) -> DataFrame:
     """(items array, freq): the itemsets of up to `most` numbers in at least `support` of the draws, with their frequencies.
 
     Level by level, from bitmaps: a set of k grows by a larger number to the draws that both have, chunk by chunk, and goes on
-    only if it is frequent. Nothing lists the subsets of a draw; a set's chunks, a row for 4,096 draws, are added up together.
+    only if it is frequent. Nothing lists the subsets of a draw. Bitmaps stay where their chunk is: only counts travel, and the
+    sets found frequent (their number depends on the universe, not on the history) come back to them.
     """
     n = F.broadcast(h.agg(F.countDistinct("rn").alias("n")))
     draws_of = lambda bits: F.aggregate(bits, F.lit(0).cast("bigint"), lambda total, w: total + F.bit_count(w))
 
     def frequent(rows: DataFrame) -> DataFrame:
-        counted = rows.withColumn("own", draws_of(F.col("bits"))).where("own > 0").withColumn("freq", F.sum("own").over(Window.partitionBy("items")))
-        return counted.join(n).where(F.col("freq") / F.col("n") >= support).select("items", "chunk", "bits", "freq")
-
-    single = bitmaps(h)
-    level = frequent(single.select(F.array("num").alias("items"), "chunk", "bits"))
-    more = level.select(F.element_at("items", 1).alias("num"), "chunk", F.col("bits").alias("added"))
-    once = lambda rows: rows.groupBy("items").agg(F.first("freq").alias("freq"))
-    out = once(level)
-    for _ in range(most - 1):
+        counted = rows.select("items", draws_of(F.col("bits")).alias("own")).where("own > 0").groupBy("items").agg(F.sum("own").alias("freq"))
+        return counted.join(n).where(F.col("freq") / F.col("n") >= support).select("items", "freq")
+
+    # As many tasks as there are cores: bitmaps are few bytes and much work, and would else be put together.
+    single = bitmaps(h).repartition(h.sparkSession.sparkContext.defaultParallelism, "chunk")
+    rows = single.select(F.array("num").alias("items"), "chunk", "bits")
+    out = found = frequent(rows)
+    more = single.select("num", "chunk", F.col("bits").alias("added")).join(F.broadcast(found.select(F.element_at("items", 1).alias("num"))), "num", "left_semi")
+    for size in range(2, most + 1):
+        kept = found.select("items")
+        level = rows.join(F.broadcast(kept) if size <= BROADCAST_SIZE + 1 else kept, "items", "left_semi")
         grown = level.join(more, "chunk").where(F.col("num") > F.element_at("items", -1))
-        level = frequent(grown.select(F.concat("items", F.array("num")).alias("items"), "chunk", F.zip_with("bits", "added", lambda a, b: a.bitwiseAND(b)).alias("bits")))
-        out = out.unionByName(once(level))
+        rows = grown.select(F.concat("items", F.array("num")).alias("items"), "chunk", F.zip_with("bits", "added", lambda a, b: a.bitwiseAND(b)).alias("bits"))
+        found = frequent(rows)
+        out = out.unionByName(found)
     return out
 
 
