@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.places import places
 
-#: A history of at most this many draws may be broadcast (a row of a few bytes each).
+#: A history of at most this many draws may be held as rows of its own (20 of some 16 bytes a draw).
 RECENT_MOST = 200_000
 
 
@@ -18,21 +18,33 @@ RECENT_MOST = 200_000
 OFFSET, WORDS, BITS = 79, 3, 64
 
 
-def ranked(lineitem: DataFrame, multiplier: int = 37, size: int = 20) -> DataFrame:
-    """(issue, num, rk): `size` distinct numbers by bucket of ten orders, in an order of their own (deterministic).
-
-    A bucket's numbers are collected as bits, so lines leave their task as three words a bucket; rows are grouped by issue.
+def sets(lineitem: DataFrame) -> DataFrame:
+    """(issue, w0, w1, w2): the numbers of each bucket of ten orders as bits, buckets of fewer than 20 left out; lines
+    leave their task as three words a bucket.
     """
     issue = F.floor(F.col("l_orderkey") / 10).cast("bigint") + 2020000
     lines = lineitem.select(issue.alias("issue"), F.coalesce((F.col("l_partkey") % 80 + 1).cast("int") + OFFSET, F.lit(0)).alias("at"))
     bit = F.expr(f"shiftleft(1L, cast(at % {BITS} as int))")
     own = [F.coalesce(F.bit_or(F.when((F.col("at") >= w * BITS) & (F.col("at") < (w + 1) * BITS), bit)), F.lit(0).cast("bigint")).alias(f"w{w}") for w in range(WORDS)]
-    buckets = lines.groupBy("issue").agg(*own).where(sum((F.bit_count(f"w{w}") for w in range(WORDS)), F.lit(0)) >= 20)
+    return lines.groupBy("issue").agg(*own).where(sum((F.bit_count(f"w{w}") for w in range(WORDS)), F.lit(0)) >= 20)
+
+
+def placed(buckets: DataFrame, multiplier: int = 37, size: int = 20) -> DataFrame:
+    """buckets (issue, w0, w1, w2, ...) with `placed`: the first `size` numbers of each in an order of their own."""
     held = [F.expr(f"filter(sequence({w * BITS}, {w * BITS + BITS - 1}), i -> getbit(w{w}, i - {w * BITS}) = 1)") for w in range(WORDS)]
     order = lambda num: (num * multiplier + (F.col("issue") - 2020000) * 11) % 83
     num = lambda i: F.when(i > 0, i - OFFSET)
-    placed = F.slice(F.sort_array(F.transform(F.concat(*held), lambda i: F.struct(order(num(i)).alias("key"), num(i).alias("num")))), 1, size)
-    return buckets.select("issue", F.posexplode(placed).alias("rk", "x")).select("issue", "x.num", (F.col("rk") + 1).alias("rk"))
+    own = F.slice(F.sort_array(F.transform(F.concat(*held), lambda i: F.struct(order(num(i)).alias("key"), num(i).alias("num")))), 1, size)
+    return buckets.withColumn("placed", own).drop(*[f"w{w}" for w in range(WORDS)])
+
+
+def ranked(lineitem: DataFrame, multiplier: int = 37, size: int = 20) -> DataFrame:
+    """(issue, num, rk): `size` distinct numbers by bucket of ten orders, in an order of their own (deterministic).
+
+    Rows are grouped by issue.
+    """
+    buckets = placed(sets(lineitem), multiplier, size)
+    return buckets.select("issue", F.posexplode("placed").alias("rk", "x")).select("issue", "x.num", (F.col("rk") + 1).alias("rk"))
 
 
 def derived(lineitem: DataFrame, multiplier: int = 37, size: int = 20) -> DataFrame:
@@ -49,19 +61,29 @@ def tickets(spark: SparkSession, sf_dir: str, pick: int = 10) -> DataFrame:
     return derived(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), 41, pick)
 
 
-def recent(numbers: DataFrame, limit: int, before: int | None = None) -> DataFrame:
-    """history of the newest `limit` draws (those older than issue `before`, if given).
-
-    Only issue ids are sorted, by a top-k that each partition cuts first; so ranks cost nothing that grows with history. The
-    oldest of them is looked up at once: whoever reads the result, and however often, reads on from it with a plain filter.
-    """
+def _newest(draws: DataFrame, limit: int, before: int | None) -> DataFrame:
+    """The newest `limit` of draws (issue, ...; a row each) with their rn, by a top-k that each partition cuts first."""
     if not 0 < limit <= RECENT_MOST:
         raise ValueError(f"limit must be 1 to {RECENT_MOST}")
-    seen = numbers if before is None else numbers.where(F.col("issue") < before)
-    oldest = seen.select("issue").distinct().orderBy(F.desc("issue")).limit(limit).agg(F.min("issue")).first()[0]
-    near = seen.where(F.col("issue") >= F.lit(oldest))
-    ranks = near.select("issue").distinct().select("issue", (F.row_number().over(Window.orderBy(F.desc("issue"))) - 1).cast("int").alias("rn"))
-    return near.join(F.broadcast(ranks), "issue").select("rn", "issue", "num")
+    seen = draws.where(F.col("issue").isNotNull() if before is None else F.col("issue") < before)
+    top = seen.orderBy(F.desc("issue")).limit(limit)
+    return top.withColumn("rn", (F.row_number().over(Window.orderBy(F.desc("issue"))) - 1).cast("int"))
+
+
+def _held(h: DataFrame) -> DataFrame:
+    """A bounded history as rows of its own: whoever reads it, and however often, reads nothing of what it came from."""
+    return h.sparkSession.createDataFrame(h.select("rn", "issue", "num").toArrow())
+
+
+def recent(numbers: DataFrame, limit: int, before: int | None = None) -> DataFrame:
+    """history of the newest `limit` draws (those older than issue `before`, if given), found at once in one pass."""
+    draws = numbers.groupBy("issue").agg(F.collect_list(F.struct("num")).alias("own"))
+    return _held(_newest(draws, limit, before).select("rn", "issue", F.explode("own.num").alias("num")))
+
+
+def recent_derived(lineitem: DataFrame, limit: int, before: int | None = None) -> DataFrame:
+    """recent(derived(lineitem), limit, before), whose numbers are looked at only in the draws that are left."""
+    return _held(placed(_newest(sets(lineitem), limit, before)).select("rn", "issue", F.explode("placed.num").alias("num")))
 
 
 def history(numbers: DataFrame) -> DataFrame:

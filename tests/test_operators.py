@@ -11,7 +11,7 @@ from drawlens.functions import columns as C
 from drawlens.functions.places import places
 from drawlens.operators import adaptation, backtest, candidates, constraints, features, generation, metrics, pairs, payout
 from drawlens.sources import files
-from drawlens.sources.draws import as_arrays, history, ranked, recent
+from drawlens.sources.draws import as_arrays, derived, history, ranked, recent, recent_derived
 
 
 def numbers(spark, draws):
@@ -34,6 +34,21 @@ def test_as_of_cut_is_strict(spark, draws):
     assert cut.agg(F.max("issue")).first()[0] == 2023489
 
 
+def test_recent_draws_are_found_in_one_pass_and_read_nothing_more(spark, tmp_path):
+    lines = spark.range(40_000).selectExpr("id div 4 AS l_orderkey", "xxhash64(id) AS l_partkey").unionByName(spark.createDataFrame([(None, i) for i in range(90)], "l_orderkey bigint, l_partkey bigint"))
+    lines.write.parquet(str(tmp_path / "lines"))
+    read = spark.read.parquet(str(tmp_path / "lines"))
+    for before in (None, 2020500):
+        every = derived(lines).where("issue IS NOT NULL" if before is None else f"issue < {before}")
+        issues = sorted((r[0] for r in every.select("issue").distinct().collect()), reverse=True)[:30]
+        expected = sorted((issues.index(r["issue"]), r["issue"], r["num"]) for r in every.where(F.col("issue") >= issues[-1]).collect())
+        assert len(issues) == 30
+        for h in (recent_derived(read, 30, before), recent(derived(read), 30, before)):
+            assert h.schema.simpleString() == "struct<rn:int,issue:bigint,num:int>"
+            assert not h.inputFiles() and sorted(map(tuple, h.collect())) == expected
+    assert recent_derived(read.limit(0), 5).count() == 0
+
+
 def test_hot_cold_ties_go_to_smaller_numbers(spark):
     h = recent(numbers(spark, [(1, range(1, 21)), (2, range(1, 21))]), 2)
     rows = {r["num"]: r["kind"] for r in metrics.hot_cold(h).collect()}
