@@ -38,6 +38,7 @@ MOST, NEAREST, SIMILARITY, SHINGLE = 6, 4, 0.8, 5
 FAR = np.int64(2**62)
 FEWEST, MARKS = 512, 8192  # parity bits of a shingle set, at least and at most
 SAMPLE, COMMON, LONG = 4000, 2, 1 << 13  # texts that common shingles are found in, in how many of them, and their bytes
+HEAD = 6  # members of a prefix that tell at which of its keys a pair is named
 BROADCAST = 1 << 20  # nodes (8 bytes each) up to which those that are needed are broadcast
 MULTIPLIER = np.uint64(0x9FB21C651E98DF25)
 
@@ -177,25 +178,46 @@ def first_of_each(i: np.ndarray, n: int) -> np.ndarray:
     return np.arange(len(i)) - np.repeat(new, np.diff(np.append(new, len(i)))) < n
 
 
-def more_candidates(nodes: DataFrame, similarity: float, limit: int, few: int | None = None) -> DataFrame:
-    """Distinct pairs (u < v) of nodes (node, group, size, marks, prefix) of different groups that may be similar; with
-    `few`, a node names about so many of those behind it in a cell.
-    """
+def prefix_keys(nodes: DataFrame) -> DataFrame:
+    """(key, node, group): a row for each member of a node's prefix."""
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "prefix", 4 << 20):
             keys = [np.frombuffer(x, np.int64) for x in part.column("prefix").to_pylist()]
             times = [len(k) for k in keys]
             columns = [np.concatenate(keys), *[np.repeat(part.column(c).to_numpy(), times) for c in ("node", "group")]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "group"])
 
+    return nodes.select("node", "group", "prefix").mapInArrow(run, "key bigint, node bigint, group bigint")
+
+
+def heads_of(column: pd.Series) -> np.ndarray:
+    """The first HEAD members of each prefix, the last one repeated where it has fewer."""
+    own = [np.frombuffer(x, np.int64) for x in column]
+    return np.stack([np.pad(x, (0, HEAD - len(x)), mode="edge") for x in own]) if own else np.empty((0, HEAD), np.int64)
+
+
+def own_key(key: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether this is the key that a pair is named at: the least that both heads (x, y) hold; any, if they share none."""
+    both = np.where((x[:, :, None] == y[:, None, :]).any(2), x, np.iinfo(np.int64).max).min(1)
+    return (both == key) | (both == np.iinfo(np.int64).max)
+
+
+def meetings(shared: DataFrame, nodes: DataFrame, similarity: float, few: int | None = None) -> DataFrame:
+    """Pairs (u < v) of nodes of different groups that meet in a cell of `shared` (key, node, part, a, b) and may be similar.
+
+    A pair meets at every key that its prefixes share, and is named at one: the least that is among the first HEAD of both
+    prefixes. Pairs whose heads share none are named at each. With `few`, a node names so many in each cell instead.
+    """
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, cell in pairing.whole_cells(frames):
             # Within a block, in order of groups, each row meets those behind its group; across blocks, those of the second.
             crossed, part, group = (frame["a"] != frame["b"]).to_numpy(), frame["part"].to_numpy(), frame["group"].to_numpy()
             order = np.lexsort((np.where(crossed, part, group), cell))
-            ids, group, size = (frame[c].to_numpy()[order] for c in ("node", "group", "size"))
+            ids, key, group, size = (frame[c].to_numpy()[order] for c in ("node", "key", "group", "size"))
             marks = marks_of(frame["marks"].to_numpy()[order])
+            heads = None if few else heads_of(frame["head"].to_numpy()[order])
             cell = cell[order]
             own = np.cumsum(np.append(0, (cell[1:] != cell[:-1]) | (np.where(crossed, part, group)[order][1:] != np.where(crossed, part, group)[order][:-1])))
             for i, j in pairing.spans(pairing.ends(own), pairing.ends(cell)):
@@ -206,13 +228,23 @@ def more_candidates(nodes: DataFrame, similarity: float, limit: int, few: int |
                 if few and len(i):
                     first = first_of_each(i, few)
                     i, j = i[first], j[first]
+                if heads is not None:
+                    here = own_key(key[i], heads[i], heads[j])
+                    i, j = i[here], j[here]
                 if len(i):
                     yield _pairs(ids, i, j)
 
-    keys = nodes.select("node", "group", "prefix").mapInArrow(keyed, "key bigint, node bigint, group bigint")
-    shared = materialise(pairing.cells(keys, "group", limit), "neardup-keys")
-    met = shared.drop("group").join(nodes.select("node", "group", "size", "marks"), "node")
-    out = materialise(pairing.dealt(met).mapInPandas(run, "u bigint, v bigint").distinct(), "neardup-more")
+    head = [] if few else [F.substring("prefix", 1, 8 * HEAD).alias("head")]
+    met = shared.drop("group").join(nodes.select("node", "group", "size", "marks", *head), "node")
+    return pairing.dealt(met).mapInPandas(run, "u bigint, v bigint")
+
+
+def more_candidates(nodes: DataFrame, similarity: float, limit: int, few: int | None = None) -> DataFrame:
+    """Distinct pairs (u < v) of nodes (node, group, size, marks, prefix) of different groups that may be similar; with
+    `few`, a node names about so many of those behind it in a cell.
+    """
+    shared = materialise(pairing.cells(prefix_keys(nodes), "group", limit), "neardup-keys")
+    out = materialise(meetings(shared, nodes, similarity, few).distinct(), "neardup-more")
     discard(shared)
     return out
 

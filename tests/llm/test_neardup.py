@@ -142,6 +142,32 @@ def test_parity_bits_exclude_no_similar_pair():
     assert good[similar].all() and good.sum() < 2 * similar.sum()
 
 
+@pytest.mark.parametrize("limit", [pairing.LIMIT, 3])
+def test_a_pair_is_named_once_however_many_keys_it_shares(spark, frame, limit):
+    r = random.Random(5)
+    texts = []
+    for g in range(3):
+        base = [f"w{g}x{i}" for i in range(200)]
+        for k in range(6):
+            own = list(base)
+            for at in r.sample(range(200), 1 + k % 3):
+                own[at] = f"new{g}x{k}x{at}"
+            texts.append(" ".join(own))
+    rows = frame(texts).selectExpr("doc_id AS id", "doc_id AS node", "text")
+    nodes = neardup.sketches(rows, 5, 0.8).selectExpr("node", "node AS `group`", "size", "marks", "prefix")
+    shared = pairing.cells(neardup.prefix_keys(nodes), "group", limit)
+    named = [tuple(x) for x in neardup.meetings(shared, nodes, 0.8).collect()]
+    own = [shingles(t) for t in texts]
+    similar = {(a, b) for a in range(len(own)) for b in range(a + 1, len(own)) if 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])}
+    assert len(similar) > 30 and similar <= set(named)
+    assert len(named) < 1.2 * len(set(named))
+
+
+def test_pairs_whose_heads_share_nothing_are_named_at_every_key():
+    x, y = np.array([[1, 2, 3], [1, 2, 3], [1, 2, 3]]), np.array([[3, 2, 9], [3, 2, 9], [7, 8, 9]])
+    assert neardup.own_key(np.array([2, 3, 5]), x, y).tolist() == [True, False, True]
+
+
 def test_keep_one_keeps_each_text_of_a_repeated_id(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
     rows = spark.createDataFrame([(5, a), (5, b), (9, b), (5, a), (None, a), (None, None)], "doc_id bigint, text string")
