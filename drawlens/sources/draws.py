@@ -52,6 +52,12 @@ def derived(lineitem: DataFrame, multiplier: int = 37, size: int = 20) -> DataFr
     return ranked(lineitem, multiplier, size).drop("rk")
 
 
+def placed_arrays(buckets: DataFrame, multiplier: int = 37, size: int = 20) -> DataFrame:
+    """as_arrays(derived(lineitem, multiplier, size)) of sets(lineitem), without a row for each number."""
+    nums = F.sort_array(F.filter("placed.num", lambda n: n.isNotNull()))
+    return placed(buckets, multiplier, size).select("issue", nums.alias("nums"))
+
+
 def draw_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
 

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from drawlens.config import PRIZES
 from drawlens.operators import rule_cache
 from drawlens.operators.pairs import association_rules
-from drawlens.sources.draws import recent
+from drawlens.plans.queries import queries
+from drawlens.sources.draws import as_arrays, derived, placed_arrays, recent, sets
 from drawlens.streaming import results
 
 
@@ -129,3 +130,43 @@ def test_result_files_are_listed_by_few_tasks(spark, tmp_path):
     jobs = spark.sparkContext._jsc.sc().statusStore().jobsList(None)
     assert max(jobs.apply(i).numTasks() for i in range(jobs.size() - done)) < 40 and spark.conf.get(results.LISTING) == before
     assert results.report(spark, f"{tmp_path}/out").count() == 40
+
+
+def test_result_files_hold_blocks_of_issues(spark, tmp_path):
+    """A file for each block, a report row for each of its issues; files of one issue may lie beside them."""
+    where, out, checkpoint = (f"{tmp_path}/{x}" for x in ("in", "out", "checkpoint"))
+    draws = spark.createDataFrame([(i, list(range(1, 21))) for i in range(-15, 45)], "issue bigint, nums array<int>")
+    tickets = lambda rows: spark.createDataFrame(rows, "issue bigint, nums array<int>")
+    got = lambda: {(r["issue"], r["pick"], r["run"]): (r["tickets"], r["prize"], r["known"]) for r in results.report(spark, out).collect()}
+    won = lambda n, hits: (n, n * Decimal(PRIZES[3][3 - hits]).quantize(Decimal("0.01")), True)
+    take = lambda: results.take(spark, where, draws, out, checkpoint)
+    results.write(tickets([(i, [1, 2, 3 if i % 2 else 30]) for i in range(-15, 45)] + [(7, [4, 5, 6])]), where, "a", 3, block=20)
+    results.write(tickets([(20, [1, 40, 50]), (99, [1, 2, 3])]), where, "b", 3)
+    assert sorted(p.parts[-3] for p in Path(where).glob("pick=3/issue=*/run=a/*.csv")) == ["issue=-20", "issue=0", "issue=20", "issue=40"]
+    expected = {(i, 3, "a"): won(2 if i == 7 else 1, 3 if i % 2 else 2) for i in range(-15, 45)} | {(20, 3, "b"): won(1, 1), (99, 3, "b"): (1, Decimal("0.00"), False)}
+    take()
+    take()
+    assert got() == expected
+    time.sleep(1.1)  # files' times are in seconds
+    results.write(tickets([(41, list(range(31, 41))), (43, list(range(1, 11)))]), where, "c", 10, block=20)
+    take()
+    newest = results.latest(results.report(spark, out)).first()
+    assert (newest["issue"], newest["pick"]) == (43, 10) and newest["file"].startswith("pick=10/issue=40/run=c/")
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="no test data")
+def test_result_files_query_leaves_few_files(spark):
+    """Files don't grow with the issues one by one; a file for each issue took most of the query's time."""
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("results-*"))
+    issues = queries()["result_files"](spark, "/root/testdata/sf0.001").count()
+    (own,) = set(shared.glob("results-*")) - before
+    assert issues > 100 and len(list(own.glob("in/*/*/*/*.csv"))) == 2
+
+
+def test_arrays_of_buckets_equal_grouped_numbers(spark):
+    lines = [(10 * d + i % 10, (i * 7 + d * 3) % 80) for d in range(12) for i in range(24 if d != 4 else 15)] + [(None, i) for i in range(30)] + [(20, None), (31, -5)]
+    df = spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint")
+    plain = lambda rows: sorted(repr(tuple(r)) for r in rows.collect())
+    for multiplier, size in ((37, 20), (41, 10)):
+        assert plain(placed_arrays(sets(df), multiplier, size)) == plain(as_arrays(derived(df, multiplier, size)))
