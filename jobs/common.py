@@ -10,6 +10,7 @@ from typing import TypeVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 T = TypeVar("T")
 
@@ -29,11 +30,12 @@ def session(name: str) -> SparkSession:
     return SparkSession.builder.appName(name).getOrCreate()
 
 
-def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A Parquet table, or an empty one if nothing has been written there."""
+def read_or_empty(spark: SparkSession, path: str, schema: str, modified: bool = False) -> DataFrame:
+    """A Parquet table, or an empty one if nothing has been written there; `modified` adds the time when a row's file was written."""
     try:
-        return spark.read.schema(schema).parquet(path)
+        rows = spark.read.schema(schema).parquet(path)
+        return rows.select("*", F.col("_metadata.file_modification_time").alias("modified")) if modified else rows
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"{schema}, modified timestamp" if modified else schema)

@@ -9,7 +9,9 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from drawlens.sources.draws import derived, ranked
 from jobs import backtest_report, common, page_ingest
 from jobs.queries import oracle_sql, queries
 
@@ -166,3 +168,69 @@ def test_a_partition_of_the_report_is_one_file(spark, tmp_path):
     backtest_report.run(spark, f"{SF}/lineitem.parquet", f"{tmp_path}/out", common.configured(backtest_report.Config, backtest_report.CONFIG))
     files = [p.parent for p in Path(tmp_path, "out").glob("pick=*/block=*/*.parquet")]
     assert files and len(files) == len(set(files))
+
+
+@needs_data
+def test_report_leaves_a_file_for_each_span(spark, tmp_path):
+    """Blocks lie together in few files: a partition for each took most of the time of a long history."""
+    config = backtest_report.Config((1, 10), block=1)
+    backtest_report.run(spark, f"{SF}/lineitem.parquet", f"{tmp_path}/out", config)
+    report = backtest_report.read_report(spark, f"{tmp_path}/out")
+    files = [p.parent.relative_to(tmp_path / "out").as_posix() for p in Path(tmp_path, "out").rglob("*.parquet")]
+    assert report.select("block").distinct().count() > 100 and len(files) == 2
+    assert {tuple(f.split("/")[0].split("=")) for f in files} == {("pick", "1"), ("pick", "10")}
+    totals = {(r["pick"], r["block"]): r["tickets"] for r in report.where("hits is null").collect()}
+    assert len(totals) == 2 * report.select("block").distinct().count() and set(totals.values()) == {1}
+
+
+def test_spans_are_renewed_whole_and_alone(spark, tmp_path):
+    """Issues on both sides of a bound of two spans; a run over one of them leaves the other as it was, and other sizes too."""
+    lines = [(10 * d + i % 10, (i * 7 + d * 3) % 80) for d in range(-5, 12) for i in range(24)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lines")
+    run = lambda *given, **more: backtest_report.run(spark, f"{tmp_path}/lines", f"{tmp_path}/out", backtest_report.Config(*given, block=1, **more))
+    got = lambda: rows(backtest_report.read_report(spark, f"{tmp_path}/out"))
+    run((2, 10))
+    whole = got()
+    assert {p.parent.name for p in Path(tmp_path, "out").rglob("*.parquet")} == {"block=2019000", "block=2020000"}
+    times = lambda: {p.parent: p.stat().st_mtime_ns for p in Path(tmp_path, "out").rglob("*.parquet")}
+    before = times()
+    run((10,), first=2020003, last=2020003)
+    after = times()
+    assert got() == whole and {(p.parent.name, p.name) for p in before if before[p] != after[p]} == {("pick=10", "block=2020000")}
+
+
+def test_earlier_partitions_count_until_their_span_is_renewed(spark, tmp_path):
+    """A table with a partition for each block is renewed in place, with nothing twice; those out of reach are kept."""
+    lines = [(10 * d + i % 10, (i * 7 + d * 3) % 80) for d in range(-5, 12) for i in range(24)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint").write.parquet(f"{tmp_path}/lines")
+    run = lambda out, **more: backtest_report.run(spark, f"{tmp_path}/lines", f"{tmp_path}/{out}", backtest_report.Config((2, 10), block=1, **more))
+    read = lambda out: backtest_report.read_report(spark, f"{tmp_path}/{out}")
+    run("whole")
+    expected = rows(read("whole"))
+    earlier = read("whole").withColumn("tickets", F.col("tickets") + 1)
+    earlier = earlier.unionByName(earlier.where("block = 2020005").withColumn("block", F.lit(2020500).cast("bigint")))  # not in the lines any more
+    earlier.repartition(3).write.partitionBy("pick", "block").parquet(f"{tmp_path}/out")  # several files for a block
+    assert rows(read("out")) == rows(earlier)
+    run("out", first=2020000)
+    mixed = read("whole").where("block >= 2020000").unionByName(earlier.where("block < 2020000"))
+    assert rows(read("out")) == rows(mixed)
+    run("out")
+    assert rows(read("out")) == expected
+
+
+def test_hits_of_damaged_lines(spark):
+    """Lines without an order or a part, negative ones, and buckets of fewer than 20 numbers, against the rows of derived draws."""
+    lines = [(10 * d + i % 10, (i * 7 + d * 3) % 80) for d in range(8) for i in range(24 if d != 4 else 15)] + [(None, i) for i in range(30)] + [(20, None), (31, None), (41, -5), (61, -78)]
+    df = spark.createDataFrame(lines, "l_orderkey bigint, l_partkey bigint")
+    drawn = {i: {r["num"] for r in rs} for i, rs in grouped(derived(df))}
+    own = {i: [r["num"] for r in sorted(rs, key=lambda r: r["rk"])] for i, rs in grouped(ranked(df, 41, 10))}
+    issues = sorted(drawn)
+    expected = {(a, k): len({n for n in own[a][:k] if n is not None} & drawn[b]) for a, b in zip(issues, issues[1:], strict=False) for k in (1, 5, 10)}
+    assert len(expected) == 18 and {(r["issue"], r["pick"]): r["hits"] for r in backtest_report.hits(df, (1, 5, 10)).collect()} == expected
+
+
+def grouped(df):
+    found = {}
+    for r in df.where("issue is not null").collect():
+        found.setdefault(r["issue"], []).append(r)
+    return found.items()
